@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard_join, line_dedup, packing, toxicity
+from . import decontam, jaccard_join, line_dedup, lm_scores, near_vectors, packing, secret_forest, sharding, toxicity, warc
 
 #: Where the public tokenizers' files are.
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_decontamination(spark, sf_dir):
     return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_near_vectors(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,13 +30,49 @@ def op4_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark, sf_dir):
+    return lm_scores.lm_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_revisits(spark, sf_dir):
+    return warc.revisit_digest(table(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark, sf_dir):
+    return sharding.sharding_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.packing_digest(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_secret_scan(spark, sf_dir):
+    return secret_forest.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_line_dedup, op8_packing, op10_jaccard_join)}
-ORACLES = {"op1_decontamination": decontam.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_near_vectors,
+        op3_toxicity,
+        op4_line_dedup,
+        op5_lm_scores,
+        op6_revisits,
+        op7_sharding,
+        op8_packing,
+        op9_secret_scan,
+        op10_jaccard_join,
+    )
+}
+ORACLES = {
+    "op1_decontamination": decontam.ORACLE,
+    "op2_near_vectors": near_vectors.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op6_revisits": warc.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
+}

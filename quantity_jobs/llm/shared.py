@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -116,5 +117,11 @@ def merged_segments(parts: DataFrame, merge, schema: str) -> DataFrame:
     return parts.repartition(shuffle_width(parts.sparkSession), "segment").mapInArrow(fold, schema)
 
 
-def hash_agg(name: str):
-    return F.xxhash64(F.col(name))
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
