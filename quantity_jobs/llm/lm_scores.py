@@ -73,7 +73,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     # whole rows are dealt, so a null or repeated id makes no large block
     dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
-    def send(key, table: pa.Table) -> pa.Table:
+    def send(key, table):
         _, grams = _block_grams([x or b"" for x in table["text"].cast(pa.binary()).to_pylist()], order)
         rows = []
         for n, g in enumerate(grams, 1):
@@ -88,7 +88,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     sent = dealt.groupBy("block").applyInArrow(send, "part int, block int, n int, grams binary, times binary")
 
-    def count(key, table: pa.Table) -> pa.Table:
+    def count(key, table):
         lists = [np.cumsum(_unplanes(x, np.uint64)) for x in table["grams"].to_pylist()]
         times = [_unplanes(x, np.uint32).astype(np.int64) for x in table["times"].to_pylist()]
         distinct, at = np.unique(np.concatenate(lists), return_inverse=True)
@@ -100,7 +100,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     counted = sent.groupBy("part", "n").applyInArrow(count, "part int, block int, n int, totals binary")
     total = docs.sparkSession.sparkContext.broadcast(_word_total(own))
 
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def score(key, left, right):
         if not left.num_rows:
             return left.select(["id"]).append_column("n_words", pa.array([], pa.int64())).append_column("log10_score", pa.array([], pa.float64()))
         sizes, grams = _block_grams([x or b"" for x in left["text"].cast(pa.binary()).to_pylist()], order)

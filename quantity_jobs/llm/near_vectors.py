@@ -296,8 +296,8 @@ def near_vectors(table: DataFrame, conf: Descent = Descent(), id_col: str = "vec
 
 ORACLE = """
 WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-ok AS (SELECT *, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
-  AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+ok AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
 r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON r.id = p.a),

@@ -132,7 +132,7 @@ b AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM c),
 u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[A-Za-z]+://)?([^/?]*)', 1)), '^(www|m)[.]', ''), ':(80|443)$', '') AS host,
     regexp_replace(regexp_extract(bare, '^(?:[A-Za-z]+://)?[^/?]*([^?]*)', 1), '/+$', '') AS path,
     regexp_replace(regexp_extract(bare, '[?](.*)$', 1), '(^|&)(utm_[a-z]+|gclid|fbclid|ref)=[^&]*', '', 'g') AS q0 FROM b),
-k AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q0, '&'), x -> x <> '')), '&') AS q FROM u),
+k AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q0, '&'), lambda x: x <> '')), '&') AS q FROM u),
 n AS (SELECT *, CASE WHEN url IS NOT NULL THEN host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical FROM k),
 r AS (SELECT canonical, ts, capture_id, etag, lm, len, digest FROM n WHERE status = 200 AND canonical IS NOT NULL),
 s AS (SELECT n.*, r.capture_id AS rid, r.etag AS retag, r.lm AS rlm, r.len AS rlen, r.digest AS rdigest,
