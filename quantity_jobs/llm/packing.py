@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut
+from .shared import LOWER_AZ, cut
 
 WINDOW = 2048
 END_ID = 1
@@ -27,62 +28,87 @@ RUN_BYTES = 1 << 20
 
 
 class ChunkTable(dict):
-    """Token ids of the pieces between ASCII white space. The tokenizer drops white space and never joins across it, so
-    a text's ids are those of its pieces in a row. Forgets all when it holds `limit` pieces."""
+    """Token ids, as little-endian 32-bit numbers, of the pieces between ASCII white space. The tokenizer drops white
+    space and never joins across it, so a text's ids are those of its pieces in a row. New words made of letters only
+    are encoded many at a time as one text, cut at the tokens that end a word. Forgets all when it holds `limit` pieces."""
 
-    def __init__(self, tokenizer, limit: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
-        self.fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+    def __init__(self, vocabulary: str, limit: int = 600_000):
+        from tokenizers import Tokenizer
 
-    def learn(self, pieces: set[bytes]) -> None:
-        new = [p for p in pieces if p not in self]
+        super().__init__()
+        self.tokenizer, self.limit = Tokenizer.from_str(vocabulary), limit
+        self.fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, in order."""
+        out: list[bytes] = []
+        runs = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for run, joined in zip(runs, self.fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(joined.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(run):
+                raw, stops = ids.tobytes(), (4 * ends).tolist()
+                out += [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+            else:  # a word that the tokenizer cuts after all
+                out += self._each(run)
+        return out
+
+    def learn(self, pieces: list[bytes]) -> None:
+        new = {p for p in pieces if p not in self}
         if new and len(self) + len(new) > self.limit:
-            self._reset()
-            new = list(pieces)
+            self.clear()
+            new = set(pieces)
         if not new:
             return
-        for encoding, piece in zip(self.fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), new, strict=True):
-            own, k = encoding.ids, len(self)
-            while self.used + len(own) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.ids[self.used : self.used + len(own)] = own
-            self.start[k], self.size[k] = self.used, len(own)
-            self.used += len(own)
-            self[piece] = k
-
-    def encode(self, pieces: list[bytes]) -> np.ndarray:
-        rows = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.size[rows]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.start[rows] - (ends - sizes), sizes)]
-
-
-def tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """The id column and the token ids of each document, in runs."""
-    from tokenizers import Tokenizer
-
-    table = ChunkTable(Tokenizer.from_str(vocabulary))
+        words, tails, others = {}, {}, []
+        for piece in new:
+            text = piece.decode("utf-8", "replace")
+            core, tail = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
+            if core.isalpha():
+                words[piece] = core
+                tails[tail] = b""
+            else:
+                others.append((piece, text))
+        tails |= zip(tails, self._each(list(tails)), strict=True)
+        lone = list(dict.fromkeys(words.values()))
+        ids = dict(zip(lone, self._words(lone), strict=True))
+        for piece, core in words.items():
+            text_tail = "" if core.isalpha() and len(core.encode()) == len(piece) else piece[-1:].decode()
+            self[piece] = ids[core] + tails[text_tail]
+        self.update(zip((p for p, _ in others), self._each([t for _, t in others]), strict=True))
+
+
+#: A worker keeps its table from task to task.
+_TABLES: dict[int, ChunkTable] = {}
+
+
+def table_of(vocabulary: str) -> ChunkTable:
+    key = hash(vocabulary)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = ChunkTable(vocabulary)
+    return _TABLES[key]
+
+
+def tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """The id column and each document's token ids as bytes, in runs of about RUN_BYTES of text."""
+    table, end = table_of(vocabulary), np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        column = batch.column(1).cast(pa.binary())
-        first, size = 0, 0
-        lengths = [len(x) if x.is_valid else 0 for x in column] if batch.num_rows == 1 else np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]).tolist()
-        for k, n in enumerate([*lengths, RUN_BYTES]):
-            if (k == len(lengths) or size + n > RUN_BYTES) and k > first:
-                split = [(x or b"").split() for x in column.slice(first, k - first).to_pylist()]
-                table.learn({p for own in split for p in own})
-                yield batch.column(0).slice(first, k - first), [np.append(table.encode(own), np.uint32(end_id)).astype("<u4") for own in split]
-                first, size = k, 0
-            size += n
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+        edges = np.searchsorted(sizes, np.arange(RUN_BYTES, int(sizes[-1]) + RUN_BYTES, RUN_BYTES), side="left") + 1 if len(sizes) else []
+        first = 0
+        for last in dict.fromkeys([*np.minimum(edges, batch.num_rows).tolist(), batch.num_rows]):
+            if last > first:
+                texts = batch.column(1).slice(first, last - first).cast(pa.binary()).to_pylist()
+                split = [(x or b"").translate(LOWER_AZ).split() for x in texts]
+                table.learn([p for own in split for p in own])
+                yield batch.column(0).slice(first, last - first), [b"".join(map(table.__getitem__, own)) + end for own in split]
+                first = last
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -91,18 +117,18 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lists in tokenized(batches, text.value, end_id):
-            at = [(row, s) for row, x in enumerate(lists) for s in range(0, len(x), window)]
-            own = [lists[row][s : s + window] for row, s in at]
+            at = [(row, s) for row, x in enumerate(lists) for s in range(0, len(x) // 4, window)]
+            own = [lists[row][4 * s : 4 * (s + window)] for row, s in at]
             arrays = [
                 ids.take(pa.array([row for row, _ in at], pa.int64())),
                 pa.array([s for _, s in at], pa.int64()),
-                pa.array([len(x) for x in own], pa.int64()),
-                pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
-                pa.array([len(lists[row]) for row, _ in at], pa.int64()),
+                pa.array([len(x) // 4 for x in own], pa.int64()),
+                pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                pa.array([len(lists[row]) // 4 for row, _ in at], pa.int64()),
             ]
             names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                arrays, names = [*arrays, pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))], [*names, "ids"]
+                arrays, names = [*arrays, pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in own], pa.list_(pa.int64()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
