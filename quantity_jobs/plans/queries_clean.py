@@ -1 +1,368 @@
-"""Cleaning queries."""
+"""Cleaning and parsing queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..functions.exprs import round_half_up as half_up
+from ..operators import clean, fuse
+from ..sources import io
+from .catalogue import DEFAULTED, FIXED, VALID, query
+
+
+@query("WITH " + FIXED + " SELECT project_id, seq, l1 AS length_m, h1 AS height_m, s1 AS source FROM f")
+def fix_units(t):
+    return clean.fix_units(t.walls()).select("project_id", "seq", "length_m", "height_m", "source")
+
+
+@query("WITH " + DEFAULTED + " SELECT project_id, seq, length_m, height_m, thickness_m, height_source, floor(opening_area_m2 * 1e4 + 5e-1) / 1e4 AS opening_area_m2 FROM w")
+def wall_defaults(t):
+    out = clean.wall_defaults(clean.fix_units(t.walls()))
+    return out.select("project_id", "seq", "length_m", "height_m", "thickness_m", "height_source", half_up("opening_area_m2", 4).alias("opening_area_m2"))
+
+
+@query("WITH " + VALID + " SELECT project_id, seq, 'wall' AS kind, height_m AS measure FROM v UNION ALL SELECT project_id, seq, 'slab', area_m2 FROM vs")
+def validate_geometry(t):
+    walls, slabs = clean.validate_geometry(clean.wall_defaults(clean.fix_units(t.walls())), t("slabs"))
+    return walls.select("project_id", "seq", F.lit("wall").alias("kind"), F.col("height_m").alias("measure")).unionByName(slabs.select("project_id", "seq", F.lit("slab").alias("kind"), F.col("area_m2").alias("measure")))
+
+
+@query(
+    """WITH a AS (SELECT project_id, count(*) AS walls_before, count(*) FILTER (length_m <= 0) AS wall_not_finite, count(*) FILTER (length_m > 0 AND thickness_m < 6e-2) AS wall_thin,
+  count(*) FILTER (length_m > 0 AND thickness_m > 4e-1) AS wall_thick, count(*) FILTER (length_m > 0 AND thickness_m BETWEEN 6e-2 AND 4e-1 AND length_m > 50) AS wall_huge FROM {walls} GROUP BY 1),
+b AS (SELECT project_id, count(*) AS slabs_before, count(*) FILTER (area_m2 BETWEEN 1 AND 5000) AS slabs_after FROM {slabs} GROUP BY 1)
+SELECT a.*, b.slabs_before, b.slabs_after FROM a JOIN b ON a.project_id = b.project_id"""
+)
+def validation_stats(t):
+    out = clean.validation_stats(t("walls"), t("slabs"))
+    return out.select("project_id", "walls_before", "wall_not_finite", "wall_thin", "wall_thick", "wall_huge", "slabs_before", "slabs_after")
+
+
+@query("SELECT project_id, count(*) AS removed, arg_min(wall_id, seq) AS first_id FROM {walls} WHERE thickness_m > 12e-2 GROUP BY 1")
+def cap_thickness(t):
+    return clean.cap_thickness(t("walls"))[1]
+
+
+@query(
+    """SELECT project_id, 'wall' AS element, wall_id AS element_id, 'height' AS field, '3.0' AS value FROM {walls} WHERE wall_class <> 'boundary' AND NOT height_m > 0
+UNION ALL SELECT project_id, 'opening', wall_id || '.0', 'width', '0.8' FROM {walls} WHERE door_code IS NOT NULL AND NOT door_w > 0 UNION ALL SELECT project_id, 'opening', wall_id || '.0', 'height', '2.1' FROM {walls} WHERE door_code IS NOT NULL AND NOT door_h > 0
+UNION ALL SELECT project_id, 'opening', wall_id || CASE WHEN door_code IS NULL THEN '.0' ELSE '.1' END, 'width', '1.2' FROM {walls} WHERE win_code IS NOT NULL AND NOT win_w > 0
+UNION ALL SELECT project_id, 'opening', wall_id || CASE WHEN door_code IS NULL THEN '.0' ELSE '.1' END, 'height', CASE WHEN win_sill > 13e-1 THEN '0.6' ELSE '1.0' END FROM {walls} WHERE win_code IS NOT NULL AND NOT win_h > 0
+UNION ALL SELECT project_id, 'opening', wall_id || CASE WHEN door_code IS NULL THEN '.0' ELSE '.1' END, 'sill', '1.1' FROM {walls} WHERE win_code IS NOT NULL AND NOT win_sill > 0
+UNION ALL SELECT project_id, 'slab', slab_id, 'foundation', 'raft' FROM {slabs} WHERE slab_class = 'floor' AND lower(level) LIKE '%terreo%'"""
+)
+def assumption_log(t):
+    return clean.assumption_log(t.walls(), t("slabs")).drop("unit")
+
+
+@query(
+    """SELECT project_id, seq, ceiling_m, least(1e0, greatest(0e0, confidence)) AS confidence FROM {sections} WHERE ceiling_m > 15e-1 AND ceiling_m <= 8"""
+)
+def clean_sections(t):
+    return clean.clean_sections(t("sections")).select("project_id", "seq", "ceiling_m", "confidence")
+
+
+@query(
+    """SELECT project_id, level, CAST(4 AS BIGINT) + 2 - CASE WHEN x1 > 870 THEN 2 ELSE 0 END AS vertices FROM {envelopes}"""
+)
+def clean_polygons(t):
+    # the page ends at 870 here, so that some corners go
+    env = t.envelopes().withColumn("polygon", F.transform("polygon", lambda p: F.struct(F.when(p["x"] <= 870, p["x"]).otherwise(p["x"] + 1000).alias("x"), p["y"].alias("y"))))
+    return clean.clean_polygons(env).select("project_id", "level", F.size("polygon").cast("long").alias("vertices"))
+
+
+@query(
+    """SELECT project_id, seq, least(5e0, greatest(3e-1, CASE WHEN thickness_pct = 0 THEN 12e-1 ELSE thickness_pct END)) AS thickness_pct, least(1e0, greatest(0e0, CASE WHEN confidence = 0 THEN 7e-1 ELSE confidence END)) AS confidence
+FROM {segments} WHERE x1 BETWEEN 0 AND 1000 AND x2 BETWEEN 0 AND 1000 AND y1 BETWEEN 0 AND 1000 AND y2 BETWEEN 0 AND 1000 AND sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) >= 5"""
+)
+def clean_segments(t):
+    return clean.clean_segments(t("segments")).select("project_id", "seq", "thickness_pct", "confidence")
+
+
+@query(
+    """SELECT project_id, seq, value_m, CASE WHEN orientation IN ('horizontal', 'vertical') THEN orientation ELSE 'unknown' END AS orientation FROM {dimensions}
+WHERE value_m > 0 AND value_m <= 50 AND x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000"""
+)
+def clean_dimensions(t):
+    return clean.clean_dimensions(t("dimensions")).select("project_id", "seq", "value_m", "orientation")
+
+
+def _characterizations(t):
+    p = F.col("project_id")
+    return t("projects").select(
+        "project_id",
+        F.col("building_type").alias("typology"),
+        F.when(p % 3 == 0, "alto").when(p % 3 == 1, "luxo").alias("standard"),
+        ((p % 20) / 4.0).alias("ceiling_low"),
+        ((p % 9) / 3.0).alias("ceiling_high"),
+        ((p % 30) / 100.0).alias("thickness_low"),
+        ((p % 60) / 100.0).alias("thickness_high"),
+        ((p % 600) * 1.0).alias("walls_low"),
+        ((p % 70) * 10.0).alias("walls_high"),
+        ((p % 50) * 1.0).alias("openings_low"),
+        ((p % 90) * 1.0).alias("openings_high"),
+        F.array(F.lit("a"), F.lit("b")).alias("notes"),
+    )
+
+
+@query(
+    """WITH c AS (SELECT project_id, building_type AS ty, project_id % 20 / 4e0 AS a, project_id % 9 / 3e0 AS b FROM {projects})
+SELECT project_id, coalesce(ty, 'residencial') AS typology, CASE WHEN project_id % 3 = 0 THEN 'alto' ELSE 'medio' END AS standard,
+  CASE WHEN least(a, b) >= 18e-1 AND greatest(a, b) <= 12 THEN least(a, b) ELSE 25e-1 END AS ceiling_low, CASE WHEN least(a, b) >= 18e-1 AND greatest(a, b) <= 12 THEN greatest(a, b) ELSE 3e0 END AS ceiling_high FROM c"""
+)
+def clean_ranges(t):
+    return clean.clean_ranges(_characterizations(t)).select("project_id", "typology", "standard", "ceiling_low", "ceiling_high")
+
+
+@query(
+    """WITH n AS (SELECT project_id, seq, lower(text) AS x, CASE WHEN text LIKE 'SALA%' THEN NULL ELSE CAST(regexp_extract(replace(text, ',', '.'), '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) END AS v FROM {dimensions}),
+m AS (SELECT *, CASE WHEN x LIKE '%cm' THEN v / 1e2 WHEN x LIKE '%,%' OR x LIKE '%.%' THEN v WHEN v BETWEEN 3 AND 15 THEN v WHEN v BETWEEN 30 AND 1500 THEN v / 1e2 END AS metres FROM n)
+SELECT project_id, seq, CASE WHEN metres BETWEEN 2e-1 AND 50 THEN metres WHEN x LIKE 'sala%' THEN s.v2 END AS metres FROM m
+LEFT JOIN (SELECT project_id AS p, seq AS q, CASE WHEN CAST(regexp_extract(text, '([0-9]+)', 1) AS DOUBLE) BETWEEN 3 AND 15 THEN CAST(regexp_extract(text, '([0-9]+)', 1) AS DOUBLE)
+  WHEN CAST(regexp_extract(text, '([0-9]+)', 1) AS DOUBLE) BETWEEN 30 AND 1500 THEN CAST(regexp_extract(text, '([0-9]+)', 1) AS DOUBLE) / 1e2 END AS v2 FROM {dimensions} WHERE text LIKE 'SALA%') s ON s.p = m.project_id AND s.q = m.seq"""
+)
+def parse_dimension_text(t):
+    return t("dimensions").select("project_id", "seq", exprs.parse_dimension_text("text").alias("metres"))
+
+
+@query(
+    """SELECT CAST(price_text AS VARCHAR) AS price_text, value FROM (SELECT price AS price_text, CASE WHEN price = 'n/a' THEN -1e0 ELSE CAST(replace(price, ',', '.') AS DOUBLE) END AS value FROM {price_sheet})"""
+)
+def parse_decimal(t):
+    return t("price_sheet").select(F.col("price").alias("price_text"), exprs.parse_decimal("price", -1.0).alias("value"))
+
+
+@query(
+    """WITH n AS (SELECT project_id, seq, CASE seq % 8 WHEN 0 THEN 'Térreo' WHEN 1 THEN 'SUBSOLO - Garagem' WHEN 2 THEN '2º pavimento' WHEN 3 THEN 'Outro' WHEN 4 THEN 'telhado, casa' WHEN 5 THEN 'mezanino!' WHEN 6 THEN 'Pav 12' ELSE ' ' END AS raw FROM {corners})
+SELECT project_id, seq, CASE seq % 8 WHEN 0 THEN 'Terreo' WHEN 1 THEN 'Subsolo' WHEN 2 THEN 'Pavimento2' WHEN 3 THEN 'Terreo' WHEN 4 THEN 'Cobertura' WHEN 5 THEN 'Mezanino' WHEN 6 THEN 'Pavimento12' ELSE 'Terreo' END AS level FROM n"""
+)
+def normalize_level(t):
+    raw = F.element_at(F.array(*(F.lit(x) for x in ("Térreo", "SUBSOLO - Garagem", "2º pavimento", "Outro", "telhado, casa", "mezanino!", "Pav 12", " "))), (F.col("seq") % 8 + 1).cast("int"))
+    return t("corners").select("project_id", "seq", exprs.normalize_level(raw).alias("level"))
+
+
+@query("SELECT project_id, seq, CASE level WHEN 'Terreo' THEN 1 WHEN '1 Pavimento' THEN 2 WHEN '2 Pavimento' THEN 3 ELSE 5 END AS rank FROM {corners}")
+def floor_rank(t):
+    return t("corners").select("project_id", "seq", exprs.floor_rank("level").alias("rank"))
+
+
+@query(
+    """WITH x AS (SELECT project_id, seq, wall_id, wall_class, level, CASE WHEN seq % 5 = 0 THEN '' ELSE replace(CAST(length_m AS VARCHAR), '.', ',') END AS l, length_m FROM {walls})
+SELECT project_id, seq, CASE WHEN seq % 7 = 0 THEN 'P' || CAST(seq AS VARCHAR) ELSE wall_id END AS wall_id, CASE WHEN seq % 11 = 0 THEN 'external' ELSE wall_class END AS wall_class,
+  CASE WHEN seq % 5 = 0 THEN 25e-1 ELSE CASE WHEN length_m = 0 THEN 25e-1 ELSE length_m END END AS length_m, 3e0 AS height_m FROM x"""
+)
+def normalize_geometry(t):
+    s = F.col("seq")
+    raw = t("walls").select(
+        "project_id", "seq", F.when(s % 7 == 0, "").otherwise(F.col("wall_id")).alias("wall_id"), "level", F.when(s % 11 == 0, "strange").otherwise(F.col("wall_class")).alias("wall_class"),
+        F.when(s % 5 == 0, "").otherwise(F.regexp_replace(F.col("length_m").cast("string"), "[.]", ",")).alias("length_m"), F.lit("2.5").alias("length"), F.lit(None).cast("string").alias("height_m"), F.lit("0").alias("height"),
+        F.lit("x").alias("thickness_m"), "source", F.lit("0.8").alias("confidence"), F.array("ymax", "xmin", "ymin", "xmax").alias("raw_box"),
+    )
+    return clean.normalize_geometry(raw).select("project_id", "seq", "wall_id", "wall_class", "length_m", "height_m")
+
+
+@query("SELECT project_id, seq, least(1e3, greatest(0e0, x1 / 8e2 * 1e3)) AS nx, least(1e3, greatest(0e0, y1)) / 1e3 * 6e2 AS py FROM {segments}")
+def px_to_norm(t):
+    return t("segments").select("project_id", "seq", exprs.px_to_norm("x1", F.lit(800.0)).alias("nx"), exprs.norm_to_px("y1", F.lit(600.0)).alias("py"))
+
+
+@query(
+    """SELECT project_id, seq, greatest(0e0, least(y1, y2) - thickness_pct / 1e2 * 1e3 / 2) AS ymin, least(1e3, greatest(x1, x2) + thickness_pct / 1e2 * 1e3 / 2) AS xmax FROM {segments}"""
+)
+def segment_bbox(t):
+    return clean.segment_bbox(t("segments")).select("project_id", "seq", F.col("bbox.ymin").alias("ymin"), F.col("bbox.xmax").alias("xmax"))
+
+
+@query("SELECT project_id, level, (x1 - x0) * (52e1 - y0) + (5e2 - x0) * (y1 - 52e1) AS area, 2 * (x1 - x0) + 2 * (y1 - y0) AS perimeter FROM {envelopes}")
+def polygon_measures(t):
+    return t.envelopes().select("project_id", "level", half_up(exprs.polygon_area(F.col("polygon")), 3).alias("area"), half_up(exprs.polygon_perimeter(F.col("polygon")), 3).alias("perimeter"))
+
+
+@query(
+    """SELECT project_id, seq, CASE WHEN text LIKE 'SALA%' THEN 'room_dry' WHEN text LIKE 'L=%' THEN 'other' ELSE 'dimension' END AS text_class FROM {dimensions}"""
+)
+def classify_text(t):
+    return clean.classify_text(t("dimensions")).select("project_id", "seq", "text_class")
+
+
+@query(
+    """SELECT sku, trim(upper(regexp_replace(replace(replace(replace(name, '"', ''), 'É', 'E'), 'é', 'e'), '\\s+', ' ', 'g'))) AS plain FROM {products}"""
+)
+def normalize_product_name(t):
+    return t("products").select("sku", exprs.normalize_product_name("name").alias("plain"))
+
+
+@query("SELECT id, project_id, kind, phase FROM {pipeline_events} WHERE kind NOT IN ('page_split', 'cv_substep') AND NOT (kind = 'ai_call' AND phase = 'started')")
+def persistable_events(t):
+    return clean.persistable(t("pipeline_events")).select("id", "project_id", "kind", "phase")
+
+
+@query("SELECT id, project_id FROM {pipeline_events} WHERE phase = 'failed' OR kind = 'audit' AND severity IN ('warning', 'error')")
+def error_feed(t):
+    return clean.error_feed(t("pipeline_events")).select("id", "project_id")
+
+
+@query(
+    """SELECT id, CASE kind WHEN 'stage' THEN stage WHEN 'page_split' THEN 'split' WHEN 'cv_substep' THEN 'detector' WHEN 'audit' THEN 'audit' ELSE CASE id % 3 WHEN 0 THEN 'classification' WHEN 1 THEN 'geometry' ELSE 'validation' END END AS stage_id FROM {pipeline_events}"""
+)
+def infer_stage(t):
+    return clean.infer_stage(t("pipeline_events").withColumn("prompt_version", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")))).select("id", "stage_id")
+
+
+SIGNATURE = """CAST(thickness_cm AS VARCHAR) || '|' || CAST(length_dm AS VARCHAR) || '|' || CASE WHEN has_window THEN '1' WHEN NOT has_window THEN '0' ELSE 'x' END || '|' || CASE WHEN has_door THEN '1' WHEN NOT has_door THEN '0' ELSE 'x' END || '|' || original_class"""
+
+
+@query("SELECT id, " + SIGNATURE + " AS signature FROM {feedback}")
+def feedback_signature(t):
+    return clean.feedback_signature(t("feedback")).select("id", "signature")
+
+
+@query(
+    """SELECT id, length_dm <= 1000 AND (action <> 'correct' OR corrected_class IS NOT NULL) AS valid, action = 'exemplar' AND coalesce(u.is_admin, false) AS is_exemplar
+FROM {feedback} f LEFT JOIN {users} u ON f.user_id = u.user_id"""
+)
+def feedback_validate(t):
+    return clean.feedback_validate(t("feedback"), t("users")).select("id", "valid", "is_exemplar")
+
+
+def _element_rows(t):
+    """Elements as JSON rows, as they are stored."""
+    walls = t("walls").select("project_id", "seq", F.lit("wall").alias("element_type"), F.to_json(F.struct(F.col("wall_id").alias("id"), "level", "wall_class", "length_m", "height_m", "page_index")).alias("data"))
+    slabs = t("slabs").select("project_id", "seq", F.lit("slab").alias("element_type"), F.to_json(F.struct(F.col("slab_id").alias("id"), "level", "slab_class", "area_m2")).alias("data"))
+    corners = t("corners").select("project_id", "seq", F.lit("corner").alias("element_type"), F.to_json(F.struct(F.col("corner_id").alias("id"), "level", "corner_count")).alias("data"))
+    return walls.unionByName(slabs).unionByName(corners)
+
+
+@query(
+    """SELECT project_id, seq, 'wall' AS kind, wall_id AS id, length_m AS measure FROM {walls} UNION ALL SELECT project_id, seq, 'slab', slab_id, area_m2 FROM {slabs}
+UNION ALL SELECT project_id, seq, 'corner', corner_id, corner_count / 1e0 FROM {corners}"""
+)
+def read_elements(t):
+    walls, slabs, corners = io.read_elements(_element_rows(t))
+    row = lambda df, kind, key, m: df.select("project_id", "seq", F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(m).cast("double").alias("measure"))
+    return row(walls, "wall", "wall_id", "length_m").unionByName(row(slabs, "slab", "slab_id", "area_m2")).unionByName(row(corners, "corner", "corner_id", "corner_count"))
+
+
+@query(
+    """SELECT project_id, CAST(seq AS VARCHAR) || '-' || CAST(page_index AS VARCHAR) || '-s' || CAST(seq AS VARCHAR) AS wall_id, level, length_m, CASE WHEN seq % 3 = 0 THEN 3e0 ELSE height_m END AS height_m,
+  CASE seq % 3 WHEN 0 THEN 'external' WHEN 1 THEN 'internal' ELSE 'boundary' END AS wall_class FROM {walls} WHERE length_m > 0"""
+)
+def read_takeoff_docs(t):
+    s = F.col("seq")
+    segment = F.struct(
+        F.concat(F.lit("s"), s.cast("string")).alias("id"), F.when(s % 3 == 0, "parede_externa").when(s % 3 == 1, "parede_interna").otherwise("muro").alias("category"),
+        F.when(s % 2 == 0, F.col("length_m")).alias("length_m_ai"), F.col("length_m").alias("length_m_calculated"), F.when(s % 3 != 0, F.col("height_m")).alias("height_m"),
+    )
+    sheet = F.struct("page_index", "level", F.array(segment).alias("segments"))
+    docs = t("walls").select("project_id", F.col("seq").alias("doc_id"), F.to_json(F.struct(F.array(sheet).alias("sheets"))).alias("data"))
+    return io.read_takeoff_docs(docs)[0].select("project_id", "wall_id", "level", "length_m", "height_m", "wall_class")
+
+
+@query(
+    """SELECT project_id, page_index, file_seq, CASE WHEN file_seq = 1 THEN 'Terreo' ELSE level END AS level, ext_gross, CASE WHEN page_index % 2 = 0 THEN 0e0 ELSE int_gross END AS int_gross,
+  CASE WHEN file_seq = 1 THEN 1 ELSE 0 END + CASE WHEN page_index % 2 = 0 THEN 1 ELSE 0 END AS n_missing, CASE WHEN page_index % 3 = 0 THEN 'plan' ELSE 'other' END AS page_kind FROM {area_pages}"""
+)
+def read_area_pages(t):
+    raw = t("area_pages").select(
+        "project_id", "page_index", "file_seq",
+        F.to_json(F.struct(F.when(F.col("file_seq") != 1, F.col("level")).alias("level"), "ext_gross", F.when(F.col("page_index") % 2 != 0, F.col("int_gross")).alias("int_gross"), "floor_m2", F.when(F.col("page_index") % 3 == 0, "plan").otherwise("strange").alias("page_kind"))).alias("data"),
+    )
+    keyed = raw.withColumn("seq", F.struct("page_index", "file_seq"))
+    out = io.read_area_pages(keyed)
+    return out.select("project_id", "seq.page_index", "seq.file_seq", "level", "ext_gross", "int_gross", F.size("missing").cast("long").alias("n_missing"), "page_kind")
+
+
+@query(
+    """SELECT trim(description) AS description, trim(hub) AS hub, CAST(replace(price, ',', '.') AS DOUBLE) AS price FROM {price_sheet} WHERE hub <> '' AND price <> 'n/a' AND CAST(replace(CASE WHEN price = 'n/a' THEN '0' ELSE price END, ',', '.') AS DOUBLE) > 0"""
+)
+def read_price_sheet(t):
+    return io.clean_price_sheet(t("price_sheet"))
+
+
+SHEET = """sh AS (SELECT trim(upper(regexp_replace(replace(description, 'É', 'E'), '\\s+', ' ', 'g'))) AS k, description, lower(replace(hub, ' ', '_')) AS hub_code, CAST(replace(price, ',', '.') AS DOUBLE) AS price FROM {price_sheet}
+  WHERE hub <> '' AND price NOT IN ('n/a', '0')),
+kn AS (SELECT trim(upper(regexp_replace(replace(replace(replace(name, '"', ''), 'É', 'E'), 'é', 'e'), '\\s+', ' ', 'g'))) AS k, min(sku) AS sku FROM {products} GROUP BY 1)"""
+
+
+@query("WITH " + SHEET + " SELECT hub_code, sku, max(price) AS price FROM sh JOIN kn ON sh.k = kn.k GROUP BY 1, 2")
+def match_price_sheet(t):
+    return io.match_price_sheet(io.clean_price_sheet(t("price_sheet")), t("products"))[0]
+
+
+@query("WITH " + SHEET + " SELECT DISTINCT trim(description) AS description FROM sh WHERE k NOT IN (SELECT k FROM kn)")
+def unmatched_products(t):
+    return io.match_price_sheet(io.clean_price_sheet(t("price_sheet")), t("products"))[1]
+
+
+@query("WITH " + SHEET + " SELECT count(sku) AS matched, count(*) AS rows, floor(count(sku) / count(*) * 1e4 + 5e-1) / 1e4 AS rate, count(sku) / count(*) >= 9e-1 AS accepted FROM sh LEFT JOIN kn ON sh.k = kn.k")
+def price_match_rate(t):
+    return io.match_price_sheet(io.clean_price_sheet(t("price_sheet")), t("products"))[2]
+
+
+@query(
+    """WITH i AS (SELECT CAST(profile_id AS BIGINT) AS profile_id, sku, CAST(unit_price + 1 AS DOUBLE) AS unit_price FROM {profile_prices} WHERE profile_id <> 1 UNION ALL SELECT 99, sku, CAST(unit_price AS DOUBLE) FROM {products})
+SELECT coalesce(i.profile_id, c.profile_id) AS profile_id, coalesce(i.sku, c.sku) AS sku, CAST(coalesce(i.unit_price, c.unit_price) AS DOUBLE) AS unit_price FROM {profile_prices} c FULL JOIN i ON c.profile_id = i.profile_id AND c.sku = i.sku"""
+)
+def upsert_profile_prices(t):
+    current = t("profile_prices")
+    new = current.filter("profile_id <> 1").withColumn("unit_price", F.col("unit_price") + 1).unionByName(t("products").select(F.lit(99).cast("long").alias("profile_id"), "sku", "unit_price"))
+    return io.upsert_profile_prices(io.upsert_profile_prices(current, new), new)
+
+
+@query(
+    """SELECT project_id, seq, x FROM {side_hints} WHERE project_id % 3 <> 0 OR project_id NOT IN (SELECT project_id FROM {corners}) UNION ALL SELECT project_id, seq, corner_count / 1e0 FROM {corners} WHERE project_id % 3 = 0"""
+)
+def replace_by_project(t):
+    new = t("corners").filter("project_id % 3 = 0").select("project_id", "seq", F.col("corner_count").cast("double").alias("x"))
+    return io.replace_by_project(t("side_hints").select("project_id", "seq", "x"), new)
+
+
+WALLS_JSON = "walls array<struct<wall_id: string, length_m: double>>"
+
+
+def _responses(t):
+    """Three walls a response; some cut off, fenced, spoilt or empty."""
+    s = F.col("seq")
+    text = F.to_json(F.struct(F.array(*(F.struct(F.concat(F.lit(f"w{k}-"), s.cast("string")).alias("wall_id"), (F.col("corner_count") + k).cast("double").alias("length_m")) for k in range(3))).alias("walls")))
+    data = (
+        F.when(s % 6 == 0, F.substring(text, 1, 75)).when(s % 6 == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(s % 6 == 2, F.regexp_replace(text, "\\]\\}$", ",]}")).when(s % 6 == 3, "no answer").when(s % 6 == 4, "").otherwise(text)
+    )
+    return t("corners").select("project_id", "seq", data.alias("data"))
+
+
+@query(
+    """SELECT project_id, seq, CASE seq % 6 WHEN 0 THEN 'recovered' WHEN 3 THEN 'quarantine' WHEN 4 THEN 'empty' WHEN 5 THEN 'strict' ELSE 'repaired' END AS outcome,
+  CASE seq % 6 WHEN 0 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN -1 ELSE 3 END AS n_walls FROM {corners}"""
+)
+def recover_json(t):
+    return io.recover_json(_responses(t), WALLS_JSON).select("project_id", "seq", "outcome", F.coalesce(F.size("parsed.walls"), F.lit(-1)).cast("long").alias("n_walls"))
+
+
+@query(
+    """SELECT project_id, row_kind, page, category, area_m2 FROM (WITH fl AS (SELECT project_id, file_seq, max(page_index) + 1 AS n FROM {area_pages} GROUP BY 1, 2),
+of AS (SELECT project_id, file_seq, coalesce(sum(n) OVER (PARTITION BY project_id ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM fl),
+pg AS (SELECT a.*, CAST(a.page_index + of.o AS BIGINT) AS page FROM {area_pages} a JOIN of ON a.project_id = of.project_id AND a.file_seq = of.file_seq),
+x AS (SELECT project_id, page, 'ext_net' AS category, ext_net AS a FROM pg UNION ALL SELECT project_id, page, 'int_net', int_net FROM pg UNION ALL SELECT project_id, page, 'boundary_gross', boundary_gross FROM pg
+  UNION ALL SELECT project_id, page, 'floor_m2', floor_m2 FROM pg UNION ALL SELECT project_id, page, 'roof_m2', roof_m2 FROM pg)
+SELECT project_id, CASE WHEN page IS NULL THEN 'total' ELSE 'page' END AS row_kind, page, category, floor(sum(a) * 1e2 + 5e-1) / 1e2 AS area_m2 FROM x GROUP BY GROUPING SETS ((project_id, page, category), (project_id, category)))"""
+)
+def export_area_csv(t):
+    from ..operators import areas
+
+    return io.area_csv_rows(areas.consolidate_files(t("area_pages"))[0])
+
+
+@query(
+    """SELECT project_id, seq, wall_id, 'plan' AS primary_view FROM {walls} WHERE file_id = 0 UNION ALL SELECT project_id, seq, wall_id, 'roof_plan' FROM {walls} WHERE file_id = 1"""
+)
+def union_views(t):
+    walls = t("walls")
+    return fuse.union_views(walls.filter("file_id = 0"), walls.filter("file_id = 1").withColumn("primary_view", F.lit("roof_plan"))).select("project_id", "seq", "wall_id", "primary_view")
+
+
+@query("SELECT DISTINCT project_id, level FROM {walls} UNION SELECT DISTINCT project_id, level FROM {slabs}")
+def distinct_levels(t):
+    return t("walls").select("project_id", "level").union(t("slabs").select("project_id", "level")).distinct()
+
+
