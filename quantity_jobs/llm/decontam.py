@@ -28,7 +28,7 @@ TERM_BITS = 20
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words): the word lists of items that have any."""
+    """(item, words, key): the word lists of items that have any; key names the item and its words, as ids may repeat."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,7 +37,7 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
     kind = items.schema[id_col].dataType.simpleString()
     own = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
-    return own.mapInArrow(split, f"item {kind}, words array<binary>").filter("size(words) > 0").distinct()
+    return own.mapInArrow(split, f"item {kind}, words array<binary>").filter("size(words) > 0").distinct().withColumn("key", F.xxhash64("item", "words"))
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -112,37 +112,37 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, k: int = ANCHORS) -> DataFrame:
-    """(item, term, place, pair, role, n_roles): each window's k rarest places; windows with the same places share a pair."""
-    placed = items.select("item", F.posexplode("words").alias("place", "term"), F.size("words").alias("size"))
+    """(key, term, place, pair, role, n_roles): each window's k rarest places; windows with the same places share a pair."""
+    placed = items.select("key", F.posexplode("words").alias("place", "term"), F.size("words").alias("size"))
     rarity = placed.join(counts.join(placed.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")), "term", "left")
     starts = F.sequence(F.greatest(F.lit(0), F.col("place") - (window - 1)), F.least(F.col("place"), F.greatest(F.lit(0), F.col("size") - window)))
     best = (
-        rarity.select("item", "term", "place", F.coalesce("n", F.lit(0)).alias("n"), F.explode(starts).alias("start"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("item", "start").orderBy("n", "place")))
+        rarity.select("key", "term", "place", F.coalesce("n", F.lit(0)).alias("n"), F.explode(starts).alias("start"))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("key", "start").orderBy("n", "place")))
         .filter(F.col("rank") <= k)
-        .groupBy("item", "start")
+        .groupBy("key", "start")
         .agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("places"))
-        .select("item", "places", F.xxhash64("item", "places.place").alias("pair"))
+        .select("key", "places", F.xxhash64("key", "places.place").alias("pair"))
         .distinct()
     )
-    return best.select("item", "pair", F.size("places").alias("n_roles"), F.posexplode("places").alias("role", "x")).select(
-        "item", "pair", "n_roles", "role", F.col("x.place").alias("place"), F.col("x.term").alias("term")
+    return best.select("key", "pair", F.size("places").alias("n_roles"), F.posexplode("places").alias("role", "x")).select(
+        "key", "pair", "n_roles", "role", F.col("x.place").alias("place"), F.col("x.term").alias("term")
     )
 
 
 def aligned(index: DataFrame, marks: DataFrame, slop: int = 0) -> DataFrame:
-    """(doc, item, shift): where all of a pair's shifted position lists meet, or come within slop words.
+    """(doc, key, shift): where all of a pair's shifted position lists meet, or come within slop words.
     shift is the document position of the item's first word (may be negative)."""
-    hits = index.join(marks, "term").select("doc", "item", "pair", "n_roles", "role", F.explode("positions").alias("p"), "place")
-    hits = hits.select("doc", "item", "pair", "n_roles", "role", (F.col("p") - F.col("place")).alias("shift"))
+    hits = index.join(marks, "term").select("doc", "key", "pair", "n_roles", "role", F.explode("positions").alias("p"), "place")
+    hits = hits.select("doc", "key", "pair", "n_roles", "role", (F.col("p") - F.col("place")).alias("shift"))
     if not slop:
-        met = hits.groupBy("doc", "item", "pair", "n_roles", "shift").agg(F.count_distinct("role").alias("n"))
-        return met.filter("n = n_roles").select("doc", "item", "shift").distinct()
+        met = hits.groupBy("doc", "key", "pair", "n_roles", "shift").agg(F.count_distinct("role").alias("n"))
+        return met.filter("n = n_roles").select("doc", "key", "shift").distinct()
     near = hits.withColumn("cell", F.explode(F.array([F.floor(F.col("shift") / slop) + d for d in (0, 1)])))
-    span = near.groupBy("doc", "item", "pair", "n_roles", "cell").agg(
+    span = near.groupBy("doc", "key", "pair", "n_roles", "cell").agg(
         F.count_distinct("role").alias("n"), F.min(F.when(F.col("role") == 0, F.col("shift"))).alias("shift")
     )
-    return span.filter("n = n_roles").select("doc", "item", "shift").distinct()
+    return span.filter("n = n_roles").select("doc", "key", "shift").distinct()
 
 
 def phrase_runs(text_words: list[bytes], item: list[bytes], shift: int, window: int) -> list[tuple[int, int]]:
@@ -171,7 +171,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     if slop:
         found = found.unionByName(aligned(index, marks, slop).withColumn("exact", F.lit(False)))
     cands = cut(
-        found.join(listed, "item")
+        found.join(listed, "key")
         .groupBy("doc")
         .agg(F.collect_list(F.struct("item", "shift", "exact", "words")).alias("cands"))
     )
