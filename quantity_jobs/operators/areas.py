@@ -37,7 +37,7 @@ def apply_page_edits(pages: DataFrame, edits: DataFrame) -> tuple[DataFrame, Dat
     """Pages with edited areas (null: not edited; below 0: 0), and the totals anew."""
     renamed = edits.select(P, "page", *(F.col(c).alias(f"e_{c}") for c in COLUMNS if c in edits.columns))
     joined = pages.join(renamed, [P, "page"], "left")
-    new = joined.withColumns({c: F.coalesce(F.greatest(F.lit(0.0), F.col(f"e_{c}")), c) for c in COLUMNS if c in edits.columns}).select(*pages.columns)
+    new = joined.withColumns({c: F.when(F.col(f"e_{c}").isNotNull(), F.greatest(F.lit(0.0), F.col(f"e_{c}"))).otherwise(F.col(c)) for c in COLUMNS if c in edits.columns}).select(*pages.columns)
     return new, new.groupBy(P).agg(*(half_up(F.sum(c)).alias(c) for c in COLUMNS))
 
 

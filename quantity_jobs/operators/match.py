@@ -256,8 +256,8 @@ def detect_scale(ratios: DataFrame, default: float = 14.17) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("ratio")
     # the frame's bound depends on the row, so it runs over the logarithm
     logs = ratios.withColumn("lg", F.log("ratio"))
-    frame = Window.partitionBy(*keys).orderBy("lg").rangeBetween(0, 0.13976194237515868)
-    dense = logs.withColumns({"size": F.count(F.lit(1)).over(frame), "members": F.sort_array(F.collect_list("ratio").over(frame)), "place": F.row_number().over(w)})
+    frame = "OVER (PARTITION BY project_id, page_index ORDER BY lg RANGE BETWEEN CURRENT ROW AND 0.13976194237515868D FOLLOWING)"
+    dense = logs.withColumns({"size": F.expr(f"count(1) {frame}"), "members": F.sort_array(F.expr(f"collect_list(ratio) {frame}")), "place": F.row_number().over(w)})
     upper = lambda a: F.get(a, F.floor(F.size(a) / 2).cast("int"))
     best = dense.groupBy(*keys).agg(
         F.max_by(F.struct("size", upper(F.col("members")).alias("center")), F.struct("size", -F.col("place"))).alias("b"), F.sort_array(F.collect_list("ratio")).alias("l"), F.count(F.lit(1)).alias("n")

@@ -230,7 +230,7 @@ def scope_zero(t):
     "WITH "
     + OFFSETS
     + """, e AS (SELECT project_id, page, CASE WHEN page % 3 = 0 THEN NULL ELSE (page * 10 - 15) / 1e0 END AS ext_gross FROM pg WHERE page % 4 < 2),
-n AS (SELECT pg.project_id, coalesce(greatest(0e0, e.ext_gross), pg.ext_gross) AS x, roof_m2 FROM pg LEFT JOIN e ON pg.project_id = e.project_id AND pg.page = e.page)
+n AS (SELECT pg.project_id, CASE WHEN e.ext_gross IS NOT NULL THEN greatest(0e0, e.ext_gross) ELSE pg.ext_gross END AS x, roof_m2 FROM pg LEFT JOIN e ON pg.project_id = e.project_id AND pg.page = e.page)
 SELECT project_id, floor(sum(x) * 1e2 + 5e-1) / 1e2 AS ext_gross, floor(sum(roof_m2) * 1e2 + 5e-1) / 1e2 AS roof_m2 FROM n GROUP BY 1"""
 )
 def apply_page_edits(t):

@@ -1 +1,155 @@
-"""Queries (match)."""
+"""Spatial matching queries. What depends on order has no SQL; the tests hold it against brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean, match
+from ..sources import io
+from .catalogue import query
+
+
+def _segments(t):
+    return clean.clean_segments(t("segments"))
+
+
+def _texts(t):
+    return clean.clean_dimensions(t("dimensions")).withColumn("page_index", (F.col("seq") % 3).cast("int"))
+
+
+@query()
+def match_endpoints(t):
+    return match.match_endpoints(t.walls(), _segments(t))
+
+
+@query()
+def match_dimensions(t):
+    return match.match_dimensions(t.walls(), clean.clean_dimensions(t("dimensions")))
+
+
+@query()
+def apply_dimensions(t):
+    walls = t.walls()
+    out = match.apply_dimensions(walls, match.match_dimensions(walls, clean.clean_dimensions(t("dimensions"))))
+    return out.select("project_id", "seq", "length_m", "source", "confidence")
+
+
+@query()
+def reconcile_detectors(t):
+    walls = t.walls()
+    return match.reconcile_detectors(walls.filter("seq % 2 = 0"), walls.filter("seq % 2 = 1"))
+
+
+POLYGONS = """pl AS (SELECT project_id, level, 'floor' AS slab_class, page_index, floor(((x1 - x0) * (52e1 - y0) + (5e2 - x0) * (y1 - 52e1)) * 1e6 + 5e-1) / 1e6 AS a FROM {envelopes} UNION ALL
+  SELECT project_id, level, 'floor', page_index + 1, 7e5 FROM {envelopes} WHERE has_lot)"""
+
+
+def _polygons(t):
+    env = t.envelopes()
+    own = env.select("project_id", "level", F.lit("floor").alias("slab_class"), "page_index", "polygon")
+    return own.unionByName(env.filter("lot_polygon IS NOT NULL").select("project_id", "level", F.lit("floor").alias("slab_class"), (F.col("page_index") + 1).alias("page_index"), F.col("lot_polygon").alias("polygon")))
+
+
+@query(
+    "WITH "
+    + POLYGONS
+    + """, rk AS (SELECT *, row_number() OVER (PARTITION BY project_id, lower(level), slab_class ORDER BY a DESC, page_index) AS n FROM pl), s AS (SELECT *, row_number() OVER (PARTITION BY project_id, lower(level), slab_class ORDER BY seq) AS n FROM {slabs})
+SELECT s.project_id, s.seq, CASE WHEN rk.n IS NOT NULL AND s.source <> 'table' THEN 'polygon_focused' ELSE s.source END AS source, CASE WHEN rk.n IS NOT NULL THEN greatest(s.confidence, 85e-2) ELSE s.confidence END AS confidence
+FROM s LEFT JOIN rk ON rk.project_id = s.project_id AND lower(rk.level) = lower(s.level) AND rk.slab_class = s.slab_class AND rk.n = s.n"""
+)
+def refine_slabs(t):
+    return match.refine_slabs(t("slabs"), _polygons(t)).select("project_id", "seq", "source", "confidence")
+
+
+def _pairs(t):
+    return match.parallel_pairs(_segments(t))
+
+
+@query()
+def parallel_pairs(t):
+    return _pairs(t)
+
+
+@query()
+def dedup_wall_lines(t):
+    return match.dedup_wall_lines(_segments(t).select("project_id", "page_index", "seq", "x1", "y1", "x2", "y2", (F.col("seq") % 50 / 5.0).alias("length_m")))
+
+
+@query()
+def raycast_class(t):
+    own = _segments(t).filter("thickness_pct < 3").select("project_id", "page_index", "seq", "x1", "y1", "x2", "y2", F.lit(4.0).alias("thickness"), F.lit(0.1).alias("eps"))
+    return match.raycast_class(own)
+
+
+@query(
+    """WITH s AS (SELECT project_id, page_index, seq, x1, y1, x2, y2, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM {segments} WHERE x1 BETWEEN 0 AND 1000 AND x2 BETWEEN 0 AND 1000 AND y1 BETWEEN 0 AND 1000 AND y2 BETWEEN 0 AND 1000
+  AND sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) >= 5), m AS (SELECT project_id, page_index, greatest(3e1, max(len) * 4e-2) AS reach FROM s GROUP BY 1, 2),
+t AS (SELECT project_id, CAST(seq % 3 AS INT) AS page_index, seq, x, y, value_m FROM {dimensions} WHERE value_m > 0 AND value_m <= 50 AND x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000),
+p AS (SELECT t.project_id, t.page_index, t.seq, t.value_m, s.seq AS seg_seq, s.len, m.reach, least(1e0, greatest(0e0, ((t.x - x1) * (x2 - x1) + (t.y - y1) * (y2 - y1)) / (len * len))) AS u, t.x, t.y, x1, y1, x2, y2 FROM t JOIN m ON m.project_id = t.project_id AND m.page_index = t.page_index JOIN s ON s.project_id = t.project_id AND s.page_index = t.page_index),
+d AS (SELECT *, floor(sqrt(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2)) * 1e9 + 5e-1) / 1e9 AS d FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY project_id, page_index, seq ORDER BY d, seg_seq) AS rn FROM d WHERE d < reach)
+SELECT project_id, page_index, seq, seg_seq, floor(len / value_m * 1e6 + 5e-1) / 1e6 AS ratio FROM b WHERE rn = 1 AND len > 5"""
+)
+def text_to_segment(t):
+    return match.text_to_segment(_texts(t), _segments(t))
+
+
+@query(
+    """WITH r AS (SELECT project_id, CAST(seq % 3 AS INT) AS page_index, floor(value_m * 10 + seq % 7 + 1) / 1e0 AS ratio FROM {dimensions} WHERE seq % 5 < 2), s AS (SELECT project_id, page_index, list_sort(list(ratio)) AS l, count(*) AS n FROM r GROUP BY 1, 2),
+w AS (SELECT a.project_id, a.page_index, a.ratio, count(*) AS size, list_sort(list(b.ratio)) AS m FROM (SELECT DISTINCT * FROM r) a JOIN r b ON b.project_id = a.project_id AND b.page_index = a.page_index AND ln(b.ratio) - ln(a.ratio) BETWEEN 0 AND 0.13976194237515868 GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY project_id, page_index ORDER BY size DESC, ratio) AS rn FROM w), j AS (SELECT s.*, k.size, k.m[len(k.m) // 2 + 1] AS center, l[len(l) // 2 + 1] AS mid FROM s JOIN k ON k.rn = 1 AND k.project_id = s.project_id AND k.page_index = s.page_index),
+e AS (SELECT *, list_filter(l, lambda r: r >= mid * 75e-2 AND r <= mid * 125e-2) AS band FROM j)
+SELECT project_id, page_index, CASE WHEN n >= 3 AND size >= 3 AND size / n >= 4e-1 THEN center WHEN n >= 3 AND len(band) / n >= 55e-2 THEN band[len(band) // 2 + 1] ELSE 1417e-2 END AS scale,
+  CASE WHEN n >= 3 AND size >= 3 AND size / n >= 4e-1 THEN 'cluster' WHEN n >= 3 AND len(band) / n >= 55e-2 THEN 'band' ELSE 'default' END AS source, n FROM e"""
+)
+def detect_scale(t):
+    own = t("dimensions").filter("seq % 5 < 2").select("project_id", (F.col("seq") % 3).cast("int").alias("page_index"), F.floor(F.col("value_m") * 10 + F.col("seq") % 7 + 1).cast("double").alias("ratio"))
+    return match.detect_scale(own)
+
+
+@query(
+    """WITH r AS (SELECT project_id, page_index, x0, y0, level FROM {envelopes}), t AS (SELECT project_id, CAST(seq % 3 AS INT) AS page_index, seq, x, y, text FROM {dimensions} WHERE text LIKE 'SALA%'),
+d AS (SELECT r.project_id, r.page_index, r.level, t.text, row_number() OVER (PARTITION BY r.project_id, r.page_index, r.level ORDER BY floor(((t.x - x0) * (t.x - x0) + (t.y - y0) * (t.y - y0)) * 1e6 + 5e-1), t.seq) AS rn FROM r JOIN t ON t.project_id = r.project_id AND t.page_index = r.page_index)
+SELECT r.project_id, r.page_index, r.level AS room_seq, d.text AS label FROM r LEFT JOIN d ON d.rn = 1 AND d.project_id = r.project_id AND d.page_index = r.page_index AND d.level = r.level"""
+)
+def room_labels(t):
+    rooms = t("envelopes").select("project_id", "page_index", F.col("level").alias("room_seq"), F.col("x0").alias("cx"), F.col("y0").alias("cy"))
+    texts = t("dimensions").filter("text LIKE 'SALA%'").withColumn("page_index", (F.col("seq") % 3).cast("int"))
+    return match.room_labels(rooms, texts)
+
+
+@query()
+def merge_collinear(t):
+    return match.merge_collinear(_segments(t))
+
+
+@query()
+def merge_touching(t):
+    return match.merge_touching(_segments(t).filter("seq % 4 = 0"))
+
+
+def _bim(t):
+    """Relation tables out of walls: a storey per level, properties of some walls, an opening per door."""
+    w, s = t("walls"), F.col("seq")
+    elements = w.select("project_id", F.concat(F.lit("e"), s.cast("string")).alias("element_id"), F.when(s % 5 == 4, "slab").otherwise("wall").alias("kind"), F.col("thickness_m").alias("ext_x"), (-F.col("length_m")).alias("ext_y"), F.col("height_m").alias("ext_z"))
+    doors = w.filter("door_code IS NOT NULL").select("project_id", F.concat(F.lit("d"), s.cast("string")).alias("element_id"), F.lit("door").alias("kind"), F.lit(0.1).alias("ext_x"), F.col("door_w").alias("ext_y"), F.col("door_h").alias("ext_z"))
+    rel = lambda df, kind, a, b: df.select("project_id", F.lit(kind).alias("rel"), a.alias("parent_id"), b.alias("child_id"))
+    ident = lambda letter: F.concat(F.lit(letter), s.cast("string"))
+    some = w.filter("door_code IS NOT NULL")
+    rels = rel(w, "storey", F.concat(F.lit("L"), "level"), ident("e")).unionByName(rel(some, "voids", ident("e"), ident("o"))).unionByName(rel(some, "fills", ident("o"), ident("d")))
+    prop = lambda df, key, n, name, value: df.select("project_id", key.alias("element_id"), F.lit(n).alias("ordinal"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    levels = w.select("project_id", "level").distinct()
+    props = (
+        prop(levels, F.concat(F.lit("L"), "level"), 0, "storey_name", F.col("level"))
+        .unionByName(prop(w.filter("seq % 3 = 0"), ident("e"), 0, "length", F.col("length_m") * 2))
+        .unionByName(prop(w.filter("seq % 3 = 0"), ident("e"), 1, "length", F.lit(99)))
+        .unionByName(prop(w.filter("wall_class = 'external'"), ident("e"), 0, "is_external", F.lit("TRUE")))
+    )
+    return elements.unionByName(doors), rels, props
+
+
+@query(
+    """SELECT project_id, 'e' || CAST(seq AS VARCHAR) AS wall_id, level, CASE WHEN wall_class = 'external' THEN 'external' ELSE 'internal' END AS wall_class, CASE WHEN seq % 3 = 0 AND length_m > 0 THEN length_m * 2 ELSE greatest(length_m, thickness_m) END AS length_m,
+  floor(CASE WHEN door_code IS NOT NULL THEN greatest(door_w, 1e-1) * door_h ELSE 0e0 END * 1e4 + 5e-1) / 1e4 AS opening_area_m2, door_code IS NOT NULL AS has_door FROM {walls} WHERE seq % 5 <> 4"""
+)
+def bim_walls(t):
+    return io.bim_walls(*_bim(t))[0].select("project_id", "wall_id", "level", "wall_class", "length_m", "opening_area_m2", "has_door")

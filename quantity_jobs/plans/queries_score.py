@@ -1 +1,311 @@
-"""Queries (score)."""
+"""Audit, scoring, telemetry and listing queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.exprs import round_half_up as half_up
+from ..operators import audit, clean, score, telemetry
+from ..sources import io
+from ..streaming import streams
+from . import pipelines
+from .catalogue import LEVELS, query
+from .queries_budget import _catalogue, _levels, _proposal
+from .queries_clean import SIGNATURE, _characterizations
+
+EVENTS = "pipeline_events"
+
+
+def _audited(t):
+    walls = clean.wall_defaults(clean.fix_units(t.walls())).withColumn("primary_view", F.when(F.col("seq") % 97 == 0, "section").otherwise("plan"))
+    return audit.self_check(walls, t("slabs"), t.envelopes(), clean.clean_ranges(_characterizations(t)), t("projects"))
+
+
+@query()
+def self_check(t):
+    return _audited(t)
+
+
+@query()
+def self_check_summary(t):
+    return audit.self_check_summary(_audited(t))
+
+
+@query()
+def order_feeds(t):
+    return audit.order_notes(_audited(t).filter("severity <> 'warning'")).select("project_id", F.size("feed").alias("n"), F.get("feed", 0).alias("first_note"))
+
+
+INCONSISTENT = (
+    LEVELS
+    + """, wn AS (SELECT project_id, 'critical' AS severity, 'HEIGHT_INVALID' AS code, wall_id AS element_id FROM v WHERE height_m <= 0 UNION ALL SELECT project_id, 'low', 'LENGTH_UNUSUAL', wall_id FROM v WHERE length_m < 5e-1 OR length_m > 50
+  UNION ALL SELECT project_id, 'low', 'HEIGHT_UNUSUAL', wall_id FROM v WHERE height_m < 15e-1 OR height_m > 6 UNION ALL SELECT project_id, 'critical', 'AREA_INVALID', slab_id FROM vs WHERE area_m2 <= 0),
+lv AS (SELECT project_id, level, floor(sum(CASE WHEN category = 'external' THEN gross_m2 ELSE 0e0 END) * 1e6 + 5e-1) / 1e6 AS e, floor(sum(CASE WHEN category IN ('floor', 'roof') THEN gross_m2 ELSE 0e0 END) * 1e6 + 5e-1) / 1e6 AS s FROM bl GROUP BY 1, 2),
+al AS (SELECT * FROM wn UNION ALL SELECT project_id, 'medium', 'SLAB_WALL_RATIO', level FROM lv WHERE e > 0 AND s > 0 AND (s / e > 5 OR s / e < 5e-2))"""
+)
+
+
+def _inconsistent(t):
+    walls, slabs = pipelines.measured_elements(t.walls(), t("slabs"))
+    return audit.inconsistencies(t("projects"), walls, slabs, _levels(t))
+
+
+@query("WITH " + INCONSISTENT + " SELECT project_id, severity, CASE severity WHEN 'critical' THEN 'critical' WHEN 'medium' THEN 'warning' ELSE 'info' END AS alert, code, element_id FROM al")
+def inconsistencies(t):
+    return _inconsistent(t)
+
+
+@query(
+    """SELECT project_id, CASE WHEN rn = 0 THEN 'primary' ELSE 'enrichment' END AS role, view, count(*) AS n FROM (SELECT project_id, 0 AS rn, CASE WHEN seq % 97 = 0 THEN 'section' ELSE 'plan' END AS view FROM {walls} UNION ALL SELECT project_id, 1, 'section' FROM {walls} WHERE seq % 3 = 0
+UNION ALL SELECT project_id, 1, 'facade' FROM {walls} WHERE seq % 4 = 0) GROUP BY 1, 2, 3"""
+)
+def provenance_summary(t):
+    s = F.col("seq")
+    extra = F.filter(F.array(F.when(s % 3 == 0, "section"), F.when(s % 4 == 0, "facade")), lambda x: x.isNotNull())
+    return audit.provenance_summary(t("walls").withColumns({"primary_view": F.when(s % 97 == 0, "section").otherwise("plan"), "enrichments": extra}))
+
+
+@query("SELECT DISTINCT w.project_id, lower(w.level) AS level FROM {walls} w JOIN {envelopes} e ON e.project_id = w.project_id AND lower(e.level) = lower(w.level) WHERE w.wall_class = 'external'")
+def levels_with_envelope(t):
+    return audit.levels_with_envelope(t("walls"), t.envelopes())
+
+
+TOTALS = LEVELS + """, tt AS (SELECT project_id, category, floor(sum(gross_m2) * 1e2 + 5e-1) / 1e2 AS found_m2 FROM bl GROUP BY 1, 2)"""
+ACCURACY = (
+    TOTALS
+    + """, rl AS (SELECT project_id, 'external' AS category, real_ext AS real_m2 FROM {projects} UNION ALL SELECT project_id, 'internal', real_int FROM {projects} UNION ALL SELECT project_id, 'boundary', real_boundary FROM {projects}
+  UNION ALL SELECT project_id, 'floor', real_floor FROM {projects} UNION ALL SELECT project_id, 'roof', real_roof FROM {projects}),
+ac AS (SELECT rl.project_id, rl.category, rl.real_m2, coalesce(tt.found_m2, 0e0) AS found_m2, CASE WHEN rl.real_m2 > 0 THEN floor((coalesce(tt.found_m2, 0e0) - rl.real_m2) / rl.real_m2 * 1e6 + 5e-1) / 1e6 END AS deviation,
+  CASE WHEN rl.real_m2 > 0 THEN floor(greatest(0e0, 1e0 - abs((coalesce(tt.found_m2, 0e0) - rl.real_m2) / rl.real_m2)) * 1e6 + 5e-1) / 1e6 END AS accuracy FROM rl LEFT JOIN tt ON tt.project_id = rl.project_id AND tt.category = rl.category)"""
+)
+
+
+def _accuracy(t):
+    totals = _levels(t).groupBy("project_id", "category").agg(half_up(F.sum("gross_m2")).alias("found_m2"))
+    return score.area_accuracy(t("projects"), totals)
+
+
+@query("WITH " + ACCURACY + " SELECT project_id, category, real_m2, found_m2, deviation, accuracy FROM ac")
+def area_accuracy(t):
+    return _accuracy(t)
+
+
+@query(
+    "WITH "
+    + ACCURACY
+    + """ SELECT CASE WHEN grouping(project_id) = 0 THEN 'project' WHEN grouping(category) = 0 THEN 'category' ELSE 'global' END AS scope, project_id, category, floor(sum(accuracy * real_m2) / sum(real_m2) * 1e4 + 5e-1) / 1e4 AS accuracy,
+  floor((sum(found_m2) - sum(real_m2)) / sum(real_m2) * 1e4 + 5e-1) / 1e4 AS deviation, count(DISTINCT project_id) AS projects FROM ac WHERE accuracy IS NOT NULL GROUP BY GROUPING SETS ((project_id), (category), ())"""
+)
+def calibration(t):
+    return score.calibration(_accuracy(t))
+
+
+@query(
+    "WITH "
+    + TOTALS
+    + """, tr AS (SELECT CAST(project_id AS VARCHAR) AS fixture, category, CASE WHEN project_id % 5 = 0 THEN NULL WHEN category = 'boundary' THEN 0e0 ELSE floor(found_m2 * (80 + project_id % 40) / 1e2) END AS truth_m2, found_m2 FROM tt WHERE category IN ('external', 'internal', 'boundary', 'floor', 'roof')),
+sc AS (SELECT *, CASE WHEN truth_m2 <= 0 THEN CASE WHEN found_m2 <= 0 THEN 100e0 ELSE 0e0 END ELSE greatest(0e0, 100e0 - abs(found_m2 - truth_m2) / truth_m2 * 100e0) END AS s FROM tr),
+g AS (SELECT fixture, sum(s * truth_m2) FILTER (truth_m2 > 0) / sum(truth_m2) FILTER (truth_m2 > 0) AS m, min(s) FILTER (truth_m2 > 0) AS w FROM sc GROUP BY 1)
+SELECT fixture, CASE WHEN m IS NULL THEN 'SKIP' WHEN m >= 85 AND w >= 70 THEN 'PASS' ELSE 'FAIL' END AS status, floor(m * 1e4 + 5e-1) / 1e4 AS overall, floor(w * 1e4 + 5e-1) / 1e4 AS worst FROM g"""
+)
+def accuracy_gate(t):
+    found = _levels(t).filter(F.col("category").isin("external", "internal", "boundary", "floor", "roof")).groupBy("project_id", "category").agg(half_up(F.sum("gross_m2")).alias("actual_m2"))
+    p = F.col("project_id")
+    truth = found.select(p.cast("string").alias("fixture"), "category", F.when(p % 5 == 0, F.lit(None)).when(F.col("category") == "boundary", 0.0).otherwise(F.floor(F.col("actual_m2") * (80 + p % 40) / 100.0).cast("double")).alias("truth_m2"))
+    return score.accuracy_gate(found.select(p.cast("string").alias("fixture"), "category", "actual_m2"), truth)
+
+
+@query(
+    """WITH e AS (SELECT project_id, wall_id, wall_class, CASE WHEN seq % 10 = 0 THEN 'external' ELSE wall_class END AS nc, seq % 13 <> 0 AS en FROM {walls} WHERE seq % 17 <> 0)
+SELECT w.project_id, count(*) AS walls, count(*) FILTER (e.nc = w.wall_class AND e.en) AS kept, floor(count(*) FILTER (e.nc = w.wall_class AND e.en) / count(*) * 100 * 1e2 + 5e-1) / 1e2 AS share FROM {walls} w LEFT JOIN e ON e.project_id = w.project_id AND e.wall_id = w.wall_id GROUP BY ROLLUP (w.project_id)"""
+)
+def class_retention(t):
+    w, s = t("walls"), F.col("seq")
+    edited = w.filter("seq % 17 <> 0").select("project_id", "wall_id", F.when(s % 10 == 0, "external").otherwise(F.col("wall_class")).alias("wall_class"), (s % 13 != 0).alias("enabled"))
+    return score.class_retention(w, edited)
+
+
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (active) AS active, count(*) FILTER (action = 'confirm') AS confirm, count(*) FILTER (action = 'correct') AS correct, count(*) FILTER (action = 'not_wall') AS not_wall, count(*) FILTER (is_exemplar) AS exemplar FROM {feedback}"""
+)
+def feedback_counts(t):
+    return score.feedback_counts(t("feedback"))
+
+
+@query("SELECT " + SIGNATURE + " AS signature, coalesce(corrected_class, 'none') AS corrected_class, count(*) AS n FROM {feedback} WHERE active AND action = 'correct' GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20")
+def feedback_patterns(t):
+    return score.feedback_patterns(t("feedback"))
+
+
+def _budgets(t):
+    return t("corners").select("project_id", F.col("seq").alias("budget_id"), (F.col("corner_count") * 1000.0).alias("total_cost"))
+
+
+@query(
+    """WITH n AS (SELECT project_id, created_at FROM {projects} WHERE lower(name) LIKE '%casa%' ORDER BY created_at DESC, project_id DESC LIMIT 5) SELECT n.project_id, c.seq AS budget_id, c.corner_count * 1e3 AS total_cost FROM n JOIN {corners} c ON c.project_id = n.project_id ORDER BY n.created_at DESC, n.project_id DESC, c.seq DESC LIMIT 1"""
+)
+def latest_budget(t):
+    return score.latest_budget(t("projects"), _budgets(t), "Casa").select("project_id", "budget_id", "total_cost")
+
+
+@query(
+    """SELECT project_id, seq FROM (SELECT project_id, seq, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN greatest(roof_m2, boundary_gross) > 0 THEN 0 ELSE 1 END, seq) AS rn FROM (SELECT *, file_seq * 100000 + page_index AS seq FROM {area_pages})) WHERE rn = 1"""
+)
+def best_summary_row(t):
+    rows = t("area_pages").withColumn("seq", F.col("file_seq") * 100000 + F.col("page_index"))
+    return score.best_summary_row(rows, ["roof_m2", "boundary_gross"]).select("project_id", "seq")
+
+
+@query(
+    """SELECT 'completed' AS kpi, count(*) FILTER (status = 'completed') AS n, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM {projects} UNION ALL SELECT 'test', count(*) FILTER (project_type = 'test'), NULL, NULL FROM {projects}
+UNION ALL SELECT 'panel_' || panel_type, count(*), min(unit_price), max(unit_price) FROM {products} WHERE category = 'painel' AND panel_type IS NOT NULL GROUP BY panel_type"""
+)
+def project_kpis(t):
+    return score.project_kpis(t("projects"), t("products"))
+
+
+@query("SELECT p.project_id, p.name, p.status, max(c.corner_count * 1e3) AS total_cost FROM {projects} p LEFT JOIN {corners} c ON c.project_id = p.project_id GROUP BY 1, 2, 3")
+def project_listing(t):
+    return score.project_listing(t("projects"), _budgets(t), is_admin=False).select("project_id", "name", "status", "total_cost")
+
+
+@query("SELECT p.project_id, p.name, c.seq AS budget_id FROM {projects} p JOIN {corners} c ON c.project_id = p.project_id")
+def budgets_with_projects(t):
+    return _budgets(t).join(t("projects"), "project_id").select("project_id", "name", "budget_id")
+
+
+@query(
+    """SELECT a.project_id, min(b.project_id) AS duplicate_of FROM {projects} a JOIN {projects} b ON a.fingerprint = b.fingerprint AND a.project_id <> b.project_id AND b.status = 'completed' AND a.fingerprint <> ''
+AND (a.client_email IS NULL OR b.client_email IS NULL OR a.client_email = b.client_email) GROUP BY 1"""
+)
+def find_duplicates(t):
+    return score.find_duplicates(t("projects"))
+
+
+@query(
+    """WITH f AS (SELECT project_id, 'f' || CAST(seq AS VARCHAR) AS name, sha256('c' || CAST(corner_count AS VARCHAR)) AS d FROM {corners}) SELECT project_id, sha256(string_agg(d, '' ORDER BY name, d)) AS fingerprint FROM f GROUP BY 1"""
+)
+def fingerprint(t):
+    return score.fingerprint(t("corners").select("project_id", F.concat(F.lit("f"), F.col("seq").cast("string")).alias("name"), F.concat(F.lit("c"), F.col("corner_count").cast("string")).cast("binary").alias("content")))
+
+
+@query(
+    """WITH p AS (SELECT *, CASE seq % 6 WHEN 0 THEN 'length' WHEN 1 THEN 'height' WHEN 2 THEN 'class' WHEN 3 THEN 'remove' END AS fd, (seq % 200) / 1e0 AS num FROM {walls} WHERE seq % 3 <> 2 AND (seq % 11) / 1e1 >= 7e-1)
+SELECT w.project_id, w.wall_id, CASE WHEN p.fd = 'length' AND p.num BETWEEN 1e-1 AND 100 THEN p.num ELSE w.length_m END AS length_m, CASE WHEN p.fd = 'height' AND p.num BETWEEN 1 AND 10 THEN p.num ELSE w.height_m END AS height_m,
+  CASE WHEN p.fd = 'class' THEN 'boundary' ELSE w.wall_class END AS wall_class FROM {walls} w LEFT JOIN p ON p.project_id = w.project_id AND p.seq = w.seq WHERE coalesce(p.fd, '') <> 'remove'"""
+)
+def apply_corrections(t):
+    s = F.col("seq")
+    field = F.when(s % 6 == 0, "length").when(s % 6 == 1, "height").when(s % 6 == 2, "class").when(s % 6 == 3, "remove")
+    patches = t("walls").filter("seq % 3 <> 2").select("project_id", F.col("wall_id").alias("element_id"), field.alias("field"), ((s % 200) * 1.0).alias("number"), F.lit("boundary").alias("text"), ((s % 11) / 10.0).alias("confidence"), "seq")
+    return score.apply_corrections(t("walls"), t("slabs"), patches)[0].select("project_id", "wall_id", "length_m", "height_m", "wall_class")
+
+
+@query("SELECT project_id, seq FROM {corners} WHERE project_id % 2 = 0 AND seq % 2 = 0 UNION ALL SELECT project_id, seq FROM {corners} WHERE project_id NOT IN (SELECT project_id FROM {corners} WHERE project_id % 2 = 0 AND seq % 2 = 0)")
+def snapshot_once(t):
+    rows = t("corners").select("project_id", "seq")
+    return score.snapshot_once(rows, rows.filter("project_id % 2 = 0 AND seq % 2 = 0"))
+
+
+COST = """pc AS (SELECT *, CASE model WHEN 'openai:gpt-4o-mini' THEN 15e-2 WHEN 'gemini-2.5-pro' THEN 125e-2 WHEN 'gpt-4o-2024-08-06' THEN 25e-1 WHEN 'gemini-2.5-flash-lite' THEN 75e-3 END AS pi, CASE model WHEN 'openai:gpt-4o-mini' THEN 6e-1 WHEN 'gemini-2.5-pro' THEN 5e0 WHEN 'gpt-4o-2024-08-06' THEN 10e0 WHEN 'gemini-2.5-flash-lite' THEN 3e-1 END AS po FROM {ai_runs}),
+ct AS (SELECT *, floor((in_tokens * pi / 1e6 + out_tokens * po / 1e6 + coalesce(think_tokens, 0) * po / 1e6) * 1e9 + 5e-1) / 1e9 AS cost_usd FROM pc)"""
+
+
+@query("WITH " + COST + " SELECT id, cost_usd FROM ct")
+def ai_cost(t):
+    return telemetry.ai_cost(t("ai_runs")).select("id", "cost_usd")
+
+
+@query(
+    "WITH "
+    + COST
+    + """ SELECT CASE WHEN grouping(project_id) = 0 THEN 'project' WHEN grouping(model) = 0 THEN 'model' ELSE 'prompt' END AS scope, coalesce(CAST(project_id AS VARCHAR), model, prompt_version) AS key, count(*) AS calls, floor(sum(cost_usd) * 1e6 + 5e-1) / 1e6 AS cost_usd,
+  CAST(sum(in_tokens + out_tokens + coalesce(think_tokens, 0)) AS BIGINT) AS tokens, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, count(*) FILTER (status = 'failed') AS failures FROM ct GROUP BY GROUPING SETS ((project_id), (model), (prompt_version))"""
+)
+def ai_cost_rollup(t):
+    return telemetry.ai_cost_rollup(t("ai_runs"))
+
+
+@query(
+    """WITH s AS (SELECT project_id, count(*) FILTER (status = 'retried') / count(*) AS a, count(*) FILTER (status = 'rate_limited') / count(*) AS b, count(*) FILTER (status = 'failed') / count(*) AS c, count(*) FILTER (status = 'json_retry') / count(*) AS d FROM {ai_runs} GROUP BY 1),
+k AS (SELECT project_id, floor(greatest(0e0, 100e0 - least(a * 100e0, 20e0) - least(b * 100e0, 15e0) - least(c * 200e0, 40e0) - least(d * 100e0, 15e0)) * 1e2 + 5e-1) / 1e2 AS score FROM s)
+SELECT project_id, score, CASE WHEN score >= 90 THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END AS level FROM k"""
+)
+def reliability_score(t):
+    return telemetry.reliability_score(t("ai_runs"))
+
+
+@query(
+    """WITH s AS (SELECT project_id, stage, arg_max(phase, created_at) AS status, min(created_at) AS a, max(created_at) FILTER (phase IN ('completed', 'failed')) AS b FROM {pipeline_events} WHERE kind = 'stage' GROUP BY 1, 2)
+SELECT project_id, stage, status, epoch_us(a) AS started_us, epoch_us(b) AS ended_us, row_number() OVER (PARTITION BY project_id ORDER BY a, stage) AS place FROM s"""
+)
+def stage_durations(t):
+    return _us(telemetry.stage_durations(t(EVENTS)).drop("duration_ms"), "started_at", "ended_at")
+
+
+CALLS = """SELECT project_id, call_id, coalesce(arg_min(phase, created_at) FILTER (phase IN ('completed', 'failed')), 'started') AS status, epoch_us(min(created_at) FILTER (phase = 'started')) AS started_us, epoch_us(min(created_at) FILTER (phase IN ('completed', 'failed'))) AS ended_us FROM {pipeline_events} WHERE kind = 'ai_call' GROUP BY 1, 2"""
+
+
+def _us(df, *columns):
+    return df.select(*[c for c in df.columns if c not in columns], *(F.unix_micros(c).alias(c.replace("_at", "_us")) for c in columns))
+
+
+@query(CALLS)
+def fold_calls(t):
+    return _us(telemetry.fold_calls(t(EVENTS)).drop("events"), "started_at", "ended_at")
+
+
+@query(CALLS)
+def stream_ai_calls(t):
+    return _us(streams.calls(t(EVENTS)), "started_at", "ended_at")
+
+
+@query(
+    """SELECT project_id, stage, epoch_us(min(created_at) FILTER (phase = 'started')) AS started_us, epoch_us(max(created_at) FILTER (phase = 'completed')) AS completed_us, arg_max(phase, created_at) AS last_phase FROM {pipeline_events} WHERE kind = 'stage' GROUP BY 1, 2"""
+)
+def stream_stages(t):
+    return _us(streams.stages(t(EVENTS)), "started_at", "completed_at")
+
+
+@query("SELECT project_id, count(*) AS events, CAST(sum(in_tokens) AS BIGINT) AS tokens, epoch_us(min(created_at)) AS first_us, epoch_us(max(created_at)) AS last_us FROM {pipeline_events} GROUP BY 1")
+def stream_totals(t):
+    return _us(streams.running_totals(t(EVENTS)), "first_at", "last_at")
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY project_id ORDER BY created_at, id) < INTERVAL 12 MINUTE THEN 0 ELSE 1 END AS b FROM {pipeline_events}), s AS (SELECT *, sum(b) OVER (PARTITION BY project_id ORDER BY created_at, id) AS n FROM g),
+l AS (SELECT project_id, n, arg_max(phase, created_at) AS p, max(created_at) AS m FROM s GROUP BY 1, 2) SELECT project_id, epoch_us(m) AS last_us FROM l WHERE p = 'started'"""
+)
+def stream_stale(t):
+    return _us(streams.stale_projects(t(EVENTS)), "last_at")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, created_at)) AS start_us, kind, count(*) AS n, CAST(sum(in_tokens) AS BIGINT) AS tokens FROM {pipeline_events} GROUP BY 1, 2")
+def stream_event_rates(t):
+    out = streams.event_rates(t(EVENTS))
+    return out.select(F.unix_micros("start").alias("start_us"), "kind", "n", "tokens")
+
+
+@query("SELECT id, project_id FROM {pipeline_events} WHERE kind NOT IN ('page_split', 'cv_substep') AND NOT (kind = 'ai_call' AND phase = 'started')")
+def stream_events_sink(t):
+    return clean.persistable(t(EVENTS)).select("id", "project_id")
+
+
+@query(
+    "WITH "
+    + LEVELS
+    + """, q AS (SELECT project_id, count(*) AS n FROM bl GROUP BY 1) SELECT p.project_id, p.name, p.client_name, q.n AS n_quantities FROM {projects} p LEFT JOIN q ON q.project_id = p.project_id"""
+)
+def write_budget_json(t):
+    docs = io.budget_documents(t("projects"), _levels(t), _proposal(t), _inconsistent(t).filter("severity = 'medium'"))
+    return docs.select("project_id", "name", "client_name", F.size("quantities").cast("long").alias("n_quantities"))
+
+
+@query("SELECT 'projects' AS name, count(*) AS n FROM {projects} UNION ALL SELECT 'products', count(*) * 6 FROM {products} UNION ALL SELECT 'slabs', count(*) FROM {slabs}")
+def export_tables(t):
+    counted = {"projects": t("projects"), "products": _catalogue(t), "slabs": t("slabs")}
+    out = None
+    for name, df in counted.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -122,7 +122,7 @@ SELECT event_id AS id, user_id AS project_id, CASE event_type WHEN 'signup' THEN
   CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'info' END AS severity, CASE event_id % 5 WHEN 0 THEN 'openai:gpt-4o-mini' WHEN 1 THEN 'gemini-2.5-pro'
     WHEN 2 THEN 'gpt-4o-2024-08-06' WHEN 3 THEN 'unknown-x' ELSE 'gemini-2.5-flash-lite' END AS model,
   CAST(round(value * 100) AS BIGINT) AS in_tokens, CAST(round(value * 100) AS BIGINT) % 700 AS out_tokens, CASE WHEN event_id % 2 = 0 THEN CAST(round(value * 100) AS BIGINT) % 900 END AS think_tokens,
-  CAST(round(value * 1000) AS BIGINT) % 5000 AS duration_ms, ts AS created_at FROM {events}""",
+  CAST(round(value * 1000) AS BIGINT) % 5000 AS duration_ms, CAST(ts AS TIMESTAMP) AS created_at FROM {events}""",
     "ai_runs": """
 SELECT id, project_id, call_id, 'p' || CAST(id % 3 AS STRING) AS prompt_version, model, in_tokens, out_tokens, think_tokens, duration_ms,
   CASE id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'retried' WHEN 3 THEN 'json_retry' ELSE 'ok' END AS status, created_at FROM {pipeline_events} WHERE kind = 'ai_call'""",
