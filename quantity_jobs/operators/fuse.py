@@ -41,11 +41,13 @@ def merge_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
             new = rows.loc[first, [*k, "seq", "wall_id", "length_m", "height_m", "thickness_m"]].assign(source="table", confidence=0.95)
             new["seq"] = new["seq"] + base
             own = pd.concat([own, new], ignore_index=True) if n else new.reset_index(drop=True)
-        for place in range(len(own)):
-            row = hit[place] if place < len(hit) else -1
-            if row >= 0:
-                own.loc[place, ["length_m", "height_m", "thickness_m"]] = rows.loc[row, ["length_m", "height_m", "thickness_m"]].to_numpy()
-                own.loc[place, "source"], own.loc[place, "confidence"] = "table", 0.95
+        met = hit >= 0
+        for c in ("length_m", "height_m", "thickness_m"):
+            measure = own[c].to_numpy(float, copy=True)
+            measure[met] = rows[c].to_numpy(float)[hit[met]]
+            own[c] = measure
+        own["source"] = own["source"].where(~met, "table")
+        own["confidence"] = own["confidence"].where(~met, 0.95)
         return own[[*k, *columns]]
 
     schema = "project_id long, level string, wall_class string, seq long, wall_id string, length_m double, height_m double, thickness_m double, source string, confidence double"
