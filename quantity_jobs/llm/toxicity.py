@@ -24,13 +24,15 @@ from .shared import HashCache, as_bytes, cut, mix, words
 @dataclass(frozen=True)
 class Ftrl:
     bits: int = 20
-    alpha: float = 0.1
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 3.0
     l2: float = 1.0
-    epochs: int = 2
-    rounds: int = 2
+    epochs: int = 4
+    rounds: int = 3
+    #: Most shards; a shard has shard_rows rows or more.
     shards: int = 8
+    shard_rows: int = 2_500
     #: Most labelled rows that are learnt from (expected number; rows are chosen by a hash of their id).
     sample_rows: int = 20_000
 
@@ -67,23 +69,25 @@ def train_shard(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray
             n[at] = ni + g * g
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, conf: Ftrl, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, label) of at most about sample_rows labelled documents. Only their ids are broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, conf: Ftrl, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, int]:
+    """(id, text, label) of at most about sample_rows labelled documents, and about how many. Only their ids are broadcast."""
     own = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("label_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("label"))
     )
-    share = min(1.0, conf.sample_rows / max(1, own.count()))
+    known = own.count()
+    share = min(1.0, conf.sample_rows / max(1, known))
     chosen = own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "label")
+    return texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "label"), int(share * known)
 
 
 def fit(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, float]:
     """The weights other than 0, by place; at 2**bits the bias."""
     size = (1 << conf.bits) + 1
-    sample = labelled_sample(docs, labels, conf, id_col, text_col, label_col)
+    sample, expected = labelled_sample(docs, labels, conf, id_col, text_col, label_col)
+    count = max(1, min(conf.shards, expected // conf.shard_rows))
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -96,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), id_col: str = "
 
     rows = cut(
         sample.mapInArrow(to_features, "turn long, label int, places binary")
-        .withColumn("shard", F.pmod("turn", F.lit(conf.shards)))
-        .repartition(conf.shards, "shard")
+        .withColumn("shard", F.pmod("turn", F.lit(count)))
+        .repartition(count, "shard")
     )
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(conf.rounds):
@@ -112,11 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), id_col: str = "
                 own.sort(key=lambda r: r[0])
                 zs, ns = (x.copy() for x in start.value)
                 train_shard([(p, label) for _, label, p in own], zs, ns, conf)
-                used = np.flatnonzero(ns != start.value[1])
+                # only places that carry weight, before or now, are sent; the others are within the L1 bound
+                used = np.flatnonzero((np.abs(zs) > conf.l1) | (np.abs(start.value[0]) > conf.l1))
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(zs[used] - start.value[0][used]), pa.array(ns[used] - start.value[1][used])], ["place", "z", "n"])
 
-        # a place's state moves by the mean over the shards that met it
-        moved = rows.mapInArrow(learn, "place long, z double, n double").groupBy("place").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
+        # a place's state moves by the mean over all shards, so what weighs in one alone shrinks
+        moved = rows.mapInArrow(learn, "place long, z double, n double").groupBy("place").agg(*((F.sum(c) / count).alias(c) for c in ("z", "n")))
         got = moved.toArrow()
         if got.num_rows:
             at = got["place"].to_numpy()
