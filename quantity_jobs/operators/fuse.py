@@ -7,7 +7,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .. import dims
 from ..functions.exprs import finite, floor_rank, overlap_1d, round_half_up as half_up
 from .kernels import first_match, greedy_suppress
 

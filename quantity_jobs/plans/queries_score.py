@@ -9,7 +9,7 @@ from ..operators import audit, clean, score, telemetry
 from ..sources import io
 from ..streaming import streams
 from . import pipelines
-from .catalogue import LEVELS, query
+from .catalogue import DEFAULTED, LEVELS, query
 from .queries_budget import _catalogue, _levels, _proposal
 from .queries_clean import SIGNATURE, _characterizations
 
@@ -21,19 +21,63 @@ def _audited(t):
     return audit.self_check(walls, t("slabs"), t.envelopes(), clean.clean_ranges(_characterizations(t)), t("projects"))
 
 
-@query()
+def _range(name: str, a: str, b: str, least: str, most: str, low: str, high: str) -> str:
+    ok = f"least({a}, {b}) >= {least} AND greatest({a}, {b}) <= {most}"
+    return f"CASE WHEN {ok} THEN least({a}, {b}) ELSE {low} END AS {name}_low, CASE WHEN {ok} THEN greatest({a}, {b}) ELSE {high} END AS {name}_high"
+
+
+CHECKED = (
+    DEFAULTED
+    + ", rg AS (SELECT project_id, building_type AS bt, "
+    + ", ".join(
+        (
+            _range("ceiling", "project_id % 20 / 4e0", "project_id % 9 / 3e0", "18e-1", "12e0", "25e-1", "3e0"),
+            _range("thickness", "project_id % 30 / 1e2", "project_id % 60 / 1e2", "5e-2", "5e-1", "9e-2", "15e-2"),
+            _range("walls", "project_id % 600 * 1e0", "project_id % 70 * 1e1", "1e0", "5e2", "1e1", "6e1"),
+            _range("openings", "project_id % 50 * 1e0", "project_id % 90 * 1e0", "0e0", "5e2", "4e0", "4e1"),
+        )
+    )
+    + """ FROM {projects}),
+j AS (SELECT w.*, rg.*, length_m * height_m AS ar, opening_area_m2 AS op FROM w JOIN rg ON rg.project_id = w.project_id),
+g AS (SELECT rg.project_id, bt, walls_low, walls_high, openings_low, count(*) FILTER (wall_class = 'external') AS ext, count(*) FILTER (wall_class = 'internal') AS int_, count(*) AS n, count(*) FILTER (has_door) + count(*) FILTER (has_window) AS opens,
+  count(*) FILTER (seq % 97 = 0) AS orphans FROM rg JOIN w ON w.project_id = rg.project_id GROUP BY ALL),
+fs AS (SELECT project_id, lower(level) AS level, floor(sum(CASE WHEN slab_class <> 'roof' THEN area_m2 ELSE 0e0 END) * 1e6 + 5e-1) / 1e6 AS fl, floor(sum(CASE WHEN slab_class = 'roof' THEN area_m2 ELSE 0e0 END) * 1e6 + 5e-1) / 1e6 AS rf FROM {slabs} GROUP BY 1, 2),
+nt AS (SELECT project_id, 'error' AS severity, 'OPENING_OVER_WALL' AS code, wall_id AS element_id FROM j WHERE ar > 0 AND op > ar UNION ALL SELECT project_id, 'warning', 'OPENING_NEAR_WALL_LIMIT', wall_id FROM j WHERE ar > 0 AND op <= ar AND op > ar * 85e-2
+  UNION ALL SELECT project_id, 'warning', 'CEILING_LOW', wall_id FROM j WHERE height_m <> 0 AND height_m < greatest(18e-1, ceiling_low * 8e-1)
+  UNION ALL SELECT project_id, 'warning', 'CEILING_HIGH', wall_id FROM j WHERE height_m >= greatest(18e-1, ceiling_low * 8e-1) AND height_m > ceiling_high * 12e-1 UNION ALL SELECT project_id, 'warning', 'WALL_THIN', wall_id FROM j WHERE thickness_m < 5e-2
+  UNION ALL SELECT project_id, 'info', 'WALL_THICK', wall_id FROM j WHERE thickness_m >= 5e-2 AND thickness_m > thickness_high * 13e-1
+  UNION ALL SELECT project_id, 'error', 'ORPHAN_FROM_NON_PLAN', NULL FROM g WHERE orphans > 0 UNION ALL SELECT project_id, 'info', 'PROVENANCE_SUMMARY', NULL FROM g UNION ALL SELECT project_id, 'error', 'NO_EXTERNAL', NULL FROM g WHERE ext = 0
+  UNION ALL SELECT project_id, 'warning', 'NO_INTERNAL', NULL FROM g WHERE int_ = 0 AND ext > 4
+  UNION ALL SELECT project_id, 'info', 'EXT_INT_RATIO', NULL FROM g WHERE ext >= 4 AND (int_ / ext < CASE WHEN bt = 'comercial' THEN 2e-1 ELSE 4e-1 END OR int_ / ext > 6)
+  UNION ALL SELECT project_id, 'warning', 'WALL_COUNT_LOW', NULL FROM g WHERE n < floor(walls_low * 7e-1) UNION ALL SELECT project_id, 'warning', 'WALL_COUNT_HIGH', NULL FROM g WHERE n > ceil(walls_high * 13e-1)
+  UNION ALL SELECT project_id, 'info', 'OPENING_COUNT_LOW', NULL FROM g WHERE opens < floor(openings_low * 5e-1) UNION ALL SELECT project_id, 'warning', 'ENVELOPE_LOW_CONFIDENCE', level FROM {envelopes} WHERE confidence < 5e-1
+  UNION ALL SELECT e.project_id, 'warning', 'FEW_EXTERNALS_FOR_PERIMETER', e.level FROM {envelopes} e WHERE (SELECT count(*) FROM w WHERE w.project_id = e.project_id AND lower(w.level) = lower(e.level) AND wall_class = 'external') < 3
+  UNION ALL SELECT project_id, 'info', 'FLOOR_ROOF_DIFFER', level FROM fs WHERE fl > 0 AND rf > 0 AND (rf / fl < 6e-1 OR rf / fl > 18e-1))"""
+)
+
+
+@query("WITH " + CHECKED + " SELECT project_id, severity, code, element_id FROM nt")
 def self_check(t):
     return _audited(t)
 
 
-@query()
+@query(
+    "WITH "
+    + CHECKED
+    + " SELECT project_id, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'error') AS error, count(*) AS total FROM nt GROUP BY 1"
+)
 def self_check_summary(t):
     return audit.self_check_summary(_audited(t))
 
 
-@query()
+@query(
+    "WITH "
+    + CHECKED
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 2 END, code, coalesce(element_id, '')) AS rn, count(*) OVER (PARTITION BY project_id) AS n FROM nt WHERE severity <> 'warning')
+SELECT project_id, n, code || ':' || coalesce(element_id, '') AS first_note FROM o WHERE rn = 1"""
+)
 def order_feeds(t):
-    return audit.order_notes(_audited(t).filter("severity <> 'warning'")).select("project_id", F.size("feed").alias("n"), F.get("feed", 0).alias("first_note"))
+    return audit.order_notes(_audited(t).filter("severity <> 'warning'")).select("project_id", F.size("feed").cast("long").alias("n"), F.get("feed", 0).alias("first_note"))
 
 
 INCONSISTENT = (
