@@ -9,7 +9,6 @@ when rows repeat; an empty table gives an empty result; columns other than the t
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
