@@ -4,9 +4,10 @@ Whole documents make poor pivots here: all but a document's own copies lie at di
 are therefore single shingles. A document lies at distance 1 - 1/size from a shingle it holds and at 1 from others, so the
 regions nearest to it are those of its own shingles, rarest first; and it is replicated to as many of these as two sets
 within the radius can differ in, so that any two such sets share a region. In a region, the empty set is the second
-pivot: by the triangle inequality only sizes within a window can meet. Each window then joins recursively: first around
-a document pivot, whose measured distances link its surroundings; then only what is not yet linked and what the
-triangle inequality on the measured distances still allows is joined, exactly.
+pivot: by the triangle inequality only sizes within a window can meet. Each window then joins recursively, on what is not yet
+linked: first around a few pivot documents for all regions, then small regions pair by pair and large ones in tiles of
+blocks, which makes the result exact and ships a document once per tile rather than once per pair. Pairs are measured on
+whole sets, after a bound from the shared regions.
 
 Equal sets are one class throughout. Classes are named by a 64-bit hash of the set.
 
@@ -20,17 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import Bloom, seen_once
+from .bloom import seen_once, seen_twice
 from .components import components
-from .shared import HashCache, as_bytes, cut, merged_segments, shingle_hashes, shuffle_width, spaced_words
+from .shared import HashCache, as_bytes, cut, merged_segments, mix, shingle_hashes, shuffle_width, spaced_words
 
 #: Word counts are kept in 2**21 cells (8 MB in a task, 2 MB as ranks), whatever the corpus.
 CELLS_LOG2 = 21
 CELLS_IN_SEGMENT = 128
 #: Pivots differ between regions in so many ways.
 PIVOT_ORDERS = 4
+#: Regions of more classes than this, not yet of one component, are joined in tiles of blocks of about TILE classes.
+LARGE_REGION = 48
+TILE = 256
 _TEXT = "text"
 
 
@@ -45,8 +51,6 @@ def set_of(text: bytes, n: int, cache: HashCache) -> np.ndarray:
 
 def class_of(own: np.ndarray) -> int:
     """Name of a set, as a signed 64-bit number."""
-    import xxhash
-
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), len(own))).astype(np.int64))
 
 
@@ -81,54 +85,71 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
 
 
 def regions(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, cls, n_shingles) of every row, and (region, cls, size, inner): each class with its regions.
-    inner: the region is within reach for partners of at least the class's own size."""
+    """(id, cls, n_shingles) of every row, and (id, cls, size, inner, end_rank, regions): each class, once per task that met it, with its
+    regions, nearest first. The first `inner` ones are within reach of partners of at least the class's own size."""
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
     shift = np.uint64(64 - CELLS_LOG2)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = HashCache(), set()
         for batch in batches:
-            ids, classes, sizes, out = batch.column(0), [], [], []
+            classes, sizes, inners, ends, lists = [], [], [], [], []
             for text in as_bytes(batch, _TEXT):
                 h = cache.of(spaced_words(text))
-                shingles = shingle_hashes(h, n)
-                own, first = np.unique(shingles, return_index=True)
-                classes.append(class_of(own) if len(own) else None)
+                own, first = np.unique(shingle_hashes(h, n), return_index=True)
+                cls = class_of(own) if len(own) else None
+                classes.append(cls)
                 sizes.append(len(own))
-                if not len(own) or classes[-1] in seen:
+                if cls is None or cls in seen:
+                    for x in (inners, ends, lists):
+                        x.append(None)
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
-                seen.add(classes[-1])
+                seen.add(cls)
                 rank = ranks.value[(h >> shift).astype(np.int64)]
                 width = min(n, len(h))
-                least = np.min([rank[k : len(h) - width + 1 + k] for k in range(width)], axis=0)[first]
+                least = rank[: len(h) - width + 1]
+                for k in range(1, width):
+                    least = np.minimum(least, rank[k : len(h) - width + 1 + k])
+                least = least[first]
                 reach = len(own) - _ceil_div(percent * len(own), 100) + 1
-                inner = len(own) - _ceil_div(2 * percent * len(own), 100 + percent) + 1
                 chosen = np.lexsort((own, least))[:reach]
-                out.append((own[chosen].astype(np.int64), classes[-1], len(own), inner))
+                inners.append(len(own) - _ceil_div(2 * percent * len(own), 100 + percent) + 1)
+                ends.append(int(least[chosen[-1]]))
+                lists.append(own[chosen].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(ids), pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32())],
-                ["id", "cls", "size", "regions", "inner"],
+                [batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(inners, pa.int32()), pa.array(ends, pa.int32()), pa.array(lists, pa.list_(pa.int64()))],
+                ["id", "cls", "size", "inner", "end_rank", "regions"],
             )
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.nulls(len(out), ids.type),
-                        pa.array([o[1] for o in out], pa.int64()),
-                        pa.array([o[2] for o in out], pa.int32()),
-                        pa.array([o[0] for o in out], pa.list_(pa.int64())),
-                        pa.array([o[3] for o in out], pa.int32()),
-                    ],
-                    ["id", "cls", "size", "regions", "inner"],
-                )
 
     kind = docs.schema["id"].dataType.simpleString()
-    both = cut(docs.select("id", _TEXT).mapInArrow(name, f"id {kind}, cls long, size int, regions array<long>, inner int"))
-    members = both.filter("regions IS NULL").select("id", "cls", F.col("size").cast("long").alias("n_shingles"))
-    placed = both.filter("regions IS NOT NULL").select("cls", "size", "inner", F.posexplode("regions").alias("at", "region"))
-    return members, placed.select("region", "cls", "size", (F.col("at") < F.col("inner")).alias("inner"))
+    both = cut(docs.select("id", _TEXT).mapInArrow(name, f"id {kind}, cls long, size int, inner int, end_rank int, regions array<long>"))
+    return both.select("id", "cls", F.col("size").cast("long").alias("n_shingles")), both.filter("regions IS NOT NULL")
+
+
+def placed_rows(prefixes: DataFrame) -> DataFrame:
+    """(region, cls, code): the classes in regions that a filter of fixed size suspects to hold two or more; code is twice the size, plus 1
+    where the region is an inner one."""
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).flatten().to_numpy().astype(np.uint64)
+
+    twice = prefixes.sparkSession.sparkContext.broadcast(seen_twice(prefixes.select("regions"), hashes))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, size, inner, lists = (batch.column(k) for k in range(4))
+            lengths = pc.list_value_length(lists).to_numpy()
+            values = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            at = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            keep = np.flatnonzero(twice.value.has(values.astype(np.uint64)))
+            row, at = row[keep], at[keep]
+            code = 2 * size.to_numpy()[row] + (at < inner.to_numpy()[row])
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(cls.to_numpy()[row]), pa.array(code.astype(np.int32))], ["region", "cls", "code"])
+
+    return prefixes.select("cls", "size", "inner", "regions").mapInArrow(place, "region long, cls long, code int")
 
 
 def _by_region(batches: Iterator[pa.RecordBatch], names: list[str], empty: bool = False) -> Iterator[list[np.ndarray]]:
@@ -157,27 +178,7 @@ def _by_region(batches: Iterator[pa.RecordBatch], names: list[str], empty: bool
 
 
 def _sorted_regions(rows: DataFrame) -> DataFrame:
-    return rows.repartition(shuffle_width(rows.sparkSession), "region").sortWithinPartitions("region", "size", "cls")
-
-
-def shared_regions(placed: DataFrame) -> DataFrame:
-    """The rows of regions that hold two classes or more, each class once."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["region", "cls", "size", "inner"]
-        out, held = [], 0
-        for columns in _by_region(batches, names):
-            first = np.append(True, columns[1][1:] != columns[1][:-1])
-            if first.sum() > 1:
-                out.append([c[first] for c in columns])
-                held += len(out[-1][0])
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-
-    return _sorted_regions(placed).mapInArrow(keep, "region long, cls long, size int, inner boolean")
+    return rows.repartition(shuffle_width(rows.sparkSession), "region").sortWithinPartitions("region", "code", "cls")
 
 
 def _pair_batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -201,104 +202,243 @@ def _pair_batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa
         yield from out()
 
 
-def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): in each size window of each region, its pivot document with the others, and the pivots of neighbouring windows."""
+def _windows(order: int, cls: np.ndarray, size: np.ndarray, inner: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In each size window of a region, its pivot document with the others, and the ends and pivots of neighbouring windows. The order
+    decides which document is the pivot."""
+    turn = mix(cls.astype(np.uint64) ^ mix(np.array([order], np.int64).astype(np.uint64)))
+    start, last = 0, None
+    while start < len(cls):
+        end = int(np.searchsorted(size, int(size[start]) * 100 // percent, side="right"))
+        candidates = np.flatnonzero(inner[start:end])
+        if len(candidates):
+            p = start + int(candidates[np.argmin(turn[start:end][candidates])])
+            others = np.arange(start, end)
+            others = others[(others != p) & ((others > p) | inner[start:end])]
+            yield np.full(len(others), cls[p]), cls[others]
+            if last is not None and int(size[p]) * percent <= int(size[last]) * 100:
+                yield cls[last : last + 1], cls[p : p + 1]
+            last = p
+        if end < len(cls) and inner[end - 1] and int(size[end]) * percent <= int(size[end - 1]) * 100:
+            yield cls[end - 1 : end], cls[end : end + 1]
+        start = end
+
+
+def shared_and_pivots(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(region, cls, code) of the regions that hold two classes or more, each class once, and (a, b): the pairs around pivot documents."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            rows = [np.concatenate(c) for c in zip(*out, strict=True)]
+            none = pa.nulls(len(rows[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), none, none], ["region", "cls", "code", "a", "b"])
+            for batch in _pair_batches(iter(pairs)):
+                none = pa.nulls(batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(batch.num_rows, pa.int32()), *batch.columns], ["region", "cls", "code", "a", "b"])
+
+        held = 0
+        for region, cls, code in _by_region(batches, ["region", "cls", "code"]):
+            first = np.append(True, cls[1:] != cls[:-1])
+            if first.sum() > 1:
+                cls, code = cls[first], code[first]
+                out.append([region[first], cls, code])
+                pairs += _windows(int(region[0]) & (PIVOT_ORDERS - 1), cls, code >> 1, code % 2 == 1, percent)
+                held += len(cls)
+            if held > 200_000:
+                yield from flush()
+                out, pairs, held = [], [], 0
+        if out:
+            yield from flush()
+
+    found = cut(_sorted_regions(placed).mapInArrow(both, "region long, cls long, code int, a long, b long"))
+    return found.filter("a IS NULL").select("region", "cls", "code"), found.filter("a IS NOT NULL").select("a", "b").distinct()
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs():
-            for region, cls, size, inner in _by_region(batches, ["region", "cls", "size", "inner"]):
-                order = np.uint64(int(region[0]) & (PIVOT_ORDERS - 1))
-                turn = (cls.astype(np.uint64) ^ order) * np.uint64(0x9E3779B97F4A7C15 + 2 * int(order))
-                start, last = 0, None
-                while start < len(cls):
-                    end = int(np.searchsorted(size, int(size[start]) * 100 // percent, side="right"))
-                    candidates = np.flatnonzero(inner[start:end])
-                    if len(candidates):
-                        p = start + int(candidates[np.argmin(turn[start:end][candidates])])
-                        others = np.arange(start, end)
-                        others = others[(others != p) & ((others > p) | inner[start:end])]
-                        yield np.full(len(others), cls[p]), cls[others]
-                        if last is not None and int(size[p]) * percent <= int(size[last]) * 100:
-                            yield cls[last : last + 1], cls[p : p + 1]
-                        last = p
-                    if end < len(cls) and inner[end - 1] and int(size[end]) * percent <= int(size[end - 1]) * 100:
-                        yield cls[end - 1 : end], cls[end : end + 1]
-                    start = end
-
-        yield from _pair_batches(pairs())
-
-    return _sorted_regions(shared).mapInArrow(around, "a long, b long").distinct()
-
-
-def rest_pairs(linked: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a region's size windows that are not yet in one component."""
+
+def rest_pairs(linked: DataFrame, percent: int, large: int = LARGE_REGION) -> tuple[DataFrame, DataFrame]:
+    """Of regions that hold several components: (a, b), all pairs of size windows across components, of the regions up to `large` classes; and
+    (a, b) that join the classes of larger ones to clusters."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stars: list[tuple[np.ndarray, np.ndarray]] = []
+
         def pairs():
-            for _, cls, size, inner, group in _by_region(batches, ["region", "cls", "size", "inner", "grp"]):
+            for _, cls, code, group in _by_region(batches, ["region", "cls", "code", "grp"]):
                 if (group == group[0]).all():
                     continue
+                if len(cls) > large:
+                    stars.append((np.full(len(cls) - 1, cls[0]), cls[1:]))
+                    continue
+                size = code >> 1
                 upto = np.searchsorted(size, size.astype(np.int64) * 100 // percent, side="right")
-                for k in np.flatnonzero(inner):
+                for k in np.flatnonzero(code % 2 == 1):
                     other = np.arange(k + 1, upto[k])
                     other = other[group[other] != group[k]]
                     yield np.full(len(other), cls[k]), cls[other]
 
-        yield from _pair_batches(pairs())
+        for batch in _pair_batches(pairs()):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * batch.num_rows)], ["a", "b", "star"])
+        for batch in _pair_batches(iter(stars)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([True] * batch.num_rows)], ["a", "b", "star"])
 
-    return _sorted_regions(linked).mapInArrow(across, "a long, b long").distinct()
+    found = cut(_sorted_regions(linked).mapInArrow(across, "a long, b long, star boolean").distinct())
+    return found.filter("NOT star").select("a", "b"), found.filter("star").select("a", "b")
 
 
-def within(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs of classes (a, b), those whose sets are similar enough; measured on whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _tree_links(x: list[np.ndarray], y: list[np.ndarray], names: list[int], other: list[int], same: bool, groups: list[int], others: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of sets, enough of them to join what belongs together; what already is in one group isn't measured."""
+    top: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while top.setdefault(g, g) != g:
+            top[g] = top[top[g]]
+            g = top[g]
+        return g
+
+    out = []
+    for i, own in enumerate(x):
+        for j in range(i + 1 if same else 0, len(y)):
+            n, m = len(own), len(y[j])
+            if min(n, m) * 100 < percent * max(n, m) or find(groups[i]) == find(others[j]):
+                continue
+            common = len(np.intersect1d(own, y[j], assume_unique=True))
+            if 100 * common >= percent * (n + m - common):
+                out.append((names[i], other[j]))
+                top[find(groups[i])] = find(others[j])
+    return out
+
+
+def tiled_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links within the clusters of large regions. Each cluster's classes fall into blocks, and every two blocks are one task."""
+    clusters = cut(components(stars))
+    held = stars.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, 24))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held.value.has(batch.column(1).to_numpy().astype(np.uint64)))).select(["cls", "id"])
+
+    kind = prefixes.schema["id"].dataType.simpleString()
+    ids = prefixes.select("id", "cls").mapInArrow(pick, f"cls long, id {kind}")
+    own = sets_of(docs, ids.select("id"), n)
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).alias("blocks"))
+    placed = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = placed.join(groups.select(F.col("id").alias("g_id"), F.col("component").alias("grp")), F.col("id") == F.col("g_id"), "left")
+    placed = placed.select("component", "blocks", "block", F.col("id").alias("cls"), F.coalesce("grp", "id").alias("grp")).join(own, "cls")
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = dealt.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "grp", "own")
 
-    def names(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column(0).to_numpy().astype(np.uint64)
+    def join(key, table):
+        block, cls, grp = (table[c].to_pylist() for c in ("block", "cls", "grp"))
+        raw = [np.frombuffer(b, np.uint64) for b in table["own"].to_pylist()]
+        i, j = key[1].as_py(), key[2].as_py()
+        left = [k for k, b in enumerate(block) if b == i]
+        right = left if i == j else [k for k, b in enumerate(block) if b == j]
+        at = lambda values, rows: [values[k] for k in rows]
+        found = _tree_links(at(raw, left), at(raw, right), at(cls, left), at(cls, right), i == j, at(grp, left), at(grp, right), percent)
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
-    wanted: Bloom = seen_once(ends, names, 24)
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    return rows.groupBy("component", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(cls, own): the sets of the documents that a filter of the ids holds, each class once."""
+
+    def wanted_ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _id_hashes(batch.column(0))
+
+    held = docs.sparkSession.sparkContext.broadcast(seen_once(ids, wanted_ids, 24))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = HashCache(), set()
+        cache = HashCache()
         for batch in batches:
-            found = {}
-            for text in as_bytes(batch, _TEXT):
-                own = set_of(text, n, cache)
-                if len(own) and (cls := class_of(own)) not in seen and held.value.has(np.array([cls], np.int64).astype(np.uint64))[0]:
-                    found[cls] = own.tobytes()
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "own"])
-
-    made = docs.select(_TEXT).mapInArrow(sets, "cls long, own binary").groupBy("cls").agg(F.first("own").alias("own"))
-    made = cut(made.join(ends, "cls", "left_semi"))
-    left = pairs.join(made.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a")
-    both = left.join(made.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")
+            few = batch.filter(pa.array(held.value.has(_id_hashes(batch.column(0)))))
+            own = [x for x in (set_of(t, n, cache) for t in as_bytes(few, _TEXT)) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cls", "own"])
+
+    return docs.select("id", _TEXT).mapInArrow(sets, "cls long, own binary").dropDuplicates(["cls"])
+
+
+def _class_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).to_numpy().astype(np.uint64)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the columns of both ends, as x and y."""
+    x = table.select(F.col("cls").alias("a"), F.struct(*columns).alias("x"))
+    y = table.select(F.col("cls").alias("b"), F.struct(*columns).alias("y"))
+    return pairs.join(x, "a").join(y, "b")
+
+
+def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose regions leave enough room for a link, and (cls, id) of one document for each class of pairs. Of two sets, a common shingle beyond the regions
+    of the one whose regions end first is in its remainder; so their overlap is at most the regions shared plus that remainder."""
+    held = pairs.sparkSession.sparkContext.broadcast(seen_once(_ends(pairs), _class_hashes, 24))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held.value.has(batch.column(1).to_numpy().astype(np.uint64))))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema)
+    picked = prefixes.mapInArrow(pick, schema).dropDuplicates(["cls"])
+    picked = cut(picked.join(_ends(pairs), "cls", "left_semi"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                u, v = (np.array(z["regions"], np.int64).astype(np.uint64) for z in (x, y))
+                first = x if (x["end_rank"], u[-1]) <= (y["end_rank"], v[-1]) else y
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                most = min(common + first["size"] - len(first["regions"]), x["size"], y["size"])
+                ok.append(100 * most >= percent * (x["size"] + y["size"] - most))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    both = _sides(pairs, picked, ["size", "end_rank", "regions"]).select("a", "b", "x", "y")
+    return cut(both.mapInArrow(bound, "a long, b long")), picked.select("cls", "id")
+
+
+def _id_hashes(ids: pa.Array) -> np.ndarray:
+    return HashCache(seed=5).of([str(x).encode() for x in ids.to_pylist()])
+
+
+def within(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of the pairs of classes (a, b), those whose sets are similar enough; measured on whole sets."""
+    near, where = plausible(pairs, prefixes, percent)
+    ends = _ends(near)
+
+    made = sets_of(docs, where.join(ends, "cls", "left_semi").select("id"), n)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x["own"], np.uint64), np.frombuffer(y["own"], np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(measure, "a long, b long")
+    return _sides(near, made, ["own"]).select("a", "b", "x", "y").mapInArrow(measure, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, large: int = LARGE_REGION) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links, itself included."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(_TEXT))
-    members, placed = regions(own, n, percent)
-    shared = cut(shared_regions(placed))
-    first = cut(within(cut(pivot_pairs(shared, percent)), own, n, percent))
-    near = components(first)
-    grouped = shared.join(near, F.col("cls") == F.col("id"), "left").select("region", "cls", "size", "inner", F.coalesce("component", "cls").alias("grp"))
-    more = cut(rest_pairs(grouped, percent))
-    links = first.union(within(more, own, n, percent))
+    members, prefixes = regions(own, n, percent)
+    shared, pivots = shared_and_pivots(placed_rows(prefixes), percent)
+    tested = cut(pivots)
+    links = cut(within(tested, own, prefixes, n, percent))
+    groups = cut(components(links))
+    grouped = shared.join(groups, F.col("cls") == F.col("id"), "left").select("region", "cls", "code", F.coalesce("component", "cls").alias("grp"))
+    more, stars = rest_pairs(grouped, percent, large)
+    more = cut(more.join(tested, ["a", "b"], "left_anti"))
+    links = cut(links.union(within(more, own, prefixes, n, percent)).union(tiled_links(stars, groups, own, prefixes, n, percent)))
     linked = components(links)
     classed = members.join(linked.withColumnRenamed("id", "__cls"), F.col("cls") == F.col("__cls"), "left").select("id", "n_shingles", F.coalesce("component", "cls").alias("grp"))
     least = classed.filter("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("least"))
