@@ -135,7 +135,7 @@ def parse_decimal(t):
 
 @query(
     """WITH n AS (SELECT project_id, seq, CASE seq % 8 WHEN 0 THEN 'Térreo' WHEN 1 THEN 'SUBSOLO - Garagem' WHEN 2 THEN '2º pavimento' WHEN 3 THEN 'Outro' WHEN 4 THEN 'telhado, casa' WHEN 5 THEN 'mezanino!' WHEN 6 THEN 'Pav 12' ELSE ' ' END AS raw FROM {corners})
-SELECT project_id, seq, CASE seq % 8 WHEN 0 THEN 'Terreo' WHEN 1 THEN 'Subsolo' WHEN 2 THEN 'Pavimento2' WHEN 3 THEN 'Terreo' WHEN 4 THEN 'Cobertura' WHEN 5 THEN 'Mezanino' WHEN 6 THEN 'Pavimento12' ELSE 'Terreo' END AS level FROM n"""
+SELECT project_id, seq, CASE seq % 8 WHEN 0 THEN 'Terreo' WHEN 1 THEN 'Subsolo' WHEN 2 THEN '2 pavimento' WHEN 3 THEN 'Terreo' WHEN 4 THEN 'Cobertura' WHEN 5 THEN 'Mezanino' WHEN 6 THEN 'Pavimento12' ELSE 'Terreo' END AS level FROM n"""
 )
 def normalize_level(t):
     raw = F.element_at(F.array(*(F.lit(x) for x in ("Térreo", "SUBSOLO - Garagem", "2º pavimento", "Outro", "telhado, casa", "mezanino!", "Pav 12", " "))), (F.col("seq") % 8 + 1).cast("int"))
