@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by NN-descent within equal labels.
 
 Equal vectors of a label are one node. A neighbour graph starts from runs of vectors that several random sign codes sort side
-by side, and improves by joining neighbours with neighbours' neighbours. Nodes whose whole list lies above the
-threshold are saturated: their lists are enlarged, and what stays saturated is compared in tiles with all of its component, so
-that no list length cuts links off. A brute-force audit of sampled nodes measures recall; below the target the
-descent goes on with longer lists. Links are measured in double precision.
+by side, and improves by joining neighbours with neighbours' neighbours until few lists change. Nodes whose whole list lies above the
+threshold are saturated: their lists are enlarged, and the component of what stays saturated is dense. A dense component is compared
+in tiles with every node of its label that the triangle inequality on angles leaves within reach of it, so that no list length cuts
+links off, neither within the component nor between it and others. What is left are links between sparse nodes: a brute-force audit
+measures their recall; below the target the descent goes on with longer lists. Links are measured in double precision.
 
 Defined results: vectors or labels that are null, and vectors that are empty, zero or hold null or non-finite components,
 link with nothing and are their own component; vectors of different lengths never link; repeated vec_ids are one vector
@@ -33,8 +34,10 @@ class Descent:
     code_bits: int = 12
     run: int = 256
     iterations: int = 3
-    #: Bounded sample for the audit, and the recall it must show.
-    audit_nodes: int = 256
+    #: Bounded samples for the audit, which grow until they have so many true links, and the recall they must show.
+    audit_nodes: int = 512
+    audit_most: int = 8192
+    audit_links: int = 200
     target: float = 0.97
     rounds: int = 3
     tile: int = 512
@@ -191,51 +194,106 @@ def measured(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return own.select("a", "b", "x", "y").mapInArrow(dot, "a long, b long")
 
 
-def _tiles(blocks: DataFrame, conf: Descent) -> DataFrame:
-    """(node, n): by node, the vectors of its component that it links with, itself included, from tiles of blocks."""
+def _stack(units) -> np.ndarray:
+    return np.frombuffer(b"".join(units), float).reshape(len(units), -1)
 
-    def count(key, pdf):
-        import pandas as pd
 
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "n": []}).astype("int64")
-        sims = np.frombuffer(b"".join(left.unit), float).reshape(len(left), -1) @ np.frombuffer(b"".join(right.unit), float).reshape(len(right), -1).T
-        return pd.DataFrame({"node": left.node.to_numpy(), "n": (sims >= conf.threshold) @ right.m.to_numpy()})
-
-    top = blocks.groupBy("component").agg((F.max("block") + 1).alias("blocks"))
-    sided = blocks.join(top, "component").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    both = sided.select("component", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "node", "m", "unit").union(
-        sided.select("component", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "node", "m", "unit")
-    )
-    return both.groupBy("component", "i", "j").applyInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+def _blocked(df: DataFrame, keys: list[str], size: int, block: str) -> DataFrame:
+    """df with a block number that splits each group into blocks of about `size` rows."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("__n"))
+    return df.join(sizes, keys).withColumn(block, F.pmod(F.xxhash64("node"), F.col("__n"))).drop("__n")
+
 
+def _sided(left: DataFrame, right: DataFrame, keys: list[str], size: int, schema: list[str]) -> DataFrame:
+    """Every block of left beside every block of right with the same keys: rows (keys, i, j, side, schema)."""
+    left, right = _blocked(left, keys, size, "i"), _blocked(right, keys, size, "j")
+    of = lambda df, c: df.select(*keys, c).distinct()
+    first = left.join(of(right, "j"), keys).select(*keys, "i", "j", F.lit(0).alias("side"), *schema)
+    return first.union(right.join(of(left, "i"), keys).select(*keys, "i", "j", F.lit(1).alias("side"), *schema))
 
-def audit(nodes: DataFrame, links: DataFrame, conf: Descent) -> float:
-    """Recall of the links of a bounded sample of nodes, against brute force over all nodes."""
-    chosen = nodes.select("node", "label", "dim", "unit").orderBy(F.xxhash64("node"), "node").limit(conf.audit_nodes).collect()
-    sample = nodes.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dense_counts(nodes: DataFrame, dense: DataFrame, conf: Descent) -> DataFrame:
+    """(node, n, other): what tiles of every dense component (component, node) and every node within its reach add to the number of vectors that
+    a node links with, itself included for nodes of the component; other is a linked member for nodes outside it. A pair
+    of dense components is met once."""
+    import pandas as pd
+
+    theta = float(np.arccos(conf.threshold))
+    members = dense.join(nodes.select("node", "label", "dim", "m", "unit"), "node")
+    heads = members.filter("node = component").select("component", F.col("unit").alias("centre"))
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, dims, ids = np.array(_get(batch, "label").to_pylist(), object), _get(batch, "dim").to_numpy(), _get(batch, "node").to_numpy()
-            n = 0
-            for label, dim in {(q[1], q[2]) for q in sample.value}:
-                at = np.flatnonzero((labels == label) & (dims == dim))
-                own = [q for q in sample.value if q[1:3] == (label, dim)]
-                if len(at):
-                    x = _rows(_get(batch, "unit").take(pa.array(at)), float)
-                    q = np.stack([np.frombuffer(z[3], float) for z in own])
-                    near = q @ x.T >= conf.threshold
-                    near &= np.array([z[0] for z in own])[:, None] != ids[at][None, :]
-                    n += int(near.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    true = nodes.select("node", "label", "dim", "unit").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    ids = nodes.sparkSession.createDataFrame([(r.node,) for r in chosen], "q long")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = both.join(F.broadcast(ids), F.col("a") == F.col("q"), "left_semi").count()
-    return found / true if true else 1.0
+            dots = [float(np.frombuffer(x, float) @ np.frombuffer(y, float)) for x, y in zip(_get(batch, "unit").to_pylist(), _get(batch, "centre").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([_get(batch, "component"), pa.array(np.arccos(np.clip(dots, -1, 1)), pa.float64())], ["component", "angle"])
+
+    radius = members.join(heads, "component").select("component", "unit", "centre").mapInArrow(angles, "component long, angle double").groupBy("component").agg(F.max("angle").alias("radius"))
+    centres = members.filter("node = component").join(radius, "component").select("label", "dim", "node", "unit", "radius")
+
+    def reach(key, pdf):
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        i, j = np.nonzero(np.arccos(np.clip(_stack(left.unit) @ _stack(right.unit).T, -1, 1)) <= right.radius.to_numpy()[None, :] + theta + 1e-6)
+        return pd.DataFrame({"component": right.node.to_numpy()[j], "node": left.node.to_numpy()[i]})
+
+    around = _sided(nodes.select("label", "dim", "node", "unit", F.lit(0.0).alias("radius")), centres, ["label", "dim"], 1024, ["node", "unit", "radius"])
+    around = around.groupBy("label", "dim", "i", "j").applyInPandas(reach, "component long, node long")
+    around = around.join(dense.select("node", F.col("component").alias("own")), "node", "left").filter("own IS NULL OR own <= component")
+    left = around.join(nodes.select("node", "m", "unit"), "node").select("component", "node", "m", "unit", F.coalesce(F.col("own") == F.col("component"), F.lit(False)).alias("inside"))
+
+    def count(key, pdf):
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        near = _stack(left.unit) @ _stack(right.unit).T >= conf.threshold
+        outside, ids = ~left.inside.to_numpy(bool), right.node.to_numpy()
+        one = pd.DataFrame({"node": left.node.to_numpy(), "n": near @ right.m.to_numpy(), "other": pd.array(np.where(outside, ids[near.argmax(axis=1)], 0), "Int64")})
+        one.loc[~outside, "other"] = pd.NA
+        two = pd.DataFrame({"node": ids, "n": (near & outside[:, None]).T @ left.m.to_numpy(), "other": pd.array([pd.NA] * len(ids), "Int64")})
+        both = pd.concat([one, two])
+        return both[both.n > 0]
+
+    tiles = _sided(left, members.select("component", "node", "m", "unit", F.lit(True).alias("inside")), ["component"], conf.tile, ["node", "m", "unit", "inside"])
+    return tiles.groupBy("component", "i", "j").applyInPandas(count, "node long, n long, other long")
+
+
+def audit(nodes: DataFrame, counted: DataFrame, conf: Descent) -> float:
+    """The least recall among sparse nodes, sparse nodes with like neighbours, and dense nodes. counted: (node, n, top, dense), n the vectors
+    of other nodes that it links with. Samples grow until they hold enough true links, or all nodes; sparse samples with too few count as one."""
+    spark = nodes.sparkSession
+    ordered = counted.join(nodes.select("node", "label", "dim", "unit"), "node").orderBy(F.xxhash64("node"), "node")
+    kinds = {"sparse": "NOT dense", "like": f"NOT dense AND top >= {conf.threshold - 0.1}", "dense": "dense"}
+    seen: dict[str, list[int]] = {}
+    size = conf.audit_nodes
+    while kinds:
+        chosen = {k: ordered.filter(where).limit(size if k != "dense" else conf.audit_nodes // 4).collect() for k, where in kinds.items()}
+        sample = spark.sparkContext.broadcast([(r.node, r.label, r.dim, r.unit) for r in {r.node: r for rows in chosen.values() for r in rows}.values()])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict = {}
+            for q in sample.value:  # noqa: B023
+                own.setdefault(q[1:3], []).append(q)
+            own = {k: (np.array([q[0] for q in v]), _stack([q[3] for q in v])) for k, v in own.items()}
+            total = {k: np.zeros(len(v[0]), np.int64) for k, v in own.items()}
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(start, 1024)
+                    labels, dims, ids, m = np.array(_get(batch, "label").to_pylist(), object), _get(batch, "dim").to_numpy(), _get(batch, "node").to_numpy(), _get(batch, "m").to_numpy()
+                    for key, (names, q) in own.items():
+                        at = np.flatnonzero((labels == key[0]) & (dims == key[1]))
+                        if len(at):
+                            near = q @ _rows(_get(batch, "unit").take(pa.array(at)), float).T >= conf.threshold
+                            near &= names[:, None] != ids[at][None, :]
+                            total[key] += near @ m[at]
+            for key, (names, _) in own.items():
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total[key])], ["node", "n"])
+
+        true = {r[0]: r[1] for r in nodes.select("node", "label", "dim", "m", "unit").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n")).collect()}
+        for k, rows in chosen.items():
+            seen[k] = [sum(min(r.n, true[r.node]) for r in rows), sum(true[r.node] for r in rows)]
+        most = size >= conf.audit_most
+        kinds = {k: where for k, where in kinds.items() if k != "dense" and not most and seen[k][1] < conf.audit_links and len(chosen[k]) == size}
+        size *= 4
+    if seen["sparse"][1] < conf.audit_links:
+        seen["sparse"] = [x + y for x, y in zip(seen["sparse"], seen["like"], strict=True)]
+    return min(found / true if true else 1.0 for found, true in seen.values())
 
 
 def near_vectors(table: DataFrame, conf: Descent = Descent(), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -246,10 +304,11 @@ def near_vectors(table: DataFrame, conf: Descent = Descent(), id_col: str = "vec
 
     limits = nodes.select("node", F.lit(conf.list_length).alias("k"))
     lists = cut(best_lists(first_lists(nodes, conf).withColumn("fresh", F.lit(True)), limits))
+    both_ways = lambda pairs: pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weights = nodes.select(F.col("node").alias("b"), "m")
     for turn in range(conf.rounds):
+        built = limits  # what the lists were cut to
         for _ in range(conf.iterations):
-            better = neighbour_join(lists, nodes, limits).withColumn("fresh", F.lit(True))
-            lists = cut(best_lists(lists.withColumn("fresh", F.lit(False)).unionByName(better), limits))
             # full lists that end above the threshold are saturated and grow
             low = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"))
             limits = cut(
@@ -257,34 +316,46 @@ def near_vectors(table: DataFrame, conf: Descent = Descent(), id_col: str = "vec
                     "node", F.when((F.col("n") >= F.col("k")) & (F.col("low") >= conf.threshold), F.least(F.col("k") * 2, F.lit(conf.longest_list))).otherwise(F.col("k")).alias("k")
                 )
             )
+            better = neighbour_join(lists, nodes, limits).withColumn("fresh", F.lit(True))
+            lists, built = cut(best_lists(lists.withColumn("fresh", F.lit(False)).unionByName(better), limits)), limits
             if not lists.filter("fresh").limit(1).count():
                 break
         links = cut(measured(lists.filter(F.col("sim") >= conf.threshold - conf.margin), nodes, conf.threshold))
-        groups = components(links)
-        groups = cut(groups)
-        full = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n")).join(limits, F.col("a") == F.col("node"))
-        full = full.filter((F.col("n") >= F.col("k")) & (F.col("low") >= conf.threshold - conf.margin)).select(F.col("a").alias("id"))
-        dense = groups.join(full, "id", "left_semi").select("component").distinct()
-        dense_nodes = groups.join(dense, "component", "left_semi").join(nodes, F.col("id") == F.col("node")).select("component", "node", "m", "unit")
-        sizes = dense_nodes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / conf.tile).alias("blocks"))
-        blocks = dense_nodes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
-        tiled = cut(_tiles(blocks, conf))
-        # the audit counts only links of nodes that no tile has made exact
-        sparse_nodes = nodes.join(tiled, "node", "left_anti")
-        if audit(sparse_nodes, links, conf) >= conf.target:
+        groups = cut(components(links))
+        full = lists.groupBy("a").agg(F.min("sim").alias("low"), F.max("sim").alias("top"), F.count(F.lit(1)).alias("n")).join(built, F.col("a") == F.col("node"))
+        full = cut(full.select("node", "top", ((F.col("n") >= F.col("k")) & (F.col("low") >= conf.threshold - conf.margin)).alias("full")))
+        # a saturated node may lack a measured link (all its list in the margin): then it is a component of its own
+        owned = nodes.select("node").join(groups, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("component"))
+        dense = owned.join(full.filter("full"), "node", "left_semi").select("component").distinct()
+        dense = cut(owned.join(dense, "component", "left_semi").select("component", "node"))
+        tiled = cut(_dense_counts(nodes, dense, conf))
+        links = links.join(dense, F.col("a") == F.col("node"), "left_anti")
+        direct = both_ways(links).join(weights, "b").groupBy("a").agg(F.sum("m").alias("direct"))
+        exact = tiled.groupBy("node").agg(F.sum("n").alias("exact"))
+        counted = (
+            nodes.select("node", "m")
+            .join(direct, F.col("node") == F.col("a"), "left")
+            .join(exact, "node", "left")
+            .join(dense.select("node", F.lit(True).alias("dense")), "node", "left")
+            .join(full.select("node", "top"), "node", "left")
+            .select(
+                "node", "m", F.coalesce("top", F.lit(-1.0)).alias("top"), F.coalesce("dense", F.lit(False)).alias("dense"),
+                (F.coalesce("direct", F.lit(0)) + F.coalesce("exact", F.lit(0)) - F.when(F.col("dense"), F.col("m")).otherwise(0)).cast("long").alias("n"),
+            )
+        )
+        counted = cut(counted)
+        if audit(nodes, counted, conf) >= conf.target:
             break
-        limits = limits.select("node", F.least(F.col("k") * 2, F.lit(conf.longest_list)).alias("k"))
+        limits = cut(built.select("node", F.least(F.col("k") * 2, F.lit(conf.longest_list)).alias("k")))
         lists = lists.withColumn("fresh", F.lit(True))
 
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    direct = both.join(nodes.select(F.col("node").alias("b"), F.col("m")), "b").groupBy("a").agg(F.sum("m").alias("n"))
+    crossing = tiled.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    # members of a dense component are one component already; the others come by their links
+    inside = dense.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = cut(components(cut(links.select("a", "b").union(crossing).union(inside))))
     per_node = (
-        nodes.select("node", "m")
-        .join(direct, F.col("node") == F.col("a"), "left")
-        .join(tiled.withColumnRenamed("n", "exact"), "node", "left")
-        .select("node", F.coalesce(F.col("exact") - 1, F.coalesce("n", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"))
-        .join(groups, F.col("node") == F.col("id"), "left")
-        .select("node", "n_links", F.coalesce("component", "node").alias("component_id"))
+        counted.join(groups, F.col("node") == F.col("id"), "left")
+        .select("node", (F.col("n") + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     )
     linked = members.join(per_node, "node").select(F.col("id").alias("__id"), "n_links", "component_id")
     every = table.select(F.col(id_col)).distinct()

@@ -272,6 +272,37 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.filter("false")).count() == 0
 
 
+def exact_vectors(rows, threshold=0.93):
+    """n_links and components of (vector, label) rows, by brute force."""
+    x = np.array([v for v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lab = np.array([label for _, label in rows])
+    near = (x @ x.T >= threshold) & (lab[:, None] == lab[None, :])
+    np.fill_diagonal(near, False)
+    comp = brute_components(range(len(rows)), [tuple(p) for p in np.argwhere(np.triu(near)).tolist()])
+    return near.sum(axis=1), comp
+
+
+def two_groups(rng, size, cosine, dim=32):
+    """Two tight groups whose members are at about that cosine."""
+    basis = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    other = cosine * basis[0] + np.sqrt(1 - cosine * cosine) * basis[1]
+    return [c + 0.003 * rng.standard_normal(dim) for c in (basis[0], other) for _ in range(size)]
+
+
+def test_near_vectors_between_groups(spark):
+    """Links between dense groups, and between them and single vectors, are all found, and the groups join."""
+    rng = np.random.default_rng(5)
+    rows = [(v, 1) for v in two_groups(rng, 60, 0.95)]
+    bridge = rows[0][0] + 0.9 * (rows[0][0] - rows[60][0])
+    rows += [(bridge, 1), (rows[0][0], 2)] + [(v, 1) for v in two_groups(rng, 20, 0.94)] + [(rng.standard_normal(32), 1) for _ in range(200)]
+    df = spark.createDataFrame([(i, [float(z) for z in v], label) for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    n_links, comp = exact_vectors(rows)
+    assert comp[60] == 0 and n_links[0] >= 119
+    got = {r.vec_id: r for r in near_vectors.near_vectors(df, near_vectors.Descent(tile=16)).collect()}
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(rows))] == [(n_links[i], comp[i], comp[i] == i) for i in range(len(rows))]
+
+
 def test_lm_scores(docs, empty):
     for order in (2, 3):
         rows = docs.collect()
