@@ -5,7 +5,8 @@ by side, and improves by joining neighbours with neighbours' neighbours until fe
 threshold are saturated: their lists are enlarged, and the component of what stays saturated is dense. A dense component is compared
 in tiles with every node of its label that the triangle inequality on angles leaves within reach of it, so that no list length cuts
 links off, neither within the component nor between it and others. What is left are links between sparse nodes: a brute-force audit
-measures their recall; below the target the descent goes on with longer lists. Links are measured in double precision.
+measures their recall; below the target the descent goes on with longer lists, and after the last round the sparse
+nodes of a label are compared with each other in full. Links are measured in double precision.
 
 Defined results: vectors or labels that are null, and vectors that are empty, zero or hold null or non-finite components,
 link with nothing and are their own component; vectors of different lengths never link; repeated vec_ids are one vector
@@ -33,7 +34,9 @@ class Descent:
     codes: int = 6
     code_bits: int = 12
     run: int = 256
-    iterations: int = 3
+    #: A descent ends when this share of the list entries is new, or after so many steps.
+    settled: float = 0.001
+    iterations: int = 12
     #: Bounded samples for the audit, which grow until they have so many true links, and the recall they must show.
     audit_nodes: int = 512
     audit_most: int = 8192
@@ -85,6 +88,8 @@ def unit_vectors(table: DataFrame, id_col: str, vec_col: str, label_col: str) ->
 def first_lists(nodes: DataFrame, conf: Descent) -> DataFrame:
     """(a, b, sim): the best partners within runs of vectors with like sign codes, for each of several codes."""
     parts = shuffle_width(nodes.sparkSession)
+    # a code tells apart as many cells as there are nodes, so that a run holds like vectors however large a label is
+    bits = min(60, max(conf.code_bits, nodes.count().bit_length()))
 
     def coded(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +98,9 @@ def first_lists(nodes: DataFrame, conf: Descent) -> DataFrame:
                 code = np.zeros(batch.num_rows, np.int64)
                 for dim in np.unique(dims):
                     at = np.flatnonzero(dims == dim)
-                    planes = np.random.default_rng([number, int(dim)]).standard_normal((int(dim), conf.code_bits))
+                    planes = np.random.default_rng([number, int(dim)]).standard_normal((int(dim), bits))
                     signs = _rows(_get(batch, "half").take(pa.array(at)), np.float16).astype(np.float32) @ planes > 0
-                    code[at] = signs @ (1 << np.arange(conf.code_bits)[::-1])
+                    code[at] = signs @ (1 << np.arange(bits)[::-1])
                 yield pa.RecordBatch.from_arrays([*(_get(batch, c) for c in ("node", "label", "dim", "half")), pa.array(code)], ["node", "label", "dim", "half", "code"])
 
         return run
@@ -254,6 +259,20 @@ def _dense_counts(nodes: DataFrame, dense: DataFrame, conf: Descent) -> DataFram
     return tiles.groupBy("component", "i", "j").applyInPandas(count, "node long, n long, other long")
 
 
+def _all_pairs(nodes: DataFrame, conf: Descent) -> DataFrame:
+    """(a, b), a < b: every link between the nodes, from tiles of blocks of each label."""
+    import pandas as pd
+
+    def links(key, pdf):
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        i, j = np.nonzero(_stack(left.unit) @ _stack(right.unit).T >= conf.threshold)
+        a, b = left.node.to_numpy()[i], right.node.to_numpy()[j]
+        return pd.DataFrame({"a": a[a < b], "b": b[a < b]})
+
+    own = nodes.select("label", "dim", "node", "unit")
+    return _sided(own, own, ["label", "dim"], conf.tile, ["node", "unit"]).groupBy("label", "dim", "i", "j").applyInPandas(links, "a long, b long")
+
+
 def audit(nodes: DataFrame, counted: DataFrame, conf: Descent) -> float:
     """The least recall among sparse nodes, sparse nodes with like neighbours, and dense nodes. counted: (node, n, top, dense), n the vectors
     of other nodes that it links with. Samples grow until they hold enough true links, or all nodes; sparse samples with too few count as one."""
@@ -306,30 +325,34 @@ def near_vectors(table: DataFrame, conf: Descent = Descent(), id_col: str = "vec
     lists = cut(best_lists(first_lists(nodes, conf).withColumn("fresh", F.lit(True)), limits))
     both_ways = lambda pairs: pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weights = nodes.select(F.col("node").alias("b"), "m")
-    for turn in range(conf.rounds):
+    for turn in range(conf.rounds + 1):
         built = limits  # what the lists were cut to
-        for _ in range(conf.iterations):
-            # full lists that end above the threshold are saturated and grow
-            low = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"))
-            limits = cut(
-                limits.join(low, F.col("node") == F.col("a"), "left").select(
-                    "node", F.when((F.col("n") >= F.col("k")) & (F.col("low") >= conf.threshold), F.least(F.col("k") * 2, F.lit(conf.longest_list))).otherwise(F.col("k")).alias("k")
+        if turn < conf.rounds:
+            for _ in range(conf.iterations):
+                # full lists that end above the threshold are saturated and grow
+                low = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"))
+                limits = cut(
+                    limits.join(low, F.col("node") == F.col("a"), "left").select(
+                        "node", F.when((F.col("n") >= F.col("k")) & (F.col("low") >= conf.threshold), F.least(F.col("k") * 2, F.lit(conf.longest_list))).otherwise(F.col("k")).alias("k")
+                    )
                 )
-            )
-            better = neighbour_join(lists, nodes, limits).withColumn("fresh", F.lit(True))
-            lists, built = cut(best_lists(lists.withColumn("fresh", F.lit(False)).unionByName(better), limits)), limits
-            if not lists.filter("fresh").limit(1).count():
-                break
-        links = cut(measured(lists.filter(F.col("sim") >= conf.threshold - conf.margin), nodes, conf.threshold))
-        groups = cut(components(links))
-        full = lists.groupBy("a").agg(F.min("sim").alias("low"), F.max("sim").alias("top"), F.count(F.lit(1)).alias("n")).join(built, F.col("a") == F.col("node"))
-        full = cut(full.select("node", "top", ((F.col("n") >= F.col("k")) & (F.col("low") >= conf.threshold - conf.margin)).alias("full")))
-        # a saturated node may lack a measured link (all its list in the margin): then it is a component of its own
-        owned = nodes.select("node").join(groups, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("component"))
-        dense = owned.join(full.filter("full"), "node", "left_semi").select("component").distinct()
-        dense = cut(owned.join(dense, "component", "left_semi").select("component", "node"))
-        tiled = cut(_dense_counts(nodes, dense, conf))
-        links = links.join(dense, F.col("a") == F.col("node"), "left_anti")
+                better = neighbour_join(lists, nodes, limits).withColumn("fresh", F.lit(True))
+                lists, built = cut(best_lists(lists.withColumn("fresh", F.lit(False)).unionByName(better), limits)), limits
+                fresh, entries = lists.agg(F.count_if("fresh"), F.count(F.lit(1))).first()
+                if fresh <= conf.settled * entries:
+                    break
+            links = cut(measured(lists.filter(F.col("sim") >= conf.threshold - conf.margin), nodes, conf.threshold))
+            groups = cut(components(links))
+            full = lists.groupBy("a").agg(F.min("sim").alias("low"), F.max("sim").alias("top"), F.count(F.lit(1)).alias("n")).join(built, F.col("a") == F.col("node"))
+            full = cut(full.select("node", "top", ((F.col("n") >= F.col("k")) & (F.col("low") >= conf.threshold - conf.margin)).alias("full")))
+            # a saturated node may lack a measured link (all its list in the margin): then it is a component of its own
+            owned = nodes.select("node").join(groups, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("component"))
+            dense = owned.join(full.filter("full"), "node", "left_semi").select("component").distinct()
+            dense = cut(owned.join(dense, "component", "left_semi").select("component", "node"))
+            tiled = cut(_dense_counts(nodes, dense, conf))
+            links = links.join(dense, F.col("a") == F.col("node"), "left_anti")
+        else:  # the descent has missed the target: sparse nodes are compared in full
+            links = cut(_all_pairs(nodes.join(dense, "node", "left_anti"), conf))
         direct = both_ways(links).join(weights, "b").groupBy("a").agg(F.sum("m").alias("direct"))
         exact = tiled.groupBy("node").agg(F.sum("n").alias("exact"))
         counted = (
@@ -344,7 +367,7 @@ def near_vectors(table: DataFrame, conf: Descent = Descent(), id_col: str = "vec
             )
         )
         counted = cut(counted)
-        if audit(nodes, counted, conf) >= conf.target:
+        if turn == conf.rounds or audit(nodes, counted, conf) >= conf.target:
             break
         limits = cut(built.select("node", F.least(F.col("k") * 2, F.lit(conf.longest_list)).alias("k")))
         lists = lists.withColumn("fresh", F.lit(True))

@@ -303,6 +303,18 @@ def test_near_vectors_between_groups(spark):
     assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(rows))] == [(n_links[i], comp[i], comp[i] == i) for i in range(len(rows))]
 
 
+def test_near_vectors_missed_target(spark, monkeypatch):
+    """Where the descent finds nothing, the audit sees it and the links still come out whole."""
+    rng = np.random.default_rng(6)
+    rows = [(c + 0.03 * rng.standard_normal(16), 1) for c in rng.standard_normal((300, 16)) for _ in range(2)]
+    df = spark.createDataFrame([(i, [float(z) for z in v], label) for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    n_links, comp = exact_vectors(rows)
+    some = near_vectors.measured
+    monkeypatch.setattr(near_vectors, "measured", lambda *a: some(*a).filter("a % 4 = 0"))
+    got = {r.vec_id: r for r in near_vectors.near_vectors(df, near_vectors.Descent(rounds=1)).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(rows))] == [(n_links[i], comp[i]) for i in range(len(rows))]
+
+
 def test_lm_scores(docs, empty):
     for order in (2, 3):
         rows = docs.collect()
