@@ -39,7 +39,8 @@ class Forest:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str, conf: Forest) -> DataFrame:
-    """(id, position, path, value, raw, before, before2, after): position counts the words between white space."""
+    """(id, position, piece, path, value, head, tail, before, before2, after): position counts the words between white space, piece the long runs
+    of a word. head and tail are the word's text next to the run, head with the run before it; before and after are the words around."""
     long_run = f"[A-Za-z0-9+/=_.@-]{{{conf.min_length},}}"
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(path_col, F.lit("")).alias("path"), F.col(text_col).alias("text")).filter(F.col("text").rlike(long_run))
     parts = own.select("id", "path", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
@@ -61,8 +62,14 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str, conf:
             )
         ).alias("c"),
     )
-    value = F.regexp_extract("c.raw", f"({long_run})", 1)
-    return exploded.select("id", F.col("c.position").cast("long").alias("position"), "path", value.alias("value"), "c.raw", "c.before", "c.before2", "c.after").filter("value <> ''")
+    split = exploded.withColumns({"values": F.regexp_extract_all("c.raw", F.lit(long_run), F.lit(0)), "gaps": F.split("c.raw", long_run, -1)})
+    pieces = split.select("*", F.posexplode("values").alias("piece", "value"))
+    head = F.concat(F.coalesce(F.get("values", F.col("piece") - 1), F.lit("")), F.get("gaps", F.col("piece")))
+    last = F.col("piece") == F.size("values") - 1
+    tail = F.get("gaps", F.col("piece") + 1)
+    return pieces.select(
+        "id", F.col("c.position").cast("long").alias("position"), "piece", "path", "value", head.alias("head"), tail.alias("tail"), "c.before", "c.before2", F.when(last, F.col("c.after")).otherwise(tail).alias("after")
+    )
 
 
 def dictionary(docs: DataFrame, text_col: str, runs: DataFrame, conf: Forest) -> DataFrame:
@@ -79,10 +86,16 @@ def _share(pattern: str, value: str = "value") -> Column:
 
 def featured(found: DataFrame, docs: DataFrame, text_col: str, conf: Forest) -> DataFrame:
     """The candidates with FEATURES."""
-    runs = found.select("id", "position", F.explode(F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda w: F.length(w) >= conf.word_letters)).alias("run"))
-    known = runs.join(dictionary(docs, text_col, runs, conf), "run").groupBy("id", "position").agg(F.sum(F.length("run")).alias("letters"))
-    joined = found.join(known.withColumnsRenamed({"id": "k_id", "position": "k_position"}), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("position") == F.col("k_position")), "left")
-    near = F.lower(F.concat_ws(" ", "before2", "before", "raw"))
+    runs = found.select("id", "position", "piece", F.explode(F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda w: F.length(w) >= conf.word_letters)).alias("run"))
+    known = runs.join(dictionary(docs, text_col, runs, conf), "run").groupBy("id", "position", "piece").agg(F.sum(F.length("run")).alias("letters"))
+    joined = found.join(
+        known.withColumnsRenamed({"id": "k_id", "position": "k_position", "piece": "k_piece"}),
+        F.col("id").eqNullSafe(F.col("k_id")) & (F.col("position") == F.col("k_position")) & (F.col("piece") == F.col("k_piece")),
+        "left",
+    )
+    # the name of a value is in the text before it in its word, or else in the words before
+    named = F.col("head").rlike("[A-Za-z0-9]")
+    near = F.lower(F.when(named, F.concat_ws(" ", "head", "value")).otherwise(F.concat_ws(" ", "before2", "before", "value")))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     n = F.length("value")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
@@ -96,9 +109,9 @@ def featured(found: DataFrame, docs: DataFrame, text_col: str, conf: Forest) ->
         flag(F.col("value").rlike("^[0-9a-fA-F]+$")).alias("hexadecimal"),
         F.least(F.coalesce(F.col("letters") / n, F.lit(0.0)), F.lit(1.0)).alias("covered"),
         flag(F.lower("path").rlike("|".join(EXAMPLE_PATHS))).alias("example_path"),
-        flag(near.rlike(rf"\b({'|'.join(KEYWORDS)})\b")).alias("keyword"),
-        flag(F.col("before").rlike("[=:]$") | F.col("raw").rlike("^[A-Za-z_]+[=:]")).alias("assigned"),
-        flag(F.col("raw").rlike("[\"'`]")).alias("quoted"),
+        flag(near.rlike(rf"(^|[^a-z0-9])({'|'.join(KEYWORDS)})([^a-z0-9]|$)")).alias("keyword"),
+        flag(F.when(named, F.col("head").rlike("[=:][\"'`]*$")).otherwise(F.coalesce(F.col("before").rlike("[=:]$"), F.lit(False))) | F.col("value").rlike("^[A-Za-z_][A-Za-z0-9_]*=[^=]")).alias("assigned"),
+        flag(F.col("head").rlike("[\"'`]$") | F.col("tail").rlike("^[\"'`]")).alias("quoted"),
         flag(F.col("value").contains("@") | F.col("value").rlike(r"^\d+([.]\d+)+$")).alias("address"),
         flag(F.col("after").rlike("^[a-z]+")).alias("next_alpha"),
     )
@@ -117,14 +130,16 @@ def train(findings: DataFrame, conf: Forest):
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", conf: Forest = Forest()) -> DataFrame:
-    """(id, position, path, value, FEATURES, probability, kept) of every candidate. labelled: (id, position, label) of
-    findings that people or rules have judged; without it the rule of `rule_labels` judges."""
+    """(id, position, piece, path, value, FEATURES, probability, kept) of every candidate. labelled: (id, position, label) and maybe piece (else
+    the first, 0) of findings that people or rules have judged; without it the rule of `rule_labels` judges."""
     found = cut(featured(cut(candidates(docs, id_col, text_col, path_col, conf)), docs, text_col, conf))
     if labelled is None:
         judged = found.withColumn("label", rule_labels())
     else:
-        own = labelled.select(F.col(id_col).alias("l_id"), F.col("position").alias("l_position"), F.col("label").cast("int").alias("label")).dropDuplicates(["l_id", "l_position"])
-        judged = found.join(own, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("position") == F.col("l_position")), "left").drop("l_id", "l_position")
+        piece = F.col("piece") if "piece" in labelled.columns else F.lit(0)
+        own = labelled.select(F.col(id_col).alias("l_id"), F.col("position").alias("l_position"), piece.alias("l_piece"), F.col("label").cast("int").alias("label")).dropDuplicates(["l_id", "l_position", "l_piece"])
+        same = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("position") == F.col("l_position")) & (F.col("piece") == F.col("l_piece"))
+        judged = found.join(own, same, "left").drop("l_id", "l_position", "l_piece")
     model = train(judged, conf)
     if model is None:
         out = found.withColumn("probability", F.lit(1.0))
@@ -144,6 +159,6 @@ def rule_labels() -> Column:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """One row per candidate; the value itself only as a hash."""
+    """One row per candidate, so several for a word with several; the value itself only as a hash."""
     out = scan(docs.select("doc_id", "text", "source"))
     return out.select("doc_id", "position", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "kept")

@@ -372,3 +372,18 @@ def test_secrets(spark, docs, empty):
     assert np.mean([r.kept == (r.doc_id % 4 == 2) for r in secret_forest.scan(df, labelled).collect()]) > 0.9
     assert secret_forest.secret_digest(empty).count() == 0
     assert secret_forest.secret_digest(docs).columns == ["doc_id", "position", "value_sha256", "probability", "kept"]
+
+
+def test_secret_pieces(spark):
+    """Every long run of a word is a candidate with its own surroundings."""
+    one, two = "a1B2c3D4e5" * 4, "f6G7h8I9j0" * 4
+    texts = [f'AWS_SECRET_ACCESS_KEY="{one}"', f'{{"id":"{two[:24]}","api_key":"{one}"}}', f"x https://long-host.example.com/path?token={one}", f"{one};{two}"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.position, r.piece): r for r in secret_forest.scan(df).collect()}
+    values = {k: r.value for k, r in got.items()}
+    assert values == {
+        (0, 0, 0): "AWS_SECRET_ACCESS_KEY=", (0, 0, 1): one, (1, 0, 0): two[:24], (1, 0, 1): one, (2, 1, 0): "//long-host.example.com/path", (2, 1, 1): f"token={one}", (3, 0, 0): one, (3, 0, 1): two,
+    }
+    flags = {k: (r.keyword, r.assigned, r.quoted) for k, r in got.items()}
+    assert flags[0, 0, 1] == flags[1, 0, 1] == (1, 1, 1) and flags[1, 0, 0] == (0, 1, 1) and flags[2, 1, 1] == (1, 1, 0) and flags[3, 0, 1] == (0, 0, 0)
+    assert secret_forest.secret_digest(df).count() == 8
