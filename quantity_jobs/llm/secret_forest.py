@@ -151,11 +151,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
 
 
 def rule_labels() -> Column:
-    """Labels of findings where nobody has judged any: a checksum of the value decides which are judged (nine in ten); a quoted
-    value of one piece with letters and digits mixed, no address and no plain number, counts as a true finding."""
+    """Labels of findings where nobody has judged any: a checksum of the value decides which are judged (nine in ten). A value of one piece, or a JWT,
+    with letters and digits mixed, no address and no plain number, counts as a true finding where it is quoted, assigned or announced by a
+    keyword; without such evidence it is unclear and stays unjudged, as does an announced value of other form with digits in it. The rest is false."""
     judged = F.crc32(F.col("value").cast("binary")) % 10 != 0
-    true = F.col("value").rlike("^[A-Za-z0-9+/_=-]{20,}$") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.col("address") == 0) & (F.col("quoted") == 1)
-    return F.when(judged, true.cast("int"))
+    form = F.col("value").rlike("^[A-Za-z0-9+/_=-]{20,}$") | F.col("value").rlike(r"(^|=)eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]*$")
+    form = form & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.col("address") == 0)
+    shown = (F.col("quoted") == 1) | (F.col("assigned") == 1) | (F.col("keyword") == 1)
+    unclear = (form & ~shown) | (~form & (F.col("keyword") == 1) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.col("address") == 0))
+    return F.when(judged & ~unclear, (form & shown).cast("int"))
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:

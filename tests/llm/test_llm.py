@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantity_jobs.llm import decontam, jaccard_join, line_dedup, lm_scores, near_vectors, packing, secret_forest, sharding, toxicity, warc
 from quantity_jobs.llm.components import components
@@ -387,3 +388,20 @@ def test_secret_pieces(spark):
     flags = {k: (r.keyword, r.assigned, r.quoted) for k, r in got.items()}
     assert flags[0, 0, 1] == flags[1, 0, 1] == (1, 1, 1) and flags[1, 0, 0] == (0, 1, 1) and flags[2, 1, 1] == (1, 1, 0) and flags[3, 0, 1] == (0, 0, 0)
     assert secret_forest.secret_digest(df).count() == 8
+
+
+def test_secret_forms(spark):
+    """Secrets without quotes count as true findings; unclear values are not judged."""
+    rng = random.Random(4)
+    hexa = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    forms = [lambda: f"PASSWORD={hexa()}", lambda: f"api_key: {hexa()}", lambda: f"Authorization: Bearer {hexa()}", lambda: f"export MY_TOKEN={hexa()}", lambda: f"token: eyJ{hexa(12)}.eyJ{hexa(30)}.{hexa(20)}", lambda: f'token = "{hexa()}"']
+    noise = [lambda: "9807915762804490", lambda: f"alpha.beta{rng.randrange(99)}@mail.example.com", lambda: "alphabetagammadeltaalpha", lambda: "www.long-host.example.com/path"]
+    rows = [(i, f"alpha beta {(forms[i // 2 % 6] if i % 2 else noise[i // 2 % 4])()} gamma delta", "src") for i in range(480)]
+    got = secret_forest.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in got.groupBy((F.col("doc_id") % 2).alias("secret"), (F.floor(F.col("doc_id") / 2) % 6).alias("form")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect():
+        assert r.kept > 0.95 if r.secret else r.kept < 0.05, r
+    found = [("a1" * 20, 0, 0, 0, 0), ("a1" * 20, 0, 0, 1, 0), ("a1" * 20, 0, 1, 0, 0), ("a1" * 20, 1, 0, 0, 0), ("a1.b" * 10, 0, 0, 1, 0), ("a1.b" * 10, 1, 0, 0, 0), ("1" * 20, 1, 1, 1, 0)]
+    rules = spark.createDataFrame(found, "value string, quoted int, assigned int, keyword int, address int").filter("crc32(cast(value AS binary)) % 10 <> 0")
+    expected = {found[0][:4]: None, **{f[:4]: 1 for f in found[1:4]}, found[4][:4]: None, found[5][:4]: 0, found[6][:4]: 0}
+    judged = {(r.value, r.quoted, r.assigned, r.keyword): r.label for r in rules.withColumn("label", secret_forest.rule_labels()).collect()}
+    assert len(judged) >= 4 and all(expected[k] == v for k, v in judged.items())
