@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import json
 import re
 
@@ -116,3 +117,51 @@ def _even_slashes(body: str, k: int) -> bool:
     while k - n > 0 and body[k - n - 1] == "\\":
         n += 1
     return n % 2 == 0
+
+
+def touching_groups(lines: list[list], touch: float) -> list[list[int]]:
+    """Numbers of the lines (x1, y1, x2, y2, ...) by groups whose ends come closer than touch, directly or through others."""
+    root = list(range(len(lines)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    cells: dict[tuple[int, int], list[tuple[float, float, int]]] = {}
+    for k, line in enumerate(lines):
+        for x, y in (line[:2], line[2:4]):
+            cx, cy = math.floor(x / touch), math.floor(y / touch)
+            for cell in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                for px, py, other in cells.get(cell, ()):
+                    if math.hypot(x - px, y - py) < touch:
+                        a, b = top(k), top(other)
+                        root[max(a, b)] = min(a, b)
+            cells.setdefault((cx, cy), []).append((x, y, k))
+    groups: dict[int, list[int]] = {}
+    for k in range(len(lines)):
+        groups.setdefault(top(k), []).append(k)
+    return list(groups.values())
+
+
+def fuse_touching(lines: list[list], angle: float, touch: float) -> list[list]:
+    """Lines (x1, y1, x2, y2, members) fused in order, to a fixed point, while two are within angle and have ends closer than touch."""
+    lines_, changed = list(lines), True
+    while changed:
+        changed = False
+        for i in range(len(lines_)):
+            j = i + 1
+            while j < len(lines_):
+                a, b = lines_[i], lines_[j]
+                near = min(math.hypot(p[0] - q[0], p[1] - q[1]) for p in (a[:2], a[2:4]) for q in (b[:2], b[2:4]))
+                da, db = (math.degrees(math.atan2(z[3] - z[1], z[2] - z[0])) % 180 for z in (a, b))
+                turn = abs(da - db) % 180
+                if near < touch and min(turn, 180 - turn) <= angle:
+                    points = [a[:2], a[2:4], b[:2], b[2:4]]
+                    p, q = max(((p, q) for k, p in enumerate(points) for q in points[k + 1 :]), key=lambda z: math.hypot(z[0][0] - z[1][0], z[0][1] - z[1][1]))
+                    lines_[i] = [*p, *q, a[4] + b[4]]
+                    lines_.pop(j)
+                    changed = True
+                else:
+                    j += 1
+    return lines_

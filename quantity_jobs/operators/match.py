@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import angle_180, angle_gap, box_iou, clamp, distance, point_segment_distance, polygon_area, round_half_up as half_up
 from .clean import segment_bbox
-from .kernels import greedy_pairs, merge_runs
+from .kernels import fuse_touching, greedy_pairs, merge_runs, touching_groups
 
 P = "project_id"
 
@@ -300,40 +300,22 @@ def merge_collinear(segments: DataFrame, align: float = 8.0, gap: float = 15.0)
 
 def merge_touching(segments: DataFrame, angle: float = 8.0, touch: float = 12.0) -> DataFrame:
     """(project_id, page_index, x1, y1, x2, y2, members): segments of any direction fused while two are within `angle` degrees and have ends closer than `touch`; the farthest pair of ends remains.
-    Repeats to a fixed point within the page; only segments with some such neighbour go there."""
+    Repeats to a fixed point among segments whose ends touch, directly or through others: a fused segment keeps ends of its members, so fusion never leaves such
+    a group, while its angle may come to fit a segment that fitted none before. Only segments that touch another go there."""
     lines = measured_lines(segments).select(P, "page_index", F.struct(*LINE).alias("l"))
     ends = lines.select(P, "page_index", "l", F.explode(F.array(F.struct(F.col("l.x1").alias("x"), F.col("l.y1").alias("y")), F.struct(F.col("l.x2").alias("x"), F.col("l.y2").alias("y")))).alias("e"))
     grid = ends.withColumn("gx", F.floor(F.col("e.x") / touch)).withColumn("gy", F.floor(F.col("e.y") / touch))
     wide = grid.withColumn("gx", F.explode(F.array(*(F.col("gx") + d for d in (-1, 0, 1))))).withColumn("gy", F.explode(F.array(*(F.col("gy") + d for d in (-1, 0, 1)))))
     pairs = wide.alias("p").join(grid.alias("q"), [P, "page_index", "gx", "gy"]).filter(
-        (F.col("p.l.seq") != F.col("q.l.seq")) & (distance("p.e.x", "p.e.y", "q.e.x", "q.e.y") < touch) & (angle_gap(F.col("p.l.angle"), F.col("q.l.angle")) <= angle)
+        (F.col("p.l.seq") != F.col("q.l.seq")) & (distance("p.e.x", "p.e.y", "q.e.x", "q.e.y") < touch)
     )
     some = pairs.select(P, "page_index", F.col("p.l.seq").alias("seq")).distinct()
 
     def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
         lines_ = [[r.x1, r.y1, r.x2, r.y2, 1] for r in pdf.sort_values("seq").itertuples()]
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(lines_)):
-                j = i + 1
-                while j < len(lines_):
-                    a, b = lines_[i], lines_[j]
-                    da, db = (math.degrees(math.atan2(z[3] - z[1], z[2] - z[0])) % 180 for z in (a, b))
-                    turn = abs(da - db) % 180
-                    near = min(math.hypot(p[0] - q[0], p[1] - q[1]) for p in (a[:2], a[2:4]) for q in (b[:2], b[2:4]))
-                    if min(turn, 180 - turn) <= angle and near < touch:
-                        points = [a[:2], a[2:4], b[:2], b[2:4]]
-                        p, q = max(((p, q) for k, p in enumerate(points) for q in points[k + 1 :]), key=lambda z: math.hypot(z[0][0] - z[1][0], z[0][1] - z[1][1]))
-                        lines_[i] = [*p, *q, a[4] + b[4]]
-                        lines_.pop(j)
-                        changed = True
-                    else:
-                        j += 1
+        out = [line for group in touching_groups(lines_, touch) for line in fuse_touching([lines_[k] for k in group], angle, touch)]
         first = pdf.iloc[0]
-        return pd.DataFrame(lines_, columns=["x1", "y1", "x2", "y2", "members"]).assign(**{P: first[P], "page_index": first["page_index"]})[[P, "page_index", "x1", "y1", "x2", "y2", "members"]]
+        return pd.DataFrame(out, columns=["x1", "y1", "x2", "y2", "members"]).assign(**{P: first[P], "page_index": first["page_index"]})[[P, "page_index", "x1", "y1", "x2", "y2", "members"]]
 
     own = segments.select(P, "page_index", "seq", "x1", "y1", "x2", "y2")
     alone = own.join(some, [P, "page_index", "seq"], "left_anti").select(P, "page_index", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("members"))

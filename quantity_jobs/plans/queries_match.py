@@ -77,7 +77,7 @@ def dedup_wall_lines(t):
 
 @query()
 def raycast_class(t):
-    own = _segments(t).filter("thickness_pct < 3").select("project_id", "page_index", "seq", "x1", "y1", "x2", "y2", F.lit(4.0).alias("thickness"), F.lit(0.1).alias("eps"))
+    own = _segments(t).select("project_id", "page_index", "seq", "x1", "y1", "x2", "y2", F.lit(4.0).alias("thickness"), F.lit(0.1).alias("eps"))
     return match.raycast_class(own)
 
 
@@ -124,7 +124,7 @@ def merge_collinear(t):
 
 @query()
 def merge_touching(t):
-    return match.merge_touching(_segments(t).filter("seq % 4 = 0"))
+    return match.merge_touching(_segments(t))
 
 
 def _bim(t):

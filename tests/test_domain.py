@@ -170,6 +170,26 @@ def test_parallel_pairs(spark):
     assert match.parallel_pairs(df.repartition(7)).count() == len(got)
 
 
+def test_whole_pages(spark):
+    """raycast_class and merge_touching bear every segment of a page; a fused line may come to fit one that fitted none."""
+    from quantity_jobs.plans import queries_match
+
+    rows = [(1, 0, k, *line, pct) for k, (line, pct) in enumerate([((100.0, 100.0, 300.0, 100.0), 1), ((100.0, 50.0, 300.0, 50.0), 9), ((100.0, 150.0, 300.0, 150.0), 9), ((305.0, 100.0, 500.0, 100.0), 9)])]
+    segments = spark.createDataFrame(rows, "project_id long, page_index int, seq long, x1 double, y1 double, x2 double, y2 double, thickness_pct long")
+    own, queries_match._segments = queries_match._segments, lambda t: t("segments")
+    try:
+        rays = {r.seq: r.wall_class for r in queries_match.raycast_class(lambda name: segments).collect()}
+        touched = queries_match.merge_touching(lambda name: segments).collect()
+    finally:
+        queries_match._segments = own
+    assert rays == {0: "internal", 1: "external", 2: "external", 3: "external"}
+    assert sorted(r.members for r in touched) == [1, 1, 2]
+    # the third, at 14 degrees, touches only the first, at 0; it fits the line that the first makes with the second, at 7
+    chain = [(1, 0, 0, 0.0, 0.0, 20.0, 0.0), (1, 0, 1, 20.0, 0.0, 320.0, 36.8), (1, 0, 2, 0.0, 0.0, -200.0, -49.9), (1, 0, 3, 900.0, 900.0, 950.0, 900.0)]
+    fused = match.merge_touching(spark.createDataFrame(chain, "project_id long, page_index int, seq long, x1 double, y1 double, x2 double, y2 double")).collect()
+    assert sorted(r.members for r in fused) == [1, 3]
+
+
 def test_match_endpoints(spark):
     rows = [wall(k, box=(float(100 * k), 100.0, float(100 * k + 6), 300.0)) for k in range(1, 6)]
     segs = [(1, k, "Terreo", 0, 100.0, 100.0 * k + 3, 300.0, 100.0 * k + 3, 1.2) for k in (1, 2, 2, 4)]
