@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -37,6 +38,62 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Texts are worked on in runs of about so many bytes, which bounds what a worker holds beside its Arrow batch.
+RUN_BYTES = 8 << 20
+
+
+def text_runs(batch: pa.RecordBatch, name: str, most: int = RUN_BYTES) -> Iterator[tuple[int, pa.StringArray]]:
+    """(first row, texts) of slices of about `most` bytes; null gives an empty text."""
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def split_words(texts: pa.StringArray, letters: bytes) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of a run of texts one after another, and how many each text has. `letters` maps bytes; words lie between ASCII white space."""
+    texts = texts if texts.offset == 0 else pa.concat_arrays([texts])
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
+    raw = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]).translate(letters)
+    mapped = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw))
+    lists = pc.ascii_split_whitespace(mapped)
+    flat, counts = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # white space at either end of a text leaves an empty piece
+    empty = np.flatnonzero(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))
+    if len(empty):
+        counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[empty], minlength=len(counts))
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat, counts
+
+
+def slices(values: pa.StringArray) -> list[bytes]:
+    """The values as bytes, many times faster than to_pylist; without nulls."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset :][: len(values) + 1].tolist() if len(values) else [0]
+    raw = memoryview(values.buffers()[2] or b"")[: offsets[-1]].tobytes()
+    return [raw[i:j] for i, j in zip(offsets, offsets[1:])]  # noqa: B905, RUF007
+
+
+def hash_all(items: list[bytes], seed: int = 0) -> np.ndarray:
+    """64-bit hashes."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in items), np.uint64, len(items))
+
+
+def hashed_words(texts: pa.StringArray, letters: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of a run's words, one after another, and how many each text has; every distinct word is hashed once."""
+    flat, counts = split_words(texts, letters)
+    coded = flat.dictionary_encode()
+    own = hash_all(slices(coded.dictionary))
+    return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64), counts
+
+
+def id_hashes(ids: pa.Array, seed: int) -> np.ndarray:
+    return hash_all([str(x).encode() for x in ids.to_pylist()], seed)
+
+
 class HashCache(dict):
     """Word to 64-bit hash; forgets everything when it has grown to `limit` words."""
 
@@ -65,6 +122,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def run_shingles(word_hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of n words of each of several texts, in order, and how many each text has; a text of fewer words, but
+    some, has its whole sequence as one."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    most = max(0, len(word_hashes) - n + 1)
+    rolled = np.full(most, n, np.uint64)
+    for k in range(n):
+        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + word_hashes[k : most + k])
+    sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    last = np.cumsum(sizes)
+    out = np.zeros(int(last[-1]) if len(last) else 0, np.uint64)
+    long = counts >= n
+    at = np.repeat(starts[long] - (last - sizes)[long], sizes[long])
+    places = np.repeat(long, sizes)
+    out[places] = rolled[np.flatnonzero(places) + at]
+    for k in np.flatnonzero((counts > 0) & ~long):
+        width = int(counts[k])
+        one = np.full(1, width, np.uint64)
+        for j in range(width):
+            one = mix(one * np.uint64(0x9E3779B97F4A7C15) + word_hashes[starts[k] + j : starts[k] + j + 1])
+        out[last[k] - 1] = one[0]
+    return out, sizes
+
+
 def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words; the whole sequence as one where there are fewer, but some."""
     size = len(word_hashes)
@@ -90,8 +172,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def private(df: DataFrame, **columns: Column) -> DataFrame:
+    """(own, the named columns): the whole row as one struct, so that no name of its columns can clash, and expressions of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), *[c.alias(name) for name, c in columns.items()])
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once, into the shared checkpoint folder, and cuts its lineage there."""
+    """Computes df once, into the shared checkpoint folder, and cuts its lineage there. Spark's context cleaner removes the files of
+    frames that are no longer referenced where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 

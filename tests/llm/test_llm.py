@@ -215,7 +215,8 @@ def test_packing(docs, empty):
 def test_best_fit_is_tightest():
     rng = random.Random(1)
     lengths = sorted((rng.randrange(1, 101) for _ in range(400)), reverse=True)
-    sequences, offsets = packing.best_fit(lengths, 100)
+    fit = packing.BestFit(100)
+    sequences, offsets = (a + b for a, b in zip(fit.place(lengths[:150]), fit.place(lengths[150:]), strict=True))
     room, made = {}, 0
     for n, s, o in zip(lengths, sequences, offsets, strict=True):
         fitting = [r for r in room.values() if r >= n]
