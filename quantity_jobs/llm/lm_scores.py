@@ -2,8 +2,8 @@
 
 Documents lie in blocks. Each block sends its distinct n-grams with their numbers to the partitions of the count tables,
 dealt by hash; a partition adds the blocks' numbers up and answers each block with the counts of just the n-grams it sent, in the order
-sent. The block then joins them to its exploded n-grams and sums the scores per document. N-grams travel as 64-bit hashes
-in packed, sorted arrays, so a row of either shuffle is a block's share of a partition.
+sent. The block then joins them to its exploded n-grams and sums the scores per document. N-grams travel as hashes, as wide as
+the corpus needs, in packed, sorted arrays, so a row of either shuffle is a block's share of a partition.
 
 A word's score is the relative frequency of the longest n-gram ending at it that the table holds, times alpha for each order
 given up. N-grams of two words or more are in the table when the corpus has them at least min_count times; an n-gram's
@@ -20,48 +20,49 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import HashCache, mix, words
+from .shared import WORD_BYTES, hashed_words, mix, split_words, text_runs
 
 #: Text in a block, in bytes.
 BLOCK_BYTES = 8 << 20
 
 
-def gram_hashes(h: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the n-grams' hashes by their last word; 0 where the document has too few words before it."""
-    out = [mix(h + np.uint64(1)) | np.uint64(1)]
-    rolled = h
+#: N-grams are named by so many bits more than it takes to number all of them, 64 at most: one in 16 million shares its name with another.
+SPARE_BITS = 24
+
+
+def gram_hashes(h: np.ndarray, counts: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """For each order the n-grams' names by their last word, of a run of texts; 0 where a text has too few words before it."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    shift = np.uint64(64 - bits)
+    out, rolled = [mix(h + np.uint64(1)) >> shift | np.uint64(1)], h
     for n in range(2, order + 1):
-        if len(h) < n:
-            out.append(np.zeros(len(h), np.uint64))
-            continue
-        rolled = mix(rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :] + np.uint64(n))
-        out.append(np.concatenate([np.zeros(n - 1, np.uint64), rolled | np.uint64(1)]))
+        rolled = np.concatenate([np.zeros(min(1, len(h)), np.uint64), mix(rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(n))])
+        out.append(np.where(place >= n - 1, rolled >> shift | np.uint64(1), np.uint64(0)))
     return out
 
 
-def _block_grams(texts: list[bytes], order: int) -> tuple[list[int], list[np.ndarray]]:
-    cache, sizes, grams = HashCache(), [], [[] for _ in range(order)]
-    for text in texts:
-        h = cache.of(words(text))
-        sizes.append(len(h))
-        for k, g in enumerate(gram_hashes(h, order)):
-            grams[k].append(g)
-    return sizes, [np.concatenate(g) if g else np.zeros(0, np.uint64) for g in grams]
+def _block_grams(table: pa.Table, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many words each text of a block has, and its n-grams."""
+    batch = table.select(["text"]).combine_chunks().to_batches()
+    runs = [hashed_words(texts, WORD_BYTES) for b in batch for _, texts in text_runs(b, "text")]
+    sizes = np.concatenate([c for _, c in runs]) if runs else np.zeros(0, np.int64)
+    return sizes, gram_hashes(np.concatenate([h for h, _ in runs]) if runs else np.zeros(0, np.uint64), sizes, order, bits)
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, which compresses better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """Bytes of equal weight side by side, compressed, after the number of values."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unplanes(raw: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _unplanes(packed: bytes, kind) -> np.ndarray:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _split(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Ends of the equal ranges of the hash space in sorted hashes."""
-    return np.searchsorted(hashes, [(k << 64) // parts for k in range(1, parts)] + [(1 << 64) - 1], side="right")
+def _split(hashes: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Ends of the equal ranges of the name space in sorted names."""
+    return np.searchsorted(hashes, np.array([*((k << bits) // parts for k in range(1, parts)), (1 << bits) - 1], np.uint64), side="right")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -70,16 +71,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     parts = max(1, math.ceil(blocks / 2))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = _word_total(own)
+    bits = min(64, max(1, order * total).bit_length() + SPARE_BITS)
     # whole rows are dealt, so a null or repeated id makes no large block
     dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def send(key, table):
-        _, grams = _block_grams([x or b"" for x in table["text"].cast(pa.binary()).to_pylist()], order)
+        _, grams = _block_grams(table, order, bits)
         rows = []
         for n, g in enumerate(grams, 1):
             distinct, times = np.unique(g[g != 0], return_counts=True)
             start = 0
-            for part, end in enumerate(_split(distinct, parts).tolist()):
+            for part, end in enumerate(_split(distinct, parts, bits).tolist()):
                 if end > start:
                     deltas = np.diff(distinct[start:end], prepend=np.uint64(0))
                     rows.append({"part": part, "block": key[0].as_py(), "n": n, "grams": _planes(deltas), "times": _planes(times[start:end].astype(np.uint32))})
@@ -98,12 +101,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         return pa.table({"part": table["part"], "block": table["block"], "n": table["n"], "totals": pa.array(answers, pa.binary())})
 
     counted = sent.groupBy("part", "n").applyInArrow(count, "part int, block int, n int, totals binary")
-    total = docs.sparkSession.sparkContext.broadcast(_word_total(own))
 
     def score(key, left, right):
         if not left.num_rows:
             return left.select(["id"]).append_column("n_words", pa.array([], pa.int64())).append_column("log10_score", pa.array([], pa.float64()))
-        sizes, grams = _block_grams([x or b"" for x in left["text"].cast(pa.binary()).to_pylist()], order)
+        sizes, grams = _block_grams(left, order, bits)
         answers = pd.DataFrame({"n": right["n"].to_numpy(), "part": right["part"].to_numpy(), "totals": right["totals"].to_pylist()}).sort_values(["n", "part"])
         counts = []
         for n, g in enumerate(grams, 1):
@@ -113,9 +115,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 _, at = np.unique(g[g != 0], return_inverse=True)
                 c[g != 0] = np.concatenate(totals)[at]
             counts.append(c)
-        logs = np.log10(np.maximum(counts[0], 1)) - math.log10(max(1, total.value)) + (order - 1) * math.log10(alpha)
+        logs = np.log10(np.maximum(counts[0], 1)) - math.log10(max(1, total)) + (order - 1) * math.log10(alpha)
         # a word near the start gives up only the orders that it has
-        place = np.concatenate([np.arange(s) for s in sizes]) if sizes else np.zeros(0)
+        place = np.arange(len(logs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         logs -= np.maximum(0, order - 1 - place) * math.log10(alpha)
         for n in range(2, order + 1):
             known = counts[n - 1] >= min_count
@@ -134,7 +136,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 def _word_total(own: DataFrame) -> int:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words(t or b"")) for t in batch.column(0).cast(pa.binary()).to_pylist())], pa.int64())], ["n"])
+            n = sum(int(split_words(texts, WORD_BYTES)[1].sum()) for _, texts in text_runs(batch, "text"))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return own.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
