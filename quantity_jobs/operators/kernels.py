@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import json
 import re
+from itertools import combinations
 
 import numpy as np
 
@@ -55,19 +56,15 @@ def first_match(lengths: np.ndarray, wanted: np.ndarray, gap: float) -> tuple[np
 
 
 def merge_runs(at: np.ndarray, start: np.ndarray, end: np.ndarray, align: float, gap: float) -> np.ndarray:
-    """Group numbers for spans sorted by (at, start): a span joins the open group whose line is within `align` and whose running
-    end it meets within `gap`."""
-    groups: list[list[float]] = []  # line, end
-    out = np.zeros(len(at), int)
+    """Group numbers for spans sorted by (at, start): a span joins the last group if that group's first line is within `align` and its running end
+    meets the span within `gap`. Earlier groups lie farther off in their line, or end before the last one began, so they never match."""
+    out, group, line, reach = np.zeros(len(at), int), -1, 0.0, 0.0
     for k, (a, s, e) in enumerate(zip(at.tolist(), start.tolist(), end.tolist(), strict=True)):
-        for g in range(len(groups) - 1, -1, -1):
-            if abs(groups[g][0] - a) <= align and s - groups[g][1] <= gap:
-                groups[g][1] = max(groups[g][1], e)
-                out[k] = g
-                break
+        if group >= 0 and a - line <= align and s - reach <= gap:
+            reach = max(reach, e)
         else:
-            groups.append([a, e])
-            out[k] = len(groups) - 1
+            group, line, reach = group + 1, a, e
+        out[k] = group
     return out
 
 
@@ -77,10 +74,10 @@ def repair_json(text: str | None) -> tuple[str | None, str]:
     if not text or not text.strip():
         return None, "empty"
     body = re.sub(r"^```[a-z]*\s*|\s*```$", "", text.strip())
-    start = body.find("{")
-    if start < 0:
+    starts = [k for k in (body.find("{"), body.find("[")) if k >= 0]
+    if not starts:
         return None, "quarantine"
-    body = body[start:]
+    body = body[min(starts) :]
     stack, inside, escaped, stop = [], False, False, len(body)
     for k, c in enumerate(body):
         if inside:
@@ -145,23 +142,31 @@ def touching_groups(lines: list[list], touch: float) -> list[list[int]]:
 
 
 def fuse_touching(lines: list[list], angle: float, touch: float) -> list[list]:
-    """Lines (x1, y1, x2, y2, members) fused in order, to a fixed point, while two are within angle and have ends closer than touch."""
-    lines_, changed = list(lines), True
-    while changed:
-        changed = False
-        for i in range(len(lines_)):
-            j = i + 1
-            while j < len(lines_):
-                a, b = lines_[i], lines_[j]
-                near = min(math.hypot(p[0] - q[0], p[1] - q[1]) for p in (a[:2], a[2:4]) for q in (b[:2], b[2:4]))
-                da, db = (math.degrees(math.atan2(z[3] - z[1], z[2] - z[0])) % 180 for z in (a, b))
-                turn = abs(da - db) % 180
-                if near < touch and min(turn, 180 - turn) <= angle:
-                    points = [a[:2], a[2:4], b[:2], b[2:4]]
-                    p, q = max(((p, q) for k, p in enumerate(points) for q in points[k + 1 :]), key=lambda z: math.hypot(z[0][0] - z[1][0], z[0][1] - z[1][1]))
-                    lines_[i] = [*p, *q, a[4] + b[4]]
-                    lines_.pop(j)
-                    changed = True
+    """Lines (x1, y1, x2, y2, members): the first takes in, in order and again until none fits, every other that is within angle of what it has become and has an end closer than touch
+    to one of its own; the farthest two of the four ends remain. Then the next that is left does the same."""
+
+    def direction(z: list) -> float:
+        return math.degrees(math.atan2(z[3] - z[1], z[2] - z[0])) % 180
+
+    def fits(a: list, b: list) -> bool:
+        turn = abs(direction(a) - direction(b))
+        return min(turn, 180 - turn) <= angle and min(math.dist(p, q) for p in (a[:2], a[2:4]) for q in (b[:2], b[2:4])) < touch
+
+    def fused(a: list, b: list) -> list:
+        p, q = max(combinations((a[:2], a[2:4], b[:2], b[2:4]), 2), key=lambda pair: math.dist(*pair))
+        return [*p, *q, a[4] + b[4]]
+
+    waiting, done = list(lines), []
+    while waiting:
+        own, waiting = waiting[0], waiting[1:]
+        grown = True
+        while grown:
+            grown, left = False, []
+            for other in waiting:
+                if fits(own, other):
+                    own, grown = fused(own, other), True
                 else:
-                    j += 1
-    return lines_
+                    left.append(other)
+            waiting = left
+        done.append(own)
+    return done

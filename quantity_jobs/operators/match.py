@@ -202,35 +202,56 @@ def dedup_wall_lines(lines: DataFrame, scale: float = 14.17) -> DataFrame:
     return kept.join(removed, [P, "page_index", "seq"], "left_anti")
 
 
+def _passed_cells(x1: Column, y1: Column, x2: Column, y2: Column, cell: Column) -> Column:
+    """Numbers of the grid cells that a line passes, with some beside it: it is cut in pieces no longer than a cell, each of which lies in its box's cells."""
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)) / cell)).cast("int")
+
+    def piece(k: Column) -> Column:
+        ax, ay, bx, by = (a + (b - a) * t / n for t in (k, k + 1) for a, b in ((x1, x2), (y1, y2)))
+        across = lambda a, b: F.sequence(F.floor((F.least(a, b) - 1e-6) / cell), F.floor((F.greatest(a, b) + 1e-6) / cell))
+        return F.flatten(F.transform(across(ax, bx), lambda cx: F.transform(across(ay, by), lambda cy: F.struct(cx.alias("x"), cy.alias("y")))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece)))
+
+
+#: A ray looks for lines up to these shares of its length, one after the other; few get past the first.
+RAY_RINGS = (0.0, 0.1, 0.3, 1.0)
+#: Most grid cells along a page's diagonal; a page has about as many cells as lines.
+CELLS_ACROSS = 256
+
+
 def raycast_class(lines: DataFrame) -> DataFrame:
-    """(project_id, page_index, seq, wall_class): rays both ways across each centre line (x1, y1, x2, y2, thickness); a side on which no other line is crossed makes it external.
-    Lines of a page meet once each; pages are the unit of work."""
+    """(project_id, page_index, seq, wall_class): rays both ways across each centre line (x1, y1, x2, y2, thickness, eps); a side on which no other line is crossed makes it external.
+    A ray meets the lines in the grid cells that it passes, near ones first: only rays that have crossed nothing so far go on to the next ring of cells."""
+    keys = [P, "page_index"]
     own = measured_lines(lines)
-    page = own.groupBy(P, "page_index").agg(
-        distance(F.greatest(F.max("x1"), F.max("x2")), F.greatest(F.max("y1"), F.max("y2")), F.least(F.min("x1"), F.min("x2")), F.least(F.min("y1"), F.min("y2"))).alias("diag")
+    page = own.groupBy(*keys).agg(
+        distance(F.greatest(F.max("x1"), F.max("x2")), F.greatest(F.max("y1"), F.max("y2")), F.least(F.min("x1"), F.min("x2")), F.least(F.min("y1"), F.min("y2"))).alias("diag"),
+        F.least(F.lit(CELLS_ACROSS), F.ceil(F.sqrt(F.count(F.lit(1))))).alias("across"),
     )
+    sized = own.join(page, keys).withColumn("cell", F.greatest(F.col("diag") / F.col("across"), F.lit(1e-3)))
     n = F.when(F.col("len") == 0, 1.0).otherwise(F.col("len"))
-    rays = own.join(page, [P, "page_index"]).select(
-        P, "page_index", "seq", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (-(F.col("y2") - F.col("y1")) / n).alias("nx"), ((F.col("x2") - F.col("x1")) / n).alias("ny"),
-        (F.col("thickness") / 2 + F.col("eps")).alias("off"), (F.col("diag") * 1.5).alias("reach"),
-    )
-    other = own.select(P, "page_index", F.col("seq").alias("o"), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"), F.col("x2").alias("ox2"), F.col("y2").alias("oy2"))
-
-    def crosses(sign: float) -> Column:
-        sx, sy = F.col("cx") + sign * F.col("nx") * F.col("off"), F.col("cy") + sign * F.col("ny") * F.col("off")
-        dx, dy = sign * F.col("nx") * (F.col("reach") - F.col("off")), sign * F.col("ny") * (F.col("reach") - F.col("off"))
-        ex, ey = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
-        den = dx * ey - dy * ex
-        safe = F.when(F.abs(den) < 1e-9, F.lit(None)).otherwise(den)
-        t = ((F.col("ox1") - sx) * ey - (F.col("oy1") - sy) * ex) / safe
-        u = ((F.col("ox1") - sx) * dy - (F.col("oy1") - sy) * dx) / safe
-        return F.coalesce((t > 0.001) & (t < 0.999) & (u > 0.001) & (u < 0.999), F.lit(False))
-
-    met = rays.join(other, [P, "page_index"]).filter("seq <> o")
-    sides = met.groupBy(P, "page_index", "seq").agg(F.bool_or(crosses(1.0)).alias("pos"), F.bool_or(crosses(-1.0)).alias("neg"))
-    both = rays.select(P, "page_index", "seq").join(sides, [P, "page_index", "seq"], "left")
-    inside = F.coalesce(F.col("pos") & F.col("neg"), F.lit(False))
-    return both.select(P, "page_index", "seq", F.when(inside, "internal").otherwise("external").alias("wall_class"))
+    off, reach = F.col("thickness") / 2 + F.col("eps"), F.col("diag") * 1.5
+    both = sized.withColumn("sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    nx, ny = F.col("sign") * -(F.col("y2") - F.col("y1")) / n, F.col("sign") * (F.col("x2") - F.col("x1")) / n
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    rays = both.select(*keys, "seq", "sign", "cell", (cx + nx * off).alias("sx"), (cy + ny * off).alias("sy"), (nx * (reach - off)).alias("dx"), (ny * (reach - off)).alias("dy"))
+    other = sized.select(
+        *keys, F.col("seq").alias("o"), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"), F.col("x2").alias("ox2"), F.col("y2").alias("oy2"), F.explode(_passed_cells(*map(F.col, ("x1", "y1", "x2", "y2", "cell")))).alias("at")
+    )
+    ex, ey = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
+    den = F.col("dx") * ey - F.col("dy") * ex
+    safe = F.when(F.abs(den) < 1e-9, F.lit(None)).otherwise(den)
+    t = ((F.col("ox1") - F.col("sx")) * ey - (F.col("oy1") - F.col("sy")) * ex) / safe
+    u = ((F.col("ox1") - F.col("sx")) * F.col("dy") - (F.col("oy1") - F.col("sy")) * F.col("dx")) / safe
+    crossed = F.coalesce((t > 0.001) & (t < 0.999) & (u > 0.001) & (u < 0.999), F.lit(False))
+    free = rays
+    for start, end in zip(RAY_RINGS, RAY_RINGS[1:], strict=False):
+        span = [F.col(f"s{c}") + F.col(f"d{c}") * share for share in (start, end) for c in ("x", "y")]
+        met = free.withColumn("at", F.explode(_passed_cells(*span, F.col("cell")))).join(other, [*keys, "at"]).filter((F.col("seq") != F.col("o")) & crossed)
+        free = free.join(met.select(*keys, "seq", "sign").distinct(), [*keys, "seq", "sign"], "left_anti")
+    open_ = free.select(*keys, "seq").distinct().withColumn("open", F.lit(True))
+    return own.select(*keys, "seq").join(open_, [*keys, "seq"], "left").select(*keys, "seq", F.when(F.col("open"), "external").otherwise("internal").alias("wall_class"))
 
 
 def text_to_segment(texts: DataFrame, segments: DataFrame) -> DataFrame:
@@ -253,21 +274,22 @@ def detect_scale(ratios: DataFrame, default: float = 14.17) -> DataFrame:
     """(project_id, page_index, scale, source, n): of three ratios or more, the upper median of the densest window [r, 1.15 r] with three and 40 % of them; else of the band of 25 % around the
     upper median with 55 %; else the default. The window count is a range frame."""
     keys = [P, "page_index"]
-    w = Window.partitionBy(*keys).orderBy("ratio")
+    by = Window.partitionBy(*keys)
     # the frame's bound depends on the row, so it runs over the logarithm
-    logs = ratios.withColumn("lg", F.log("ratio"))
     frame = "OVER (PARTITION BY project_id, page_index ORDER BY lg RANGE BETWEEN CURRENT ROW AND 0.13976194237515868D FOLLOWING)"
-    dense = logs.withColumns({"size": F.expr(f"count(1) {frame}"), "members": F.sort_array(F.expr(f"collect_list(ratio) {frame}")), "place": F.row_number().over(w)})
-    upper = lambda a: F.get(a, F.floor(F.size(a) / 2).cast("int"))
-    best = dense.groupBy(*keys).agg(
-        F.max_by(F.struct("size", upper(F.col("members")).alias("center")), F.struct("size", -F.col("place"))).alias("b"), F.sort_array(F.collect_list("ratio")).alias("l"), F.count(F.lit(1)).alias("n")
+    own = ratios.withColumn("lg", F.log("ratio")).withColumns({"size": F.expr(f"count(1) {frame}"), "place": F.row_number().over(by.orderBy("ratio")), "n": F.count(F.lit(1)).over(by)})
+    # the page in order: a window's members, and a band's, follow each other, so a median is the ratio at a place
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("ratio")))
+    own = own.withColumns({"best": F.max(F.struct("size", (-F.col("place")).alias("before"))).over(by), "mid": at(F.floor(F.col("n") / 2) + 1).over(by)})
+    inside = (F.col("ratio") >= F.col("mid") * 0.75) & (F.col("ratio") <= F.col("mid") * 1.25)
+    own = own.withColumns({"band": F.count_if(inside).over(by), "first": F.min(F.when(inside, F.col("place"))).over(by)})
+    found = own.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("best.size").alias("size"), F.max("band").alias("band"), at(F.floor(F.col("best.size") / 2) - F.col("best.before")).alias("center"), at(F.col("first") + F.floor(F.col("band") / 2)).alias("middle")
     )
-    mid = upper(F.col("l"))
-    band = F.filter("l", lambda r: (r >= mid * 0.75) & (r <= mid * 1.25))
-    cluster = (F.col("n") >= 3) & (F.col("b.size") >= 3) & (F.col("b.size") / F.col("n") >= 0.4)
-    banded = (F.col("n") >= 3) & (F.size(band) / F.col("n") >= 0.55)
-    return best.select(
-        *keys, F.when(cluster, F.col("b.center")).when(banded, upper(band)).otherwise(F.lit(default)).alias("scale"), F.when(cluster, "cluster").when(banded, "band").otherwise("default").alias("source"), "n"
+    cluster = (F.col("n") >= 3) & (F.col("size") >= 3) & (F.col("size") / F.col("n") >= 0.4)
+    banded = (F.col("n") >= 3) & (F.col("band") / F.col("n") >= 0.55)
+    return found.select(
+        *keys, F.when(cluster, F.col("center")).when(banded, F.col("middle")).otherwise(F.lit(default)).alias("scale"), F.when(cluster, "cluster").when(banded, "band").otherwise("default").alias("source"), "n"
     )
 
 

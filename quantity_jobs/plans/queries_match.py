@@ -94,7 +94,7 @@ def text_to_segment(t):
 
 
 @query(
-    """WITH r AS (SELECT project_id, CAST(seq % 3 AS INT) AS page_index, floor(value_m * 10 + seq % 7 + 1) / 1e0 AS ratio FROM {dimensions} WHERE seq % 5 < 2), s AS (SELECT project_id, page_index, list_sort(list(ratio)) AS l, count(*) AS n FROM r GROUP BY 1, 2),
+    """WITH r AS (SELECT project_id, CAST(seq % 3 AS INT) AS page_index, floor(value_m * 10 + seq % 7 + 1) / 1e0 AS ratio FROM {dimensions}), s AS (SELECT project_id, page_index, list_sort(list(ratio)) AS l, count(*) AS n FROM r GROUP BY 1, 2),
 w AS (SELECT a.project_id, a.page_index, a.ratio, count(*) AS size, list_sort(list(b.ratio)) AS m FROM (SELECT DISTINCT * FROM r) a JOIN r b ON b.project_id = a.project_id AND b.page_index = a.page_index AND ln(b.ratio) - ln(a.ratio) BETWEEN 0 AND 0.13976194237515868 GROUP BY 1, 2, 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY project_id, page_index ORDER BY size DESC, ratio) AS rn FROM w), j AS (SELECT s.*, k.size, k.m[len(k.m) // 2 + 1] AS center, l[len(l) // 2 + 1] AS mid FROM s JOIN k ON k.rn = 1 AND k.project_id = s.project_id AND k.page_index = s.page_index),
 e AS (SELECT *, list_filter(l, lambda r: r >= mid * 75e-2 AND r <= mid * 125e-2) AS band FROM j)
@@ -102,7 +102,7 @@ SELECT project_id, page_index, CASE WHEN n >= 3 AND size >= 3 AND size / n >= 4e
   CASE WHEN n >= 3 AND size >= 3 AND size / n >= 4e-1 THEN 'cluster' WHEN n >= 3 AND len(band) / n >= 55e-2 THEN 'band' ELSE 'default' END AS source, n FROM e"""
 )
 def detect_scale(t):
-    own = t("dimensions").filter("seq % 5 < 2").select("project_id", (F.col("seq") % 3).cast("int").alias("page_index"), F.floor(F.col("value_m") * 10 + F.col("seq") % 7 + 1).cast("double").alias("ratio"))
+    own = t("dimensions").select("project_id", (F.col("seq") % 3).cast("int").alias("page_index"), F.floor(F.col("value_m") * 10 + F.col("seq") % 7 + 1).cast("double").alias("ratio"))
     return match.detect_scale(own)
 
 
