@@ -171,7 +171,8 @@ def feedback_vote(feedback: DataFrame, projects: DataFrame) -> DataFrame:
     client = F.lower(F.trim(F.coalesce("client_name", F.lit(""))))
     own = feedback.filter("active AND action <> 'confirm'").join(projects.select(P, client.alias("client"), "client_name"), P)
     own = feedback_signature(own).withColumn("tier", feedback_tier()).filter((F.col("tier") == 3) | (F.col("client") != ""))
-    voter = F.when(F.col("user_id").isNotNull(), F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("c:"), F.coalesce("client_name", F.lit("anon"))))
+    # a user votes once; feedback without a user counts as one voter for each client
+    voter = F.struct("user_id", F.when(F.col("user_id").isNull(), F.coalesce("client_name", F.lit(""))).alias("client_name"))
     decision = F.when(F.col("action") == "not_wall", "not_wall").otherwise(F.coalesce("corrected_class", F.lit("none")))
     votes = own.select(F.when(F.col("tier") < 3, F.col("client")).alias("client"), "signature", "tier", decision.alias("decision"), voter.alias("voter"), "id")
     distinct = votes.groupBy("client", "signature", "tier", "decision", "voter").agg(F.min("id").alias("id"))

@@ -59,7 +59,7 @@ def merge_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
 
 def schedule_opening_dims(walls: DataFrame, sched_openings: DataFrame) -> DataFrame:
     """Openings whose code the schedule has, letter for letter, take its sizes; the last row of a code wins."""
-    last = sched_openings.groupBy(P, "code").agg(F.max_by(F.struct("width_m", "height_m"), "seq").alias("dims"))
+    last = sched_openings.filter("code IS NOT NULL").groupBy(P, "code").agg(F.max_by(F.struct("width_m", "height_m"), "seq").alias("dims"))
     return _with_sizes(walls, last, lambda o: o["code"])
 
 
@@ -182,17 +182,21 @@ def best_section(sections: DataFrame, least: float = 0.6) -> DataFrame:
     return own.withColumn("rank", rank).filter("rank = 1").select(P, "level_key", "ceiling_m", "page_index", F.col("seq").alias("section_seq"))
 
 
+#: A level's number within its name, and words that make differing names the same level.
+LEVEL_NUMBER = r"\b(\d+)(?:[ºo]|\s*pav|\s|$)"
+LEVEL_WORDS = (
+    (r"\bterreo|\btérreo", "ground"),
+    (r"\bcobertura\b|\bcoberta\b", "roof"),
+    (r"\bsubsolo\b|\bsub\b", "basement"),
+    (r"\bmezanino\b", "mezzanine"),
+)
+
+
 def level_token(key: Column) -> Column:
-    """What two names of one level have in common: an ordinal, a keyword, or the whole name."""
-    number = F.regexp_extract(key, r"\b(\d+)(?:[ºo]|\s*pav|\s|$)", 1)
-    return (
-        F.when(number != "", F.concat(F.lit("ord:"), number))
-        .when(key.rlike(r"\bterreo|\btérreo"), "kw:terreo")
-        .when(key.rlike(r"\bcobertura\b|\bcoberta\b"), "kw:cobertura")
-        .when(key.rlike(r"\bsubsolo\b|\bsub\b"), "kw:subsolo")
-        .when(key.rlike(r"\bmezanino\b"), "kw:mezanino")
-        .otherwise(key)
-    )
+    """What two lower-case names of one level have in common, in brackets: their number or else their first known word; a name without either is its own token."""
+    number = F.regexp_extract(key, LEVEL_NUMBER, 1)
+    known = F.coalesce(F.nullif(number, F.lit("")), *(F.when(key.rlike(pattern), name) for pattern, name in LEVEL_WORDS))
+    return F.coalesce(F.concat(F.lit("<"), known, F.lit(">")), key)
 
 
 def apply_sections(walls: DataFrame, sections: DataFrame) -> DataFrame:
