@@ -11,12 +11,16 @@ P = "project_id"
 COLUMNS = [c for names in AREA_CATEGORIES.values() for c in names]
 
 
-def consolidate_files(area_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages, totals): pages of all files of a project numbered through, by a running offset over the files; per project the sums, the first section
-    height by file and page."""
-    files = area_pages.groupBy(P, "file_seq").agg((F.max("page_index") + 1).alias("n"))
+def consolidate_files(area_pages: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, totals): pages of all files of a project numbered through, by a running offset over the page counts of the files before; per project the sums
+    and the first section height by file and page. files: (project_id, file_seq, page_count), also of files whose pages gave nothing; without it, and for files that it
+    lacks, the last page seen ends a file."""
+    seen = area_pages.groupBy(P, "file_seq").agg((F.max("page_index") + 1).alias("n"))
+    if files is not None:
+        counts = files.groupBy(P, "file_seq").agg(F.max("page_count").alias("page_count"))
+        seen = seen.join(counts, [P, "file_seq"], "full").select(P, "file_seq", F.coalesce("page_count", "n").alias("n"))
     before = Window.partitionBy(P).orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select(P, "file_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = seen.select(P, "file_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     pages = area_pages.join(offsets, [P, "file_seq"]).withColumn("page", (F.col("page_index") + F.col("offset")).cast("long")).drop("offset")
     has = F.col("section_height") > 0
     totals = area_pages.groupBy(P).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import dims
 from ..functions.exprs import round_half_up as half_up
@@ -47,12 +47,13 @@ def budget_by_level(walls: DataFrame, slabs: DataFrame, corners: DataFrame) -> D
     c = corners.select(
         "project_id", "level", F.lit("corners").alias("category"), zero.alias("length_m"), zero.alias("gross_m2"), zero.alias("net_m2"), F.col("corner_count").cast("long").alias("panels"), F.lit(0).cast("long").alias("reviews")
     )
-    # only levels with walls or slabs count; corners elsewhere are left out
     both = w.unionByName(s).unionByName(c)
     sums = both.groupBy("project_id", "level", "category").agg(
         *(half_up(F.sum(x)).alias(x) for x in ("length_m", "gross_m2", "net_m2")), F.sum("panels").alias("panels"), F.sum("reviews").alias("reviews"), F.count(F.lit(1)).alias("n")
     )
-    return sums
+    # only levels with walls or slabs count; corners elsewhere are left out
+    built = F.bool_or(F.col("category") != "corners").over(Window.partitionBy("project_id", "level"))
+    return sums.withColumn("__built", built).filter("__built").drop("__built")
 
 
 def budget_summary(by_level: DataFrame) -> DataFrame:
@@ -98,13 +99,12 @@ LINES = {
 }
 
 
-def apply_profile_prices(products: DataFrame, profile_prices: DataFrame, profiles: DataFrame, most: int = 1000) -> DataFrame:
+def apply_profile_prices(products: DataFrame, profile_prices: DataFrame, profiles: DataFrame) -> DataFrame:
     """(profile_id, products' columns): the catalogue once per profile, unit_price replaced where the profile has one, and once
-    with a null profile as it is. Profiles are sales hubs, a few dozen; more than `most` are refused."""
-    ids = [r[0] for r in profiles.select("profile_id").distinct().limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {most} price profiles")
-    every = products.withColumn("profile_id", F.explode(F.array(*(F.lit(i).cast("long") for i in [None, *sorted(i for i in ids if i is not None)]))))
+    with a null profile as it is. Profiles are sales hubs: their list is a dimension that meets every product."""
+    hubs = profiles.filter("profile_id IS NOT NULL").select(F.col("profile_id").cast("long").alias("profile_id")).distinct()
+    listed = hubs.agg(F.concat(F.array(F.lit(None).cast("long")), F.sort_array(F.collect_set("profile_id"))).alias("hubs"))
+    every = products.join(F.broadcast(listed), F.lit(True)).withColumn("profile_id", F.explode("hubs")).drop("hubs")  # one row
     prices = profile_prices.select("profile_id", "sku", F.col("unit_price").alias("own_price"))
     return every.join(prices, ["profile_id", "sku"], "left").withColumn("unit_price", F.coalesce("own_price", "unit_price")).drop("own_price")
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dims
-from ..functions.exprs import clamp, finite, or_default, parse_decimal, positive_or
+from ..functions.exprs import clamp, finite, or_default, parse_decimal, positive_or, round_half_up as half_up
 
 
 @dataclass(frozen=True)
@@ -259,50 +259,97 @@ def clean_dimensions(dimensions: DataFrame) -> DataFrame:
 
 
 def clean_range(low: Column, high: Column, least: float, most: float, default: tuple[float, float]) -> Column:
-    """(low, high) in order and within limits, else the default pair."""
-    a, b = F.least(low, high), F.greatest(low, high)
-    ok = finite(low) & finite(high) & (a >= least) & (b <= most)
-    return F.when(ok, F.struct(a.alias("low"), b.alias("high"))).otherwise(F.struct(F.lit(float(default[0])).alias("low"), F.lit(float(default[1])).alias("high")))
+    """(low, high) of two finite numbers: as they are within the limits, exchanged (and then not tested) where low exceeds high, else the default pair."""
+    numbers = finite(low) & finite(high)
+    pair = lambda a, b: F.struct(a.cast("double").alias("low"), b.cast("double").alias("high"))
+    inside = (low >= least) & (high <= most)
+    return F.when(numbers & (low > high), pair(high, low)).when(numbers & inside, pair(low, high)).otherwise(pair(*map(F.lit, default)))
 
 
-#: Project characterisation enums and ranges (least, most, default low, default high).
-TYPOLOGIES = ("residencial", "comercial", "institucional", "industrial")
+#: Enums of a project characterisation, and its ranges (least, most, default low, default high).
+TYPOLOGIES = ("casa_terrea", "casa_2_pavimentos", "sobrado", "edificio", "comercial_loja", "comercial_sala", "industrial_galpao", "outro")
 STANDARDS = ("popular", "medio", "alto")
-RANGES = {"ceiling": (1.8, 12.0, 2.5, 3.0), "thickness": (0.05, 0.5, 0.09, 0.15), "walls": (1.0, 500.0, 10.0, 60.0), "openings": (0.0, 500.0, 4.0, 40.0)}
-
-
-def clean_ranges(characterizations: DataFrame, notes_limit: int = 10) -> DataFrame:
-    """Characterisations with known enums, ordered and plausible ranges, and at most so many notes."""
-    pairs = {k: clean_range(F.col(f"{k}_low"), F.col(f"{k}_high"), lo, hi, (a, b)) for k, (lo, hi, a, b) in RANGES.items()}
+ENVELOPE_SHAPES = ("retangular_simples", "L", "U", "irregular")
+CONFIDENCES = ("high", "medium", "low")
+RANGES = {
+    "walls": (1.0, 500.0, 8.0, 25.0),
+    "openings": (0.0, 200.0, 4.0, 16.0),
+    "thickness": (0.04, 0.5, 0.10, 0.15),
+    "ceiling": (1.8, 8.0, 2.5, 3.0),
+    "area": (10.0, 50000.0, 60.0, 200.0),
+}
+FEATURE_FLAGS = ("has_roof", "has_garage", "has_boundary", "has_pergola")
+MOST_LEVELS, MOST_ROOMS, MOST_NOTES = 10, 30, 600
+
+
+def clean_ranges(characterizations: DataFrame) -> DataFrame:
+    """Characterisations (project_id and any of: typology, standard, envelope_shape, confidence, levels, programme, ranges as <name>_low and
+    <name>_high, flags, notes) with known enums, plausible ranges, named levels, a programme of rooms and short notes. What is absent gets its default."""
+    given = set(characterizations.columns)
+    of = lambda name, kind: F.col(name) if name in given else F.lit(None).cast(kind)
+    one_of = lambda name, known, default: F.when(of(name, "string").isin(*known), of(name, "string")).otherwise(default).alias(name)
+    pairs = {k: clean_range(of(f"{k}_low", "double"), of(f"{k}_high", "double"), lo, hi, (a, b)) for k, (lo, hi, a, b) in RANGES.items()}
+    levels = F.slice(F.filter(of("levels", "array<string>"), lambda x: F.trim(x) != ""), 1, MOST_LEVELS)
+    rooms = F.filter(of("programme", "array<struct<room:string,qty:double>>"), lambda x: x["room"].isNotNull() & finite(x["qty"]))
+    counted = F.transform(rooms, lambda x: F.struct(F.trim(F.lower(x["room"])).alias("room"), F.greatest(F.lit(0.0), F.floor(x["qty"] + 0.5)).cast("long").alias("qty")))
     return characterizations.select(
         "project_id",
-        F.when(F.col("typology").isin(*TYPOLOGIES), F.col("typology")).otherwise("residencial").alias("typology"),
-        F.when(F.col("standard").isin(*STANDARDS), F.col("standard")).otherwise("medio").alias("standard"),
+        one_of("typology", TYPOLOGIES, "outro"),
+        one_of("standard", STANDARDS, "medio"),
+        one_of("envelope_shape", ENVELOPE_SHAPES, "retangular_simples"),
+        one_of("confidence", CONFIDENCES, "low"),
+        F.when(F.size(levels) > 0, levels).otherwise(F.array(F.lit("Terreo"))).alias("levels"),
+        F.coalesce(F.slice(counted, 1, MOST_ROOMS), F.array().cast("array<struct<room:string,qty:bigint>>")).alias("programme"),
         *(pairs[k]["low"].alias(f"{k}_low") for k in RANGES),
         *(pairs[k]["high"].alias(f"{k}_high") for k in RANGES),
-        F.slice(F.coalesce("notes", F.array().cast("array<string>")), 1, notes_limit).alias("notes"),
+        *(F.coalesce(of(f, "boolean"), F.lit(False)).alias(f) for f in FEATURE_FLAGS),
+        F.substring(F.coalesce(of("notes", "string"), F.lit("")), 1, MOST_NOTES).alias("notes"),
     )
 
 
-#: Room words by type, and words of a title block.
-ROOMS = {
-    "wet": ("banheiro", "cozinha", "lavabo", "area de servico", "lavanderia", "wc"),
-    "dry": ("quarto", "sala", "suite", "dormitorio", "escritorio", "closet"),
-    "outside": ("varanda", "garagem", "terraco", "quintal", "jardim", "churrasqueira"),
-}
-TITLE_WORDS = ("escala", "projeto", "prancha", "cliente", "revisao", "arquiteto", "crea", "cau", "desenho")
+#: Words that name a room, by the kind of room, and words of a title block. They are searched anywhere in the folded text, in this order.
+ROOM_WORDS = {
+    "internal": (
+        "sala", "estar", "jantar", "tv", "quarto", "dormitorio", "suite", "ste", "cozinha", "copa", "banho", "banheiro", "bwc", "wc", "lavabo", "sanitario",
+        "lavanderia", "area de servico", "as", "dispensa", "despensa", "hall", "corredor", "circulacao", "passagem", "escritorio", "office", "closet", "vestiario",
+        "biblioteca", "estudio", "deposito", "storage", "escada", "elevador", "shaft",
+    ),
+    "covered": (
+        "varanda", "sacada", "balcao", "terraco coberto", "garagem", "abrigo", "carport", "santuario", "alpendre", "varandao", "pergolado coberto", "passarela coberta",
+    ),
+    "uncovered": (
+        "jardim", "quintal", "patio", "piscina", "espelho dagua", "espelho d'agua", "churrasqueira", "deck", "estacionamento", "horta", "canteiro", "rua", "calcada", "acesso",
+    ),
+}
+TITLE_WORDS = ("escala", "data", "prancha", "projeto", "obra", "responsavel", "arquiteto", "engenheiro", "cliente", "endereco", "norte", "n")
+#: Lengths above MOST_METRES are none, those above CENTIMETRES_FROM are centimetres.
+MOST_METRES, CENTIMETRES_FROM = 50.0, 30.0
 
 
 def classify_text(tokens: DataFrame, column: str = "text") -> DataFrame:
-    """tokens with text_class: dimension, opening_code, room_<type>, title or other, tested in that order."""
+    """tokens with text_class (`dimension`, `door_window_code`, `room_label`, `title_block` or `other`, tested in that order), room_type of room labels (`internal`,
+    `covered`, `uncovered`) and dimension_m. A number out of range is `other` at once."""
     from ..functions.exprs import fold_accents
 
-    text = F.lower(fold_accents(F.trim(F.col(column))))
+    lower = F.translate(F.lower(fold_accents(F.trim(F.coalesce(column, F.lit(""))))), "¹²³ºª", "123oa")
+    text = F.regexp_replace(lower, r"\s+", " ")
+    number = F.translate(text, ",", ".")
+    number = F.regexp_replace(number, "[ m]", "")
+    value = F.when(number.rlike(r"^\d+(\.\d+)?$"), number.try_cast("double"))
+    good = value.isNotNull() & (value > 0) & (value <= MOST_METRES)
     has = lambda names: F.exists(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(text, n))
-    out = F.when(text.rlike(r"^[+-]?\d{1,4}([.,]\d{1,3})?\s*(m|cm|mm)?$"), "dimension").when(text.rlike(r"^[pj]m?\d{1,2}[a-z]?$"), "opening_code")
-    for kind, names in ROOMS.items():
-        out = out.when(has(names), f"room_{kind}")
-    return tokens.withColumn("text_class", out.when(has(TITLE_WORDS), "title").otherwise("other"))
+    code = F.regexp_replace(text, " ", "").rlike(r"^[pj][a-z]?\d{1,3}$")
+    room = None
+    for kind, names in ROOM_WORDS.items():
+        room = F.when(has(names), kind) if room is None else room.when(has(names), kind)
+    read = tokens.withColumns({"__metres": F.when(good, F.when(value > CENTIMETRES_FROM, value / 100.0).otherwise(value)), "__number": value.isNotNull(), "__code": code, "__room": room, "__title": has(TITLE_WORDS) & (text != "")})
+    plain = ~F.col("__number") & ~F.col("__code")
+    out = (
+        F.when(F.col("__metres").isNotNull(), "dimension").when(F.col("__number"), "other").when(F.col("__code"), "door_window_code")
+        .when(F.col("__room").isNotNull(), "room_label").when(F.col("__title"), "title_block").otherwise("other")
+    )
+    done = read.withColumns({"text_class": out, "room_type": F.when(plain, F.col("__room")), "dimension_m": F.col("__metres")})
+    return done.drop("__metres", "__number", "__code", "__room", "__title")
 
 
 def segment_bbox(segments: DataFrame) -> DataFrame:
@@ -327,20 +374,35 @@ def error_feed(events: DataFrame) -> DataFrame:
     return events.filter((F.col("phase") == "failed") | (F.col("kind") == "audit") & F.col("severity").isin("warning", "error"))
 
 
+#: Numbers of pipeline stages, by kind of event and by how a prompt's version begins, in order of search.
+KIND_STAGES = {"cv_substep": "3.4", "image_render": "7.5", "page_split": "0.5"}
+PROMPT_STAGES = (
+    ("classifyAndExtract", "1"),
+    ("characterizeProject", "1.5"),
+    ("extractGeometry", "3"),
+    ("verify", "3.5"),
+    ("wallInventory", "3.5"),
+    ("cotaReader", "3.6"),
+    ("envelope", "3.7"),
+    ("selfCheck", "6.5"),
+    ("globalCrossValidation", "4.6"),
+    ("globalValidation", "4.6"),
+    ("description", "8"),
+    ("describe", "8"),
+    ("sectionInfo", "0.5"),
+    ("buildingType", "1"),
+)
+
+
 def infer_stage(events: DataFrame) -> DataFrame:
-    """events with stage_id: their stage, or what their kind and prompt say."""
-    prompt = F.col("prompt_version")
-    stage = (
-        F.when(F.col("kind") == "stage", F.col("stage"))
-        .when(F.col("kind") == "page_split", "split")
-        .when(F.col("kind") == "cv_substep", "detector")
-        .when(F.col("kind") == "audit", "audit")
-        .when(prompt.startswith("p0"), "classification")
-        .when(prompt.startswith("p1"), "geometry")
-        .when(prompt.startswith("p2"), "validation")
-        .otherwise("other")
-    )
-    return events.withColumn("stage_id", stage)
+    """events with stage_id: a stage event's own, the kind's, an audit's own or 6.5, else what the prompt says, `?` if nothing. No kind counts as a model call."""
+    kind, prompt = F.coalesce("kind", F.lit("ai_call")), F.coalesce("prompt_version", F.lit(""))
+    stage = F.when(kind == "stage", F.col("stage")).when(kind == "audit", F.coalesce("stage", F.lit("6.5")))
+    for name, number in KIND_STAGES.items():
+        stage = stage.when(kind == name, number)
+    for start, number in PROMPT_STAGES:
+        stage = stage.when(prompt.startswith(start), number)
+    return events.withColumn("stage_id", stage.otherwise("?"))
 
 
 def feedback_signature(df: DataFrame, thickness="thickness_cm", length="length_dm", window="has_window", door="has_door", wall_class="original_class") -> DataFrame:
@@ -350,38 +412,69 @@ def feedback_signature(df: DataFrame, thickness="thickness_cm", length="length_d
     return df.withColumn("signature", F.concat_ws("|", text(thickness), text(length), flag(window), flag(door), text(wall_class)))
 
 
+#: Enums and limits of a feedback row.
+WALL_CLASSES = ("external", "internal", "boundary")
+FEEDBACK_ACTIONS = ("confirm", "correct", "exemplar", "not_wall")
+MOST_FEEDBACK = {"thickness_m": 10.0, "length_m": 1000.0}
+LONGEST_FEEDBACK = {"level": 64, "reason_bucket": 64, "notes": 500}
+
+
 def feedback_validate(raw: DataFrame, users: DataFrame) -> DataFrame:
-    """raw with `valid`, and is_exemplar only where an admin asks for it."""
-    admin = users.select(F.col("user_id"), F.col("is_admin"))
+    """raw (project_id, user_id, wall_id, action; maybe thickness_m, length_m, original_class, corrected_class, is_exemplar, level, reason_bucket, notes) with `valid`, the
+    sizes as thickness_cm and length_dm (null where 0 or absent), and is_exemplar only where an admin asks for it. Feedback without a project is an admin's only."""
+    given = set(raw.columns)
+    of = lambda name, kind: F.col(name) if name in given else F.lit(None).cast(kind)
+    absent_or = lambda c, test: c.isNull() | test
+    cls, corrected = of("original_class", "string"), of("corrected_class", "string")
     ok = (
-        F.col("action").isin("confirm", "correct", "not_wall", "exemplar")
-        & F.col("original_class").isin("external", "internal", "boundary")
-        & (F.col("thickness_cm").isNull() | F.col("thickness_cm").between(0, 100))
-        & (F.col("length_dm").isNull() | F.col("length_dm").between(0, 1000))
-        & ((F.col("action") != "correct") | F.col("corrected_class").isNotNull())
-        & (F.length("wall_id") <= 50)
+        F.col("action").isin(*FEEDBACK_ACTIONS)
+        & absent_or(cls, cls.isin(*WALL_CLASSES))
+        & absent_or(corrected, corrected.isin(*WALL_CLASSES, "not_wall"))
+        & F.length(F.trim("wall_id")).between(1, 64)
     )
-    joined = raw.join(admin, "user_id", "left")
-    exemplar = (F.col("action") == "exemplar") & F.coalesce("is_admin", F.lit(False))
-    return joined.withColumns({"valid": F.coalesce(ok, F.lit(False)), "is_exemplar": exemplar}).drop("is_admin")
-
-
-def synthetic_elements(area_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Area totals per level as one wall per class (length = gross / height) and one slab per class."""
-    sums = area_pages.groupBy("project_id", F.coalesce(F.nullif("level", F.lit("")), F.lit("Terreo")).alias("level")).agg(
-        *(F.sum(c).alias(c) for names in AREA_CATEGORIES.values() for c in names), F.max("boundary_height").alias("boundary_height")
+    for name, most in MOST_FEEDBACK.items():
+        ok &= absent_or(of(name, "double"), of(name, "double").between(0, most))
+    for name, most in LONGEST_FEEDBACK.items():
+        ok &= absent_or(of(name, "string"), F.length(F.trim(of(name, "string"))) <= most)
+    admins = users.select("user_id", "is_admin").groupBy("user_id").agg(F.bool_or("is_admin").alias("__admin"))
+    joined = raw.join(admins, "user_id", "left")
+    admin = F.coalesce("__admin", F.lit(False))
+    size = lambda name, scale: F.when(of(name, "double") > 0, F.floor(of(name, "double") * scale + 0.5).cast("long"))
+    return joined.withColumns(
+        {
+            "valid": F.coalesce(ok, F.lit(False)) & (F.col("project_id").isNotNull() | admin),
+            "is_exemplar": admin & (F.coalesce(of("is_exemplar", "boolean"), F.lit(False)) | F.coalesce(F.col("action") == "exemplar", F.lit(False))),
+            "thickness_cm": size("thickness_m", 100.0),
+            "length_dm": size("length_m", 10.0),
+        }
+    ).drop("__admin")
+
+
+def synthetic_elements(area_pages: DataFrame, heights: DataFrame | None = None, default_height: float = dims.WALL_HEIGHT) -> tuple[DataFrame, DataFrame]:
+    """Area totals per level as one wall per class and one slab per class. Pages have file_seq and page_index, or page, for their order, and section_height. A wall's area is the gross one, or the net where
+    there is none; its length is area / height. Heights are the project's: those of `heights` (project_id, height_m), else of its first section, else the default; boundaries take
+    that of the level's first page. Pages without a level are levels of their own."""
+    order = F.struct(*(["page"] if "page" in area_pages.columns else ["file_seq", "page_index"]))
+    number = F.col("page") if "page" in area_pages.columns else F.col("page_index")
+    level = F.coalesce(F.nullif("level", F.lit("")), F.concat(F.lit("Pavimento "), number.cast("string")))
+    sums = area_pages.groupBy("project_id", level.alias("level")).agg(
+        *(half_up(F.sum(c), 6).alias(c) for names in AREA_CATEGORIES.values() for c in names), F.coalesce(F.min_by("boundary_height", order), F.lit(2.0)).alias("boundary_height")
     )
-    line = lambda kind, gross, openings, height: F.struct(
-        F.lit(kind).alias("wall_class"), F.col(gross).alias("gross_m2"), openings.alias("opening_area_m2"), height.alias("height_m")
+    if heights is None:
+        section = F.when(F.col("section_height") > 0, F.col("section_height"))
+        heights = area_pages.groupBy("project_id").agg(F.min_by(section, F.when(section.isNotNull(), order)).alias("height_m"))
+    own = sums.join(heights.select("project_id", F.coalesce("height_m", F.lit(default_height)).alias("tall")), "project_id", "left").withColumn("tall", F.coalesce("tall", F.lit(default_height)))
+    line = lambda kind, gross, net, openings, height: F.struct(
+        F.lit(kind).alias("wall_class"), F.when(F.col(gross) > 0, F.col(gross)).otherwise(F.col(net)).alias("gross_m2"), F.col(net).alias("net_m2"), openings.alias("opening_area_m2"), height.alias("height_m")
     )
-    tall = F.lit(dims.WALL_HEIGHT)
     rows = F.array(
-        line("external", "ext_gross", F.col("ext_open"), tall),
-        line("internal", "int_gross", F.col("int_open"), tall),
-        line("boundary", "boundary_gross", F.lit(0.0), F.when(F.col("boundary_height") > 0, F.col("boundary_height")).otherwise(tall)),
+        line("external", "ext_gross", "ext_net", F.col("ext_open"), F.col("tall")),
+        line("internal", "int_gross", "int_net", F.col("int_open"), F.col("tall")),
+        line("boundary", "boundary_gross", "boundary_gross", F.lit(0.0), F.col("boundary_height")),
     )
-    walls = sums.select("project_id", "level", F.explode(rows).alias("x")).select("project_id", "level", "x.*").filter("gross_m2 > 0")
-    walls = walls.withColumn("length_m", F.col("gross_m2") / F.col("height_m"))
+    walls = own.select("project_id", "level", F.explode(rows).alias("x")).select("project_id", "level", "x.*").filter("gross_m2 > 0")
+    length = F.when(F.col("height_m") > 0, F.col("gross_m2") / F.col("height_m")).otherwise(0.0)
+    walls = walls.withColumns({"length_m": half_up(length), "opening_area_m2": half_up("opening_area_m2"), "height_m": half_up("height_m"), "thickness_m": F.lit(0.15), "confidence": F.lit(0.7)})
     slabs = (
         sums.select("project_id", "level", F.explode(F.create_map(F.lit("floor"), F.col("floor_m2"), F.lit("roof"), F.col("roof_m2"))).alias("slab_class", "area_m2"))
         .filter("area_m2 > 0")

@@ -117,31 +117,43 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return own.groupBy(P).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["digest"]), ""), 256).alias("fingerprint"))
 
 
-def apply_corrections(walls: DataFrame, slabs: DataFrame, patches: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Patches (project_id, element_id, field, number, text, confidence, seq) of confidence 0.7 or more and plausible values: length (0.1-100), height (1-10), class, area (0.5-10000), or
-    remove. The last patch of a field wins."""
-    value, text, field = F.col("number"), F.col("text"), F.col("field")
-    ok = (
-        ((field == "length") & value.between(0.1, 100))
-        | ((field == "height") & value.between(1, 10))
-        | ((field == "area") & value.between(0.5, 10000))
-        | ((field == "class") & text.isin("external", "internal", "boundary"))
-        | (field == "remove")
-    )
-    good = patches.filter((F.col("confidence") >= least) & F.coalesce(ok, F.lit(False)))
-    last = good.groupBy(P, "element_id").pivot("field", ["length", "height", "class", "area", "remove"]).agg(F.max_by(F.struct("number", "text"), "seq"))
-    gone = last.filter(F.col("remove").isNotNull()).select(P, "element_id")
-    own = last.drop("remove")
-
-    def patched(df: DataFrame, key: str, fields: dict) -> DataFrame:
-        kept = df.join(gone.withColumnRenamed("element_id", key), [P, key], "left_anti")
-        joined = kept.join(own.withColumnRenamed("element_id", key), [P, key], "left")
-        return joined.withColumns({c: F.coalesce(f"{f}.{part}", c) for c, (f, part) in fields.items()}).select(*df.columns)
-
-    return (
-        patched(walls, "wall_id", {"length_m": ("length", "number"), "height_m": ("height", "number"), "wall_class": ("class", "text")}),
-        patched(slabs, "slab_id", {"area_m2": ("area", "number")}),
-    )
+#: What a correction may set, by field: the column, and the limits (0 itself is out) or the classes.
+WALL_FIELDS = {"length": ("length_m", (0.0, 50.0)), "height": ("height_m", (1.5, 6.0)), "class": ("wall_class", ("external", "internal", "boundary"))}
+SLAB_FIELDS = {"area": ("area_m2", (0.0, 5000.0)), "class": ("slab_class", ("floor", "raft", "roof"))}
+LEAST_CONFIDENCE = 0.7
+
+
+def apply_corrections(walls: DataFrame, slabs: DataFrame, wall_patches: DataFrame, slab_patches: DataFrame, least: float = LEAST_CONFIDENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(walls, slabs, counts): the patches of a validator's answer applied in the order of seq. Patches are (project_id, element_id, field, number, text, confidence, seq), with the answer's
+    confidence on each; below `least`, or null or not a number, none of them counts. A field is `remove` or one of WALL_FIELDS or SLAB_FIELDS, whose last plausible value stays; patches after an
+    element's removal do nothing. counts (project_id, walls, slabs, removed_walls, removed_slabs): values set and elements removed."""
+
+    def patched(df: DataFrame, key: str, fields: dict, patches: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        number, text, field = F.col("number"), F.col("text"), F.col("field")
+        ok = field == "remove"
+        for f, (_, allowed) in fields.items():
+            fits = text.isin(*allowed) if isinstance(allowed[0], str) else (number > 0) & number.between(*allowed)
+            ok |= (field == f) & fits
+        sure = F.coalesce((F.col("confidence") >= least) & ~F.isnan("confidence"), F.lit(False))
+        known = df.select(P, F.col(key).alias("element_id")).distinct()
+        good = patches.filter(sure & F.coalesce(ok, F.lit(False))).join(known, [P, "element_id"], "left_semi")
+        removal = F.min(F.when(field == "remove", F.col("seq"))).over(Window.partitionBy(P, "element_id"))
+        live = good.withColumn("gone_at", removal).filter("gone_at IS NULL OR seq <= gone_at").filter("field <> 'remove' OR seq = gone_at")
+        last = live.groupBy(P, "element_id").agg(
+            *(F.max_by(F.when(field == f, F.struct("number", "text")), F.when(field == f, F.col("seq"))).alias(f) for f in fields),
+            F.count_if(field != "remove").alias("n"),
+            F.bool_or(field == "remove").alias("gone"),
+        )
+        own = last.withColumnRenamed("element_id", key)
+        part = {f: "text" if isinstance(allowed[0], str) else "number" for f, (_, allowed) in fields.items()}
+        joined = df.join(own, [P, key], "left").filter(~F.coalesce("gone", F.lit(False)))
+        out = joined.withColumns({column: F.coalesce(f"{f}.{part[f]}", column) for f, (column, _) in fields.items()}).select(*df.columns)
+        return out, last.groupBy(P).agg(F.sum("n").alias(name), F.count_if("gone").alias(f"removed_{name}"))
+
+    new_walls, wall_counts = patched(walls, "wall_id", WALL_FIELDS, wall_patches, "walls")
+    new_slabs, slab_counts = patched(slabs, "slab_id", SLAB_FIELDS, slab_patches, "slabs")
+    counts = wall_counts.join(slab_counts, P, "full").na.fill(0)
+    return new_walls, new_slabs, counts.select(P, "walls", "slabs", "removed_walls", "removed_slabs")
 
 
 def snapshot_once(current: DataFrame, originals: DataFrame) -> DataFrame:

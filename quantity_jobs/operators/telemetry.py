@@ -46,15 +46,40 @@ def ai_cost_rollup(runs: DataFrame) -> DataFrame:
     return out.select(scope.alias("scope"), key.alias("key"), "calls", "cost_usd", "tokens", "duration_ms", "failures")
 
 
-def reliability_score(runs: DataFrame) -> DataFrame:
-    """(project_id, score, level): 100 less capped penalties for retries, rate limits, failures and JSON retries, by their share of calls."""
-    n = F.count(F.lit(1))
-    rate = lambda s: F.count_if(F.col("status") == s) / n
-    sums = runs.groupBy(P).agg(*(rate(s).alias(s) for s in ("retried", "rate_limited", "failed", "json_retry")))
-    cap = lambda c, weight, most: F.least(F.col(c) * weight, F.lit(float(most)))
-    score = 100.0 - cap("retried", 100.0, 20) - cap("rate_limited", 100.0, 15) - cap("failed", 200.0, 40) - cap("json_retry", 100.0, 15)
-    own = sums.select(P, half_up(F.greatest(F.lit(0.0), score), 2).alias("score"))
-    return own.withColumn("level", F.when(F.col("score") >= 90, "high").when(F.col("score") >= 70, "medium").otherwise("low"))
+#: What a project's model calls cost its score. Retries a call above the share cost so much; the others cost so much each, to a limit.
+RETRY_PENALTIES = ((0.5, 25), (0.2, 10))
+RATE_LIMIT_PENALTY, JSON_RETRY_PENALTY, PAGE_PENALTY = (5, 20), (5, 15), (10, 20)
+FAILURE_PENALTY = (60, 30)
+SCORE_LEVELS = ((80, "high"), (50, "medium"))
+
+
+def reliability_score(runs: DataFrame, failed_pages: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """(project_id, score, level): 100 less penalties for retries a call, rate limits hit, the share of failed calls, retries for broken JSON, and pages that could not be read.
+    runs: one row a call with its status, and maybe the number of its retries; failed_pages: one row each; projects without calls, where given, score 100."""
+    status = F.col("status")
+    retries = F.sum("retries") if "retries" in runs.columns else F.count_if(status == "retried")
+    sums = runs.groupBy(P).agg(
+        F.count(F.lit(1)).alias("calls"), retries.alias("retries"), *(F.count_if(status == x).alias(x) for x in ("rate_limited", "failed", "json_retry"))
+    )
+    if failed_pages is not None:
+        sums = sums.join(failed_pages.groupBy(P).agg(F.count(F.lit(1)).alias("pages")), P, "left")
+    else:
+        sums = sums.withColumn("pages", F.lit(0))
+    each = lambda c, penalty: F.least(F.coalesce(c, F.lit(0)) * penalty[0], F.lit(penalty[1]))
+    rate = F.col("retries") / F.col("calls")
+    often = F.lit(0)
+    for share, penalty in reversed(RETRY_PENALTIES):
+        often = F.when(rate > share, penalty).otherwise(often)
+    share, most = FAILURE_PENALTY
+    failed = F.least(F.floor(F.col("failed") / F.col("calls") * share + 0.5), F.lit(most))
+    lost = often + each(F.col("rate_limited"), RATE_LIMIT_PENALTY) + failed + each(F.col("json_retry"), JSON_RETRY_PENALTY) + each(F.col("pages"), PAGE_PENALTY)
+    own = sums.select(P, F.greatest(F.lit(0), F.lit(100) - lost).cast("long").alias("score"))
+    if projects is not None:
+        own = projects.select(P).distinct().join(own, P, "left").select(P, F.coalesce("score", F.lit(100)).cast("long").alias("score"))
+    level = F.lit("low")
+    for least, name in reversed(SCORE_LEVELS):
+        level = F.when(F.col("score") >= least, name).otherwise(level)
+    return own.withColumn("level", level)
 
 
 def fold_calls(events: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ LEVELS = (
   UNION ALL SELECT project_id, level, slab_class, 0e0, area_m2, area_m2, panels FROM sp
   UNION ALL SELECT project_id, level, 'corners', 0e0, 0e0, 0e0, corner_count FROM {corners}),
 bl AS (SELECT project_id, level, category, floor(sum(length_m) * 1e2 + 5e-1) / 1e2 AS length_m, floor(sum(gross_m2) * 1e2 + 5e-1) / 1e2 AS gross_m2,
-  floor(sum(net_m2) * 1e2 + 5e-1) / 1e2 AS net_m2, CAST(sum(panels) AS BIGINT) AS panels, count(*) AS n FROM un GROUP BY 1, 2, 3)"""
+  floor(sum(net_m2) * 1e2 + 5e-1) / 1e2 AS net_m2, CAST(sum(panels) AS BIGINT) AS panels, count(*) AS n FROM un
+  WHERE (project_id, level) IN (SELECT project_id, level FROM v UNION SELECT project_id, level FROM vs) GROUP BY 1, 2, 3)"""
 )
 SUMMARY = (
     LEVELS

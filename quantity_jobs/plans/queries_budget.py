@@ -151,13 +151,15 @@ def final_cost(t):
     return budget.final_cost(costs, t("projects"))
 
 
-OFFSETS = """fl AS (SELECT project_id, file_seq, max(page_index) + 1 AS n FROM {area_pages} GROUP BY 1, 2),
+OFFSETS = """fl AS (SELECT project_id, file_seq, max(page_index) + 1 + (project_id + file_seq) % 3 AS n FROM {area_pages} GROUP BY 1, 2),
 of AS (SELECT project_id, file_seq, coalesce(sum(n) OVER (PARTITION BY project_id ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM fl),
 pg AS (SELECT a.*, CAST(a.page_index + of.o AS BIGINT) AS page FROM {area_pages} a JOIN of ON a.project_id = of.project_id AND a.file_seq = of.file_seq)"""
 
 
 def _pages(t):
-    return areas.consolidate_files(t("area_pages"))[0]
+    """Pages numbered through; some files end with pages that gave nothing."""
+    files = t("area_pages").groupBy("project_id", "file_seq").agg((F.max("page_index") + 1 + F.max((F.col("project_id") + F.col("file_seq")) % 3)).alias("page_count"))
+    return areas.consolidate_files(t("area_pages"), files)[0]
 
 
 @query("WITH " + OFFSETS + " SELECT project_id, file_seq, page_index, page FROM pg")
@@ -240,12 +242,19 @@ def apply_page_edits(t):
 
 
 @query(
-    """WITH s AS (SELECT project_id, level, sum(ext_gross) AS g, sum(ext_open) AS o FROM {area_pages} GROUP BY 1, 2)
-SELECT project_id, level, floor(g * 1e2 + 5e-1) / 1e2 AS gross_m2, floor(g / 3e0 * 1e4 + 5e-1) / 1e4 AS length_m FROM s WHERE g > 0"""
+    """WITH pg AS (SELECT * REPLACE (CASE WHEN page_index % 4 = 1 THEN '' ELSE level END AS level, CASE WHEN seq_ % 5 = 0 THEN 0e0 ELSE ext_gross END AS ext_gross, CASE WHEN seq_ % 5 = 0 THEN 0e0 ELSE int_gross END AS int_gross) FROM (SELECT *, project_id AS seq_ FROM {area_pages})),
+o AS (SELECT *, CASE WHEN level = '' THEN 'Pavimento ' || CAST(page_index AS VARCHAR) ELSE level END AS lv, file_seq * 100000 + page_index AS k FROM pg),
+h AS (SELECT project_id, coalesce(arg_min(section_height, k) FILTER (section_height > 0), 3e0) AS h FROM o GROUP BY 1),
+s AS (SELECT project_id, lv AS level, floor(sum(ext_gross) * 1e6 + 5e-1) / 1e6 AS eg, floor(sum(ext_net) * 1e6 + 5e-1) / 1e6 AS en, floor(sum(ext_open) * 1e6 + 5e-1) / 1e6 AS eo, floor(sum(int_gross) * 1e6 + 5e-1) / 1e6 AS ig, floor(sum(int_net) * 1e6 + 5e-1) / 1e6 AS i_n, floor(sum(int_open) * 1e6 + 5e-1) / 1e6 AS io, floor(sum(boundary_gross) * 1e6 + 5e-1) / 1e6 AS bg, arg_min(boundary_height, k) AS bh FROM o GROUP BY 1, 2),
+x AS (SELECT s.project_id, level, 'external' AS wall_class, CASE WHEN eg > 0 THEN eg ELSE en END AS g, eo AS op, h FROM s JOIN h ON s.project_id = h.project_id UNION ALL SELECT s.project_id, level, 'internal', CASE WHEN ig > 0 THEN ig ELSE i_n END, io, h FROM s JOIN h ON s.project_id = h.project_id
+  UNION ALL SELECT project_id, level, 'boundary', bg, 0e0, bh FROM s)
+SELECT project_id, level, wall_class, floor(g * 1e2 + 5e-1) / 1e2 AS gross_m2, CASE WHEN h > 0 THEN floor(g / h * 1e2 + 5e-1) / 1e2 ELSE 0e0 END AS length_m, floor(h * 1e2 + 5e-1) / 1e2 AS height_m, floor(op * 1e2 + 5e-1) / 1e2 AS opening_area_m2 FROM x WHERE g > 0"""
 )
 def synthetic_elements(t):
-    walls, _ = clean.synthetic_elements(t("area_pages"))
-    return walls.filter("wall_class = 'external'").select("project_id", "level", half_up("gross_m2").alias("gross_m2"), half_up("length_m", 4).alias("length_m"))
+    bare = F.col("project_id") % 5 == 0
+    pages = t("area_pages").withColumn("level", F.when(F.col("page_index") % 4 == 1, "").otherwise(F.col("level"))).withColumns({c: F.when(bare, 0.0).otherwise(F.col(c)) for c in ("ext_gross", "int_gross")})
+    walls, _ = clean.synthetic_elements(pages)
+    return walls.select("project_id", "level", "wall_class", half_up("gross_m2").alias("gross_m2"), "length_m", "height_m", "opening_area_m2")
 
 
 @query("SELECT project_id, level, 'C' || CAST(row_number() OVER (PARTITION BY project_id ORDER BY seq) AS VARCHAR) AS corner_id FROM {corners}")

@@ -44,14 +44,15 @@ def cap_thickness(t):
     return clean.cap_thickness(t("walls"))[1]
 
 
-@query(
-    """SELECT project_id, 'wall' AS element, wall_id AS element_id, 'height' AS field, '3.0' AS value FROM {walls} WHERE wall_class <> 'boundary' AND NOT height_m > 0
+ASSUMED = """SELECT project_id, 'wall' AS element, wall_id AS element_id, 'height' AS field, '3.0' AS value FROM {walls} WHERE wall_class <> 'boundary' AND NOT height_m > 0
 UNION ALL SELECT project_id, 'opening', wall_id || '.0', 'width', '0.8' FROM {walls} WHERE door_code IS NOT NULL AND NOT door_w > 0 UNION ALL SELECT project_id, 'opening', wall_id || '.0', 'height', '2.1' FROM {walls} WHERE door_code IS NOT NULL AND NOT door_h > 0
 UNION ALL SELECT project_id, 'opening', wall_id || CASE WHEN door_code IS NULL THEN '.0' ELSE '.1' END, 'width', '1.2' FROM {walls} WHERE win_code IS NOT NULL AND NOT win_w > 0
 UNION ALL SELECT project_id, 'opening', wall_id || CASE WHEN door_code IS NULL THEN '.0' ELSE '.1' END, 'height', CASE WHEN win_sill > 13e-1 THEN '0.6' ELSE '1.0' END FROM {walls} WHERE win_code IS NOT NULL AND NOT win_h > 0
 UNION ALL SELECT project_id, 'opening', wall_id || CASE WHEN door_code IS NULL THEN '.0' ELSE '.1' END, 'sill', '1.1' FROM {walls} WHERE win_code IS NOT NULL AND NOT win_sill > 0
 UNION ALL SELECT project_id, 'slab', slab_id, 'foundation', 'raft' FROM {slabs} WHERE slab_class = 'floor' AND lower(level) LIKE '%terreo%'"""
-)
+
+
+@query(ASSUMED)
 def assumption_log(t):
     return clean.assumption_log(t.walls(), t("slabs")).drop("unit")
 
@@ -88,12 +89,20 @@ def clean_dimensions(t):
     return clean.clean_dimensions(t("dimensions")).select("project_id", "seq", "value_m", "orientation")
 
 
+TYPOLOGY = """CASE project_id % 10 WHEN 0 THEN 'casa_terrea' WHEN 1 THEN 'casa_2_pavimentos' WHEN 2 THEN 'sobrado' WHEN 3 THEN 'edificio' WHEN 4 THEN 'comercial_loja'
+  WHEN 5 THEN 'comercial_sala' WHEN 6 THEN 'industrial_galpao' WHEN 7 THEN 'residencial' END"""
+
+
 def _characterizations(t):
     p = F.col("project_id")
     return t("projects").select(
         "project_id",
-        F.col("building_type").alias("typology"),
+        F.expr(TYPOLOGY).alias("typology"),
         F.when(p % 3 == 0, "alto").when(p % 3 == 1, "luxo").alias("standard"),
+        F.when(p % 5 == 0, "L").when(p % 5 == 1, "round").alias("envelope_shape"),
+        F.when(p % 4 == 0, "high").when(p % 4 == 1, "sure").alias("confidence"),
+        F.when(p % 3 != 0, F.array(F.lit("Terreo"), F.lit(" "), F.concat(F.lit("L"), p.cast("string")))).alias("levels"),
+        F.array(F.struct(F.lit(" Sala ").alias("room"), ((p % 7) - 1.5).alias("qty")), F.struct(F.lit(None).cast("string").alias("room"), F.lit(1.0).alias("qty"))).alias("programme"),
         ((p % 20) / 4.0).alias("ceiling_low"),
         ((p % 9) / 3.0).alias("ceiling_high"),
         ((p % 30) / 100.0).alias("thickness_low"),
@@ -101,18 +110,47 @@ def _characterizations(t):
         ((p % 600) * 1.0).alias("walls_low"),
         ((p % 70) * 10.0).alias("walls_high"),
         ((p % 50) * 1.0).alias("openings_low"),
-        ((p % 90) * 1.0).alias("openings_high"),
-        F.array(F.lit("a"), F.lit("b")).alias("notes"),
+        ((p % 90) * 5.0).alias("openings_high"),
+        F.when(p % 2 == 0, (p % 40) * 3.0).alias("area_low"),
+        ((p % 90) * 1000.0).alias("area_high"),
+        (p % 2 == 0).alias("has_garage"),
+        F.repeat(F.lit("ab"), (p % 400).cast("int")).alias("notes"),
     )
 
 
+def ranged(name: str, a: str, b: str, least: str, most: str, low: str, high: str) -> str:
+    """SQL of a range: exchanged where low exceeds high, kept within the limits, else the default."""
+    ok = f"{a} >= {least} AND {b} <= {most}"
+    return f"CASE WHEN {a} > {b} THEN {b} WHEN {ok} THEN {a} ELSE {low} END AS {name}_low, CASE WHEN {a} > {b} THEN {a} WHEN {ok} THEN {b} ELSE {high} END AS {name}_high"
+
+
+RANGED = ", ".join(
+    (
+        ranged("ceiling", "project_id % 20 / 4e0", "project_id % 9 / 3e0", "18e-1", "8e0", "25e-1", "3e0"),
+        ranged("thickness", "project_id % 30 / 1e2", "project_id % 60 / 1e2", "4e-2", "5e-1", "1e-1", "15e-2"),
+        ranged("walls", "project_id % 600 * 1e0", "project_id % 70 * 1e1", "1e0", "5e2", "8e0", "25e0"),
+        ranged("openings", "project_id % 50 * 1e0", "project_id % 90 * 5e0", "0e0", "2e2", "4e0", "16e0"),
+        ranged("area", "CASE WHEN project_id % 2 = 0 THEN project_id % 40 * 3e0 END", "project_id % 90 * 1e3", "1e1", "5e4", "6e1", "2e2"),
+    )
+)
+
+
 @query(
-    """WITH c AS (SELECT project_id, building_type AS ty, project_id % 20 / 4e0 AS a, project_id % 9 / 3e0 AS b FROM {projects})
-SELECT project_id, coalesce(ty, 'residencial') AS typology, CASE WHEN project_id % 3 = 0 THEN 'alto' ELSE 'medio' END AS standard,
-  CASE WHEN least(a, b) >= 18e-1 AND greatest(a, b) <= 12 THEN least(a, b) ELSE 25e-1 END AS ceiling_low, CASE WHEN least(a, b) >= 18e-1 AND greatest(a, b) <= 12 THEN greatest(a, b) ELSE 3e0 END AS ceiling_high FROM c"""
+    "SELECT project_id, CASE WHEN project_id % 10 < 7 THEN "
+    + TYPOLOGY
+    + " ELSE 'outro' END AS typology, CASE WHEN project_id % 3 = 0 THEN 'alto' ELSE 'medio' END AS standard, CASE WHEN project_id % 5 = 0 THEN 'L' ELSE 'retangular_simples' END AS envelope_shape, "
+    + "CASE WHEN project_id % 4 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN project_id % 3 <> 0 THEN 'Terreo;L' || CAST(project_id AS VARCHAR) ELSE 'Terreo' END AS levels, "
+    + "'sala' AS room, CAST(greatest(0, floor(project_id % 7 - 15e-1 + 5e-1)) AS BIGINT) AS qty, "
+    + RANGED
+    + ", project_id % 2 = 0 AS has_garage, false AS has_roof, least(600, project_id % 400 * 2) AS n_notes FROM {projects}"
 )
 def clean_ranges(t):
-    return clean.clean_ranges(_characterizations(t)).select("project_id", "typology", "standard", "ceiling_low", "ceiling_high")
+    out = clean.clean_ranges(_characterizations(t))
+    pairs = [f"{k}_{end}" for k in clean.RANGES for end in ("low", "high")]
+    return out.select(
+        "project_id", "typology", "standard", "envelope_shape", "confidence", F.array_join("levels", ";").alias("levels"), F.col("programme")[0]["room"].alias("room"), F.col("programme")[0]["qty"].alias("qty"),
+        *pairs, "has_garage", "has_roof", F.length("notes").cast("long").alias("n_notes"),
+    )
 
 
 @query(
@@ -180,10 +218,22 @@ def polygon_measures(t):
 
 
 @query(
-    """SELECT project_id, seq, CASE WHEN text LIKE 'SALA%' THEN 'room_dry' WHEN text LIKE 'L=%' THEN 'other' ELSE 'dimension' END AS text_class FROM {dimensions}"""
+    r"""WITH x AS (SELECT project_id, seq, text FROM {dimensions} UNION ALL SELECT project_id, -1, name FROM {projects} UNION ALL SELECT -1, product_id, name FROM {products}),
+n AS (SELECT *, regexp_replace(strip_accents(lower(trim(text))), '\s+', ' ', 'g') AS t FROM x), c AS (SELECT *, replace(replace(replace(t, ',', '.'), ' ', ''), 'm', '') AS d FROM n),
+v AS (SELECT *, CASE WHEN regexp_full_match(d, '\d+(\.\d+)?') THEN CAST(d AS DOUBLE) END AS v FROM c),
+k AS (SELECT *, CASE WHEN v IS NOT NULL THEN CASE WHEN v > 0 AND v <= 50 THEN 'dimension' ELSE 'other' END WHEN regexp_full_match(replace(t, ' ', ''), '[pj][a-z]?\d{1,3}') THEN 'door_window_code'
+  WHEN regexp_matches(t, 'sala|estar|jantar|tv|quarto|dormitorio|suite|ste|cozinha|copa|banho|banheiro|bwc|wc|lavabo|sanitario|lavanderia|area de servico|as|dispensa|despensa|hall|corredor|circulacao|passagem|escritorio|office|closet|vestiario|biblioteca|estudio|deposito|storage|escada|elevador|shaft') THEN 'internal'
+  WHEN regexp_matches(t, 'varanda|sacada|balcao|terraco coberto|garagem|abrigo|carport|santuario|alpendre|pergolado coberto|passarela coberta') THEN 'covered'
+  WHEN regexp_matches(t, 'jardim|quintal|patio|piscina|espelho d.?agua|churrasqueira|deck|estacionamento|horta|canteiro|rua|calcada|acesso') THEN 'uncovered'
+  WHEN regexp_matches(t, 'escala|data|prancha|projeto|obra|responsavel|arquiteto|engenheiro|cliente|endereco|n') THEN 'title_block' ELSE 'other' END AS k FROM v)
+SELECT project_id, seq, CASE WHEN k IN ('internal', 'covered', 'uncovered') THEN 'room_label' ELSE k END AS text_class, CASE WHEN k IN ('internal', 'covered', 'uncovered') THEN k END AS room_type,
+  CASE WHEN k = 'dimension' THEN CASE WHEN v > 30 THEN v / 1e2 ELSE v END END AS dimension_m FROM k"""
 )
 def classify_text(t):
-    return clean.classify_text(t("dimensions")).select("project_id", "seq", "text_class")
+    names = t("projects").select("project_id", F.lit(-1).cast("long").alias("seq"), F.col("name").alias("text"))
+    products = t("products").select(F.lit(-1).cast("long").alias("project_id"), F.col("product_id").cast("long").alias("seq"), F.col("name").alias("text"))
+    every = t("dimensions").select("project_id", "seq", "text").unionByName(names).unionByName(products)
+    return clean.classify_text(every).select("project_id", "seq", "text_class", "room_type", "dimension_m")
 
 
 @query(
@@ -203,11 +253,17 @@ def error_feed(t):
     return clean.error_feed(t("pipeline_events")).select("id", "project_id")
 
 
+PROMPTS = "['classifyAndExtract-v2', 'characterizeProject', 'extractGeometry-v7', 'verify1', 'wallInventory', 'cotaReader', 'envelope-2', 'selfCheck', 'globalCrossValidation', 'globalValidation-1', 'description', 'describe', 'sectionInfo', 'buildingType', 'strange', '']"
+
+
 @query(
-    """SELECT id, CASE kind WHEN 'stage' THEN stage WHEN 'page_split' THEN 'split' WHEN 'cv_substep' THEN 'detector' WHEN 'audit' THEN 'audit' ELSE CASE id % 3 WHEN 0 THEN 'classification' WHEN 1 THEN 'geometry' ELSE 'validation' END END AS stage_id FROM {pipeline_events}"""
+    """SELECT id, CASE WHEN kind = 'stage' THEN CASE WHEN id % 2 = 0 THEN stage END WHEN kind = 'page_split' THEN '0.5' WHEN kind = 'cv_substep' THEN '3.4' WHEN kind = 'audit' THEN CASE WHEN id % 2 = 0 THEN stage ELSE '6.5' END
+  ELSE ['1', '1.5', '3', '3.5', '3.5', '3.6', '3.7', '6.5', '4.6', '4.6', '8', '8', '0.5', '1', '?', '?'][id // 5 % 16 + 1] END AS stage_id FROM {pipeline_events}"""
 )
 def infer_stage(t):
-    return clean.infer_stage(t("pipeline_events").withColumn("prompt_version", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")))).select("id", "stage_id")
+    prompts = F.array(*(F.lit(x) for x in PROMPTS.strip("[]").replace("'", "").split(", ")))
+    own = t("pipeline_events").withColumns({"prompt_version": F.get(prompts, (F.floor(F.col("id") / 5) % 16).cast("int")), "stage": F.when(F.col("id") % 2 == 0, F.col("stage"))})
+    return clean.infer_stage(own).select("id", "stage_id")
 
 
 SIGNATURE = """CAST(thickness_cm AS VARCHAR) || '|' || CAST(length_dm AS VARCHAR) || '|' || CASE WHEN has_window THEN '1' WHEN NOT has_window THEN '0' ELSE 'x' END || '|' || CASE WHEN has_door THEN '1' WHEN NOT has_door THEN '0' ELSE 'x' END || '|' || original_class"""
@@ -218,12 +274,22 @@ def feedback_signature(t):
     return clean.feedback_signature(t("feedback")).select("id", "signature")
 
 
+FEEDBACK_RAW = """SELECT id, user_id, CASE WHEN id % 31 <> 0 THEN project_id END AS project_id, CASE WHEN id % 29 = 0 THEN repeat('w', 65) WHEN id % 37 = 0 THEN '  ' ELSE wall_id END AS wall_id,
+  CASE WHEN id % 17 = 0 THEN 12e0 WHEN id % 13 = 0 THEN 0e0 ELSE thickness_cm / 1e2 END AS thickness_m, CASE WHEN id % 19 = 0 THEN length_dm * 1e1 ELSE length_dm / 1e1 END AS length_m,
+  CASE WHEN id % 23 = 0 THEN 'strange' WHEN id % 7 <> 0 THEN original_class END AS original_class, CASE WHEN id % 5 = 0 THEN 'not_wall' WHEN id % 41 = 0 THEN 'strange' ELSE corrected_class END AS corrected_class,
+  CASE WHEN id % 43 <> 0 THEN action ELSE 'other' END AS action, is_exemplar, repeat('n', CAST(id % 520 AS INT)) AS notes FROM {feedback}"""
+
+
 @query(
-    """SELECT id, length_dm <= 1000 AND (action <> 'correct' OR corrected_class IS NOT NULL) AS valid, action = 'exemplar' AND coalesce(u.is_admin, false) AS is_exemplar
-FROM {feedback} f LEFT JOIN {users} u ON f.user_id = u.user_id"""
+    "WITH r AS ("
+    + FEEDBACK_RAW
+    + """) SELECT id, id % 43 <> 0 AND id % 29 <> 0 AND id % 37 <> 0 AND id % 17 <> 0 AND length_m <= 1000 AND id % 23 <> 0 AND (id % 5 = 0 OR id % 41 <> 0) AND id % 520 <= 500 AND (id % 31 <> 0 OR coalesce(u.is_admin, false)) AS valid,
+  coalesce(u.is_admin, false) AND (is_exemplar OR action = 'exemplar') AS is_exemplar, CAST(CASE WHEN thickness_m > 0 THEN floor(thickness_m * 1e2 + 5e-1) END AS BIGINT) AS thickness_cm,
+  CAST(CASE WHEN length_m > 0 THEN floor(length_m * 1e1 + 5e-1) END AS BIGINT) AS length_dm FROM r LEFT JOIN {users} u ON r.user_id = u.user_id"""
 )
 def feedback_validate(t):
-    return clean.feedback_validate(t("feedback"), t("users")).select("id", "valid", "is_exemplar")
+    raw = t.spark.sql(FEEDBACK_RAW, feedback=t("feedback"))
+    return clean.feedback_validate(raw, t("users")).select("id", "valid", "is_exemplar", "thickness_cm", "length_dm")
 
 
 def _element_rows(t):
@@ -260,24 +326,43 @@ def read_takeoff_docs(t):
 
 
 @query(
-    """SELECT project_id, page_index, file_seq, CASE WHEN file_seq = 1 THEN 'Terreo' ELSE level END AS level, ext_gross, CASE WHEN page_index % 2 = 0 THEN 0e0 ELSE int_gross END AS int_gross,
-  CASE WHEN file_seq = 1 THEN 1 ELSE 0 END + CASE WHEN page_index % 2 = 0 THEN 1 ELSE 0 END AS n_missing, CASE WHEN page_index % 3 = 0 THEN 'plan' ELSE 'other' END AS page_kind FROM {area_pages}"""
+    """SELECT project_id, page_index, file_seq, CASE WHEN file_seq = 1 THEN 'Pavimento' ELSE level END AS level, ext_gross, ext_net, CASE WHEN page_index % 2 = 0 THEN 0e0 ELSE int_gross END AS int_gross, 0e0 AS int_net,
+  CASE WHEN boundary_height = 0 OR page_index % 5 = 0 THEN 2e0 ELSE boundary_height END AS boundary_height, CASE WHEN file_seq = 2 THEN 0e0 ELSE floor_m2 END AS floor_m2,
+  CASE WHEN page_index % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN page_index % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN page_index % 3 = 1 THEN 1 ELSE 0 END AS n_missing,
+  CASE WHEN page_index % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE page_index % 4 WHEN 0 THEN 'window' WHEN 1 THEN 'door' ELSE 'other' END AS opening_kind,
+  CASE WHEN page_index % 2 = 0 THEN 'internal' ELSE 'external' END AS opening_wall, CASE WHEN page_index % 3 = 0 THEN 7e0 ELSE 15e-1 * (page_index % 7) END AS opening_m2 FROM {area_pages}"""
 )
 def read_area_pages(t):
-    raw = t("area_pages").select(
-        "project_id", "page_index", "file_seq",
-        F.to_json(F.struct(F.when(F.col("file_seq") != 1, F.col("level")).alias("level"), "ext_gross", F.when(F.col("page_index") % 2 != 0, F.col("int_gross")).alias("int_gross"), "floor_m2", F.when(F.col("page_index") % 3 == 0, "plan").otherwise("strange").alias("page_kind"))).alias("data"),
+    page = F.col("page_index")
+    opening = F.struct(
+        F.when(page % 4 == 0, "janela").when(page % 4 == 1, "porta").otherwise("strange").alias("tipo"), F.when(page % 2 == 0, "interna").alias("parede"),
+        F.lit("1.5").alias("largura_m"), (page % 7).alias("altura_m"), F.when(page % 3 == 0, 7).alias("area_m2"),
+    )
+    answer = F.struct(
+        F.when(F.col("file_seq") != 1, F.col("level")).alias("pavimento"),
+        F.struct(F.col("ext_gross").alias("area_bruta_m2"), F.col("ext_open").alias("area_aberturas_m2"), F.col("ext_net").cast("string").alias("area_liquida_m2")).alias("paredes_externas"),
+        F.when(page % 2 != 0, F.struct(F.col("int_gross").cast("string").alias("area_bruta_m2"), F.lit("x").alias("area_liquida_m2"))).alias("paredes_internas"),
+        F.when(page % 5 != 0, F.struct(F.col("boundary_gross").alias("area_bruta_m2"), F.col("boundary_height").alias("altura_assumida_m"))).alias("muros"),
+        F.when(F.col("file_seq") == 2, "n/a").otherwise(F.col("floor_m2").cast("string")).alias("laje_piso_m2"),
+        F.when(page % 3 != 1, F.col("roof_m2")).alias("laje_coberta_m2"),
+        F.array(opening).alias("aberturas"),
+        F.when(page % 3 == 0, "high").otherwise("certain").alias("confidence"),
+    )
+    out = io.read_area_pages(t("area_pages").select("project_id", F.struct("page_index", "file_seq").alias("seq"), F.to_json(answer).alias("data")))
+    o = F.col("openings")[0]
+    return out.select(
+        "project_id", "seq.page_index", "seq.file_seq", "level", "ext_gross", "ext_net", "int_gross", "int_net", "boundary_height", "floor_m2", F.size("missing").cast("long").alias("n_missing"), "confidence",
+        o["kind"].alias("opening_kind"), o["wall_class"].alias("opening_wall"), o["area_m2"].alias("opening_m2"),
     )
-    keyed = raw.withColumn("seq", F.struct("page_index", "file_seq"))
-    out = io.read_area_pages(keyed)
-    return out.select("project_id", "seq.page_index", "seq.file_seq", "level", "ext_gross", "int_gross", F.size("missing").cast("long").alias("n_missing"), "page_kind")
 
 
 @query(
     """SELECT trim(description) AS description, trim(hub) AS hub, CAST(replace(price, ',', '.') AS DOUBLE) AS price FROM {price_sheet} WHERE hub <> '' AND price <> 'n/a' AND CAST(replace(CASE WHEN price = 'n/a' THEN '0' ELSE price END, ',', '.') AS DOUBLE) > 0"""
 )
 def read_price_sheet(t):
-    return io.clean_price_sheet(t("price_sheet"))
+    folder = io.run_folder(t.spark, "prices")
+    t("price_sheet").select("description", "hub", "price").write.option("header", True).csv(folder)
+    return io.read_price_sheet(t.spark, folder)
 
 
 SHEET = """sh AS (SELECT trim(upper(regexp_replace(replace(description, 'É', 'E'), '\\s+', ' ', 'g'))) AS k, description, lower(replace(hub, ' ', '_')) AS hub_code, CAST(replace(price, ',', '.') AS DOUBLE) AS price FROM {price_sheet}

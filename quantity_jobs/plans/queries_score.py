@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import round_half_up as half_up
-from ..operators import audit, clean, score, telemetry
+from ..operators import audit, budget, clean, score, telemetry
 from ..sources import io
 from ..streaming import streams
 from . import pipelines
 from .catalogue import DEFAULTED, LEVELS, query
-from .queries_budget import _catalogue, _levels, _proposal
-from .queries_clean import SIGNATURE, _characterizations
+from .queries_budget import PROPOSAL, _levels, _proposal
+from .queries_clean import ASSUMED, RANGED, SIGNATURE, _characterizations
 
 EVENTS = "pipeline_events"
 
@@ -21,22 +21,10 @@ def _audited(t):
     return audit.self_check(walls, t("slabs"), t.envelopes(), clean.clean_ranges(_characterizations(t)), t("projects"))
 
 
-def _range(name: str, a: str, b: str, least: str, most: str, low: str, high: str) -> str:
-    ok = f"least({a}, {b}) >= {least} AND greatest({a}, {b}) <= {most}"
-    return f"CASE WHEN {ok} THEN least({a}, {b}) ELSE {low} END AS {name}_low, CASE WHEN {ok} THEN greatest({a}, {b}) ELSE {high} END AS {name}_high"
-
-
 CHECKED = (
     DEFAULTED
     + ", rg AS (SELECT project_id, building_type AS bt, "
-    + ", ".join(
-        (
-            _range("ceiling", "project_id % 20 / 4e0", "project_id % 9 / 3e0", "18e-1", "12e0", "25e-1", "3e0"),
-            _range("thickness", "project_id % 30 / 1e2", "project_id % 60 / 1e2", "5e-2", "5e-1", "9e-2", "15e-2"),
-            _range("walls", "project_id % 600 * 1e0", "project_id % 70 * 1e1", "1e0", "5e2", "1e1", "6e1"),
-            _range("openings", "project_id % 50 * 1e0", "project_id % 90 * 1e0", "0e0", "5e2", "4e0", "4e1"),
-        )
-    )
+    + RANGED
     + """ FROM {projects}),
 j AS (SELECT w.*, rg.*, length_m * height_m AS ar, opening_area_m2 AS op FROM w JOIN rg ON rg.project_id = w.project_id),
 g AS (SELECT rg.project_id, bt, walls_low, walls_high, openings_low, count(*) FILTER (wall_class = 'external') AS ext, count(*) FILTER (wall_class = 'internal') AS int_, count(*) AS n, count(*) FILTER (has_door) + count(*) FILTER (has_window) AS opens,
@@ -233,16 +221,43 @@ def fingerprint(t):
     return score.fingerprint(t("corners").select("project_id", F.concat(F.lit("f"), F.col("seq").cast("string")).alias("name"), F.concat(F.lit("c"), F.col("corner_count").cast("string")).cast("binary").alias("content")))
 
 
+CORRECTED = """w AS (SELECT *, seq % 11 >= 7 AS sure, seq % 5 AS f, (seq % 600) / 1e1 AS num, seq % 4 <> 0 AS known, seq % 2 = 0 AS again FROM {walls}),
+ww AS (SELECT *, sure AND f = 3 AS gone, sure AND (f = 0 AND num > 0 AND num <= 50 OR f = 1 AND num BETWEEN 15e-1 AND 6 OR f = 2 AND known) AS hit FROM w),
+s AS (SELECT *, seq % 2 = 0 AS sure, seq % 3 AS f, seq % 6000 + 5e-1 AS num FROM {slabs})"""
+
+
+def _corrections(t):
+    s = F.col("seq")
+    field = F.when(s % 5 == 0, "length").when(s % 5 == 1, "height").when(s % 5 == 2, "class").when(s % 5 == 3, "remove").otherwise("strange")
+    first = t("walls").select("project_id", F.col("wall_id").alias("element_id"), field.alias("field"), ((s % 600) / 10.0).alias("number"), F.when(s % 4 == 0, "strange").otherwise("boundary").alias("text"), ((s % 11) / 10.0).alias("confidence"), (s * 2).alias("seq"))
+    again = t("walls").filter(s % 2 == 0).select("project_id", F.col("wall_id").alias("element_id"), F.lit("length").alias("field"), F.lit(7.5).alias("number"), F.lit(None).cast("string").alias("text"), F.lit(0.9).alias("confidence"), (s * 2 + 1).alias("seq"))
+    slab_field = F.when(s % 3 == 0, "area").when(s % 3 == 1, "class").otherwise("remove")
+    plates = t("slabs").select("project_id", F.col("slab_id").alias("element_id"), slab_field.alias("field"), (s % 6000 + F.lit(0.5)).alias("number"), F.lit("raft").alias("text"), F.when(s % 2 == 0, 0.9).otherwise(0.5).alias("confidence"), "seq")
+    return score.apply_corrections(t("walls"), t("slabs"), first.unionByName(again), plates)
+
+
 @query(
-    """WITH p AS (SELECT *, CASE seq % 6 WHEN 0 THEN 'length' WHEN 1 THEN 'height' WHEN 2 THEN 'class' WHEN 3 THEN 'remove' END AS fd, (seq % 200) / 1e0 AS num FROM {walls} WHERE seq % 3 <> 2 AND (seq % 11) / 1e1 >= 7e-1)
-SELECT w.project_id, w.wall_id, CASE WHEN p.fd = 'length' AND p.num BETWEEN 1e-1 AND 100 THEN p.num ELSE w.length_m END AS length_m, CASE WHEN p.fd = 'height' AND p.num BETWEEN 1 AND 10 THEN p.num ELSE w.height_m END AS height_m,
-  CASE WHEN p.fd = 'class' THEN 'boundary' ELSE w.wall_class END AS wall_class FROM {walls} w LEFT JOIN p ON p.project_id = w.project_id AND p.seq = w.seq WHERE coalesce(p.fd, '') <> 'remove'"""
+    "WITH "
+    + CORRECTED
+    + """ SELECT project_id, wall_id AS element_id, CASE WHEN again THEN 75e-1 WHEN hit AND f = 0 THEN num ELSE length_m END AS measure, CASE WHEN hit AND f = 1 THEN num ELSE height_m END AS height_m,
+  CASE WHEN hit AND f = 2 THEN 'boundary' ELSE wall_class END AS class FROM ww WHERE NOT gone UNION ALL
+SELECT project_id, slab_id, CASE WHEN sure AND f = 0 AND num <= 5000 THEN num ELSE area_m2 END, NULL, CASE WHEN sure AND f = 1 THEN 'raft' ELSE slab_class END FROM s WHERE NOT (sure AND f = 2)"""
 )
 def apply_corrections(t):
-    s = F.col("seq")
-    field = F.when(s % 6 == 0, "length").when(s % 6 == 1, "height").when(s % 6 == 2, "class").when(s % 6 == 3, "remove")
-    patches = t("walls").filter("seq % 3 <> 2").select("project_id", F.col("wall_id").alias("element_id"), field.alias("field"), ((s % 200) * 1.0).alias("number"), F.lit("boundary").alias("text"), ((s % 11) / 10.0).alias("confidence"), "seq")
-    return score.apply_corrections(t("walls"), t("slabs"), patches)[0].select("project_id", "wall_id", "length_m", "height_m", "wall_class")
+    walls, slabs, _ = _corrections(t)
+    own = walls.select("project_id", F.col("wall_id").alias("element_id"), F.col("length_m").alias("measure"), "height_m", F.col("wall_class").alias("class"))
+    return own.unionByName(slabs.select("project_id", F.col("slab_id").alias("element_id"), F.col("area_m2").alias("measure"), F.lit(None).cast("double").alias("height_m"), F.col("slab_class").alias("class")))
+
+
+@query(
+    "WITH "
+    + CORRECTED
+    + """, a AS (SELECT project_id, count(*) FILTER (hit) + count(*) FILTER (again AND NOT gone) AS n, count(*) FILTER (gone) AS g FROM ww GROUP BY 1 HAVING bool_or(hit OR again OR gone)),
+b AS (SELECT project_id, count(*) FILTER (f = 0 AND num <= 5000 OR f = 1) AS n, count(*) FILTER (f = 2) AS g FROM s WHERE sure AND (f <> 0 OR num <= 5000) GROUP BY 1)
+SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.n, 0) AS walls, coalesce(b.n, 0) AS slabs, coalesce(a.g, 0) AS removed_walls, coalesce(b.g, 0) AS removed_slabs FROM a FULL JOIN b ON a.project_id = b.project_id"""
+)
+def correction_counts(t):
+    return _corrections(t)[2]
 
 
 @query("SELECT project_id, seq FROM {corners} WHERE project_id % 2 = 0 AND seq % 2 = 0 UNION ALL SELECT project_id, seq FROM {corners} WHERE project_id NOT IN (SELECT project_id FROM {corners} WHERE project_id % 2 = 0 AND seq % 2 = 0)")
@@ -271,12 +286,16 @@ def ai_cost_rollup(t):
 
 
 @query(
-    """WITH s AS (SELECT project_id, count(*) FILTER (status = 'retried') / count(*) AS a, count(*) FILTER (status = 'rate_limited') / count(*) AS b, count(*) FILTER (status = 'failed') / count(*) AS c, count(*) FILTER (status = 'json_retry') / count(*) AS d FROM {ai_runs} GROUP BY 1),
-k AS (SELECT project_id, floor(greatest(0e0, 100e0 - least(a * 100e0, 20e0) - least(b * 100e0, 15e0) - least(c * 200e0, 40e0) - least(d * 100e0, 15e0)) * 1e2 + 5e-1) / 1e2 AS score FROM s)
-SELECT project_id, score, CASE WHEN score >= 90 THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END AS level FROM k"""
+    """WITH c AS (SELECT project_id, count(*) AS n, count(*) FILTER (status = 'retried') AS r, count(*) FILTER (status = 'rate_limited') AS l, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'json_retry') AS j FROM {ai_runs} GROUP BY 1),
+g AS (SELECT project_id, count(*) AS n FROM {pipeline_events} WHERE kind = 'page_split' AND phase = 'failed' GROUP BY 1),
+p AS (SELECT DISTINCT project_id FROM {pipeline_events}),
+k AS (SELECT p.project_id, CASE WHEN c.n IS NULL THEN 100 ELSE greatest(0, 100 - CASE WHEN r / c.n > 5e-1 THEN 25 WHEN r / c.n > 2e-1 THEN 10 ELSE 0 END - least(20, 5 * l) - least(30, CAST(floor(f / c.n * 6e1 + 5e-1) AS BIGINT)) - least(15, 5 * j)
+  - least(20, 10 * coalesce(g.n, 0))) END AS score FROM p LEFT JOIN c ON p.project_id = c.project_id LEFT JOIN g ON p.project_id = g.project_id)
+SELECT project_id, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS level FROM k"""
 )
 def reliability_score(t):
-    return telemetry.reliability_score(t("ai_runs"))
+    failed = t(EVENTS).filter("kind = 'page_split' AND phase = 'failed'").select("project_id")
+    return telemetry.reliability_score(t("ai_runs"), failed, t(EVENTS).select("project_id"))
 
 
 @query(
@@ -299,21 +318,28 @@ def fold_calls(t):
     return _us(telemetry.fold_calls(t(EVENTS)).drop("events"), "started_at", "ended_at")
 
 
+def _streamed(t, job):
+    """The outcome of a streaming job over the events table's files, read back from where it was written."""
+    folder = io.run_folder(t.spark, job.__name__)
+    streams.to_folder(job(t.stream(EVENTS)), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out")
+
+
 @query(CALLS)
 def stream_ai_calls(t):
-    return _us(streams.calls(t(EVENTS)), "started_at", "ended_at")
+    return _us(_streamed(t, streams.calls), "started_at", "ended_at")
 
 
 @query(
     """SELECT project_id, stage, epoch_us(min(created_at) FILTER (phase = 'started')) AS started_us, epoch_us(max(created_at) FILTER (phase = 'completed')) AS completed_us, arg_max(phase, created_at) AS last_phase FROM {pipeline_events} WHERE kind = 'stage' GROUP BY 1, 2"""
 )
 def stream_stages(t):
-    return _us(streams.stages(t(EVENTS)), "started_at", "completed_at")
+    return _us(_streamed(t, streams.stages), "started_at", "completed_at")
 
 
 @query("SELECT project_id, count(*) AS events, CAST(sum(in_tokens) AS BIGINT) AS tokens, epoch_us(min(created_at)) AS first_us, epoch_us(max(created_at)) AS last_us FROM {pipeline_events} GROUP BY 1")
 def stream_totals(t):
-    return _us(streams.running_totals(t(EVENTS)), "first_at", "last_at")
+    return _us(_streamed(t, streams.running_totals), "first_at", "last_at")
 
 
 @query(
@@ -326,30 +352,66 @@ def stream_stale(t):
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, created_at)) AS start_us, kind, count(*) AS n, CAST(sum(in_tokens) AS BIGINT) AS tokens FROM {pipeline_events} GROUP BY 1, 2")
 def stream_event_rates(t):
-    out = streams.event_rates(t(EVENTS))
+    out = _streamed(t, streams.event_rates)
     return out.select(F.unix_micros("start").alias("start_us"), "kind", "n", "tokens")
 
 
 @query("SELECT id, project_id FROM {pipeline_events} WHERE kind NOT IN ('page_split', 'cv_substep') AND NOT (kind = 'ai_call' AND phase = 'started')")
 def stream_events_sink(t):
-    return clean.persistable(t(EVENTS)).select("id", "project_id")
+    folder = io.run_folder(t.spark, "events")
+    streams.events_sink(t.stream(EVENTS), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("id", "project_id")
+
+
+# levels, proposal lines and alerts of one budget
+BUDGETED = PROPOSAL + INCONSISTENT[len(LEVELS) :]
 
 
 @query(
     "WITH "
-    + LEVELS
-    + """, q AS (SELECT project_id, count(*) AS n FROM bl GROUP BY 1) SELECT p.project_id, p.name, p.client_name, q.n AS n_quantities FROM {projects} p LEFT JOIN q ON q.project_id = p.project_id"""
+    + BUDGETED
+    + """, q AS (SELECT project_id, count(*) AS n, CAST(sum(panels) AS BIGINT) AS panels FROM bl GROUP BY 1), m AS (SELECT project_id, count(*) AS n, max(CASE WHEN line = 'total' THEN cost END) AS cost FROM pr GROUP BY 1),
+a AS (SELECT project_id, count(*) AS n, count(*) FILTER (severity = 'low') AS low FROM al GROUP BY 1)
+SELECT p.project_id, p.name, p.client_name, q.n AS n_quantities, q.panels, m.n AS n_materials, m.cost, a.n AS n_alerts, a.low AS n_low FROM {projects} p LEFT JOIN q ON q.project_id = p.project_id LEFT JOIN m ON m.project_id = p.project_id LEFT JOIN a ON a.project_id = p.project_id"""
 )
 def write_budget_json(t):
-    docs = io.budget_documents(t("projects"), _levels(t), _proposal(t), _inconsistent(t).filter("severity = 'medium'"))
-    return docs.select("project_id", "name", "client_name", F.size("quantities").cast("long").alias("n_quantities"))
+    docs = io.budget_documents(t("projects"), _levels(t), _proposal(t), _inconsistent(t))
+    folder = io.run_folder(t.spark, "budgets")
+    io.write_budget_json(docs, folder)
+    back = t.spark.read.schema(docs.schema).json(folder)
+    total = F.filter("materials", lambda m: m["line"] == "total")
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long")
+    return back.select(
+        "project_id", "name", "client_name", size("quantities").alias("n_quantities"), F.aggregate("quantities", F.lit(0).cast("long"), lambda a, q: a + q["panels"]).alias("panels"),
+        size("materials").alias("n_materials"), F.get(total, F.lit(0))["cost"].alias("cost"), size("alerts").alias("n_alerts"),
+        F.when(F.col("alerts").isNotNull(), F.size(F.filter("alerts", lambda a: a["severity"] == "low"))).cast("long").alias("n_low"),
+    )
 
 
-@query("SELECT 'projects' AS name, count(*) AS n FROM {projects} UNION ALL SELECT 'products', count(*) * 6 FROM {products} UNION ALL SELECT 'slabs', count(*) FROM {slabs}")
+@query(
+    "WITH "
+    + BUDGETED
+    + ", ax AS ("
+    + ASSUMED
+    + """) SELECT 'summary' AS name, project_id, count(*) AS n, CAST(sum(panels) AS DOUBLE) AS total FROM sm GROUP BY 2 UNION ALL SELECT 'walls', project_id, count(*), CAST(sum(panels) AS DOUBLE) FROM pn GROUP BY 2
+UNION ALL SELECT 'slabs', project_id, count(*), CAST(sum(panels) AS DOUBLE) FROM sp GROUP BY 2 UNION ALL SELECT 'materials', project_id, count(*), floor(sum(cost) * 1e2 + 5e-1) / 1e2 FROM pr GROUP BY 2
+UNION ALL SELECT 'alerts', project_id, count(*), CAST(count(element_id) AS DOUBLE) FROM al GROUP BY 2 UNION ALL SELECT 'assumptions', project_id, count(*), CAST(count(*) FILTER (field = 'height') AS DOUBLE) FROM ax GROUP BY 2"""
+)
 def export_tables(t):
-    counted = {"projects": t("projects"), "products": _catalogue(t), "slabs": t("slabs")}
+    walls, slabs = pipelines.measured_elements(t.walls(), t("slabs"))
+    tables = {
+        "summary": budget.budget_summary(_levels(t)),
+        "walls": budget.wall_panels(walls).select("project_id", "wall_id", "level", "wall_class", "gross_m2", "net_m2", "panels"),
+        "slabs": budget.slab_panels(slabs).select("project_id", "slab_id", "level", "slab_class", "area_m2", "panels"),
+        "materials": _proposal(t),
+        "alerts": _inconsistent(t),
+        "assumptions": clean.assumption_log(t.walls(), t("slabs")),
+    }
+    folder = io.run_folder(t.spark, "tables")
+    io.export_tables(tables, folder)
+    totals = {"materials": half_up(F.sum("cost")), "alerts": F.count("element_id"), "assumptions": F.count_if(F.col("field") == "height")}
     out = None
-    for name, df in counted.items():
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    for name, df in io.read_tables(t.spark, tables, folder).items():
+        row = df.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), totals.get(name, F.sum("panels")).cast("double").alias("total")).select(F.lit(name).alias("name"), "project_id", "n", "total")
         out = row if out is None else out.unionByName(row)
     return out

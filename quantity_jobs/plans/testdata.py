@@ -146,7 +146,7 @@ def adapters_of(sql: str) -> tuple[str, ...]:
 
 def oracle(sql: str) -> str:
     """SQL with {adapter} names as a statement that DuckDB runs over the given tables."""
-    parts = [f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', ADAPTERS[n]).replace('AS STRING)', 'AS VARCHAR)')})" for n in adapters_of(sql)]
+    parts = [f"{n} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', ADAPTERS[n]).replace('AS STRING)', 'AS VARCHAR)')})" for n in adapters_of(sql)]
     body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
     if not parts:
         return body
@@ -170,6 +170,13 @@ class Tables:
         sql = ADAPTERS[name]
         return self.spark.sql(sql, **{n: self(n) for n in dict.fromkeys(re.findall(r"\{(\w+)\}", sql))})
 
+    def stream(self, name: str) -> DataFrame:
+        """An adapter of one given table, over a stream of that table's files."""
+        (source,) = re.findall(r"\{(\w+)\}", ADAPTERS[name])
+        raw = self.raw(source)
+        # a pattern, since a stream takes a plain path for a folder and the table may be one file
+        return self.spark.sql(ADAPTERS[name], **{source: self.spark.readStream.schema(raw.schema).parquet(f"{self.sf_dir}/{source}.parque[t]")})
+
     def walls(self) -> DataFrame:
         """walls with bbox and openings as nested columns."""
         opening = lambda kind, code, w, h, sill: F.when(

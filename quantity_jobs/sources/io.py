@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .. import dims
 from ..functions.exprs import hub_code, normalize_product_name, parse_decimal, round_half_up as half_up
@@ -19,8 +22,29 @@ CORNER_JSON = "id string, level string, corner_count int"
 TAKEOFF_JSON = """sheets array<struct<page_index: int, level: string,
  segments: array<struct<id: string, category: string, length_m_ai: double, length_m_calculated: double, height_m: double, confidence: double>>,
  slabs: array<struct<id: string, category: string, area_m2_declared: double, area_m2_ai: double, area_m2_calculated: double, confidence: double>>>>"""
-AREA_JSON = "level string, ext_gross double, ext_open double, int_gross double, int_open double, boundary_gross double, boundary_height double, floor_m2 double, roof_m2 double, confidence double, page_kind string"
-PAGE_KINDS = ("plan", "roof_plan", "section", "facade", "other")
+#: The form of an area answer. Numbers are read as text, since some answers quote them.
+AREA_JSON = """pavimento string, paredes_externas struct<area_bruta_m2: string, area_aberturas_m2: string, area_liquida_m2: string>,
+ paredes_internas struct<area_bruta_m2: string, area_aberturas_m2: string, area_liquida_m2: string>, muros struct<area_bruta_m2: string, altura_assumida_m: string>,
+ laje_piso_m2 string, laje_coberta_m2 string, aberturas array<struct<tipo: string, parede: string, largura_m: string, altura_m: string, area_m2: string>>,
+ confidence string, observacoes string"""
+AREA_REQUIRED = ("paredes_externas", "paredes_internas", "muros", "laje_piso_m2", "laje_coberta_m2")
+OPENING_KINDS = {"janela": "window", "porta": "door", "cobogo": "cobogo"}
+ANSWER_CONFIDENCES = ("high", "medium", "low")
+WALL_GROUPS = {"ext": "paredes_externas", "int": "paredes_internas"}
+GROUP_AREAS = {"gross": "area_bruta_m2", "open": "area_aberturas_m2", "net": "area_liquida_m2"}
+DEFAULT_BOUNDARY_HEIGHT, LONGEST_NOTE = 2.0, 500
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder; only local sessions without one get a temporary folder."""
+    context = spark.sparkContext
+    chosen = context._jsc.sc().getCheckpointDir()
+    base = chosen.get() if chosen.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def read_elements(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,18 +77,36 @@ def read_takeoff_docs(docs: DataFrame, default_height: float = dims.WALL_HEIGHT)
 
 
 def read_area_pages(raw: DataFrame) -> DataFrame:
-    """Area pages from JSON (project_id, seq, data): missing areas are 0, net is gross less openings, unknown kinds are `other`; `missing` lists
-    required fields that were absent."""
-    required = ("level", "ext_gross", "int_gross", "floor_m2")
-    d = raw.select(P, "seq", F.from_json("data", AREA_JSON).alias("d")).select(P, "seq", F.filter(F.array(*(F.when(F.col(f"d.{c}").isNull(), F.lit(c)) for c in required)), lambda x: x.isNotNull()).alias("missing"), "d.*")
-    zeros = ["ext_gross", "ext_open", "int_gross", "int_open", "boundary_gross", "boundary_height", "floor_m2", "roof_m2"]
-    out = d.na.fill(0.0, zeros).withColumn("level", F.coalesce(F.nullif("level", F.lit("")), F.lit("Terreo"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
-    return out.withColumns(
-        {
-            "ext_net": F.greatest(F.lit(0.0), F.col("ext_gross") - F.col("ext_open")),
-            "int_net": F.greatest(F.lit(0.0), F.col("int_gross") - F.col("int_open")),
-            "page_kind": F.when(F.col("page_kind").isin(*PAGE_KINDS), F.col("page_kind")).otherwise("other"),
-        }
+    """Area pages from JSON answers (project_id, seq, data): absent or unreadable areas are 0, boundary heights 2 m, levels `Pavimento`, confidences `low`; net areas are those
+    stated. openings are typed, their area the stated one or width by height; `missing` lists the required fields that were absent or null."""
+    own = raw.select(P, "seq", F.from_json("data", AREA_JSON).alias("d"))
+    number = lambda c, default=0.0: F.coalesce(F.nullif(F.nullif(c.try_cast("double"), F.lit(float("nan"))), F.lit(0.0)), F.lit(default))
+
+    def opening(o):
+        kind = F.lit("other")
+        for theirs, ours in OPENING_KINDS.items():
+            kind = F.when(o["tipo"] == theirs, ours).otherwise(kind)
+        width, height = number(o["largura_m"]), number(o["altura_m"])
+        area = number(o["area_m2"])
+        return F.struct(
+            kind.alias("kind"), F.when(o["parede"] == "interna", "internal").otherwise("external").alias("wall_class"), width.alias("width_m"), height.alias("height_m"), F.when(area != 0, area).otherwise(width * height).alias("area_m2")
+        )
+
+    openings = F.transform(F.filter(F.coalesce("d.aberturas", F.array().cast(own.schema["d"].dataType["aberturas"].dataType)), lambda o: o.isNotNull()), opening)
+    missing = F.filter(F.array(*(F.when(F.col(f"d.{c}").isNull(), F.lit(c)) for c in AREA_REQUIRED)), lambda x: x.isNotNull())
+    return own.select(
+        P,
+        "seq",
+        F.coalesce("d.pavimento", F.lit("Pavimento")).alias("level"),
+        *(number(F.col(f"d.{group}.{field}")).alias(f"{g}_{f}") for g, group in WALL_GROUPS.items() for f, field in GROUP_AREAS.items()),
+        number(F.col("d.muros.area_bruta_m2")).alias("boundary_gross"),
+        number(F.col("d.muros.altura_assumida_m"), DEFAULT_BOUNDARY_HEIGHT).alias("boundary_height"),
+        number(F.col("d.laje_piso_m2")).alias("floor_m2"),
+        number(F.col("d.laje_coberta_m2")).alias("roof_m2"),
+        openings.alias("openings"),
+        F.when(F.col("d.confidence").isin(*ANSWER_CONFIDENCES), F.col("d.confidence")).otherwise("low").alias("confidence"),
+        F.substring(F.coalesce("d.observacoes", F.lit("")), 1, LONGEST_NOTE).alias("notes"),
+        missing.alias("missing"),
     )
 
 
@@ -103,10 +145,17 @@ def replace_by_project(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def recover_json(responses: DataFrame, schema: str) -> DataFrame:
     """responses (project_id, seq, data) with `parsed` and `outcome`: strict where the text parses, else repaired, recovered (single walls picked out),
-    empty or quarantine. Only rows that fail to parse leave the JVM."""
-    strict = F.from_json("data", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    empty or quarantine. A list is what the schema's first array holds. Only rows that fail to parse leave the JVM."""
+    fields = StructType.fromDDL(schema).fields
+    listed = next((f.name for f in fields if isinstance(f.dataType, ArrayType)), None)
+
+    def whole(text: Column) -> Column:
+        return F.when(F.ltrim(text).startswith("["), F.concat(F.lit(f'{{"{listed}":'), text, F.lit("}"))).otherwise(text) if listed else text
+
+    strict = F.from_json(whole(F.col("data")), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     own = responses.withColumn("parsed", strict)
-    ok = F.coalesce(F.col("parsed").isNotNull() & F.col("parsed._bad").isNull(), F.lit(False)) & F.coalesce(F.trim("data").startswith("{"), F.lit(False))
+    start = F.substring(F.ltrim("data"), 1, 1)
+    ok = F.coalesce(F.col("parsed").isNotNull() & F.col("parsed._bad").isNull(), F.lit(False)) & F.coalesce(start.isin("{", "[") if listed else start == "{", F.lit(False))
 
     def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -115,9 +164,9 @@ def recover_json(responses: DataFrame, schema: str) -> DataFrame:
 
     names = responses.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.schema)
-    good = own.filter(ok).select(*names, F.from_json("data", schema).alias("parsed"), F.lit("strict").alias("outcome"))
+    good = own.filter(ok).select(*names, F.from_json(whole(F.col("data")), schema).alias("parsed"), F.lit("strict").alias("outcome"))
     rest = own.filter(~ok).select(*names).mapInPandas(repair, f"{kinds}, fixed string, outcome string")
-    return good.unionByName(rest.select(*names, F.from_json("fixed", schema).alias("parsed"), "outcome"))
+    return good.unionByName(rest.select(*names, F.from_json(whole(F.col("fixed")), schema).alias("parsed"), "outcome"))
 
 
 def json_outcomes(recovered: DataFrame) -> DataFrame:
@@ -175,6 +224,11 @@ def export_tables(tables: dict[str, DataFrame], path: str, fmt: str = "csv") ->
         (writer.csv if fmt == "csv" else writer.parquet)(f"{path}/{name}")
 
 
+def read_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """The tables as export_tables wrote them in CSV, with the types of `tables`."""
+    return {name: spark.read.schema(df.schema).option("header", True).option("enforceSchema", True).csv(f"{path}/{name}") for name, df in tables.items()}
+
+
 def area_csv_rows(area_pages: DataFrame) -> DataFrame:
     """(project_id, row_kind, page, category, area_m2): a row per page and category, and the totals by category."""
     names = ["ext_net", "int_net", "boundary_gross", "floor_m2", "roof_m2"]

@@ -28,6 +28,15 @@ def events_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return persistable(events).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def to_folder(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """What a job over all events available now has found in the end, as Parquet that each batch replaces."""
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return result.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def calls(events: DataFrame) -> DataFrame:
     """Calls folded by id in any order of arrival; a repeated event counts once; an end outranks a start."""
     own = _marked(events).filter("kind = 'ai_call'")

@@ -256,7 +256,7 @@ def test_audit_notes(spark):
     projects = spark.createDataFrame([(1, None), (2, None)], "project_id long, building_type string")
     slabs = spark.createDataFrame([], "project_id long, seq long, slab_id string, level string, slab_class string, area_m2 double")
     env = spark.createDataFrame([], "project_id long, level string, polygon array<struct<x:double,y:double>>, confidence double")
-    ranges = clean.clean_ranges(spark.createDataFrame([], "project_id long, typology string, standard string, ceiling_low double, ceiling_high double, thickness_low double, thickness_high double, walls_low double, walls_high double, openings_low double, openings_high double, notes array<string>"))
+    ranges = clean.clean_ranges(spark.createDataFrame([], "project_id long, typology string, standard string, ceiling_low double, ceiling_high double, thickness_low double, thickness_high double, walls_low double, walls_high double, openings_low double, openings_high double, notes string"))
     got = sorted((r.project_id, r.code) for r in audit.self_check(walls_df(spark, rows), slabs, env, ranges, projects).collect())
     assert got == sorted([(1, "OPENING_OVER_WALL"), (1, "OPENING_NEAR_WALL_LIMIT"), (1, "CEILING_HIGH"), (1, "WALL_THIN"), (1, "EXT_INT_RATIO"), (2, "NO_EXTERNAL")])
 
