@@ -1,7 +1,7 @@
-"""Bloom filters of a fixed size, built by tasks and merged segment by segment.
+"""Bloom filters of a bounded size, built by tasks and merged segment by segment.
 
-A filter has 2**log2_bits bits whatever the data, so what is collected and broadcast is bounded by the
-parameter (2**27 bits: 16 MB). A full filter passes too much, never too little."""
+A filter's size follows the expected number of hashes, up to 2**LOG2_BITS bits (16 MB), so what is collected and
+broadcast is bounded. A full filter passes too much, never too little."""
 
 from __future__ import annotations
 
@@ -18,6 +18,11 @@ LOG2_BITS = 27
 PROBES = 2
 
 
+def bits_for(expected: int, most: int = LOG2_BITS) -> int:
+    """log2 of a size with 16 bits or more for each hash, within the bounds."""
+    return int(min(most, max(15, (16 * max(1, expected) - 1).bit_length())))
+
+
 def bit_places(hashes: np.ndarray, log2_bits: int) -> np.ndarray:
     """PROBES rows of bit numbers."""
     step = mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
@@ -60,8 +65,9 @@ def _collect(df: DataFrame, column: str, log2_bits: int) -> Bloom:
     """At most 2**log2_bits bits come to the driver."""
     out = Bloom(log2_bits)
     width = min(SEGMENT, out.data.size)
-    for row in df.select("segment", column).toLocalIterator():
-        out.data[row[0] * width : row[0] * width + width] = np.frombuffer(row[1], np.uint8)
+    for batch in df.select("segment", column).toArrow().to_batches():
+        for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out.data[segment * width : segment * width + width] = np.frombuffer(raw, np.uint8)
     return out
 
 

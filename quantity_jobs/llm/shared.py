@@ -50,13 +50,13 @@ def text_runs(batch: pa.RecordBatch, name: str, most: int = RUN_BYTES) -> Iterat
     while first < len(texts):
         before = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield first, texts.slice(first, last - first)
+        own = texts.slice(first, last - first)
+        yield first, own if len(own) == len(texts) else pa.concat_arrays([own])  # a copy of its own, without an offset
         first = last
 
 
 def split_words(texts: pa.StringArray, letters: bytes) -> tuple[pa.StringArray, np.ndarray]:
     """The words of a run of texts one after another, and how many each text has. `letters` maps bytes; words lie between ASCII white space."""
-    texts = texts if texts.offset == 0 else pa.concat_arrays([texts])
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
     raw = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]).translate(letters)
     mapped = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw))
