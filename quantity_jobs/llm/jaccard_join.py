@@ -18,6 +18,7 @@ id keeps a null component when alone; an empty table gives an empty result; othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import seen_once, seen_twice
+from .bloom import bits_for, seen_once, seen_twice
 from .components import components
-from .shared import HashCache, as_bytes, cut, merged_segments, mix, shingle_hashes, shuffle_width, spaced_words
+from .shared import LOWER_AZ, cut, hashed_words, id_hashes, merged_segments, mix, run_shingles, shuffle_width, text_runs
 
 #: Word counts are kept in 2**21 cells (8 MB in a task, 2 MB as ranks), whatever the corpus.
 CELLS_LOG2 = 21
@@ -37,6 +38,9 @@ PIVOT_ORDERS = 4
 #: Regions of more classes than this, not yet of one component, are joined in tiles of blocks of about TILE classes.
 LARGE_REGION = 48
 TILE = 256
+#: A task tells repeated classes by the last so many that it met.
+SEEN_CLASSES = 100_000
+ID_SEED = 5
 _TEXT = "text"
 
 
@@ -44,9 +48,11 @@ def _ceil_div(a, b):
     return -(-a // b)
 
 
-def set_of(text: bytes, n: int, cache: HashCache) -> np.ndarray:
-    """The sorted distinct shingle hashes."""
-    return np.unique(shingle_hashes(cache.of(spaced_words(text)), n))
+def run_sets(texts: pa.StringArray, n: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a run."""
+    flat, sizes = run_shingles(*hashed_words(texts, LOWER_AZ), n)
+    ends = np.cumsum(sizes).tolist()
+    return [np.unique(flat[i:j]) for i, j in pairwise([0, *ends])]
 
 
 def class_of(own: np.ndarray) -> int:
@@ -59,17 +65,16 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
     cells, shift = 1 << CELLS_LOG2, np.uint64(64 - CELLS_LOG2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = np.zeros(cells, np.int64), HashCache()
+        own = np.zeros(cells, np.int64)
         for batch in batches:
-            for text in as_bytes(batch, _TEXT):
-                np.add.at(own, (cache.of(spaced_words(text)) >> shift).astype(np.int64), 1)
+            for _, texts in text_runs(batch, _TEXT):
+                own += np.bincount((hashed_words(texts, LOWER_AZ)[0] >> shift).astype(np.int64), minlength=cells)
         grid = own.reshape(-1, CELLS_IN_SEGMENT)
         used = np.flatnonzero(grid.any(axis=1))
         for k in range(0, len(used), 2048):
             part = used[k : k + 2048]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array([grid[i].astype(np.int32).tobytes() if grid[i].max() < 2**31 else grid[i].tobytes() for i in part], pa.binary())], ["segment", "n"]
-            )
+            packed = [grid[i].astype(np.int32).tobytes() if grid[i].max() < 2**31 else grid[i].tobytes() for i in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(packed, pa.binary())], ["segment", "n"])
 
     def widen(x: bytes) -> np.ndarray:
         return np.frombuffer(x, np.int32 if len(x) == 4 * CELLS_IN_SEGMENT else np.int64)
@@ -79,8 +84,9 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
 
     schema = "segment long, n binary"
     ranks = np.zeros(cells, np.uint8)
-    for segment, n in merged_segments(docs.select(_TEXT).mapInArrow(count, schema), merge, schema).toLocalIterator():
-        ranks[segment * CELLS_IN_SEGMENT :][:CELLS_IN_SEGMENT] = np.ceil(np.log2(widen(n) + 1.0))
+    for batch in merged_segments(docs.select(_TEXT).mapInArrow(count, schema), merge, schema).toArrow().to_batches():  # 16 MB at most
+        for segment, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ranks[segment * CELLS_IN_SEGMENT :][:CELLS_IN_SEGMENT] = np.ceil(np.log2(widen(n) + 1.0))
     return ranks
 
 
@@ -91,37 +97,45 @@ def regions(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     shift = np.uint64(64 - CELLS_LOG2)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = HashCache(), set()
+        seen: set[int] = set()
         for batch in batches:
-            classes, sizes, inners, ends, lists = [], [], [], [], []
-            for text in as_bytes(batch, _TEXT):
-                h = cache.of(spaced_words(text))
-                own, first = np.unique(shingle_hashes(h, n), return_index=True)
-                cls = class_of(own) if len(own) else None
-                classes.append(cls)
-                sizes.append(len(own))
-                if cls is None or cls in seen:
-                    for x in (inners, ends, lists):
-                        x.append(None)
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(cls)
+            for start, texts in text_runs(batch, _TEXT):
+                h, counts = hashed_words(texts, LOWER_AZ)
+                flat, sizes = run_shingles(h, counts, n)
                 rank = ranks.value[(h >> shift).astype(np.int64)]
-                width = min(n, len(h))
-                least = rank[: len(h) - width + 1]
-                for k in range(1, width):
-                    least = np.minimum(least, rank[k : len(h) - width + 1 + k])
-                least = least[first]
-                reach = len(own) - _ceil_div(percent * len(own), 100) + 1
-                chosen = np.lexsort((own, least))[:reach]
-                inners.append(len(own) - _ceil_div(2 * percent * len(own), 100 + percent) + 1)
-                ends.append(int(least[chosen[-1]]))
-                lists.append(own[chosen].astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(inners, pa.int32()), pa.array(ends, pa.int32()), pa.array(lists, pa.list_(pa.int64()))],
-                ["id", "cls", "size", "inner", "end_rank", "regions"],
-            )
+                classes, lengths, inners, ends, lists = [], [], [], [], []
+                word, shingle = 0, 0
+                for words_, size in zip(counts.tolist(), sizes.tolist(), strict=True):
+                    own, first = np.unique(flat[shingle : shingle + size], return_index=True)
+                    own_rank = rank[word : word + words_]
+                    word, shingle = word + words_, shingle + size
+                    cls = class_of(own) if size else None
+                    classes.append(cls)
+                    lengths.append(len(own))
+                    if cls is None or cls in seen:
+                        for x in (inners, ends, lists):
+                            x.append(None)
+                        continue
+                    if len(seen) >= SEEN_CLASSES:
+                        seen.clear()
+                    seen.add(cls)
+                    # a shingle is as rare as its rarest word
+                    least = own_rank[:size]
+                    for k in range(1, min(n, words_)):
+                        least = np.minimum(least, own_rank[k : k + size])
+                    least = least[first]
+                    reach = len(own) - _ceil_div(percent * len(own), 100) + 1
+                    chosen = np.lexsort((own, least))[:reach]
+                    inners.append(len(own) - _ceil_div(2 * percent * len(own), 100 + percent) + 1)
+                    ends.append(int(least[chosen[-1]]))
+                    lists.append(own[chosen].astype(np.int64))
+                offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in lists])]).astype(np.int32)
+                values = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)])
+                packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in lists], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), pa.array(classes, pa.int64()), *(pa.array(x, pa.int32()) for x in (lengths, inners, ends)), packed],
+                    ["id", "cls", "size", "inner", "end_rank", "regions"],
+                )
 
     kind = docs.schema["id"].dataType.simpleString()
     both = cut(docs.select("id", _TEXT).mapInArrow(name, f"id {kind}, cls long, size int, inner int, end_rank int, regions array<long>"))
@@ -135,7 +149,8 @@ def placed_rows(prefixes: DataFrame) -> DataFrame:
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield batch.column(0).flatten().to_numpy().astype(np.uint64)
 
-    twice = prefixes.sparkSession.sparkContext.broadcast(seen_twice(prefixes.select("regions"), hashes))
+    expected = prefixes.agg(F.sum(F.size("regions"))).first()[0] or 0
+    twice = prefixes.sparkSession.sparkContext.broadcast(seen_twice(prefixes.select("regions"), hashes, bits_for(expected)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,14 +327,14 @@ def _tree_links(x: list[np.ndarray], y: list[np.ndarray], names: list[int], othe
 def tiled_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int, tile: int = TILE) -> DataFrame:
     """(a, b): links within the clusters of large regions. Each cluster's classes fall into blocks, and every two blocks are one task."""
     clusters = cut(components(stars))
-    held = stars.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, 24))
+    held = stars.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, bits_for(clusters.count())))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(held.value.has(batch.column(1).to_numpy().astype(np.uint64)))).select(["cls", "id"])
 
     kind = prefixes.schema["id"].dataType.simpleString()
-    ids = prefixes.select("id", "cls").mapInArrow(pick, f"cls long, id {kind}")
+    ids = cut(prefixes.select("id", "cls").mapInArrow(pick, f"cls long, id {kind}"))
     own = sets_of(docs, ids.select("id"), n)
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).alias("blocks"))
     placed = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -345,16 +360,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(cls, own): the sets of the documents that a filter of the ids holds, each class once."""
 
     def wanted_ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _id_hashes(batch.column(0))
+        yield id_hashes(batch.column(0), ID_SEED)
 
-    held = docs.sparkSession.sparkContext.broadcast(seen_once(ids, wanted_ids, 24))
+    held = docs.sparkSession.sparkContext.broadcast(seen_once(ids, wanted_ids, bits_for(ids.count())))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
         for batch in batches:
-            few = batch.filter(pa.array(held.value.has(_id_hashes(batch.column(0)))))
-            own = [x for x in (set_of(t, n, cache) for t in as_bytes(few, _TEXT)) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cls", "own"])
+            few = batch.filter(pa.array(held.value.has(id_hashes(batch.column(0), ID_SEED))))
+            for _, texts in text_runs(few, _TEXT):
+                own = [x for x in run_sets(texts, n) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cls", "own"])
 
     return docs.select("id", _TEXT).mapInArrow(sets, "cls long, own binary").dropDuplicates(["cls"])
 
@@ -377,7 +392,7 @@ def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
 def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs whose regions leave enough room for a link, and (cls, id) of one document for each class of pairs. Of two sets, a common shingle beyond the regions
     of the one whose regions end first is in its remainder; so their overlap is at most the regions shared plus that remainder."""
-    held = pairs.sparkSession.sparkContext.broadcast(seen_once(_ends(pairs), _class_hashes, 24))
+    held = pairs.sparkSession.sparkContext.broadcast(seen_once(_ends(pairs), _class_hashes, bits_for(2 * pairs.count())))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,16 +418,12 @@ def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> tuple[Data
     return cut(both.mapInArrow(bound, "a long, b long")), picked.select("cls", "id")
 
 
-def _id_hashes(ids: pa.Array) -> np.ndarray:
-    return HashCache(seed=5).of([str(x).encode() for x in ids.to_pylist()])
-
-
 def within(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the pairs of classes (a, b), those whose sets are similar enough; measured on whole sets."""
     near, where = plausible(pairs, prefixes, percent)
     ends = _ends(near)
 
-    made = sets_of(docs, where.join(ends, "cls", "left_semi").select("id"), n)
+    made = sets_of(docs, cut(where.join(ends, "cls", "left_semi").select("id")), n)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
