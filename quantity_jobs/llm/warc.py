@@ -4,15 +4,20 @@ A revisit (status 304, no payload) stands for the latest earlier full response o
 the entity tag where both have one (compared weakly), else the modification date. Of the revisit's headers only those that a
 304 may carry replace the stored ones.
 
-The as-of join runs in two steps, so that no URL's history has to lie in one task: inside time slices of a URL, and
-over one summary row per slice. Defined results: captures of null URLs, and revisits without an earlier response, are
-`orphan`; revisits whose validators differ, or without a common one, are `mismatch`; equal times go by capture id; null
-times come first; empty tables give empty results; repeated capture ids are captures of their own."""
+The as-of join runs in two steps, so that no URL's history has to lie in one task: inside slices of about equal numbers of captures,
+cut from the order of URL, time and id wherever a burst needs it, and over one summary row per slice. Defined results: revisits of null
+URLs, and revisits without an earlier response, are `orphan`; revisits whose validators differ, or without a common one, are `mismatch`;
+equal times go by capture id; null times come first; header names are compared without case; empty tables give empty results; repeated
+capture ids are captures of their own; other columns pass through, but for those that the result defines."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .shared import cut, private
+
 #: Headers that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only track.
@@ -34,47 +39,41 @@ def resolve_revisits(captures: DataFrame, per_slice: int = 50_000) -> DataFrame:
     """captures (capture_id, url, ts, status, etag, last_modified, headers MAP<STRING,STRING>, payload_digest) -> with
     canonical, source_id (the response a revisit stands for), outcome (`response`, `resolved`, `mismatch`, `orphan`),
     headers merged and payload_digest filled for resolved revisits."""
-    span = captures.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
-    width = max(1, ((span[1] or 0) - (span[0] or 0)) * per_slice // max(1, span[2]))
-    own = captures.withColumn("canonical", canonical_url(F.col("url"))).withColumn("slice", F.coalesce(F.floor(F.col("ts") / width), F.lit(-(1 << 40))))
-    full = F.when(
-        F.col("status") == 200, F.struct("capture_id", "etag", "last_modified", "headers", "payload_digest")
-    )
-    order = [F.col("ts").asc_nulls_first(), F.col("capture_id")]
+    names = [c for c in captures.columns if c not in ("canonical", "source_id", "outcome")]
+    captures = captures.select(*[F.col(f"`{c}`") for c in names])
+    rows = private(captures, canonical=canonical_url(F.col("url")), ts=F.col("ts"), capture=F.col("capture_id"))
+    order = [F.col("ts").asc_nulls_first(), F.col("capture")]
+    slices = max(1, math.ceil(captures.count() / per_slice))
+    placed = rows.filter("canonical IS NOT NULL").repartitionByRange(slices, "canonical", *order)
+    placed = cut(placed.withColumn("slice", F.spark_partition_id()))  # what lies in a slice must not change later
+    parts = ("capture_id", "etag", "last_modified", "headers", "payload_digest")
+    placed = placed.withColumn("full", F.when(F.col("own.status") == 200, F.struct(*(F.col(f"own.{c}") for c in parts))))
     inside = Window.partitionBy("canonical", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = own.filter("canonical IS NOT NULL").withColumn("full", full).withColumn("near", F.last("full", ignorenulls=True).over(inside))
-    last = (
-        seen.filter("full IS NOT NULL")
-        .groupBy("canonical", "slice")
-        .agg(F.max_by("full", F.struct(F.coalesce("ts", F.lit(-(1 << 62))), "capture_id")).alias("slice_last"))
-    )
-    slices = seen.select("canonical", "slice").distinct().join(last, ["canonical", "slice"], "left")
+    near = placed.withColumn("near", F.last("full", ignorenulls=True).over(inside))
+    time = F.struct(F.col("ts").isNotNull().alias("known"), "ts", "capture")
+    ends = placed.groupBy("canonical", "slice").agg(F.max_by(F.col("full"), F.when(F.col("full").isNotNull(), time)).alias("end"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select("canonical", "slice", F.last("slice_last", ignorenulls=True).over(before).alias("far"))
-    found = seen.join(carried, ["canonical", "slice"]).withColumn("base", F.coalesce("near", "far")).drop("near", "far", "full")
-    nothing = own.filter("canonical IS NULL").withColumn("base", F.lit(None).cast(found.schema["base"].dataType))
+    carried = ends.select("canonical", "slice", F.last("end", ignorenulls=True).over(before).alias("far"))
+    found = near.join(carried, ["canonical", "slice"]).select("own", "canonical", F.coalesce("near", "far").alias("base"))
+    nothing = rows.filter("canonical IS NULL").select("own", "canonical", F.lit(None).cast(found.schema["base"].dataType).alias("base"))
     every = found.unionByName(nothing)
 
-    def plain(tag: Column) -> Column:
-        return F.regexp_replace(tag, "^W/", "")
-
-    etags = F.col("etag").isNotNull() & F.col("base.etag").isNotNull()
-    agree = F.when(etags, plain(F.col("etag")) == plain(F.col("base.etag"))).otherwise(
-        F.coalesce(F.col("last_modified") == F.col("base.last_modified"), F.lit(False))
-    )
-    outcome = (
-        F.when(~F.col("status").eqNullSafe(304), "response").when(F.col("base").isNull(), "orphan").when(agree, "resolved").otherwise("mismatch")
-    )
-    updates = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k).isin(*PERMITTED))
-    kept = F.map_filter(F.coalesce("base.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(updates, k))
+    own = lambda c: F.col(f"own.{c}")
+    plain = lambda tag: F.regexp_replace(tag, "^W/", "")
+    etags = own("etag").isNotNull() & F.col("base.etag").isNotNull()
+    agree = F.when(etags, plain(own("etag")) == plain(F.col("base.etag"))).otherwise(F.coalesce(own("last_modified") == F.col("base.last_modified"), F.lit(False)))
+    outcome = F.when(~own("status").eqNullSafe(304), "response").when(F.col("base").isNull(), "orphan").when(agree, "resolved").otherwise("mismatch")
+    none = F.create_map().cast("map<string,string>")
+    updates = F.map_filter(F.coalesce(own("headers"), none), lambda k, v: F.lower(k).isin(*PERMITTED))
+    updated = F.transform(F.map_keys(updates), F.lower)
+    kept = F.map_filter(F.coalesce("base.headers", none), lambda k, v: ~F.array_contains(updated, F.lower(k)))
     ok = F.col("outcome") == "resolved"
-    return (
-        every.withColumn("outcome", outcome)
-        .withColumn("source_id", F.when(ok, F.col("base.capture_id")))
-        .withColumn("payload_digest", F.when(ok, F.col("base.payload_digest")).otherwise(F.col("payload_digest")))
-        .withColumn("headers", F.when(ok, F.map_concat(kept, updates)).otherwise(F.col("headers")))
-        .drop("base", "slice")
-    )
+    merged = {
+        "payload_digest": F.when(ok, F.col("base.payload_digest")).otherwise(own("payload_digest")),
+        "headers": F.when(ok, F.map_concat(kept, updates)).otherwise(own("headers")),
+    }
+    judged = every.withColumn("outcome", outcome)
+    return judged.select(*[merged[c].alias(c) if c in merged else F.col(f"own.`{c}`") for c in names], "canonical", F.when(ok, F.col("base.capture_id")).alias("source_id"), "outcome")
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
