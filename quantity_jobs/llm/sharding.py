@@ -3,7 +3,7 @@
 Groups of equal texts are items with three sizes: bytes, tokens and rows. Tasks pack their items, largest first, each into
 the local bin where the item's dot product with the residual capacity is highest; then whole local bins are placed in
 shards by the same rule, so that only three sums per task and bin are gathered. A group above a fixed share of a
-shard is first split by a hash of its ids, because no shard could hold it and stay level.
+shard is first split by a hash of its row numbers, because no shard could hold it and stay level.
 
 The law is `bytes`: the shards' sums of sizes are nearly equal. Defined results: null text has no bytes and no tokens, and
 null texts are one group; repeated rows are rows of their own; an empty table gives an empty result; other columns are
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import cut
 
 OVERHEAD = 16
+#: Most tasks that pack: the driver places so many times the number of shards of local bins, however large the input.
+MOST_PARTS = 4096
 
 
 #: Bytes, tokens and rows in the dot product: the law is about bytes, the others follow as far as they can.
@@ -60,7 +62,8 @@ def sized_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def pack_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", per_task: int = 25_000, whole: float = 0.05, block: int = 8192) -> DataFrame:
     """(id, size, text_crc32, tokens, shard, slot). whole: the share of a shard up to which a group stays together."""
-    rows = cut(sized_rows(docs, id_col, text_col))
+    # rows are numbered once and for all, so that a hot group of one id can be split too
+    rows = cut(sized_rows(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     total = rows.agg(F.count(F.lit(1)), F.sum("size"), F.sum("tokens")).first()
     n, size = total[0], total[1] or 0
     limit = max(1.0, whole * size / shards)
@@ -68,10 +71,10 @@ def pack_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     # ids without hot groups never meet a large list: there are at most shards / whole large groups
     cuts = large.select(F.col("grp").alias("big"), F.ceil(F.col("grp_size") / F.lit(limit)).alias("chunks"))
     own = rows.join(F.broadcast(cuts.limit(math.ceil(shards / whole) + 1)), F.col("grp") == F.col("big"), "left").withColumn(
-        "chunk", F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("chunks"))).cast("long")
+        "chunk", F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("chunks"))).cast("long")
     )
     own = own.select("id", "grp", "chunk", "size", "tokens", "text_crc32")
-    parts = max(1, math.ceil(n / per_task))
+    parts = max(1, math.ceil(n / max(per_task, n / MOST_PARTS)))
     dealt = own.repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk", "id")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
