@@ -39,7 +39,7 @@ class Forest:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str, conf: Forest) -> DataFrame:
-    """(id, position, piece, path, value, head, tail, before, before2, after): position counts the words between white space, piece the long runs
+    """(row, id, position, piece, path, value, head, tail, before, before2, after): row numbers the candidates for as long as the result is not computed anew; position counts the words between white space, piece the long runs
     of a word. head and tail are the word's text next to the run, head with the run before it; before and after are the words around."""
     long_run = f"[A-Za-z0-9+/=_.@-]{{{conf.min_length},}}"
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(path_col, F.lit("")).alias("path"), F.col(text_col).alias("text")).filter(F.col("text").rlike(long_run))
@@ -68,7 +68,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str, conf:
     last = F.col("piece") == F.size("values") - 1
     tail = F.get("gaps", F.col("piece") + 1)
     return pieces.select(
-        "id", F.col("c.position").cast("long").alias("position"), "piece", "path", "value", head.alias("head"), tail.alias("tail"), "c.before", "c.before2", F.when(last, F.col("c.after")).otherwise(tail).alias("after")
+        F.monotonically_increasing_id().alias("row"), "id", F.col("c.position").cast("long").alias("position"), "piece", "path", "value", head.alias("head"), tail.alias("tail"), "c.before", "c.before2", F.when(last, F.col("c.after")).otherwise(tail).alias("after")
     )
 
 
@@ -86,13 +86,9 @@ def _share(pattern: str, value: str = "value") -> Column:
 
 def featured(found: DataFrame, docs: DataFrame, text_col: str, conf: Forest) -> DataFrame:
     """The candidates with FEATURES."""
-    runs = found.select("id", "position", "piece", F.explode(F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda w: F.length(w) >= conf.word_letters)).alias("run"))
-    known = runs.join(dictionary(docs, text_col, runs, conf), "run").groupBy("id", "position", "piece").agg(F.sum(F.length("run")).alias("letters"))
-    joined = found.join(
-        known.withColumnsRenamed({"id": "k_id", "position": "k_position", "piece": "k_piece"}),
-        F.col("id").eqNullSafe(F.col("k_id")) & (F.col("position") == F.col("k_position")) & (F.col("piece") == F.col("k_piece")),
-        "left",
-    )
+    runs = found.select("row", F.explode(F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda w: F.length(w) >= conf.word_letters)).alias("run"))
+    known = runs.join(dictionary(docs, text_col, runs, conf), "run").groupBy("row").agg(F.sum(F.length("run")).alias("letters"))
+    joined = found.join(known, "row", "left")
     # the name of a value is in the text before it in its word, or else in the words before
     named = F.col("head").rlike("[A-Za-z0-9]")
     near = F.lower(F.when(named, F.concat_ws(" ", "head", "value")).otherwise(F.concat_ws(" ", "before2", "before", "value")))
@@ -123,7 +119,7 @@ def train(findings: DataFrame, conf: Forest):
     if {r[0] for r in counts} != {0, 1}:
         return None
     share = min(1.0, conf.sample_rows / sum(r[1] for r in counts))
-    sample = findings.filter("label IS NOT NULL").filter(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = findings.filter("label IS NOT NULL").filter(F.pmod(F.xxhash64("value", "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
     data = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample.select(*FEATURES, F.col("label").cast("double").alias("label")))
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=conf.trees, maxDepth=conf.depth, seed=conf.seed)
     return forest.fit(data)
@@ -147,7 +143,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
         data = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(found)
         out = model.transform(data).withColumn("probability", vector_to_array("probability")[1])
         out = out.select(*found.columns, "probability")
-    return out.withColumn("kept", F.col("probability") >= 0.5).withColumnRenamed("id", id_col)
+    return out.withColumn("kept", F.col("probability") >= 0.5).drop("row").withColumnRenamed("id", id_col)
 
 
 def rule_labels() -> Column:
