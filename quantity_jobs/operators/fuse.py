@@ -4,7 +4,12 @@ All keys start with project_id, so one repartition by it serves every window, gr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import finite, floor_rank, overlap_1d, round_half_up as half_up
@@ -28,33 +33,57 @@ def merge_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
     keys = [P, "level", "wall_class"]
     columns = ["seq", "wall_id", "length_m", "height_m", "thickness_m", "source", "confidence"]
     base = 1 << 40  # places added walls behind those extracted
-
-    def merge(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("seq").reset_index(drop=True)
-        rows = rows.sort_values("seq").reset_index(drop=True)
-        places, hit = first_match(own["length_m"].to_numpy(float), rows["length_m"].to_numpy(float), 0.5)
-        n, k = len(own), keys
-        added = [p for p in dict.fromkeys(places.tolist()) if p >= n]
-        if added:
-            first = [int((places == p).argmax()) for p in added]
-            new = rows.loc[first, [*k, "seq", "wall_id", "length_m", "height_m", "thickness_m"]].assign(source="table", confidence=0.95)
-            new["seq"] = new["seq"] + base
-            own = pd.concat([own, new], ignore_index=True) if n else new.reset_index(drop=True)
-        met = hit >= 0
-        for c in ("length_m", "height_m", "thickness_m"):
-            measure = own[c].to_numpy(float, copy=True)
-            measure[met] = rows[c].to_numpy(float)[hit[met]]
-            own[c] = measure
-        own["source"] = own["source"].where(~met, "table")
-        own["confidence"] = own["confidence"].where(~met, 0.95)
-        return own[[*k, *columns]]
-
-    schema = "project_id long, level string, wall_class string, seq long, wall_id string, length_m double, height_m double, thickness_m double, source string, confidence double"
-    own = walls.select(*keys, *columns)
-    touched = sched.select(*keys).distinct()
-    other = own.join(touched, keys, "left_anti")
-    both = own.join(touched, keys, "left_semi").groupBy(*keys).cogroup(sched.select(*keys, "seq", "wall_id", "length_m", "height_m", "thickness_m").groupBy(*keys))
-    return both.applyInPandas(merge, schema).unionByName(other.select(*keys, *columns))
+    ours = walls.select(*keys, *columns, F.lit(0).alias("side"))
+    theirs = sched.select(*keys, "seq", "wall_id", "length_m", "height_m", "thickness_m", F.lit("table").alias("source"), F.lit(0.95).alias("confidence"), F.lit(1).alias("side"))
+    rows = ours.unionByName(theirs).repartition(*keys).sortWithinPartitions(*keys, "side", "seq")
+
+    def merged(table: pa.Table) -> pa.Table:
+        """Whole groups, in order: those without schedule rows as they are."""
+        codes = [table[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for c in keys]
+        side, lengths = table["side"].to_numpy(), table["length_m"].cast(pa.float64()).to_numpy()
+        starts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in codes], axis=0)))
+        stops = np.append(starts[1:], len(side))
+        row, measure = [], []
+        for start, stop, n_theirs in zip(starts.tolist(), stops.tolist(), np.add.reduceat(side, starts).tolist(), strict=True):
+            own = np.arange(start, stop - n_theirs)
+            if n_theirs:
+                places, hit = first_match(lengths[start : stop - n_theirs], lengths[stop - n_theirs : stop], 0.5)
+                added = np.array(sorted({p for p in places.tolist() if p >= len(own)}), int)
+                first = np.array([int((places == p).argmax()) for p in added], int)
+                own = np.concatenate([own, stop - n_theirs + first])
+                measure.append(np.where(hit >= 0, stop - n_theirs + hit, own))
+            else:
+                measure.append(own)
+            row.append(own)
+        row, measure = np.concatenate(row), np.concatenate(measure)
+        new = side[row] == 1
+        out = table.take(pa.array(row))
+        measured = table.select(["length_m", "height_m", "thickness_m", "source", "confidence"]).take(pa.array(measure))
+        for c in measured.column_names:
+            out = out.set_column(out.column_names.index(c), c, measured[c])
+        out = out.set_column(out.column_names.index("seq"), "seq", pa.array(out["seq"].to_numpy() + np.where(new, base, 0)))
+        return out.select([*keys, *columns])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            last = held.slice(held.num_rows - 1)
+            same = np.ones(held.num_rows, bool)
+            for c in keys:
+                value = last[c][0]
+                same &= pc.fill_null(pc.equal(held[c], value), False).to_numpy() if value.is_valid else held[c].is_null().to_numpy()
+            start = held.num_rows - int(same.sum())  # the last group may go on
+            if start:
+                yield from merged(held.slice(0, start)).to_batches()
+                held = held.slice(start)
+        if held is not None:
+            yield from merged(held).to_batches()
+
+    return rows.mapInArrow(merge, "project_id long, level string, wall_class string, seq long, wall_id string, length_m double, height_m double, thickness_m double, source string, confidence double")
 
 
 def schedule_opening_dims(walls: DataFrame, sched_openings: DataFrame) -> DataFrame:

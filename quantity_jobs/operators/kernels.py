@@ -39,20 +39,16 @@ def greedy_suppress(values: np.ndarray, share: float) -> np.ndarray:
 def first_match(lengths: np.ndarray, wanted: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
     """For each wanted length in order the first place whose current length is within the gap, or a new place at the end. A
     match takes the wanted length at once. Gives the places, and for each place the last wanted row that hit it (-1: none)."""
-    now = lengths.tolist()
-    hit = [-1] * len(now)
-    places = []
+    n = len(lengths)
+    now = np.concatenate([lengths.astype(float), np.zeros(len(wanted))])
+    hit = np.full(len(now), -1)
+    places = np.zeros(len(wanted), int)
     for row, value in enumerate(wanted.tolist()):
-        close = np.flatnonzero(np.abs(np.array(now) - value) < gap) if now else []
-        if len(close):
-            place = int(close[0])
-        else:
-            place = len(now)
-            now.append(value)
-            hit.append(-1)
-        now[place], hit[place] = value, row
-        places.append(place)
-    return np.array(places, int), np.array(hit, int)
+        close = np.flatnonzero(np.abs(now[:n] - value) < gap)
+        place = int(close[0]) if len(close) else n
+        n = max(n, place + 1)
+        now[place], hit[place], places[row] = value, row, place
+    return places, hit[:n]
 
 
 def merge_runs(at: np.ndarray, start: np.ndarray, end: np.ndarray, align: float, gap: float) -> np.ndarray:

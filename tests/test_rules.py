@@ -349,3 +349,30 @@ def test_detect_scale(spark, n):
         want = (upper(band), "band")
     r = match.detect_scale(spark.createDataFrame([(1, 0, v) for v in values], "project_id long, page_index int, ratio double")).first()
     assert (r.scale, r.source, r.n) == (*want, n)
+
+
+def test_merge_schedule_walls(spark):
+    """Groups of several batches, groups without walls or without schedule rows, null levels."""
+    rng = random.Random(7)
+    level = lambda: rng.choice(["A", "B", None])
+    cls = lambda: rng.choice(["external", "internal"])
+    walls = [(p, level(), cls(), k, f"w{k}", rng.randrange(10, 60) / 10, 3.0, 0.1, "ai", 0.5) for k in range(150) for p in [rng.randrange(4)]]
+    sched = [(p, level(), cls(), k, f"q{k}", rng.randrange(10, 90) / 10, 2.0 + k / 100, 0.2) for k in range(60) for p in [rng.randrange(1, 5)]]
+    want = {}
+    for w in walls:
+        want.setdefault(w[:3], []).append(list(w))
+    for s in sorted(sched, key=lambda r: r[3]):
+        group = want.setdefault(s[:3], [])
+        hit = next((w for w in group if abs(w[5] - s[5]) < 0.5), None)
+        if hit is None:
+            hit = [*s[:3], s[3] + (1 << 40), s[4], *s[5:], "table", 0.95]
+            group.append(hit)
+        hit[5:] = [*s[5:], "table", 0.95]
+    columns = "project_id long, level string, wall_class string, seq long, wall_id string, length_m double, height_m double, thickness_m double"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = fuse.merge_schedule_walls(spark.createDataFrame(walls, columns + ", source string, confidence double"), spark.createDataFrame(sched, columns)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got), key=repr) == sorted((tuple(w) for g in want.values() for w in g), key=repr) and len(got) > 150
