@@ -52,8 +52,11 @@ def match_endpoints(walls: DataFrame, segments: DataFrame) -> DataFrame:
     diagonal = F.when(diagonal == 0, 1.0).otherwise(diagonal)
     d, iou = distance(wx, wy, "sx", "sy"), box_iou(b, F.col("s_box"))
     score = half_up(iou * 0.6 + F.greatest(F.lit(0.0), 1.0 - d / diagonal) * 0.4, 9)
-    scored = pairs.withColumns({"d": d, "iou": iou, "score": score}).filter(((F.col("iou") >= 0.10) | (F.col("d") < 60)) & (F.col("score") > 0)).select(P, "seq", "seg_seq", "score")
-    return _chosen(scored, [P], "seq", "seg_seq", ["seq", "score", "seg_seq"], [True, False, True]).select(P, "seq", "seg_seq")
+    scored = pairs.withColumns({"d": d, "iou": iou, "score": score}).filter(((F.col("iou") >= 0.10) | (F.col("d") < 60)) & (F.col("score") > 0))
+    # levels share no segments, unless a wall of the project looks at all of them
+    unit = F.when(F.bool_or("any_level").over(Window.partitionBy(P)), "").otherwise(F.col("w_level"))
+    scored = scored.select(P, unit.alias("unit"), "seq", "seg_seq", "score")
+    return _chosen(scored, [P, "unit"], "seq", "seg_seq", ["seq", "score", "seg_seq"], [True, False, True]).select(P, "seq", "seg_seq")
 
 
 def wall_direction(b: Column) -> Column:
@@ -184,8 +187,9 @@ def dedup_wall_lines(lines: DataFrame, scale: float = 14.17) -> DataFrame:
     over, _ = _projection("a", "b")
     ux, uy = (F.col("a.x2") - F.col("a.x1")) / F.col("a.len"), (F.col("a.y2") - F.col("a.y1")) / F.col("a.len")
     off = lambda x, y: F.abs(-(F.col(f"b.{x}") - F.col("a.x1")) * uy + (F.col(f"b.{y}") - F.col("a.y1")) * ux)
+    earlier = (F.col("a.length_m") > F.col("b.length_m")) | ((F.col("a.length_m") == F.col("b.length_m")) & (F.col("a.seq") < F.col("b.seq")))
     covers = a.join(b, [P, "page_index", "cell"]).filter(
-        (F.col("a.seq") != F.col("b.seq")) & (angle_gap(F.col("a.angle"), F.col("b.angle")) <= 5) & (off("x1", "y1") <= perp) & (off("x2", "y2") <= perp) & (over / F.least("a.len", "b.len") >= 0.5)
+        earlier & (angle_gap(F.col("a.angle"), F.col("b.angle")) <= 5) & (off("x1", "y1") <= perp) & (off("x2", "y2") <= perp) & (over / F.least("a.len", "b.len") >= 0.5)
     )
     edges = covers.select(P, "page_index", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), F.col("a.length_m").alias("la")).distinct()
 

@@ -24,6 +24,18 @@ def query(sql: str | None = None):
     return register
 
 
+def greedy_sql(choices: str, shared: bool = False) -> str:
+    """SQL of a greedy choice: of `choices` (g, l, cs), each l of a group in order takes the first of its candidates cs that is unused; with `shared`, a candidate that
+    was taken takes none itself. Gives greedy (g, l, pick)."""
+    mine = "CASE WHEN NOT list_contains(r.used, o.l) THEN list_filter(o.cs, lambda x: NOT list_contains(r.used, x))[1] END" if shared else "list_filter(o.cs, lambda x: NOT list_contains(r.used, x))[1]"
+    taken = "[o.l, o.cs[1]]" if shared else "[o.cs[1]]"
+    added = "list_concat(used, [l, pick])" if shared else "list_append(used, pick)"
+    return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY l) AS rn FROM ({choices})),
+r AS (SELECT g, rn, l, o.cs[1] AS pick, {taken} AS used FROM o WHERE rn = 1
+  UNION ALL SELECT g, rn, l, pick, CASE WHEN pick IS NULL THEN used ELSE {added} END FROM (SELECT o.g, o.rn, o.l, {mine} AS pick, r.used FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1)),
+greedy AS (SELECT g, l, pick FROM r WHERE pick IS NOT NULL)"""
+
+
 # SQL that several queries share.
 FIXED = """f AS (SELECT *, CASE WHEN length_m > 50 THEN length_m / 1e2 ELSE length_m END AS l1, CASE WHEN height_m > 10 THEN height_m / 1e2 ELSE height_m END AS h1,
   source || CASE WHEN length_m > 50 THEN '_cm_corrected' ELSE '' END AS s1 FROM {walls})"""

@@ -16,7 +16,17 @@ def _walls(t):
     return clean.wall_defaults(clean.fix_units(t.walls()))
 
 
-@query()
+@query(
+    """WITH RECURSIVE w AS MATERIALIZED (SELECT {'p': project_id, 'v': level, 'c': wall_class} AS g, row_number() OVER (PARTITION BY project_id, level, wall_class ORDER BY seq) AS pos, seq, wall_id, length_m, height_m, thickness_m, source, confidence FROM {walls}),
+q AS MATERIALIZED (SELECT {'p': project_id, 'v': level, 'c': wall_class} AS g, row_number() OVER (PARTITION BY project_id, level, wall_class ORDER BY seq) AS rn, seq, wall_id, length_m, height_m, thickness_m FROM {sched_walls}),
+n AS (SELECT g, list(length_m ORDER BY pos) AS ls FROM w GROUP BY 1), z AS (SELECT DISTINCT q.g, coalesce(ls, CAST([] AS DOUBLE[])) AS ls FROM q LEFT JOIN n ON n.g = q.g),
+r AS (SELECT g, CAST(0 AS BIGINT) AS rn, ls, CAST(0 AS BIGINT) AS pos FROM z UNION ALL SELECT g, rn, CASE WHEN pos > len(ls) THEN list_append(ls, v) ELSE list_transform(ls, lambda x, i: CASE WHEN i = pos THEN v ELSE x END) END, pos FROM
+  (SELECT q.g, q.rn, r.ls, q.length_m AS v, coalesce(nullif(list_position(list_transform(r.ls, lambda x: abs(x - q.length_m) < 5e-1), true), 0), len(r.ls) + 1) AS pos FROM r JOIN q ON q.g = r.g AND q.rn = r.rn + 1)),
+k AS MATERIALIZED (SELECT g, pos, max(rn) AS last, min(rn) AS first FROM r WHERE rn > 0 GROUP BY 1, 2)
+SELECT w.g.p AS project_id, w.g.v AS level, w.g.c AS wall_class, w.seq, w.wall_id, coalesce(q.length_m, w.length_m) AS length_m, coalesce(q.height_m, w.height_m) AS height_m, coalesce(q.thickness_m, w.thickness_m) AS thickness_m,
+  CASE WHEN k.last IS NOT NULL THEN 'table' ELSE source END AS source, CASE WHEN k.last IS NOT NULL THEN 95e-2 ELSE confidence END AS confidence FROM w LEFT JOIN k ON k.g = w.g AND k.pos = w.pos LEFT JOIN q ON q.g = w.g AND q.rn = k.last
+UNION ALL SELECT k.g.p, k.g.v, k.g.c, f.seq + 1099511627776, f.wall_id, l.length_m, l.height_m, l.thickness_m, 'table', 95e-2 FROM k LEFT JOIN w ON w.g = k.g AND w.pos = k.pos JOIN q f ON f.g = k.g AND f.rn = k.first JOIN q l ON l.g = k.g AND l.rn = k.last WHERE w.pos IS NULL"""
+)
 def merge_schedule_walls(t):
     return fuse.merge_schedule_walls(t("walls"), t("sched_walls"))
 
@@ -156,7 +166,13 @@ def dominant_page(t):
     return fuse.dominant_page(t("walls")).select("project_id", "seq")
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT project_id, min(seq) AS seq FROM {slabs} GROUP BY project_id, level, slab_class, floor(area_m2 * 20 + 5e-1)),
+o AS MATERIALIZED (SELECT {'p': s.project_id, 'v': level, 'c': slab_class} AS g, s.seq, area_m2 AS a, row_number() OVER (PARTITION BY s.project_id, level, slab_class ORDER BY confidence DESC, area_m2 DESC, s.seq) AS rn FROM {slabs} s JOIN d ON d.project_id = s.project_id AND d.seq = s.seq),
+r AS (SELECT g, rn, seq, true AS ok, [a] AS kept FROM o WHERE rn = 1 UNION ALL SELECT g, rn, seq, ok, CASE WHEN ok THEN list_append(kept, a) ELSE kept END FROM
+  (SELECT o.g, o.rn, o.seq, o.a, r.kept, len(list_filter(r.kept, lambda x: greatest(o.a, x) > 0 AND abs(o.a - x) / greatest(o.a, x) <= 3e-1)) = 0 AS ok FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1))
+SELECT s.* FROM {slabs} s JOIN r ON r.g.p = s.project_id AND r.seq = s.seq WHERE r.ok"""
+)
 def suppress_similar_slabs(t):
     return fuse.suppress_similar_slabs(fuse.dedup_slabs(t("slabs")))
 

@@ -1,4 +1,4 @@
-"""Spatial matching queries. What depends on order has no SQL; the tests hold it against brute force."""
+"""Spatial matching queries. What depends on order is recursive SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, match
 from ..sources import io
-from .catalogue import query
+from .catalogue import greedy_sql, query
 
 
 def _segments(t):
@@ -17,24 +17,88 @@ def _texts(t):
     return clean.clean_dimensions(t("dimensions")).withColumn("page_index", (F.col("seq") % 3).cast("int"))
 
 
-@query()
+LEVEL_KEY = "lower(coalesce(nullif(level, ''), 'Terreo'))"
+SEGS = """sg AS MATERIALIZED (SELECT project_id, seq, """ + LEVEL_KEY + """ AS lv, page_index, x1, y1, x2, y2, least(5e0, greatest(3e-1, CASE WHEN thickness_pct = 0 THEN 12e-1 ELSE thickness_pct END)) / 1e2 * 1e3 / 2 AS half,
+  sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len, floor(((degrees(atan2(y2 - y1, x2 - x1)) % 180 + 180) % 180) * 1e9 + 5e-1) / 1e9 AS ang FROM {segments}
+  WHERE x1 BETWEEN 0 AND 1000 AND x2 BETWEEN 0 AND 1000 AND y1 BETWEEN 0 AND 1000 AND y2 BETWEEN 0 AND 1000 AND sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) >= 5)"""
+BOXES = "wb AS MATERIALIZED (SELECT project_id, seq, " + LEVEL_KEY + " AS lv, wall_class, length_m, ymin, xmin, ymax, xmax, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM {walls} WHERE xmin IS NOT NULL)"
+
+
+def _overlap(a0: str, a1: str, b0: str, b1: str) -> str:
+    return f"greatest(0e0, least({a1}, {b1}) - greatest({a0}, {b0}))"
+
+
+def _iou(a: str, b: str) -> str:
+    inter = f"({_overlap(f'{a}.xmin', f'{a}.xmax', f'{b}.xmin', f'{b}.xmax')} * {_overlap(f'{a}.ymin', f'{a}.ymax', f'{b}.ymin', f'{b}.ymax')})"
+    area = lambda z: f"({z}.ymax - {z}.ymin) * ({z}.xmax - {z}.xmin)"
+    return f"CASE WHEN {inter} > 0 THEN {inter} / ({area(a)} + {area(b)} - {inter}) ELSE 0e0 END"
+
+
+@query(
+    "WITH RECURSIVE "
+    + SEGS
+    + ", "
+    + BOXES
+    + """, sb AS MATERIALIZED (SELECT project_id, seq, lv, (x1 + x2) / 2 AS sx, (y1 + y2) / 2 AS sy, greatest(0e0, least(y1, y2) - half) AS ymin, greatest(0e0, least(x1, x2) - half) AS xmin, least(1e3, greatest(y1, y2) + half) AS ymax,
+  least(1e3, greatest(x1, x2) + half) AS xmax FROM sg), lv AS (SELECT DISTINCT project_id, lv FROM sb),
+p AS (SELECT w.project_id, w.seq AS l, s.seq AS x, """
+    + _iou("w", "s")
+    + """ AS iou, sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)) AS d, sqrt((w.xmax - w.xmin) * (w.xmax - w.xmin) + (w.ymax - w.ymin) * (w.ymax - w.ymin)) AS dg
+  FROM wb w LEFT JOIN lv ON lv.project_id = w.project_id AND lv.lv = w.lv JOIN sb s ON s.project_id = w.project_id AND (lv.lv IS NULL OR w.lv IN ('outro', 'n/a', '', 'todos') OR s.lv = w.lv)),
+q AS (SELECT *, floor((iou * 6e-1 + greatest(0e0, 1e0 - d / CASE WHEN dg = 0 THEN 1e0 ELSE dg END) * 4e-1) * 1e9 + 5e-1) / 1e9 AS score FROM p WHERE iou >= 1e-1 OR d < 60), """
+    + greedy_sql("SELECT project_id AS g, l, list(x ORDER BY score DESC, x) AS cs FROM q WHERE score > 0 GROUP BY 1, 2")
+    + " SELECT g AS project_id, l AS seq, pick AS seg_seq FROM greedy"
+)
 def match_endpoints(t):
     return match.match_endpoints(t.walls(), _segments(t))
 
 
-@query()
+MATCHED = (
+    BOXES
+    + """, dm AS MATERIALIZED (SELECT project_id, seq, """
+    + LEVEL_KEY
+    + """ AS lv, value_m, x, y, CASE WHEN orientation IN ('horizontal', 'vertical') THEN orientation ELSE 'unknown' END AS o FROM {dimensions} WHERE value_m > 0 AND value_m <= 50 AND x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000),
+wd AS (SELECT *, CASE WHEN xmax - xmin > (ymax - ymin) * 15e-1 THEN 'horizontal' WHEN ymax - ymin > (xmax - xmin) * 15e-1 THEN 'vertical' END AS dir, least(18e1, greatest(6e1, greatest(xmax - xmin, ymax - ymin) * 6e-1)) AS r FROM wb),
+mp AS (SELECT w.project_id, w.lv, w.seq AS l, d.seq AS x, sqrt((d.x - cx) * (d.x - cx) + (d.y - cy) * (d.y - cy)) AS d, r FROM wd w JOIN dm d ON d.project_id = w.project_id AND d.lv = w.lv AND (d.o = 'unknown' OR d.o = w.dir)
+  WHERE dir IS NOT NULL AND CASE WHEN length_m > 2e-1 THEN value_m / length_m BETWEEN 4e-1 AND 25e-1 ELSE value_m BETWEEN 5e-1 AND 25 END), """
+    + greedy_sql("SELECT {'p': project_id, 'v': lv} AS g, l, list(x ORDER BY floor(d * 1e9 + 5e-1), x) AS cs FROM mp WHERE d <= r GROUP BY 1, 2")
+    + ", mt AS (SELECT g.p AS project_id, l AS seq, pick AS dim_seq, value_m FROM greedy JOIN dm ON dm.project_id = g.p AND dm.seq = pick)"
+)
+
+
+@query("WITH RECURSIVE " + MATCHED + " SELECT project_id, seq, dim_seq, value_m FROM mt")
 def match_dimensions(t):
     return match.match_dimensions(t.walls(), clean.clean_dimensions(t("dimensions")))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + MATCHED
+    + """ SELECT w.project_id, w.seq, coalesce(value_m, length_m) AS length_m, CASE WHEN value_m IS NOT NULL THEN 'dimension_text' ELSE source END AS source, CASE WHEN value_m IS NOT NULL THEN greatest(confidence, 92e-2) ELSE confidence END AS confidence
+FROM {walls} w LEFT JOIN mt ON mt.project_id = w.project_id AND mt.seq = w.seq"""
+)
 def apply_dimensions(t):
     walls = t.walls()
     out = match.apply_dimensions(walls, match.match_dimensions(walls, clean.clean_dimensions(t("dimensions"))))
     return out.select("project_id", "seq", "length_m", "source", "confidence")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + BOXES
+    + """, dp AS (SELECT a.project_id, a.lv, a.seq AS l, b.seq AS x, a.wall_class = b.wall_class AS same, floor(("""
+    + _iou("a", "b")
+    + """) * 1e9 + 5e-1) / 1e9 AS iou, floor(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) * 1e9 + 5e-1) / 1e9 AS d FROM wb a JOIN wb b ON a.project_id = b.project_id AND a.lv = b.lv WHERE a.seq % 2 = 0 AND b.seq % 2 = 1),
+o AS MATERIALIZED (SELECT *, {'p': project_id, 'v': lv} AS g, row_number() OVER (PARTITION BY project_id, lv ORDER BY iou DESC, d, l, x) AS rn FROM dp WHERE iou >= 4e-1 OR d < 50),
+r AS (SELECT g, rn, l, x, same, true AS ok, [l] AS ul, [x] AS ux FROM o WHERE rn = 1 UNION ALL SELECT g, rn, l, x, same, ok, CASE WHEN ok THEN list_append(ul, l) ELSE ul END, CASE WHEN ok THEN list_append(ux, x) ELSE ux END FROM
+  (SELECT o.g, o.rn, o.l, o.x, o.same, NOT list_contains(r.ul, o.l) AND NOT list_contains(r.ux, o.x) AS ok, r.ul, r.ux FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1)),
+k AS MATERIALIZED (SELECT g.p AS project_id, l, x, same FROM r WHERE ok), al AS (SELECT project_id, seq, """
+    + LEVEL_KEY
+    + """ AS lv FROM {walls})
+SELECT project_id, l AS seq, x AS other_seq, CASE WHEN same THEN 'agree' ELSE 'disagree' END AS outcome FROM k
+UNION ALL SELECT project_id, seq, NULL, 'only_a' FROM al WHERE seq % 2 = 0 AND (project_id, lv) IN (SELECT project_id, lv FROM al WHERE seq % 2 = 1) AND (project_id, seq) NOT IN (SELECT project_id, l FROM k)
+UNION ALL SELECT project_id, NULL, seq, 'only_b' FROM al WHERE seq % 2 = 1 AND (project_id, seq) NOT IN (SELECT project_id, x FROM k)"""
+)
 def reconcile_detectors(t):
     walls = t.walls()
     return match.reconcile_detectors(walls.filter("seq % 2 = 0"), walls.filter("seq % 2 = 1"))
@@ -65,17 +129,53 @@ def _pairs(t):
     return match.parallel_pairs(_segments(t))
 
 
-@query()
+# line b against line a: overlap along a, distances of both ends across it
+ACROSS = """, ab AS (SELECT *, greatest(0e0, least(al, greatest(t1, t2)) - greatest(0e0, least(t1, t2))) AS over FROM (SELECT *, (bx1 - ax1) * ux + (by1 - ay1) * uy AS t1, (bx2 - ax1) * ux + (by2 - ay1) * uy AS t2,
+  abs(-(bx1 - ax1) * uy + (by1 - ay1) * ux) AS o1, abs(-(bx2 - ax1) * uy + (by2 - ay1) * ux) AS o2 FROM (SELECT a.project_id, a.page_index, a.seq AS a, b.seq AS b, a.len AS al, b.len AS bl, abs(a.ang - b.ang) % 180 AS turn, a.lm AS am, b.lm AS bm,
+  a.x1 AS ax1, a.y1 AS ay1, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, (a.x2 - a.x1) / a.len AS ux, (a.y2 - a.y1) / a.len AS uy FROM ln a JOIN ln b ON a.project_id = b.project_id AND a.page_index = b.page_index AND a.seq <> b.seq)))"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + SEGS
+    + ", ln AS MATERIALIZED (SELECT *, 0 AS lm FROM sg WHERE len >= 3e-1 * 1417e-2 AND len <= 30 * 1417e-2)"
+    + ACROSS
+    + """, pp AS MATERIALIZED (SELECT project_id, page_index, a, b, floor(over * 1e6 + 5e-1) / 1e6 AS over, floor((o1 + o2) / 2 * 1e6 + 5e-1) / 1e6 AS gap, al, bl FROM ab WHERE a < b AND least(turn, 180 - turn) <= 3),
+pf AS MATERIALIZED (SELECT * FROM pp WHERE gap >= 8e-2 * 1417e-2 AND gap <= 3e-1 * 1417e-2 AND over >= least(al, bl) * 6e-1 AND over >= 3e-1 * 1417e-2), """
+    + greedy_sql("SELECT {'p': project_id, 'i': page_index} AS g, a AS l, list(b ORDER BY over DESC, gap, b) AS cs FROM pf GROUP BY 1, 2", shared=True)
+    + """ SELECT project_id, page_index, a, b, floor(gap / 1417e-2 * 1e6 + 5e-1) / 1e6 AS thickness_m, floor(over / 1417e-2 * 1e6 + 5e-1) / 1e6 AS length_m FROM greedy JOIN pf ON project_id = g.p AND page_index = g.i AND a = l AND b = pick"""
+)
 def parallel_pairs(t):
     return _pairs(t)
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + SEGS
+    + ", ln AS MATERIALIZED (SELECT *, (seq % 50) / 5e0 AS lm FROM sg)"
+    + ACROSS
+    + """, cv AS (SELECT project_id, page_index, b, list(a) AS cover FROM ab WHERE (am > bm OR am = bm AND a < b) AND least(turn, 180 - turn) <= 5 AND greatest(o1, o2) <= 8e-2 * 6e-1 * 1417e-2 AND over / least(al, bl) >= 5e-1 GROUP BY 1, 2, 3),
+o AS MATERIALIZED (SELECT {'p': ln.project_id, 'i': ln.page_index} AS g, seq, cover, row_number() OVER (PARTITION BY ln.project_id, ln.page_index ORDER BY lm DESC, seq) AS rn FROM ln LEFT JOIN cv ON cv.project_id = ln.project_id AND cv.page_index = ln.page_index AND cv.b = ln.seq),
+r AS (SELECT g, rn, [seq] AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.g, o.rn, CASE WHEN coalesce(list_has_any(r.kept, o.cover), false) THEN r.kept ELSE list_append(r.kept, o.seq) END FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1),
+e AS (SELECT g, unnest(arg_max(kept, rn)) AS seq FROM r GROUP BY g)
+SELECT ln.project_id, ln.page_index, ln.seq, x1, y1, x2, y2, lm AS length_m FROM ln JOIN e ON e.g.p = ln.project_id AND e.g.i = ln.page_index AND e.seq = ln.seq"""
+)
 def dedup_wall_lines(t):
     return match.dedup_wall_lines(_segments(t).select("project_id", "page_index", "seq", "x1", "y1", "x2", "y2", (F.col("seq") % 50 / 5.0).alias("length_m")))
 
 
-@query()
+@query(
+    "WITH "
+    + SEGS
+    + """, pg AS (SELECT project_id, page_index, sqrt(pow(greatest(max(x1), max(x2)) - least(min(x1), min(x2)), 2) + pow(greatest(max(y1), max(y2)) - least(min(y1), min(y2)), 2)) * 15e-1 AS reach FROM sg GROUP BY 1, 2),
+n AS (SELECT sg.project_id, sg.page_index, seq, sign, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, sign * -(y2 - y1) / len AS nx, sign * (x2 - x1) / len AS ny, reach FROM sg JOIN pg ON pg.project_id = sg.project_id AND pg.page_index = sg.page_index CROSS JOIN (VALUES (1e0), (-1e0)) v(sign)),
+ry AS (SELECT *, cx + nx * 21e-1 AS sx, cy + ny * 21e-1 AS sy, nx * (reach - 21e-1) AS dx, ny * (reach - 21e-1) AS dy FROM n),
+m AS (SELECT r.project_id, r.page_index, r.seq, r.sign, r.dx * (o.y2 - o.y1) - r.dy * (o.x2 - o.x1) AS den, (o.x1 - sx) * (o.y2 - o.y1) - (o.y1 - sy) * (o.x2 - o.x1) AS tn, (o.x1 - sx) * dy - (o.y1 - sy) * dx AS un
+  FROM ry r JOIN sg o ON o.project_id = r.project_id AND o.page_index = r.page_index AND o.seq <> r.seq),
+h AS (SELECT DISTINCT project_id, page_index, seq, sign FROM m WHERE abs(den) >= 1e-9 AND tn / den > 1e-3 AND tn / den < 999e-3 AND un / den > 1e-3 AND un / den < 999e-3),
+c AS (SELECT project_id, page_index, seq, count(*) AS n FROM h GROUP BY 1, 2, 3)
+SELECT sg.project_id, sg.page_index, sg.seq, CASE WHEN c.n = 2 THEN 'internal' ELSE 'external' END AS wall_class FROM sg LEFT JOIN c ON c.project_id = sg.project_id AND c.page_index = sg.page_index AND c.seq = sg.seq"""
+)
 def raycast_class(t):
     own = _segments(t).select("project_id", "page_index", "seq", "x1", "y1", "x2", "y2", F.lit(4.0).alias("thickness"), F.lit(0.1).alias("eps"))
     return match.raycast_class(own)
@@ -117,7 +217,16 @@ def room_labels(t):
     return match.room_labels(rooms, texts)
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + SEGS
+    + """, f AS (SELECT *, abs(x2 - x1) >= abs(y2 - y1) AS flat FROM sg), s AS (SELECT project_id, page_index, flat, seq, CASE WHEN flat THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS line, CASE WHEN flat THEN least(x1, x2) ELSE least(y1, y2) END AS a,
+  CASE WHEN flat THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS b FROM f),
+o AS MATERIALIZED (SELECT *, {'p': project_id, 'i': page_index, 'f': flat} AS g, row_number() OVER (PARTITION BY project_id, page_index, flat ORDER BY line, a, seq) AS rn FROM s),
+r AS (SELECT g, rn, 0 AS n, line AS l0, b AS upto, line, a, b FROM o WHERE rn = 1 UNION ALL SELECT g, rn, CASE WHEN fits THEN n ELSE n + 1 END, CASE WHEN fits THEN l0 ELSE line END, CASE WHEN fits THEN greatest(upto, b) ELSE b END, line, a, b FROM
+  (SELECT o.g, o.rn, r.n, r.l0, r.upto, o.line, o.a, o.b, o.line - r.l0 <= 8 AND o.a - r.upto <= 15 AS fits FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1))
+SELECT g.p AS project_id, g.i AS page_index, g.f AS flat, any_value(l0) AS line, min(a) AS start, max(b) AS end, count(*) AS members FROM r GROUP BY g, n"""
+)
 def merge_collinear(t):
     return match.merge_collinear(_segments(t))
 

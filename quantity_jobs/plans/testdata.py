@@ -147,7 +147,7 @@ def adapters_of(sql: str) -> tuple[str, ...]:
 def oracle(sql: str) -> str:
     """SQL with {adapter} names as a statement that DuckDB runs over the given tables."""
     parts = [f"{n} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', ADAPTERS[n]).replace('AS STRING)', 'AS VARCHAR)')})" for n in adapters_of(sql)]
-    body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
+    body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()  # braces of SQL structs hold more than a name
     if not parts:
         return body
     if body.upper().startswith("WITH RECURSIVE"):
