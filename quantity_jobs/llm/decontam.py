@@ -11,20 +11,18 @@ one window; repeated item ids share one count; repeated rows are answered alike;
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bloom import Bloom, seen_once
-from .shared import HashCache, as_bytes, cut, words
+from .bloom import Bloom, bits_for, seen_once
+from .shared import WORD_BYTES, as_bytes, cut, hash_all, id_hashes, slices, split_words, text_runs, words
 
 WINDOW = 13
 ANCHORS = 2
-#: 2**20 bits: 128 KB, for the query's terms.
-TERM_BITS = 20
+ID_SEED = 7
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -40,71 +38,55 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return own.mapInArrow(split, f"item {kind}, words array<binary>").filter("size(words) > 0").distinct().withColumn("key", F.xxhash64("item", "words"))
 
 
-def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n) over the whole corpus: tasks count their own words first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-
-        def out():
-            terms = list(own)
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(list(own.values()), pa.int64())], ["term", "n"])
-
-        for batch in batches:
-            for text in as_bytes(batch, "text"):
-                own.update(words(text))
-            if len(own) > 1_000_000:  # bounds the task's memory; the rest is added up by Spark
-                yield out()
-                own.clear()
-        yield out()
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term binary, n long")
-
-
 def term_filter(terms: DataFrame) -> Bloom:
-    """A filter of fixed size of the distinct terms."""
+    """A filter of bounded size of the distinct terms."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield HashCache().of(batch.column(0).to_pylist())
+        yield hash_all(batch.column(0).to_pylist())
+
+    return seen_once(terms.select("term"), hashes, bits_for(terms.count()))
 
-    return seen_once(terms.select("term"), hashes, TERM_BITS)
 
+def _coded(texts: pa.StringArray, terms: Bloom) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """A run's distinct words, which of them the filter holds, the words as numbers of distinct words, and how many each text has."""
+    flat, counts = split_words(texts, WORD_BYTES)
+    coded = flat.dictionary_encode()
+    held = terms.has(hash_all(slices(coded.dictionary))) if len(flat) else np.zeros(0, bool)
+    return coded.dictionary, held, coded.indices.to_numpy(), counts
 
-class TermTest(dict):
-    """Whether the filter holds a word; remembers the answers for up to a million words."""
 
-    def __init__(self, bloom: Bloom):
-        super().__init__()
-        self.bloom, self.hashes = bloom, HashCache()
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n), to be summed: how often the terms, and what their filter takes for them, occur in the whole corpus. Tasks count their own first."""
+    test = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
 
-    def learn(self, items: set[bytes]) -> None:
-        new = [w for w in items if w not in self]
-        if new:
-            if len(self) > 1_000_000:
-                self.clear()
-                new = list(items)
-            self.update(zip(new, self.bloom.has(self.hashes.of(new)).tolist(), strict=True))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_runs(batch, "text"):
+                distinct, held, codes, _ = _coded(texts, test.value)
+                n = np.bincount(codes, minlength=len(distinct))
+                yield pa.RecordBatch.from_arrays([distinct.filter(pa.array(held)).cast(pa.binary()), pa.array(n[held].astype(np.int64))], ["term", "n"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term binary, n long")
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: (term, doc, positions) of the given terms in all documents."""
+    """The stored index: (term, doc, positions) of the given terms, and what their filter takes for them, in all documents."""
     test = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TermTest(test.value)
         for batch in batches:
-            at, found, places = [], [], []
-            for row, text in enumerate(as_bytes(batch, "text")):
-                own = words(text)
-                known.learn(set(own))
-                lists: dict[bytes, list[int]] = {}
-                for p in np.flatnonzero(np.fromiter(map(known.__getitem__, own), bool, len(own))).tolist():
-                    lists.setdefault(own[p], []).append(p)
-                at += [row] * len(lists)
-                found += lists
-                places += lists.values()
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["doc", "term", "positions"])
+            for first, texts in text_runs(batch, "text"):
+                distinct, held, codes, counts = _coded(texts, test.value)
+                at = np.flatnonzero(held[codes]) if len(codes) else np.zeros(0, np.int64)
+                ends = np.cumsum(counts)
+                row = np.searchsorted(ends, at, side="right")
+                order = np.lexsort((at, codes[at], row))
+                row, code, place = row[order], codes[at][order], (at - (ends - counts)[row])[order]
+                starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))) if len(row) else np.zeros(0, np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(first + row[starts])), distinct.take(pa.array(code[starts])).cast(pa.binary()), places], ["doc", "term", "positions"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -132,17 +114,16 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, k: int =
 
 def aligned(index: DataFrame, marks: DataFrame, slop: int = 0) -> DataFrame:
     """(doc, key, shift): where all of a pair's shifted position lists meet, or come within slop words.
-    shift is the document position of the item's first word (may be negative)."""
+    shift is the document position of the item's first word (may be negative); with a slop, the least of those that come together."""
     hits = index.join(marks, "term").select("doc", "key", "pair", "n_roles", "role", F.explode("positions").alias("p"), "place")
     hits = hits.select("doc", "key", "pair", "n_roles", "role", (F.col("p") - F.col("place")).alias("shift"))
     if not slop:
         met = hits.groupBy("doc", "key", "pair", "n_roles", "shift").agg(F.count_distinct("role").alias("n"))
         return met.filter("n = n_roles").select("doc", "key", "shift").distinct()
-    near = hits.withColumn("cell", F.explode(F.array([F.floor(F.col("shift") / slop) + d for d in (0, 1)])))
-    span = near.groupBy("doc", "key", "pair", "n_roles", "cell").agg(
-        F.count_distinct("role").alias("n"), F.min(F.when(F.col("role") == 0, F.col("shift"))).alias("shift")
-    )
-    return span.filter("n = n_roles").select("doc", "key", "shift").distinct()
+    # where lists of all roles have a shift among those from this one on to slop further
+    reach = Window.partitionBy("doc", "key", "pair").orderBy("shift").rangeBetween(0, slop)
+    span = hits.withColumn("roles", F.size(F.collect_set("role").over(reach)))
+    return span.filter("roles = n_roles").select("doc", "key", "shift").distinct()
 
 
 def phrase_runs(text_words: list[bytes], item: list[bytes], shift: int, window: int) -> list[tuple[int, int]]:
@@ -161,35 +142,38 @@ def phrase_runs(text_words: list[bytes], item: list[bytes], shift: int, window:
     return spans
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
+def matches(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slop: int = 0, item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """docs' id and n_words, with `phrases`: array of (item, start, end) document word spans, and, for slop > 0,
     `near`: (item, shift) of proximity matches that are no exact phrase. One row per row of docs."""
-    listed = cut(item_words(items))
-    marks = cut(anchors(listed, term_counts(docs, text_col), window))
+    listed = cut(item_words(items, item_col, item_text_col))
+    terms = listed.select(F.explode("words").alias("term")).distinct()
+    marks = cut(anchors(listed, term_counts(docs, terms, text_col), window))
     index = cut(postings(docs, marks.select("term").distinct(), id_col, text_col))
     found = aligned(index, marks, 0).withColumn("exact", F.lit(True))
     if slop:
         found = found.unionByName(aligned(index, marks, slop).withColumn("exact", F.lit(False)))
     cands = cut(
-        found.join(listed, "key")
+        found.groupBy("doc", "key")
+        .agg(F.collect_list(F.struct("shift", "exact")).alias("shifts"))
+        .join(listed, "key")
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("item", "shift", "exact", "words")).alias("cands"))
+        .agg(F.collect_list(F.struct("item", "words", "shifts")).alias("cands"))
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    item_kind = items.schema["item_id"].dataType.simpleString()
+    item_kind = items.schema[item_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     wanted = docs.sparkSession.sparkContext.broadcast(_doc_filter(cands))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts the words; the text goes on only where the filter of candidate documents holds the id."""
         for batch in batches:
-            texts = as_bytes(batch, "text")
-            ids = batch.column(0)
-            may = wanted.value.has(_id_hashes(ids))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(words(t)) for t in texts], pa.int64()), pa.array([t if m else None for t, m in zip(texts, may, strict=True)], pa.binary())],
-                ["doc", "n_words", "text"],
-            )
+            may = wanted.value.has(id_hashes(batch.column(0), ID_SEED))
+            for first, texts in text_runs(batch, "text"):
+                n_words = pa.array(split_words(texts, WORD_BYTES)[1])
+                kept = texts.cast(pa.binary()).take(pa.array(np.arange(len(texts)), mask=~may[first : first + len(texts)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), n_words, kept], ["doc", "n_words", "text"])
 
     counted = base.mapInArrow(scan, f"doc {kind}, n_words long, text binary")
     joined = counted.join(cands.withColumnRenamed("doc", "cand_doc"), F.col("doc").eqNullSafe(F.col("cand_doc")), "left").drop("cand_doc")
@@ -203,14 +187,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 if own and text:
                     listed_words = words(text)
                     for c in own:
-                        runs = phrase_runs(listed_words, c["words"], c["shift"], window)
-                        if runs:
-                            spans.update(((c["item"], *r), None) for r in runs)
-                        elif not c["exact"]:
-                            close[c["item"], c["shift"]] = None
+                        for s in c["shifts"]:
+                            runs = phrase_runs(listed_words, c["words"], s["shift"], window)
+                            if runs:
+                                spans.update(((c["item"], *r), None) for r in runs)
+                            elif not s["exact"]:
+                                close[c["item"], s["shift"]] = None
                 phrases.append([dict(zip(("item", "start", "end"), s, strict=True)) for s in spans])
                 near.append([dict(zip(("item", "shift"), s, strict=True)) for s in close])
-            item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+            item_type = get("cands").type.value_type.field("item").type
             yield pa.RecordBatch.from_arrays(
                 [
                     get("doc"),
@@ -225,15 +210,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return joined.select("doc", "n_words", "text", "cands").mapInArrow(confirm, schema).withColumnRenamed("doc", id_col)
 
 
-def _id_hashes(ids: pa.Array) -> np.ndarray:
-    return HashCache(seed=7).of([str(x).encode() for x in ids.to_pylist()])
-
-
 def _doc_filter(cands: DataFrame) -> Bloom:
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _id_hashes(batch.column(0))
+        yield id_hashes(batch.column(0), ID_SEED)
 
-    return seen_once(cands.select("doc"), hashes, 24)
+    return seen_once(cands.select("doc"), hashes, bits_for(cands.count()))
 
 
 def _hit_words(spans) -> F.Column:
