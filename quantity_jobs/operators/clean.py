@@ -77,8 +77,8 @@ def opening_defaults(o: Column) -> Column:
     )
 
 
-def openings_area(openings: Column) -> Column:
-    return F.aggregate(openings, F.lit(0.0), lambda s, o: s + F.coalesce(o["width_m"] * o["height_m"], F.lit(0.0)))
+def openings_area(openings: Column, finish=lambda s: s) -> Column:
+    return F.aggregate(openings, F.lit(0.0), lambda s, o: s + F.coalesce(o["width_m"] * o["height_m"], F.lit(0.0)), finish)
 
 
 def wall_defaults(walls: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def wall_defaults(walls: DataFrame) -> DataFrame:
             "openings": filled,
         }
     )
-    return out.withColumn("opening_area_m2", F.coalesce(F.nullif(openings_area(F.col("openings")), F.lit(0.0)), "opening_area_m2", F.lit(0.0)))
+    return out.withColumn("opening_area_m2", F.coalesce(openings_area(F.col("openings"), lambda s: F.nullif(s, F.lit(0.0))), "opening_area_m2", F.lit(0.0)))
 
 
 def assumption_log(walls: DataFrame, slabs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import audit, budget, classify, clean, fuse
+from ..sources.io import staged
 
 
 def measured_elements(walls: DataFrame, slabs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +27,7 @@ def fuse_views(
     walls: DataFrame, slabs: DataFrame, sched_openings: DataFrame, sched_areas: DataFrame, projects: DataFrame, heuristics: DataFrame, feedback: DataFrame, hints: DataFrame, sched_walls: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Fusion in its order: schedules, areas, units, defaults, classes, duplicates, dominant pages, similar slabs, inferred slabs, perimeter, overlaps,
-    feedback, markers. Walls are dealt by project once."""
+    feedback, markers. Walls are dealt by project once; at two places they are written and read back."""
     own = walls.repartition("project_id")
     if sched_walls is not None:
         merged = fuse.merge_schedule_walls(own, sched_walls)
@@ -37,10 +38,11 @@ def fuse_views(
     own = clean.wall_defaults(clean.fix_units(own))
     own = own.drop("building_type").join(projects.select("project_id", "building_type"), "project_id", "left")
     own = classify.flag_class_vs_score(classify.reclassify_by_score(own, heuristics), heuristics)
-    own = fuse.dominant_page(fuse.dedup_walls(own))
+    # from here on walls meet themselves and the slabs many times
+    own = staged(fuse.dominant_page(fuse.dedup_walls(own)), "walls")
     few = fuse.suppress_similar_slabs(fuse.dedup_slabs(plates))
     few = fuse.infer_slabs(own, few, plates)
-    own = fuse.drop_overlapped_internal(fuse.perimeter_audit(own))
+    own = staged(fuse.drop_overlapped_internal(fuse.perimeter_audit(own)), "walls")
     own = classify.feedback_override(own, feedback, projects)
     return fuse.renumber(classify.nearest_hint_class(own, hints), "P", "wall_id"), fuse.renumber(few, "L", "slab_id")
 
@@ -49,6 +51,7 @@ def takeoff_to_budget(walls, slabs, corners, sections, envelopes, sched_openings
     """(level budget, audit notes): envelope classes, fusion, thickness cap, validation, opening links, sections, budget."""
     placed = classify.topology_class(walls, envelopes)
     own, plates = fuse_views(placed, slabs, sched_openings, sched_areas, projects, heuristics, feedback, hints)
+    own, plates = staged(own, "walls"), staged(plates, "slabs")
     own, _ = clean.cap_thickness(own)
     own, plates = clean.validate_geometry(own, plates)
     own = fuse.apply_sections(fuse.link_openings(own, sched_openings), sections)

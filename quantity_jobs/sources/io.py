@@ -47,6 +47,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df computed once into the shared folder and read back, where several later steps would each compute it again."""
+    folder = run_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read_elements(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (project_id, seq, element_type, data) as typed walls, slabs and corners. The filter on element_type reaches the scan."""
 
