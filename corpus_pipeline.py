@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quantity_jobs.llm import decontam, jaccard_join, line_dedup, packing, toxicity
 from quantity_jobs.llm.queries import TOKENIZER, table
@@ -11,6 +11,11 @@ from quantity_jobs.llm.shared import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def row_key() -> Column:
+    """A row by what it says: rows that agree in it are copies of each other, and rows of one id may differ."""
+    return F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches 0.5 go; the model learns from the labelled documents of this input."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
@@ -26,18 +31,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id
-    stays, once where its row repeats. Documents without an id stay."""
-    own = docs.select(*COLUMNS)
-    first = jaccard_join.jaccard_components(own.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = own.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(own.filter("doc_id IS NULL")).select(*COLUMNS)
+    stays (null comes first), once where its row repeats. Texts without words link with nothing. Documents that share an id but not
+    their text are documents of their own."""
+    own = docs.select(*COLUMNS).withColumn("key", row_key())
+    first = jaccard_join.jaccard_components(own.select("key", "text"), id_col="key").filter("key <=> component_id").select(F.col("key").alias("first")).distinct()
+    kept = own.join(first, F.col("key").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["key"])
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a benchmark passage makes a twentieth or more go."""
-    own = docs.select(*COLUMNS)
-    bad = decontam.decontaminate(own.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return own.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents of which a benchmark passage makes a twentieth or more go; the rest stays, row by row."""
+    own = docs.select(*COLUMNS).withColumn("key", row_key())
+    judged = decontam.decontaminate(own.select("key", "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    bad = judged.filter("contaminated").select(F.col("key").alias("bad")).distinct()
+    return own.join(bad, F.col("key").eqNullSafe(F.col("bad")), "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,23 +94,6 @@ def id_hashes(ids: pa.Array, seed: int) -> np.ndarray:
     return hash_all([str(x).encode() for x in ids.to_pylist()], seed)
 
 
-class HashCache(dict):
-    """Word to 64-bit hash; forgets everything when it has grown to `limit` words."""
-
-    def __init__(self, limit: int = 1 << 19, seed: int = 0):
-        super().__init__()
-        self.limit, self.seed = limit, seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
-
-    def of(self, items: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, items), np.uint64, len(items))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -147,18 +130,6 @@ def run_shingles(word_hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[n
     return out, sizes
 
 
-def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of n words; the whole sequence as one where there are fewer, but some."""
-    size = len(word_hashes)
-    if not size:
-        return word_hashes
-    width = min(n, size)
-    out = np.full(size - width + 1, width, np.uint64)
-    for k in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word_hashes[k : size - width + 1 + k])
-    return out
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The folder is the cluster's spark.checkpoint.dir; only local sessions without one get a temporary folder."""
     context = spark.sparkContext

@@ -6,19 +6,24 @@ averaged. Most weights are exactly 0; what is broadcast has 2**bits places at mo
 
 Defined results: null and empty texts have no features and get the bias's score; labels that are null, of null ids or of
 unknown documents are not learnt; of repeated labels the largest counts; without labelled rows every score is 0.5;
-repeated documents are scored alike; other columns pass through."""
+repeated documents are scored alike, and of an id's differing texts the largest is learnt from; other columns pass through."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import HashCache, as_bytes, cut, mix, words
+from .shared import WORD_BYTES, cut, hash_all, hashed_words, mix, text_runs
+
+
+#: Features take about twenty times the bytes of their text.
+RUN_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -31,9 +36,9 @@ class Ftrl:
     epochs: int = 4
     rounds: int = 3
     #: Most shards; a shard has shard_rows rows or more.
-    shards: int = 8
-    shard_rows: int = 2_500
-    #: Most labelled rows that are learnt from (expected number; rows are chosen by a hash of their id).
+    shards: int = 4
+    shard_rows: int = 5_000
+    #: Most labelled documents that are learnt from (expected number; they are chosen by a hash of their id, and an id's repeated rows count once).
     sample_rows: int = 20_000
 
     def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -41,14 +46,16 @@ class Ftrl:
         return np.where(np.abs(z) <= self.l1, 0.0, shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
 
-def features(text: bytes, cache: HashCache, bits: int) -> np.ndarray:
-    """Places of the text's words, neighbouring pairs and pairs one word apart; may repeat."""
-    h = cache.of(words(text))
-    parts = [mix(h)]
+def features(texts: pa.StringArray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text's number, place) of the words, neighbouring pairs and pairs one word apart of a run of texts; may repeat."""
+    h, counts = hashed_words(texts, WORD_BYTES)
+    row = np.repeat(np.arange(len(counts)), counts)
+    rows, parts = [row], [mix(h)]
     for gap, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
-        if len(h) > gap:
-            parts.append(mix(h[:-gap] * np.uint64(factor) + h[gap:]))
-    return (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
+        same = np.flatnonzero(row[:-gap] == row[gap:])
+        rows.append(row[same])
+        parts.append(mix(h[same] * np.uint64(factor) + h[same + gap]))
+    return np.concatenate(rows), (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _sigmoid(x):
@@ -70,7 +77,7 @@ def train_shard(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, conf: Ftrl, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, int]:
-    """(id, text, label) of at most about sample_rows labelled documents, and about how many. Only their ids are broadcast."""
+    """(id, text, label) of at most about sample_rows labelled documents, each id once, and about how many. Only their ids are broadcast."""
     own = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("label_id"))
@@ -80,7 +87,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, conf: Ftrl, id_col: str,
     share = min(1.0, conf.sample_rows / max(1, known))
     chosen = own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "label"), int(share * known)
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    return found.groupBy("id").agg(F.max("text").alias("text"), F.first("label").alias("label")), int(share * known)
 
 
 def fit(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, float]:
@@ -90,13 +98,17 @@ def fit(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), id_col: str = "
     count = max(1, min(conf.shards, expected // conf.shard_rows))
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
         for batch in batches:
-            places = [np.unique(features(t, cache, conf.bits)).astype(np.int32) for t in as_bytes(batch, "text")]
-            order = [xxhash.xxh3_64_intdigest(str(i).encode()) >> 1 for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order, pa.int64()), batch.column(2).cast(pa.int32()), pa.array([p.tobytes() for p in places], pa.binary())], ["turn", "label", "places"]
-            )
+            turns, labels_ = (hash_all([str(i).encode() for i in batch.column(0).to_pylist()]) >> np.uint64(1)).astype(np.int64), batch.column(2).cast(pa.int32())
+            for first, run in text_runs(batch, "text", RUN_BYTES):
+                row, place = features(run, conf.bits)
+                code = np.unique(row << conf.bits | place)
+                ends = np.searchsorted(code, np.arange(len(run) + 1) << conf.bits)
+                places = (code & ((1 << conf.bits) - 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(turns[first : first + len(run)]), labels_[first : first + len(run)], pa.array([places[i:j].tobytes() for i, j in pairwise(ends.tolist())], pa.binary())],
+                    ["turn", "label", "places"],
+                )
 
     rows = cut(
         sample.mapInArrow(to_features, "turn long, label int, places binary")
@@ -112,45 +124,50 @@ def fit(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl(), id_col: str = "
             for batch in batches:
                 for row in batch.to_pylist():
                     shards.setdefault(row["shard"], []).append((row["turn"], row["label"], np.frombuffer(row["places"], np.int32).astype(np.int64)))
-            for own in shards.values():
+            for shard, own in shards.items():
                 own.sort(key=lambda r: r[0])
                 zs, ns = (x.copy() for x in start.value)
                 train_shard([(p, label) for _, label, p in own], zs, ns, conf)
-                # only places that carry weight, before or now, are sent; the others are within the L1 bound
-                used = np.flatnonzero((np.abs(zs) > conf.l1) | (np.abs(start.value[0]) > conf.l1))
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(zs[used] - start.value[0][used]), pa.array(ns[used] - start.value[1][used])], ["place", "z", "n"])
-
-        # a place's state moves by the mean over all shards, so what weighs in one alone shrinks
-        moved = rows.mapInArrow(learn, "place long, z double, n double").groupBy("place").agg(*((F.sum(c) / count).alias(c) for c in ("z", "n")))
-        got = moved.toArrow()
-        if got.num_rows:
-            at = got["place"].to_numpy()
-            z[at] += got["z"].to_numpy()
-            n[at] += got["n"].to_numpy()
+                moved = np.flatnonzero((zs != start.value[0]) | (ns != start.value[1]))
+                arrays = [moved.astype(np.int32), *((x - y)[moved].astype(np.float32) for x, y in zip((zs, ns), start.value, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], ["shard", "place", "z", "n"])
+
+        # each shard sends what it moved, 12 bytes a place at most; a place's state moves by the mean over all shards
+        got = rows.mapInArrow(learn, "shard int, place binary, z binary, n binary").toArrow()
+        for k in np.argsort(got["shard"].to_numpy()).tolist():
+            at, dz, dn = (np.frombuffer(got[c][k].as_buffer(), kind) for c, kind in (("place", np.int32), ("z", np.float32), ("n", np.float32)))
+            z[at] += dz.astype(float) / count
+            n[at] += dn.astype(float) / count
     w = conf.weights(z, n)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}
 
 
-def score(docs: DataFrame, weights: dict[int, float], conf: Ftrl = Ftrl(), text_col: str = "text") -> DataFrame:
-    """docs with the column score in place of any column of that name."""
+def score(docs: DataFrame, weights: dict[int, float], conf: Ftrl = Ftrl(), text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """docs, or just the named columns of it, with the column score in place of any column of that name."""
     table = docs.sparkSession.sparkContext.broadcast((np.fromiter(weights, np.int64), np.fromiter(weights.values(), float)))
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in (docs.columns if columns is None else columns) if c != "score"]
+    carried = names.index(text_col) if text_col in names else None
+    size = (1 << conf.bits) + 1
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((1 << conf.bits) + 1)
+        dense = np.zeros(size)
         dense[table.value[0]] = table.value[1]
-        bias, cache = dense[-1], HashCache()
+        bias = dense[-1]
         for batch in batches:
+            own = batch.column(0)
+            texts = batch.column(1) if carried is None else own.field(carried)
             sums = []
-            for text in as_bytes(batch, "__text"):
-                at = features(text, cache, conf.bits)
-                at = np.unique(at[dense[at] != 0])
-                sums.append(bias + dense[at].sum())
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(_sigmoid(np.array(sums, float)), pa.float64())], [*names, "score"])
+            for _, run in text_runs(pa.RecordBatch.from_arrays([texts], ["text"]), "text", RUN_BYTES):
+                row, place = features(run, conf.bits)
+                heavy = np.flatnonzero(dense[place])
+                code = np.unique(row[heavy] << conf.bits | place[heavy])
+                sums.append(bias + np.bincount(code >> conf.bits, dense[code & (size - 2)], len(run)))
+            scores = _sigmoid(np.concatenate(sums)) if sums else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([own, pa.array(scores, pa.float64())], ["own", "score"])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names) + "score double"
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(apply, schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), *([F.col(text_col).alias("text")] if carried is None else []))
+    schema = StructType([rows.schema["own"], StructField("score", DoubleType())])
+    return rows.mapInArrow(apply, schema).select("own.*", "score")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -161,5 +178,5 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, conf: Ftrl = Ftrl()) -> DataFrame:
     """The contract's columns: doc_id, held_out, score, predicted."""
     weights = fit(docs, labels.filter(~held_out()), conf)
-    out = score(docs.select("doc_id", "text"), weights, conf)
+    out = score(docs, weights, conf, columns=["doc_id"])  # the texts don't come back
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
