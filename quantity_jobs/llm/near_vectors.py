@@ -9,8 +9,8 @@ measures their recall; below the target the descent goes on with longer lists, a
 nodes of a label are compared with each other in full. Links are measured in double precision.
 
 Defined results: vectors or labels that are null, and vectors that are empty, zero or hold null or non-finite components,
-link with nothing and are their own component; vectors of different lengths never link; repeated vec_ids are one vector
-each; an empty table gives an empty result; other columns are ignored."""
+link with nothing and are their own component; vectors of different lengths never link; of the rows of a repeated vec_id
+that with the smallest hash of its vector counts; an empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -317,7 +317,9 @@ def audit(nodes: DataFrame, counted: DataFrame, conf: Descent) -> float:
 
 def near_vectors(table: DataFrame, conf: Descent = Descent(), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept): one row per distinct id."""
-    vectors = cut(unit_vectors(table, id_col, vec_col, label_col).dropDuplicates(["id"]))
+    columns = ["name", "label", "dim", "unit", "half"]
+    one = unit_vectors(table, id_col, vec_col, label_col).groupBy("id").agg(F.min(F.struct(*columns)).alias("v"))
+    vectors = cut(one.select("id", *(f"v.{c}" for c in columns)))
     nodes = cut(vectors.groupBy("label", "dim", "name").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("m"), F.first("unit").alias("unit"), F.first("half").alias("half")))
     members = vectors.select("id", "label", "dim", "name").join(nodes.select("label", "dim", "name", "node", "m"), ["label", "dim", "name"]).select("id", "node", "m")
 
