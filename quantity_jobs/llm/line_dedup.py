@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from .bloom import LOG2_BITS, Bloom, bits_for, seen_once, seen_twice
-from .shared import LOWER_AZ, cut, hash_all, id_hashes, private, slices, text_runs
+from .shared import LOWER_AZ, cut, hash_all, id_hashes, own_bytes, private, slices, text_runs
 
 BLANK = " \t\n\x0b\x0c\r"
 #: Repeated keys of more bytes than this are joined instead of sent to all tasks.
@@ -44,9 +44,8 @@ def keyed_lines(texts: pa.StringArray, min_chars: int) -> tuple[pa.StringArray,
 
 
 def _lowered(texts: pa.StringArray) -> tuple[pa.Buffer, pa.Buffer]:
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
-    raw = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]])
-    return pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw.translate(LOWER_AZ))
+    offsets, raw = own_bytes(texts)
+    return pa.py_buffer(offsets), pa.py_buffer(raw.translate(LOWER_AZ))
 
 
 def _once_per_text(codes: np.ndarray, counts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

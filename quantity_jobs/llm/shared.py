@@ -51,15 +51,23 @@ def text_runs(batch: pa.RecordBatch, name: str, most: int = RUN_BYTES) -> Iterat
         before = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
         own = texts.slice(first, last - first)
-        yield first, own if len(own) == len(texts) else pa.concat_arrays([own])  # a copy of its own, without an offset
+        whole = len(own) == len(texts) and own.offset == 0
+        yield first, own if whole else pa.concat_arrays([own])  # a copy of its own, without an offset
         first = last
 
 
+def own_bytes(texts: pa.StringArray) -> tuple[np.ndarray, bytes]:
+    """The offsets, from 0, and the bytes of the texts, which may be a slice of a longer array; without nulls."""
+    if not len(texts):
+        return np.zeros(1, np.int32), b""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return offsets - offsets[0], bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+
+
 def split_words(texts: pa.StringArray, letters: bytes) -> tuple[pa.StringArray, np.ndarray]:
     """The words of a run of texts one after another, and how many each text has. `letters` maps bytes; words lie between ASCII white space."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
-    raw = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]).translate(letters)
-    mapped = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw))
+    offsets, raw = own_bytes(texts)
+    mapped = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(raw.translate(letters)))
     lists = pc.ascii_split_whitespace(mapped)
     flat, counts = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
     # white space at either end of a text leaves an empty piece
@@ -72,8 +80,8 @@ def split_words(texts: pa.StringArray, letters: bytes) -> tuple[pa.StringArray,
 
 def slices(values: pa.StringArray) -> list[bytes]:
     """The values as bytes, many times faster than to_pylist; without nulls."""
-    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset :][: len(values) + 1].tolist() if len(values) else [0]
-    raw = memoryview(values.buffers()[2] or b"")[: offsets[-1]].tobytes()
+    offsets, raw = own_bytes(values)
+    offsets = offsets.tolist()
     return [raw[i:j] for i, j in zip(offsets, offsets[1:])]  # noqa: B905, RUF007
 
 
@@ -90,6 +98,16 @@ def hashed_words(texts: pa.StringArray, letters: bytes) -> tuple[np.ndarray, np.
     return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64), counts
 
 
+def equal_lengths(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix) of a batch's vectors by their length; null and empty vectors are left out, null components become NaN."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy()  # holds nothing of null vectors
+    starts = np.cumsum(lengths) - lengths
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == length)
+        yield length, rows, flat[starts[rows, None] + np.arange(length)]
+
+
 def id_hashes(ids: pa.Array, seed: int) -> np.ndarray:
     return hash_all([str(x).encode() for x in ids.to_pylist()], seed)
 
@@ -176,11 +194,14 @@ def merged_segments(parts: DataFrame, merge, schema: str) -> DataFrame:
     return parts.repartition(shuffle_width(parts.sparkSession), "segment").mapInArrow(fold, schema)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
