@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard_join, line_dedup, lm_scores, near_vectors, packing, secret_forest, sharding, toxicity, warc
+from . import decontam, hard_negatives, jaccard_join, licenses, line_dedup, lm_scores, near_vectors, packing, secret_forest, sharding, toxicity, warc, whitening
 
 #: Where the public tokenizers' files are.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,18 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.negatives_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark, sf_dir):
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES = {
         op8_packing,
         op9_secret_scan,
         op10_jaccard_join,
+        op11_hard_negatives,
+        op12_whitening,
+        op13_license_scan,
     )
 }
 ORACLES = {
@@ -76,4 +91,6 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_revisits": warc.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op13_license_scan": licenses.ORACLE,
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from .shared import shuffle_width
+from .shared import equal_lengths, shuffle_width
 
 #: x = floor(SCALE * c) + OFFSET
 SCALE = 64
@@ -49,18 +49,10 @@ class Fit:
 
 def integer_vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows, x as long integers, one row each) of the usable vectors of a batch."""
-    by_length: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    for k, raw in enumerate(column.to_pylist()):
-        if not raw or any(c is None for c in raw):
-            continue
-        c = np.array(raw, np.float64)
-        if not (np.abs(c) < MOST).all():  # false for what is not a number, too
-            continue
-        rows, vectors = by_length.setdefault(len(c), ([], []))
-        rows.append(k)
-        vectors.append(c)
-    for length, (rows, vectors) in by_length.items():
-        yield length, np.array(rows), np.floor(SCALE * np.stack(vectors)).astype(np.int64) + OFFSET
+    for length, rows, c in equal_lengths(column):
+        usable = (np.abs(c) < MOST).all(axis=1)  # false for what is not a number, too
+        if usable.any():
+            yield length, rows[usable], np.floor(SCALE * c[usable]).astype(np.int64) + OFFSET
 
 
 def exact_gram(y: np.ndarray) -> np.ndarray:
