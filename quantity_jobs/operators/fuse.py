@@ -4,6 +4,7 @@ All keys start with project_id, so one repartition by it serves every window, gr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import finite, floor_rank, overlap_1d, round_half_up as half_up
-from .kernels import first_match, greedy_suppress
+from .kernels import first_match
+from .rounds import TAIL, cut
 
 P = "project_id"
 
@@ -306,18 +308,43 @@ def dominant_page(walls: DataFrame, plausible: int = 30) -> DataFrame:
     return joined.filter((F.col("__pages") <= 1) | (F.col("__n") <= plausible) | (page == F.col("__best"))).drop("__n", "__pages", "__best")
 
 
-def suppress_similar_slabs(slabs: DataFrame, share: float = 0.30) -> DataFrame:
-    """Within level and class, by falling confidence and area: slabs within 30 % of a kept one go. Lone slabs never leave the JVM."""
-    keys = [P, "level", "slab_class"]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    counted = slabs.withColumn("__n", n)
-
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["confidence", "area_m2", "seq"], ascending=[False, False, True])
-        return own[greedy_suppress(own["area_m2"].to_numpy(float), share)]
-
-    many = counted.filter("__n > 1").drop("__n").groupBy(*keys).applyInPandas(suppress, slabs.schema)
-    return counted.filter("__n = 1").drop("__n").unionByName(many)
+def suppress_similar_slabs(slabs: DataFrame, share: float = 0.30, tail: int = TAIL) -> DataFrame:
+    """Within level and class, by falling confidence and area: slabs within 30 % of a kept one go. Areas that are null, zero or negative are like none.
+
+    Similar areas lie in the same or a near cell of a logarithmic scale. In each round the first slab of a cell is kept if it also comes before the first of every near
+    cell, and takes the slabs like it out; so a group of any size is only aggregated by cell and joined with the few kept of near cells."""
+    width = -math.log(1 - share) * 0.999
+    near_cells = range(-2, 3)
+    first = F.struct(F.col("confidence").isNull().alias("unsure"), (-F.col("confidence")).alias("c"), (-F.col("area_m2")).alias("a"), F.col("seq").alias("s"))
+    own = slabs.filter("area_m2 > 0").select(F.struct(P, "level", "slab_class").alias("g"), "seq", "area_m2", F.floor(F.log("area_m2") / width).alias("cell"), first.alias("o"))
+    now = cut(own)
+    kept = now.select("g", "seq").limit(0)
+    while (n := now.count()) > tail:
+        cells = now.groupBy("g", "cell").agg(F.min("o").alias("o"))
+        around = cells.withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in near_cells]))).groupBy("g", "cell").agg(F.min("o").alias("least"))
+        new = cut(cells.join(around, ["g", "cell"]).filter("o = least").select("g", "cell", "o"))
+        kept = kept.unionByName(new.select("g", F.col("o.s").alias("seq")))
+        reach = new.select(F.col("g").alias("g_"), F.explode(F.array(*[F.col("cell") + d for d in near_cells])).alias("cell_"), F.col("o.s").alias("s"), (-F.col("o.a")).alias("a"))
+        like = F.abs(F.col("area_m2") - F.col("a")) / F.greatest("area_m2", "a") <= share
+        now = cut(now.join(reach, (F.col("g") == F.col("g_")) & (F.col("cell") == F.col("cell_")) & (like | (F.col("seq") == F.col("s"))), "left_anti"))
+    if n:
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            areas: dict = {}
+            for batch in batches:
+                rows = []
+                for k, (g, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    seen = areas.setdefault(tuple(g.values()), [])
+                    if not any(abs(v - x) / max(v, x) <= share for x in seen):
+                        seen.append(v)
+                        rows.append(k)
+                yield batch.select(["g", "seq"]).take(pa.array(rows, pa.int64()))
+
+        kept = kept.unionByName(now.repartition(1).sortWithinPartitions("o").mapInArrow(scan, kept.schema))
+    chosen = kept.select(F.col("g").alias("g_"), F.col("seq").alias("s_"))
+    same = (F.struct(P, "level", "slab_class") == F.col("g_")) & (F.col("seq") == F.col("s_"))
+    alike = slabs.filter("area_m2 > 0").join(chosen, same, "left_semi")
+    return alike.unionByName(slabs.filter("area_m2 IS NULL OR area_m2 <= 0"))
 
 
 def renumber(df: DataFrame, prefix: str, column: str) -> DataFrame:

@@ -112,31 +112,6 @@ def _even_slashes(body: str, k: int) -> bool:
     return n % 2 == 0
 
 
-def touching_groups(lines: list[list], touch: float) -> list[list[int]]:
-    """Numbers of the lines (x1, y1, x2, y2, ...) by groups whose ends come closer than touch, directly or through others."""
-    root = list(range(len(lines)))
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    cells: dict[tuple[int, int], list[tuple[float, float, int]]] = {}
-    for k, line in enumerate(lines):
-        for x, y in (line[:2], line[2:4]):
-            cx, cy = math.floor(x / touch), math.floor(y / touch)
-            for cell in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                for px, py, other in cells.get(cell, ()):
-                    if math.hypot(x - px, y - py) < touch:
-                        a, b = top(k), top(other)
-                        root[max(a, b)] = min(a, b)
-            cells.setdefault((cx, cy), []).append((x, y, k))
-    groups: dict[int, list[int]] = {}
-    for k in range(len(lines)):
-        groups.setdefault(top(k), []).append(k)
-    return list(groups.values())
-
-
 def fuse_touching(lines: list[list], angle: float, touch: float) -> list[list]:
     """Lines (x1, y1, x2, y2, members): the first takes in, in order and again until none fits, every other that is within angle of what it has become and has an end closer than touch
     to one of its own; the farthest two of the four ends remain. Then the next that is left does the same."""

@@ -1,4 +1,4 @@
-"""Spatial matching. Spark finds the candidates with grid keys; the order-dependent choice runs per group on the candidates alone."""
+"""Spatial matching. Spark finds the candidates with grid keys; order-dependent choices run in rounds over the candidates alone."""
 
 from __future__ import annotations
 
@@ -7,21 +7,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import angle_180, angle_gap, box_iou, clamp, distance, point_segment_distance, polygon_area, round_half_up as half_up
 from .clean import segment_bbox
-from .kernels import fuse_touching, greedy_pairs, merge_runs, touching_groups
+from .kernels import fuse_touching, merge_runs
+from .rounds import components, deferred_choice, dominant_pairs, first_independent
 
 P = "project_id"
 
 
-def _chosen(candidates: DataFrame, keys: list[str], left: str, right: str, order: list[str], ascending: list[bool], shared: bool = False) -> DataFrame:
-    """The candidate rows that a greedy scan of each group takes. Candidates carry ids and scores only."""
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(order, ascending=ascending, kind="stable")
-        return own[greedy_pairs(own[left].to_numpy(), own[right].to_numpy(), shared)]
-
-    return candidates.groupBy(*keys).applyInPandas(scan, candidates.schema)
-
-
 def _center(b: Column) -> tuple[Column, Column]:
     return (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
 
@@ -32,6 +23,17 @@ def _cells(b: Column, size: float, reach: float = 0.0) -> Column:
     return F.flatten(F.transform(span(b["xmin"], b["xmax"]), lambda x: F.transform(span(b["ymin"], b["ymax"]), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+def _cell(value: Column, size: float) -> Column:
+    return F.floor(value / size)
+
+
+def _first_common(a: Column, b: Column, size: float, reach: float = 0.0) -> Column:
+    """Whether `cell` is the first that both the grown box a and the box b touch, so that a pair is met once however many cells it shares."""
+    x = F.greatest(_cell(a["xmin"] - reach, size), _cell(b["xmin"], size))
+    y = F.greatest(_cell(a["ymin"] - reach, size), _cell(b["ymin"], size))
+    return (F.col("cell.cx") == x) & (F.col("cell.cy") == y)
+
+
 def match_endpoints(walls: DataFrame, segments: DataFrame) -> DataFrame:
     """(project_id, seq, seg_seq): each wall with a box, in seq order, takes the best unused segment of its level by 0.6 IoU + 0.4 closeness, of those with
     IoU >= 0.10 or centres within 60; walls of levels without segments, or of generic levels, look at the whole project."""
@@ -45,7 +47,8 @@ def match_endpoints(walls: DataFrame, segments: DataFrame) -> DataFrame:
     size = 120.0
     left = own.withColumn("cell", F.explode(_cells(F.col("bbox"), size, 60.0)))
     right = segs.withColumn("cell", F.explode(_cells(F.col("s_box"), size)))
-    pairs = left.join(right, [P, "cell"]).filter(F.col("any_level") | (F.col("w_level") == F.col("s_level"))).drop("cell").dropDuplicates([P, "seq", "seg_seq"])
+    once = _first_common(F.col("bbox"), F.col("s_box"), size, 60.0)
+    pairs = left.join(right, [P, "cell"]).filter((F.col("any_level") | (F.col("w_level") == F.col("s_level"))) & once).drop("cell")
     wx, wy = _center(F.col("bbox"))
     b = F.col("bbox")
     diagonal = F.sqrt(F.pow(b["xmax"] - b["xmin"], F.lit(2)) + F.pow(b["ymax"] - b["ymin"], F.lit(2)))
@@ -53,10 +56,7 @@ def match_endpoints(walls: DataFrame, segments: DataFrame) -> DataFrame:
     d, iou = distance(wx, wy, "sx", "sy"), box_iou(b, F.col("s_box"))
     score = half_up(iou * 0.6 + F.greatest(F.lit(0.0), 1.0 - d / diagonal) * 0.4, 9)
     scored = pairs.withColumns({"d": d, "iou": iou, "score": score}).filter(((F.col("iou") >= 0.10) | (F.col("d") < 60)) & (F.col("score") > 0))
-    # levels share no segments, unless a wall of the project looks at all of them
-    unit = F.when(F.bool_or("any_level").over(Window.partitionBy(P)), "").otherwise(F.col("w_level"))
-    scored = scored.select(P, unit.alias("unit"), "seq", "seg_seq", "score")
-    return _chosen(scored, [P, "unit"], "seq", "seg_seq", ["seq", "score", "seg_seq"], [True, False, True]).select(P, "seq", "seg_seq")
+    return deferred_choice(scored.select(P, "seq", "seg_seq", "score"), [P], "seq", "seg_seq", [-F.col("score")])
 
 
 def wall_direction(b: Column) -> Column:
@@ -81,7 +81,7 @@ def match_dimensions(walls: DataFrame, dimensions: DataFrame) -> DataFrame:
     fits = F.when(F.col("length_m") > 0.2, ratio.between(0.4, 2.5)).otherwise(F.col("value_m").between(0.5, 25))
     pairs = near.join(dims, [P, "lv", "gx", "gy"]).withColumn("d", d).filter((F.col("d") <= F.col("r")) & fits & ((F.col("orientation") == "unknown") | (F.col("orientation") == F.col("dir"))))
     pairs = pairs.select(P, "lv", "seq", "dim_seq", "value_m", half_up("d", 9).alias("d"))
-    return _chosen(pairs, [P, "lv"], "seq", "dim_seq", ["seq", "d", "dim_seq"], [True, True, True]).select(P, "seq", "dim_seq", "value_m")
+    return deferred_choice(pairs, [P, "lv"], "seq", "dim_seq", [F.col("d")], ["value_m"]).select(P, "seq", "dim_seq", "value_m")
 
 
 def apply_dimensions(walls: DataFrame, matched: DataFrame) -> DataFrame:
@@ -106,10 +106,10 @@ def reconcile_detectors(a: DataFrame, b: DataFrame) -> DataFrame:
     size = 100.0
     grid_l = left.filter("x IS NOT NULL").withColumn("cell", F.explode(_cells(F.col("x"), size, 50.0)))
     grid_r = right.filter("y IS NOT NULL").withColumn("cell", F.explode(_cells(F.col("y"), size)))
-    pairs = grid_l.join(grid_r, [P, "lv", "cell"]).drop("cell").dropDuplicates([P, "lv", "seq", "other_seq"])
+    pairs = grid_l.join(grid_r, [P, "lv", "cell"]).filter(_first_common(F.col("x"), F.col("y"), size, 50.0)).drop("cell")
     (ax, ay), (bx, by) = _center(F.col("x")), _center(F.col("y"))
     pairs = pairs.withColumns({"iou": half_up(box_iou(F.col("x"), F.col("y")), 9), "d": half_up(distance(ax, ay, bx, by), 9)}).filter("iou >= 0.4 OR d < 50")
-    taken = _chosen(pairs.select(P, "lv", "seq", "other_seq", "iou", "d", "wall_class", "other_class"), [P, "lv"], "seq", "other_seq", ["iou", "d", "seq", "other_seq"], [False, True, True, True])
+    taken = dominant_pairs(pairs, [P, "lv"], "seq", "other_seq", [-F.col("iou"), F.col("d")], ["wall_class", "other_class"])
     both = taken.select(P, "seq", "other_seq", F.when(F.col("wall_class") == F.col("other_class"), "agree").otherwise("disagree").alias("outcome"))
     seen = right.select(P, "lv").distinct()
     only_a = left.join(seen, [P, "lv"], "left_semi").join(both.select(P, "seq"), [P, "seq"], "left_anti").select(P, "seq", F.lit(None).cast("long").alias("other_seq"), F.lit("only_a").alias("outcome"))
@@ -156,23 +156,30 @@ def _projection(a: str, b: str) -> tuple[Column, Column]:
 LINE = ("seq", "x1", "y1", "x2", "y2", "len", "angle")
 
 
+def _box(line: str) -> Column:
+    ends = {c: (F.col(f"{line}.{c}1"), F.col(f"{line}.{c}2")) for c in ("x", "y")}
+    return F.struct(F.least(*ends["y"]).alias("ymin"), F.least(*ends["x"]).alias("xmin"), F.greatest(*ends["y"]).alias("ymax"), F.greatest(*ends["x"]).alias("xmax"))
+
+
 def parallel_pairs(segments: DataFrame, scale: float = 14.17) -> DataFrame:
     """(project_id, page_index, a, b, thickness_m, length_m): lines 0.30-30 m long, within 3 degrees, 0.08-0.30 m apart and overlapped for 60 % of the shorter and 0.30 m. Each
     line, in seq order, takes the unused later line with the longest overlap, then the thinnest gap. Lines meet by page and by the grid cells their grown
     boxes touch."""
     low, high, near, far = 0.30 * scale, 30.0 * scale, 0.08 * scale, 0.30 * scale
     lines = measured_lines(segments).filter((F.col("len") >= low) & (F.col("len") <= high)).select(P, "page_index", F.struct(*LINE).alias("l"))
-    box = F.struct(F.least("l.y1", "l.y2").alias("ymin"), F.least("l.x1", "l.x2").alias("xmin"), F.greatest("l.y1", "l.y2").alias("ymax"), F.greatest("l.x1", "l.x2").alias("xmax"))
+    box = _box("l")
     cell = lambda reach, name: lines.select(P, "page_index", F.col("l").alias(name), F.explode(_cells(box, 60.0, reach)).alias("cell"))
     # overlapping parallel lines come no farther apart than the gap widened by the angle over the line
-    a, b = cell(far + high * 0.06, "a"), cell(0.0, "b")
+    wide = far + high * 0.06
+    a, b = cell(wide, "a"), cell(0.0, "b")
     over, across = _projection("a", "b")
-    pairs = a.join(b, [P, "page_index", "cell"]).filter((F.col("a.seq") < F.col("b.seq")) & (angle_gap(F.col("a.angle"), F.col("b.angle")) <= 3)).drop("cell")
+    once = _first_common(_box("a"), _box("b"), 60.0, wide)
+    pairs = a.join(b, [P, "page_index", "cell"]).filter((F.col("a.seq") < F.col("b.seq")) & (angle_gap(F.col("a.angle"), F.col("b.angle")) <= 3) & once).drop("cell")
     pairs = pairs.withColumns({"over": half_up(over, 6), "gap": half_up(across, 6)}).filter(
         (F.col("gap") >= near) & (F.col("gap") <= far) & (F.col("over") >= F.least("a.len", "b.len") * 0.6) & (F.col("over") >= low)
     )
-    own = pairs.select(P, "page_index", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), "over", "gap").distinct()
-    taken = _chosen(own, [P, "page_index"], "a", "b", ["a", "over", "gap", "b"], [True, False, True, True], shared=True)
+    own = pairs.select(P, "page_index", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), "over", "gap")
+    taken = dominant_pairs(own, [P, "page_index"], "a", "b", [F.col("a"), -F.col("over"), F.col("gap")], ["over", "gap"], shared=True)
     return taken.select(P, "page_index", "a", "b", half_up(F.col("gap") / scale, 6).alias("thickness_m"), half_up(F.col("over") / scale, 6).alias("length_m"))
 
 
@@ -181,7 +188,7 @@ def dedup_wall_lines(lines: DataFrame, scale: float = 14.17) -> DataFrame:
     kept one goes."""
     perp = 0.08 * 0.6 * scale
     own = measured_lines(lines).filter("len >= 0.001").select(P, "page_index", F.struct(*LINE, "length_m").alias("l"))
-    box = F.struct(F.least("l.y1", "l.y2").alias("ymin"), F.least("l.x1", "l.x2").alias("xmin"), F.greatest("l.y1", "l.y2").alias("ymax"), F.greatest("l.x1", "l.x2").alias("xmax"))
+    box = _box("l")
     a = own.select(P, "page_index", F.col("l").alias("a"), F.explode(_cells(box, 60.0, perp)).alias("cell"))
     b = own.select(P, "page_index", F.col("l").alias("b"), F.explode(_cells(box, 60.0)).alias("cell"))
     over, _ = _projection("a", "b")
@@ -191,17 +198,8 @@ def dedup_wall_lines(lines: DataFrame, scale: float = 14.17) -> DataFrame:
     covers = a.join(b, [P, "page_index", "cell"]).filter(
         earlier & (angle_gap(F.col("a.angle"), F.col("b.angle")) <= 5) & (off("x1", "y1") <= perp) & (off("x2", "y2") <= perp) & (over / F.least("a.len", "b.len") >= 0.5)
     )
-    edges = covers.select(P, "page_index", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), F.col("a.length_m").alias("la")).distinct()
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        ordered = pdf.sort_values(["la", "a", "b"], ascending=[False, True, True])
-        for a_, b_ in zip(ordered["a"].tolist(), ordered["b"].tolist(), strict=True):
-            if a_ not in gone:
-                gone.add(b_)
-        return pd.DataFrame({P: pdf[P].iloc[0], "page_index": pdf["page_index"].iloc[0], "seq": sorted(gone)})
-
-    removed = edges.groupBy(P, "page_index").applyInPandas(scan, "project_id long, page_index int, seq long")
+    edges = covers.filter(_first_common(_box("a"), _box("b"), 60.0, perp)).select(P, "page_index", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), F.col("a.length_m").alias("la"))
+    removed = first_independent(edges, [P, "page_index"], [-F.col("la")]).withColumnRenamed("id", "seq")
     kept = measured_lines(lines).filter("len >= 0.001").drop("len", "angle")
     return kept.join(removed, [P, "page_index", "seq"], "left_anti")
 
@@ -327,7 +325,7 @@ def merge_collinear(segments: DataFrame, align: float = 8.0, gap: float = 15.0)
 def merge_touching(segments: DataFrame, angle: float = 8.0, touch: float = 12.0) -> DataFrame:
     """(project_id, page_index, x1, y1, x2, y2, members): segments of any direction fused while two are within `angle` degrees and have ends closer than `touch`; the farthest pair of ends remains.
     Repeats to a fixed point among segments whose ends touch, directly or through others: a fused segment keeps ends of its members, so fusion never leaves such
-    a group, while its angle may come to fit a segment that fitted none before. Only segments that touch another go there."""
+    a group, while its angle may come to fit a segment that fitted none before. What is fused in one task is such a group, not a page."""
     lines = measured_lines(segments).select(P, "page_index", F.struct(*LINE).alias("l"))
     ends = lines.select(P, "page_index", "l", F.explode(F.array(F.struct(F.col("l.x1").alias("x"), F.col("l.y1").alias("y")), F.struct(F.col("l.x2").alias("x"), F.col("l.y2").alias("y")))).alias("e"))
     grid = ends.withColumn("gx", F.floor(F.col("e.x") / touch)).withColumn("gy", F.floor(F.col("e.y") / touch))
@@ -335,16 +333,15 @@ def merge_touching(segments: DataFrame, angle: float = 8.0, touch: float = 12.0)
     pairs = wide.alias("p").join(grid.alias("q"), [P, "page_index", "gx", "gy"]).filter(
         (F.col("p.l.seq") != F.col("q.l.seq")) & (distance("p.e.x", "p.e.y", "q.e.x", "q.e.y") < touch)
     )
-    some = pairs.select(P, "page_index", F.col("p.l.seq").alias("seq")).distinct()
+    links = pairs.select(P, "page_index", F.col("p.l.seq").alias("a"), F.col("q.l.seq").alias("b"))
+    grouped = components(links, [P, "page_index"]).withColumnRenamed("id", "seq")
 
     def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines_ = [[r.x1, r.y1, r.x2, r.y2, 1] for r in pdf.sort_values("seq").itertuples()]
-        out = [line for group in touching_groups(lines_, touch) for line in fuse_touching([lines_[k] for k in group], angle, touch)]
+        out = fuse_touching([[r.x1, r.y1, r.x2, r.y2, 1] for r in pdf.sort_values("seq").itertuples()], angle, touch)
         first = pdf.iloc[0]
         return pd.DataFrame(out, columns=["x1", "y1", "x2", "y2", "members"]).assign(**{P: first[P], "page_index": first["page_index"]})[[P, "page_index", "x1", "y1", "x2", "y2", "members"]]
 
-    own = segments.select(P, "page_index", "seq", "x1", "y1", "x2", "y2")
-    alone = own.join(some, [P, "page_index", "seq"], "left_anti").select(P, "page_index", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("members"))
-    fused = own.join(some, [P, "page_index", "seq"], "left_semi").groupBy(P, "page_index").applyInPandas(fuse, "project_id long, page_index int, x1 double, y1 double, x2 double, y2 double, members long")
-    return alone.unionByName(fused)
-
+    own = segments.select(P, "page_index", "seq", "x1", "y1", "x2", "y2").join(grouped, [P, "page_index", "seq"], "left")
+    alone = own.filter("component IS NULL").select(P, "page_index", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("members"))
+    touching = own.filter("component IS NOT NULL").groupBy(P, "page_index", "component")
+    return alone.unionByName(touching.applyInPandas(fuse, "project_id long, page_index int, x1 double, y1 double, x2 double, y2 double, members long"))
