@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import polygon_perimeter, round_half_up as half_up
+from .clean import infer_stage
 
 P = "project_id"
 
@@ -142,7 +143,28 @@ def inconsistencies(projects: DataFrame, walls: DataFrame, slabs: DataFrame, by_
 
 
 def order_notes(notes: DataFrame) -> DataFrame:
-    """(project_id, feed): each project's notes as one list, errors first, then warnings."""
-    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    entry = F.struct(rank.alias("rank"), "code", F.coalesce("element_id", F.lit("")).alias("element_id"))
-    return notes.groupBy(P).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.concat_ws(":", x["code"], x["element_id"])).alias("feed"))
+    """notes with their place in the project's feed: errors first, then warnings, then infos; equal ones by code and element."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2).otherwise(9)
+    return notes.withColumn("place", F.row_number().over(Window.partitionBy(P).orderBy(rank, "code", F.coalesce("element_id", F.lit("")))).cast("long"))
+
+
+#: The stages in the order of the pipeline.
+STAGES = ("0.5", "1", "1.5", "3", "3.5", "3.7", "4", "4.5", "5", "6", "6.5", "7", "7.5", "8")
+
+
+def order_events(events: DataFrame) -> DataFrame:
+    """events with their stage_id and their place in the project's feed: by stage in the order of the pipeline, unknown stages behind in the order in which their first event (by id) comes, then
+    by time and id."""
+    own = infer_stage(events)
+    rank = F.lit(999)
+    for number, stage in enumerate(STAGES):
+        rank = F.when(F.col("stage_id") == stage, number).otherwise(rank)
+    firsts = own.groupBy(F.col(P).alias("p_"), F.col("stage_id").alias("s_")).agg(F.min("id").alias("first_id"))
+    joined = own.join(firsts, F.col(P).eqNullSafe(F.col("p_")) & F.col("stage_id").eqNullSafe(F.col("s_"))).drop("p_", "s_")
+    order = Window.partitionBy(P).orderBy(rank, F.when(rank == 999, F.col("first_id")), "created_at", "id")
+    return joined.withColumn("place", F.row_number().over(order).cast("long")).drop("first_id")
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """rows with their place in the project's list, the newest first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(P).orderBy(F.desc("created_at"), F.desc("id"))).cast("long"))

@@ -171,19 +171,24 @@ def totals_by_sku(lines: DataFrame) -> DataFrame:
     return sums.select("project_id", "product", half_up("a", 3).alias("area_m2"), F.floor(half_up("a", 3) / dims.PANEL_M2 + 0.5).alias("units"), half_up("c").alias("cost"))
 
 
-def materials_labor(quantities_: DataFrame, connector_price: float = dims.PRICE_CONNECTOR, screw_price: float = dims.PRICE_SCREW) -> DataFrame:
-    """(project_id, item, quantity, unit, cost): connectors, screws, tape, filler and labour."""
+def materials_labor(quantities_: DataFrame, products: DataFrame) -> DataFrame:
+    """(project_id, item, quantity, unit, cost): connectors, screws, tape, filler and labour; connectors and screws at the catalogue's prices, by sku (of several products with
+    the smallest id), or at fixed ones where it has none."""
     n, area = F.col("total_panels").cast("double"), F.col("wall_area") + F.col("slab_area")
+    price = lambda sku: F.min_by(F.when(F.col("sku") == sku, F.col("unit_price")), F.when(F.col("sku") == sku, F.col("product_id")))
+    # one row, also for an empty catalogue
+    prices = products.filter(F.col("sku").isin(dims.SKU_CONNECTOR, dims.SKU_SCREW)).agg(F.coalesce(price(dims.SKU_CONNECTOR), F.lit(dims.PRICE_CONNECTOR)).alias("connector"), F.coalesce(price(dims.SKU_SCREW), F.lit(dims.PRICE_SCREW)).alias("screw"))
     item = lambda name, qty, unit, cost: F.struct(F.lit(name).alias("item"), half_up(qty, 2).alias("quantity"), F.lit(unit).alias("unit"), half_up(cost, 2).alias("cost"))
     hours = area * dims.LABOUR_HOURS_M2
+    connectors, screws = F.ceil(n * 4.0).cast("double"), F.ceil(n * 8.0).cast("double")
     rows = F.array(
-        item("connectors", n * 4.0, "un", n * 4.0 * connector_price),
-        item("screws", n * 8.0, "un", n * 8.0 * screw_price),
+        item("connectors", connectors, "un", connectors * F.col("connector")),
+        item("screws", screws, "un", screws * F.col("screw")),
         item("tape", n * 2.0, "m", F.lit(0.0)),
         item("filler", n * 0.5, "kg", F.lit(0.0)),
         item("labor", hours, "h", hours * dims.LABOUR_RATE),
     )
-    return quantities_.select("project_id", F.explode(rows).alias("x")).select("project_id", "x.*")
+    return quantities_.crossJoin(F.broadcast(prices)).select("project_id", F.explode(rows).alias("x")).select("project_id", "x.*")
 
 
 def final_cost(costs: DataFrame, projects: DataFrame) -> DataFrame:

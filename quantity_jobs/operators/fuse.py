@@ -361,11 +361,12 @@ def floor_bounds(walls: DataFrame, slabs: DataFrame) -> DataFrame:
 
 
 def infer_slabs(walls: DataFrame, slabs: DataFrame, detected: DataFrame | None = None, sane: float = 800.0) -> DataFrame:
-    """slabs with the missing ones inferred: floors from the perimeter ((length / 4) squared, up to 800) or the project's nearest known slab, a raft below the bottom
-    level, a roof over the top one. detected: the slabs before deduplication, whose classes say whether any roof was seen at all.
+    """slabs with the missing ones inferred: floors from the perimeter ((length / 4) squared, up to 800), from the level's or the project's first known slab or from the level's raft,
+    a raft below the bottom level, a roof over the top one. detected: the slabs before deduplication, whose classes say whether any roof was seen at all, and whose
+    order of levels and classes is that of the slabs; within them slabs go by falling confidence and area.
 
-    Levels are looked at bottom-up, and a slab made for a lower level counts for higher ones: what that needs is the first positive area of the project, which is
-    that of the first given slab or else of the lowest level that gets a floor."""
+    Levels are looked at bottom-up, of equal rank in the order seen, and a slab made for a lower level counts for higher ones. A project that ends without any raft gets
+    one below its bottom level if any slab has an area by then; a roof finds such a slab at its own turn, which comes last."""
     detected = slabs if detected is None else detected
     lengths = walls.groupBy(P, "level").agg(
         F.sum(F.when(F.col("wall_class") == "external", F.col("length_m"))).alias("ext"), F.sum("length_m").alias("all")
@@ -373,9 +374,12 @@ def infer_slabs(walls: DataFrame, slabs: DataFrame, detected: DataFrame | None =
     perimeter = half_up(F.coalesce("ext", "all"), 6)
     square = F.pow(perimeter / 4.0, F.lit(2.0))
     estimate = F.when(square > sane, 0.0).otherwise(half_up(square))
-    first = lambda cond: F.min_by(F.when(cond, F.col("area_m2")), F.when(cond, F.col("seq")))
     cls = F.col("slab_class")
-    known = slabs.groupBy(P, "level").agg(
+    groups = detected.groupBy(F.col(P).alias("p_"), F.col("level").alias("l_"), cls.alias("c_")).agg(F.min("seq").alias("group_first"))
+    own_group = (F.col(P) == F.col("p_")) & F.col("level").eqNullSafe(F.col("l_")) & cls.eqNullSafe(F.col("c_"))
+    listed = slabs.join(groups, own_group, "left").select(P, "level", "slab_class", "area_m2", F.struct(F.coalesce("group_first", "seq"), -F.coalesce("confidence", F.lit(0.0)), -F.coalesce("area_m2", F.lit(0.0)), "seq").alias("o"))
+    first = lambda cond: F.min_by(F.when(cond, F.col("area_m2")), F.when(cond, F.col("o")))
+    known = listed.groupBy(P, "level").agg(
         F.max((cls == "floor").cast("int")).alias("has_floor"),
         F.max((cls == "raft").cast("int")).alias("has_raft"),
         F.max((cls == "roof").cast("int")).alias("has_roof"),
@@ -383,47 +387,62 @@ def infer_slabs(walls: DataFrame, slabs: DataFrame, detected: DataFrame | None =
         first(cls == "roof").alias("roof_area"),
         first(cls == "raft").alias("raft_area"),
     )
-    bounds = floor_bounds(walls, slabs)
-    levels = walls.select(P, "level").union(slabs.select(P, "level")).distinct()
-    any_given = slabs.groupBy(P).agg(F.min_by(F.when(F.col("area_m2") > 0, F.col("area_m2")), F.when(F.col("area_m2") > 0, F.col("seq"))).alias("given"))
+    seen = walls.select(P, "level", "seq", F.lit(0).alias("kind")).unionByName(slabs.select(P, "level", "seq", F.lit(1).alias("kind")))
+    levels = seen.groupBy(P, "level").agg(F.min(F.struct("kind", "seq")).alias("first_seen"))
+    positive_area = F.col("area_m2") > 0
+    project = listed.groupBy(P).agg(first(positive_area).alias("given"), F.max((cls == "raft").cast("int")).alias("any_raft"))
     any_roof = detected.groupBy(P).agg(F.max((cls == "roof").cast("int")).alias("saw_roof"))
+    climb = Window.partitionBy(P).orderBy("rank", "first_seen")
+    whole = Window.partitionBy(P)
     per_level = (
         levels.join(lengths.select(P, "level", estimate.alias("estimate")), [P, "level"], "left")
         .join(known, [P, "level"], "left")
-        .join(bounds, P)
-        .join(any_given, P, "left")
+        .join(project, P, "left")
         .join(any_roof, P, "left")
         .withColumn("rank", floor_rank("level"))
+        .withColumn("step", F.row_number().over(climb))
+        .withColumn("steps", F.count(F.lit(1)).over(whole))
     )
     zero = F.lit(0.0)
     positive = lambda c: F.when(F.coalesce(c, zero) > 0, c)
     # what a level would get by itself, before looking at other levels
     own_floor = F.coalesce(positive(F.col("estimate")), positive(F.col("base_area")), positive(F.col("roof_area")))
     needs_floor = F.coalesce("has_floor", F.lit(0)) == 0
-    below = Window.partitionBy(P).orderBy("rank", "level").rowsBetween(Window.unboundedPreceding, -1)
-    per_level = per_level.withColumn("made_below", F.first(F.when(needs_floor, own_floor), ignorenulls=True).over(below))
-    borrowed = F.coalesce("given", "made_below")
-    floor_area = F.coalesce(own_floor, borrowed)
-    got = per_level.withColumn("new_floor", F.when(needs_floor, floor_area))
-    base = F.coalesce(positive(F.col("base_area")), positive(F.col("new_floor")))
+    per_level = per_level.withColumn("made_below", F.first(F.when(needs_floor, own_floor), ignorenulls=True).over(climb.rowsBetween(Window.unboundedPreceding, -1)))
+    got = per_level.withColumn("new_floor", F.when(needs_floor, F.coalesce(own_floor, F.col("given"), F.col("made_below"))))
+    # the first floor or raft of the level counts, and given ones come before made ones
+    base = positive(F.coalesce("base_area", "new_floor"))
     best = F.coalesce(base, positive(F.col("roof_area")), F.col("given"), F.col("made_below"), positive(F.col("estimate")))
-    is_bottom, is_top = F.col("level") == F.col("bottom"), F.col("level") == F.col("top")
-    raft = F.when(is_bottom & (F.coalesce("has_raft", F.lit(0)) == 0), best)
-    needs_roof = is_top & (F.coalesce("has_roof", F.lit(0)) == 0)
+    is_bottom, is_top = F.col("step") == 1, F.col("step") == F.col("steps")
+    has_raft = F.coalesce("has_raft", F.lit(0)) == 1
     saw = F.coalesce("saw_roof", F.lit(0)) == 1
+    needs_roof = is_top & (F.coalesce("has_roof", F.lit(0)) == 0)
     mirror = F.coalesce(F.col("base_area"), F.col("new_floor"))
-    roof = F.when(needs_roof & saw, best).when(needs_roof & (mirror > 0) & (mirror <= sane), mirror)
+    got = got.withColumns(
+        {
+            # where nothing has an area, a level with a raft alone still gets a floor of the raft's
+            "raft_floor": F.when(needs_floor & F.col("new_floor").isNull() & has_raft, F.coalesce("raft_area", zero)),
+            "new_raft": F.when(is_bottom & ~has_raft, best),
+            "new_roof": F.when(needs_roof & saw, best).when(needs_roof & (mirror > 0) & (mirror <= sane), mirror),
+        }
+    )
+    made = F.coalesce(positive(F.col("new_floor")), positive(F.col("new_raft")), positive(F.col("new_roof")))
+    late = F.coalesce(F.col("given"), F.first(made, ignorenulls=True).over(climb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    no_raft = (F.coalesce("any_raft", F.lit(0)) == 0) & F.col("new_raft").isNull()
+    got = got.withColumn("late_raft", F.when(is_bottom & no_raft, late))
     slab = lambda kind, area, source, conf: F.when(
-        area > 0, F.struct(F.lit(kind).alias("slab_class"), area.alias("area_m2"), source.alias("source"), conf.cast("double").alias("confidence"))
+        area.isNotNull(), F.struct(F.lit(kind).alias("slab_class"), area.alias("area_m2"), source.alias("source"), conf.cast("double").alias("confidence"))
     )
     rows = F.array(
         slab("floor", F.col("new_floor"), F.lit("inferred_from_perimeter"), F.lit(0.5)),
-        slab("raft", raft, F.lit("inferred_radier"), F.lit(0.5)),
-        slab("roof", roof, F.when(saw, "inferred_coberta").otherwise("inferred_coberta_from_piso"), F.when(saw, 0.5).otherwise(0.4)),
+        slab("floor", F.col("raft_floor"), F.lit("inferred_from_radier"), F.lit(0.5)),
+        slab("raft", F.col("new_raft"), F.lit("inferred_radier"), F.lit(0.5)),
+        slab("roof", F.col("new_roof"), F.when(saw, "inferred_coberta").otherwise("inferred_coberta_from_piso"), F.when(saw, 0.5).otherwise(0.4)),
     )
-    # behind all given slabs, bottom-up
-    seq = (F.lit(1 << 41) + F.col("rank") * 10 + F.col("place")).cast("long")
-    new = got.select(P, "level", "rank", F.posexplode(rows).alias("place", "s")).filter("s IS NOT NULL").select(P, "level", "s.*", seq.alias("seq"), F.lit("L_auto").alias("slab_id"))
+    end = F.array(slab("raft", F.col("late_raft"), F.lit("inferred_guaranteed"), F.lit(0.5)))
+    # behind all given slabs, bottom-up, the guaranteed raft last
+    numbered = lambda column, start: got.select(P, "level", "step", F.posexplode(column).alias("place", "s")).filter("s IS NOT NULL").select(P, "level", "s.*", (start + F.col("step") * 4 + F.col("place")).cast("long").alias("seq"), F.lit("L_auto").alias("slab_id"))
+    new = numbered(rows, F.lit(1 << 41)).unionByName(numbered(end, F.lit(1 << 42)))
     return slabs.unionByName(new, allowMissingColumns=True)
 
 

@@ -51,19 +51,6 @@ def first_match(lengths: np.ndarray, wanted: np.ndarray, gap: float) -> tuple[np
     return places, hit[:n]
 
 
-def merge_runs(at: np.ndarray, start: np.ndarray, end: np.ndarray, align: float, gap: float) -> np.ndarray:
-    """Group numbers for spans sorted by (at, start): a span joins the last group if that group's first line is within `align` and its running end
-    meets the span within `gap`. Earlier groups lie farther off in their line, or end before the last one began, so they never match."""
-    out, group, line, reach = np.zeros(len(at), int), -1, 0.0, 0.0
-    for k, (a, s, e) in enumerate(zip(at.tolist(), start.tolist(), end.tolist(), strict=True)):
-        if group >= 0 and a - line <= align and s - reach <= gap:
-            reach = max(reach, e)
-        else:
-            group, line, reach = group + 1, a, e
-        out[k] = group
-    return out
-
-
 def repair_json(text: str | None) -> tuple[str | None, str]:
     """(JSON text or null, outcome) of a response that failed to parse: fences stripped, trailing commas dropped and open brackets closed;
     else whole wall objects are picked out; else it goes to quarantine."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.exprs import angle_180, angle_gap, box_iou, clamp, distance, point_segment_distance, polygon_area, round_half_up as half_up
 from .clean import segment_bbox
-from .kernels import fuse_touching, merge_runs
+from .kernels import fuse_touching
 from .rounds import components, deferred_choice, dominant_pairs, first_independent
 
 P = "project_id"
@@ -304,22 +308,49 @@ def room_labels(rooms: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def merge_collinear(segments: DataFrame, align: float = 8.0, gap: float = 15.0) -> DataFrame:
-    """(project_id, page_index, flat, line, start, end, members): axis-parallel segments fused along their line where lines are within `align` and gaps within `gap`."""
+    """(project_id, page_index, flat, line, start, end, members): axis-parallel segments fused along their line where lines are within `align` and gaps within `gap`.
+
+    In order of the smaller end across and along, a segment joins the running one if its mean line is close to that one's and it begins near or before its end. The
+    running line is the first segment's mean, and from the second member on its whole part. A page's segments of a direction are one sorted run, cut wherever
+    nothing after a place can join what is before it: where its smaller end across lies more than `align` above all running lines that may be."""
     dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
     flat = dx >= dy
+    across, along = ("y1", "y2"), ("x1", "x2")
+    pick = lambda f, a, b: F.when(flat, f(*a)).otherwise(f(*b))
+    mean = lambda a, b: (F.col(a) + F.col(b)) / 2
     own = segments.select(
-        P, "page_index", "seq", flat.alias("flat"), F.when(flat, (F.col("y1") + F.col("y2")) / 2).otherwise((F.col("x1") + F.col("x2")) / 2).alias("line"),
-        F.when(flat, F.least("x1", "x2")).otherwise(F.least("y1", "y2")).alias("start"), F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest("y1", "y2")).alias("end"),
-    )
-
-    def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["line", "start", "seq"], kind="stable")
-        g = merge_runs(own["line"].to_numpy(), own["start"].to_numpy(), own["end"].to_numpy(), align, gap)
-        out = own.assign(g=g).groupby("g", as_index=False).agg(line=("line", "first"), start=("start", "min"), end=("end", "max"), members=("seq", "count"))
-        first = pdf.iloc[0]
-        return out.assign(**{P: first[P], "page_index": first["page_index"], "flat": first["flat"]})[[P, "page_index", "flat", "line", "start", "end", "members"]]
-
-    return own.groupBy(P, "page_index", "flat").applyInPandas(fuse, "project_id long, page_index int, flat boolean, line double, start double, end double, members long")
+        P, "page_index", "seq", flat.alias("flat"), pick(F.least, across, along).alias("low"), pick(mean, across, along).alias("line"), pick(F.least, along, across).alias("start"), pick(F.greatest, along, across).alias("end")
+    )
+    # no running line lies above the largest mean before, rounded up, and no mean below its own smaller end
+    page = [P, "page_index", "flat"]
+    order = Window.partitionBy(*page).orderBy("low", "start", "seq")
+    before = F.max(F.ceil("line")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cutoff = F.coalesce(F.col("low") - before > align, F.lit(True))
+    runs = own.withColumn("cut", cutoff.cast("int")).withColumn("run", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    keys = [*page, "run"]
+    dealt = runs.select(*keys, "low", "start", "seq", "line", "end").repartition(*keys).sortWithinPartitions(*keys, "low", "start", "seq")
+    schema = "project_id long, page_index int, flat boolean, line double, start double, end double, members long"
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now = None, None
+        for batch in batches:
+            out = []
+            for *own_key, _, start, _, line, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own_key == key and abs(now[0] - line) <= align and start - now[2] <= gap:
+                    now = (float(math.trunc(now[0])), min(now[1], start), max(now[2], end), now[3] + 1)
+                else:
+                    out += [(*key[:3], *now)] if now else []
+                    key, now = own_key, (line, start, end, 1)
+            if out:
+                yield _rows(out)
+        if now:
+            yield _rows([(*key[:3], *now)])
+
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [P, "page_index", "flat", "line", "start", "end", "members"])
+
+    return dealt.mapInArrow(fuse, schema)
 
 
 def merge_touching(segments: DataFrame, angle: float = 8.0, touch: float = 12.0) -> DataFrame:
@@ -336,12 +367,29 @@ def merge_touching(segments: DataFrame, angle: float = 8.0, touch: float = 12.0)
     links = pairs.select(P, "page_index", F.col("p.l.seq").alias("a"), F.col("q.l.seq").alias("b"))
     grouped = components(links, [P, "page_index"]).withColumnRenamed("id", "seq")
 
-    def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fuse_touching([[r.x1, r.y1, r.x2, r.y2, 1] for r in pdf.sort_values("seq").itertuples()], angle, touch)
-        first = pdf.iloc[0]
-        return pd.DataFrame(out, columns=["x1", "y1", "x2", "y2", "members"]).assign(**{P: first[P], "page_index": first["page_index"]})[[P, "page_index", "x1", "y1", "x2", "y2", "members"]]
-
     own = segments.select(P, "page_index", "seq", "x1", "y1", "x2", "y2").join(grouped, [P, "page_index", "seq"], "left")
     alone = own.filter("component IS NULL").select(P, "page_index", "x1", "y1", "x2", "y2", F.lit(1).cast("long").alias("members"))
-    touching = own.filter("component IS NOT NULL").groupBy(P, "page_index", "component")
-    return alone.unionByName(touching.applyInPandas(fuse, "project_id long, page_index int, x1 double, y1 double, x2 double, y2 double, members long"))
+    keys = [P, "page_index", "component"]
+    touching = own.filter("component IS NOT NULL").select(*keys, "seq", "x1", "y1", "x2", "y2").repartition(*keys).sortWithinPartitions(*keys, "seq")
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come one after another; one of them is held at a time."""
+
+        def fused(key: tuple, lines_: list) -> list[tuple]:
+            return [(key[0], key[1], *line) for line in fuse_touching(lines_, angle, touch)]
+
+        key, held, out = None, [], []
+        for batch in batches:
+            for project, page, component, _, *line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (project, page, component) != key:
+                    out += fused(key, held) if held else []
+                    key, held = (project, page, component), []
+                held.append([*line, 1])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*fused(key, held), strict=True), fields, strict=True)], schema=fields)
+
+    fields = to_arrow_schema(alone.schema)
+    return alone.unionByName(touching.mapInArrow(fuse, alone.schema))

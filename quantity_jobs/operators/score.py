@@ -54,13 +54,17 @@ def accuracy_gate(found: DataFrame, truth: DataFrame, overall: float = 85.0, eac
     return sums.select("fixture", status.alias("status"), half_up(mean, 4).alias("overall"), half_up("worst", 4).alias("worst"))
 
 
-def class_retention(original: DataFrame, edited: DataFrame) -> DataFrame:
-    """(project_id, walls, kept, share): walls whose class an edit has left as it was and that are still enabled; project_id null: over all."""
-    e = edited.select(P, "wall_id", F.col("wall_class").alias("new_class"), "enabled")
-    j = original.select(P, "wall_id", "wall_class").join(e, [P, "wall_id"], "left")
-    kept = (F.col("new_class") == F.col("wall_class")) & F.coalesce("enabled", F.lit(True))
-    out = j.rollup(P).agg(F.count(F.lit(1)).alias("walls"), F.count_if(F.coalesce(kept, F.lit(False))).alias("kept"))
-    return out.withColumn("share", half_up(F.col("kept") / F.col("walls") * 100, 2))
+def class_retention(projects: DataFrame, original: DataFrame, edited: DataFrame) -> DataFrame:
+    """(project_id, walls, kept, share): of the completed test projects that have both states, walls whose class an edit has left as it was and that are still enabled;
+    share in percent with one place; project_id null: over all (share null without walls)."""
+    e = edited.select(P, "wall_id", F.col("wall_class").alias("new_class"), "enabled").dropDuplicates([P, "wall_id"])
+    sampled = projects.filter("project_type = 'test' AND status = 'completed'").select(P).distinct()
+    both = sampled.join(edited.select(P).distinct(), P, "left_semi")
+    j = original.select(P, "wall_id", "wall_class").join(both, P, "left_semi").join(e, [P, "wall_id"], "left")
+    kept = F.col("new_class").eqNullSafe(F.col("wall_class")) & F.coalesce("enabled", F.lit(True)) & F.col("new_class").isNotNull()
+    out = j.groupBy(P).agg(F.count(F.lit(1)).alias("walls"), F.count_if(kept).alias("kept"))
+    over_all = out.agg(F.lit(None).cast("long").alias(P), F.coalesce(F.sum("walls"), F.lit(0)).alias("walls"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+    return out.unionByName(over_all).withColumn("share", F.when(F.col("walls") > 0, half_up(F.col("kept") / F.col("walls") * 100, 1)))
 
 
 def feedback_counts(feedback: DataFrame) -> DataFrame:
@@ -72,11 +76,12 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
 
 
 def feedback_patterns(feedback: DataFrame, top: int = 20) -> DataFrame:
-    """The most frequent corrections by signature and class: the top-k report."""
-    from .clean import feedback_signature
-
-    own = feedback_signature(feedback.filter("active AND action = 'correct'"))
-    return own.groupBy("signature", F.coalesce("corrected_class", F.lit("none")).alias("corrected_class")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signature", "corrected_class").limit(top)
+    """The most frequent patterns of active feedback but confirmations, by thickness and length buckets and both classes, null as a value of its own: the top-k report. Of
+    equally frequent ones the first seen (by id) comes first."""
+    own = feedback.filter("active AND NOT (action <=> 'confirm')")
+    keys = ["thickness_cm", "length_dm", "original_class", "corrected_class"]
+    counted = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return counted.orderBy(F.desc("n"), "first_id").limit(top).select(*keys, "n")
 
 
 def latest_budget(projects: DataFrame, budgets: DataFrame, hint: str, newest: int = 5) -> DataFrame:

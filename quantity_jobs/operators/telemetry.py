@@ -95,17 +95,17 @@ def fold_calls(events: DataFrame) -> DataFrame:
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
-    """(project_id, stage, status, started_at, ended_at, duration_ms, place): first start, last end and last phase of each stage; place by start."""
+    """(project_id, stage, status, started_at, completed_at, failed_at, duration_ms, place): the last start, completion and failure of each stage; it took from its start to
+    its completion, else its failure, and null where either is missing. status is that of what it ended with, else `started`; place goes by start, else end."""
     from pyspark.sql import Window
 
-    own = events.filter("kind = 'stage'")
-    end = F.col("phase").isin("completed", "failed")
-    sums = own.groupBy(P, "stage").agg(
-        F.max_by("phase", F.struct("created_at", "id")).alias("status"), F.min("created_at").alias("started_at"), F.max(F.when(end, F.col("created_at"))).alias("ended_at")
-    )
-    ms = F.unix_millis("ended_at") - F.unix_millis("started_at")
-    place = F.row_number().over(Window.partitionBy(P).orderBy("started_at", "stage"))
-    return sums.withColumn("duration_ms", ms).withColumn("place", place.cast("long"))
+    own = events.filter("kind = 'stage' AND stage IS NOT NULL")
+    last = lambda phase: F.max_by(F.when(F.col("phase") == phase, F.col("created_at")), F.when(F.col("phase") == phase, F.struct("created_at", "id")))
+    sums = own.groupBy(P, "stage").agg(last("started").alias("started_at"), last("completed").alias("completed_at"), last("failed").alias("failed_at"))
+    ended = F.coalesce("completed_at", "failed_at")
+    place = F.row_number().over(Window.partitionBy(P).orderBy(F.coalesce("started_at", "completed_at", "failed_at"), "stage"))
+    status = F.when(F.col("completed_at").isNotNull(), "completed").when(F.col("failed_at").isNotNull(), "failed").when(F.col("started_at").isNotNull(), "started")
+    return sums.select(P, "stage", status.alias("status"), "started_at", "completed_at", "failed_at", (F.unix_millis(ended) - F.unix_millis("started_at")).alias("duration_ms"), place.cast("long").alias("place"))
 
 
 def totals(events: DataFrame) -> DataFrame:

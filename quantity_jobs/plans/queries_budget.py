@@ -125,13 +125,16 @@ def totals_by_sku(t):
     "WITH "
     + LEVELS
     + """, q AS (SELECT project_id, CAST(sum(CASE WHEN category IN ('raft', 'corners') THEN 0 ELSE panels END) AS DOUBLE) AS n,
-  floor(sum(CASE WHEN category IN ('external', 'internal') THEN net_m2 ELSE 0e0 END) * 1e2 + 5e-1) / 1e2 + floor(sum(CASE WHEN category IN ('floor', 'roof') THEN net_m2 ELSE 0e0 END) * 1e2 + 5e-1) / 1e2 AS area FROM bl GROUP BY 1)
-SELECT project_id, 'connectors' AS item, n * 4 AS quantity, 'un' AS unit, floor(n * 4 * 125e-1 * 1e2 + 5e-1) / 1e2 AS cost FROM q UNION ALL
-SELECT project_id, 'screws', n * 8, 'un', floor(n * 8 * 28e-1 * 1e2 + 5e-1) / 1e2 FROM q UNION ALL SELECT project_id, 'tape', n * 2, 'm', 0e0 FROM q UNION ALL
+  floor(sum(CASE WHEN category IN ('external', 'internal') THEN net_m2 ELSE 0e0 END) * 1e2 + 5e-1) / 1e2 + floor(sum(CASE WHEN category IN ('floor', 'roof') THEN net_m2 ELSE 0e0 END) * 1e2 + 5e-1) / 1e2 AS area FROM bl GROUP BY 1),
+pc AS (SELECT coalesce(max(unit_price) FILTER (product_id = 13), 125e-1) AS c, coalesce(max(unit_price) FILTER (sku = 'PARA-001'), 28e-1) AS s FROM {products})
+SELECT project_id, 'connectors' AS item, n * 4 AS quantity, 'un' AS unit, floor(n * 4 * c * 1e2 + 5e-1) / 1e2 AS cost FROM q, pc UNION ALL
+SELECT project_id, 'screws', n * 8, 'un', floor(n * 8 * s * 1e2 + 5e-1) / 1e2 FROM q, pc UNION ALL SELECT project_id, 'tape', n * 2, 'm', 0e0 FROM q UNION ALL
 SELECT project_id, 'filler', n * 5e-1, 'kg', 0e0 FROM q UNION ALL SELECT project_id, 'labor', floor(area * 8e-1 * 1e2 + 5e-1) / 1e2, 'h', floor(area * 8e-1 * 65e0 * 1e2 + 5e-1) / 1e2 FROM q"""
 )
 def materials_labor(t):
-    return budget.materials_labor(budget.quantities(_levels(t)))
+    # one of the two skus is in the catalogue
+    products = t("products").withColumn("sku", F.when(F.col("product_id") == 13, dims.SKU_CONNECTOR).otherwise(F.col("sku")))
+    return budget.materials_labor(budget.quantities(_levels(t)), products)
 
 
 COSTS = PROPOSAL + """, fc AS (SELECT z.project_id, z.pc AS panel_cost, z.pagc, p.discount_pct AS d, p.freight AS f, p.biomass AS b FROM pz z JOIN {projects} p ON p.project_id = z.project_id)"""

@@ -328,7 +328,7 @@ def read_takeoff_docs(t):
 @query(
     """SELECT project_id, page_index, file_seq, CASE WHEN file_seq = 1 THEN 'Pavimento' ELSE level END AS level, ext_gross, ext_net, CASE WHEN page_index % 2 = 0 THEN 0e0 ELSE int_gross END AS int_gross, 0e0 AS int_net,
   CASE WHEN boundary_height = 0 OR page_index % 5 = 0 THEN 2e0 ELSE boundary_height END AS boundary_height, CASE WHEN file_seq = 2 THEN 0e0 ELSE floor_m2 END AS floor_m2,
-  CASE WHEN page_index % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN page_index % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN page_index % 3 = 1 THEN 1 ELSE 0 END AS n_missing,
+  CASE WHEN file_seq = 0 THEN 0 ELSE CASE WHEN page_index % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN page_index % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN page_index % 3 = 1 THEN 1 ELSE 0 END END AS n_missing,
   CASE WHEN page_index % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE page_index % 4 WHEN 0 THEN 'window' WHEN 1 THEN 'door' ELSE 'other' END AS opening_kind,
   CASE WHEN page_index % 2 = 0 THEN 'internal' ELSE 'external' END AS opening_wall, CASE WHEN page_index % 3 = 0 THEN 7e0 ELSE 15e-1 * (page_index % 7) END AS opening_m2 FROM {area_pages}"""
 )
@@ -348,7 +348,9 @@ def read_area_pages(t):
         F.array(opening).alias("aberturas"),
         F.when(page % 3 == 0, "high").otherwise("certain").alias("confidence"),
     )
-    out = io.read_area_pages(t("area_pages").select("project_id", F.struct("page_index", "file_seq").alias("seq"), F.to_json(answer).alias("data")))
+    # the first file's answers state what they don't know as null; the second's have no level or a number for one
+    data = F.when(F.col("file_seq") == 0, F.to_json(answer, {"ignoreNullFields": "false"})).when((F.col("file_seq") == 1) & (page % 2 == 0), F.concat(F.lit('{"pavimento":3,'), F.substring(F.to_json(answer), 2, 1 << 30))).otherwise(F.to_json(answer))
+    out = io.read_area_pages(t("area_pages").select("project_id", F.struct("page_index", "file_seq").alias("seq"), data.alias("data")))
     o = F.col("openings")[0]
     return out.select(
         "project_id", "seq.page_index", "seq.file_seq", "level", "ext_gross", "ext_net", "int_gross", "int_net", "boundary_height", "floor_m2", F.size("missing").cast("long").alias("n_missing"), "confidence",

@@ -220,12 +220,12 @@ def room_labels(t):
 @query(
     "WITH RECURSIVE "
     + SEGS
-    + """, f AS (SELECT *, abs(x2 - x1) >= abs(y2 - y1) AS flat FROM sg), s AS (SELECT project_id, page_index, flat, seq, CASE WHEN flat THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS line, CASE WHEN flat THEN least(x1, x2) ELSE least(y1, y2) END AS a,
+    + """, f AS (SELECT *, abs(x2 - x1) >= abs(y2 - y1) AS flat FROM sg), s AS (SELECT project_id, page_index, flat, seq, CASE WHEN flat THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS line, CASE WHEN flat THEN least(y1, y2) ELSE least(x1, x2) END AS low, CASE WHEN flat THEN least(x1, x2) ELSE least(y1, y2) END AS a,
   CASE WHEN flat THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS b FROM f),
-o AS MATERIALIZED (SELECT *, {'p': project_id, 'i': page_index, 'f': flat} AS g, row_number() OVER (PARTITION BY project_id, page_index, flat ORDER BY line, a, seq) AS rn FROM s),
-r AS (SELECT g, rn, 0 AS n, line AS l0, b AS upto, line, a, b FROM o WHERE rn = 1 UNION ALL SELECT g, rn, CASE WHEN fits THEN n ELSE n + 1 END, CASE WHEN fits THEN l0 ELSE line END, CASE WHEN fits THEN greatest(upto, b) ELSE b END, line, a, b FROM
-  (SELECT o.g, o.rn, r.n, r.l0, r.upto, o.line, o.a, o.b, o.line - r.l0 <= 8 AND o.a - r.upto <= 15 AS fits FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1))
-SELECT g.p AS project_id, g.i AS page_index, g.f AS flat, any_value(l0) AS line, min(a) AS start, max(b) AS end, count(*) AS members FROM r GROUP BY g, n"""
+o AS MATERIALIZED (SELECT *, {'p': project_id, 'i': page_index, 'f': flat} AS g, row_number() OVER (PARTITION BY project_id, page_index, flat ORDER BY low, a, seq) AS rn FROM s),
+r AS (SELECT g, rn, 0 AS n, line AS l0, b AS upto, line, a, b FROM o WHERE rn = 1 UNION ALL SELECT g, rn, CASE WHEN fits THEN n ELSE n + 1 END, CASE WHEN fits THEN trunc(l0) ELSE line END, CASE WHEN fits THEN greatest(upto, b) ELSE b END, line, a, b FROM
+  (SELECT o.g, o.rn, r.n, r.l0, r.upto, o.line, o.a, o.b, abs(o.line - r.l0) <= 8 AND o.a - r.upto <= 15 AS fits FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1))
+SELECT g.p AS project_id, g.i AS page_index, g.f AS flat, arg_max(l0, rn) AS line, min(a) AS start, max(b) AS end, count(*) AS members FROM r GROUP BY g, n"""
 )
 def merge_collinear(t):
     return match.merge_collinear(_segments(t))

@@ -11,7 +11,7 @@ from ..streaming import streams
 from . import pipelines
 from .catalogue import DEFAULTED, LEVELS, query
 from .queries_budget import PROPOSAL, _levels, _proposal
-from .queries_clean import ASSUMED, RANGED, SIGNATURE, _characterizations
+from .queries_clean import ASSUMED, RANGED, _characterizations
 
 EVENTS = "pipeline_events"
 
@@ -61,11 +61,18 @@ def self_check_summary(t):
 @query(
     "WITH "
     + CHECKED
-    + """, o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 2 END, code, coalesce(element_id, '')) AS rn, count(*) OVER (PARTITION BY project_id) AS n FROM nt WHERE severity <> 'warning')
-SELECT project_id, n, code || ':' || coalesce(element_id, '') AS first_note FROM o WHERE rn = 1"""
+    + """, ev AS (SELECT *, CASE WHEN kind = 'stage' THEN stage WHEN kind = 'page_split' THEN '0.5' WHEN kind = 'cv_substep' THEN '3.4' WHEN kind = 'audit' THEN coalesce(stage, '6.5') ELSE '?' END AS stage_id FROM (SELECT * REPLACE (['1', '4', '7.5', stage][id % 4 + 1] AS stage) FROM {pipeline_events})),
+er AS (SELECT *, coalesce(list_position(['0.5', '1', '1.5', '3', '3.5', '3.7', '4', '4.5', '5', '6', '6.5', '7', '7.5', '8'], stage_id), 999) AS rk, min(id) OVER (PARTITION BY project_id, stage_id) AS f FROM ev),
+rn AS (SELECT * FROM {ai_runs})
+SELECT project_id, 'notes' AS feed, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, code, coalesce(element_id, '')) AS place, severity || ':' || code || ':' || coalesce(element_id, '') AS entry FROM nt
+UNION ALL SELECT project_id, 'events', row_number() OVER (PARTITION BY project_id ORDER BY rk, CASE WHEN rk = 999 THEN f END, created_at, id), stage_id || ':' || CAST(id AS VARCHAR) FROM er
+UNION ALL SELECT project_id, 'runs', row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC), CAST(id AS VARCHAR) FROM rn"""
 )
 def order_feeds(t):
-    return audit.order_notes(_audited(t).filter("severity <> 'warning'")).select("project_id", F.size("feed").cast("long").alias("n"), F.get("feed", 0).alias("first_note"))
+    own = lambda df, feed, *parts: df.select("project_id", F.lit(feed).alias("feed"), "place", F.concat_ws(":", *parts).alias("entry"))
+    events = t(EVENTS).withColumn("stage", F.get(F.array(F.lit("1"), F.lit("4"), F.lit("7.5"), F.col("stage")), (F.col("id") % 4).cast("int"))).withColumn("prompt_version", F.lit(None).cast("string"))
+    notes = own(audit.order_notes(_audited(t)), "notes", "severity", "code", F.coalesce("element_id", F.lit("")))
+    return notes.unionByName(own(audit.order_events(events), "events", "stage_id", "id")).unionByName(own(audit.newest_first(t("ai_runs")), "runs", "id"))
 
 
 INCONSISTENT = (
@@ -102,7 +109,7 @@ def levels_with_envelope(t):
     return audit.levels_with_envelope(t("walls"), t.envelopes())
 
 
-TOTALS = LEVELS + """, tt AS (SELECT project_id, category, floor(sum(gross_m2) * 1e2 + 5e-1) / 1e2 AS found_m2 FROM bl GROUP BY 1, 2)"""
+TOTALS = LEVELS + """, tt AS (SELECT project_id, category, floor(sum(CASE WHEN category IN ('external', 'internal') THEN net_m2 ELSE gross_m2 END) * 1e2 + 5e-1) / 1e2 AS found_m2 FROM bl GROUP BY 1, 2)"""
 ACCURACY = (
     TOTALS
     + """, rl AS (SELECT project_id, 'external' AS category, real_ext AS real_m2 FROM {projects} UNION ALL SELECT project_id, 'internal', real_int FROM {projects} UNION ALL SELECT project_id, 'boundary', real_boundary FROM {projects}
@@ -113,7 +120,9 @@ ac AS (SELECT rl.project_id, rl.category, rl.real_m2, coalesce(tt.found_m2, 0e0)
 
 
 def _accuracy(t):
-    totals = _levels(t).groupBy("project_id", "category").agg(half_up(F.sum("gross_m2")).alias("found_m2"))
+    # walls count with their net areas, boundaries and slabs as they are
+    area = F.when(F.col("category").isin("external", "internal"), F.col("net_m2")).otherwise(F.col("gross_m2"))
+    totals = _levels(t).groupBy("project_id", "category").agg(half_up(F.sum(area)).alias("found_m2"))
     return score.area_accuracy(t("projects"), totals)
 
 
@@ -148,13 +157,16 @@ def accuracy_gate(t):
 
 
 @query(
-    """WITH e AS (SELECT project_id, wall_id, wall_class, CASE WHEN seq % 10 = 0 THEN 'external' ELSE wall_class END AS nc, seq % 13 <> 0 AS en FROM {walls} WHERE seq % 17 <> 0)
-SELECT w.project_id, count(*) AS walls, count(*) FILTER (e.nc = w.wall_class AND e.en) AS kept, floor(count(*) FILTER (e.nc = w.wall_class AND e.en) / count(*) * 100 * 1e2 + 5e-1) / 1e2 AS share FROM {walls} w LEFT JOIN e ON e.project_id = w.project_id AND e.wall_id = w.wall_id GROUP BY ROLLUP (w.project_id)"""
+    """WITH e AS (SELECT project_id, wall_id, wall_class, CASE WHEN seq % 10 = 0 THEN 'external' ELSE wall_class END AS nc, seq % 13 <> 0 AS en FROM {walls} WHERE seq % 17 <> 0 AND project_id % 4 <> 3),
+p AS (SELECT project_id FROM {projects} WHERE project_type = 'test' AND status = 'completed' AND project_id IN (SELECT project_id FROM e)),
+k AS (SELECT w.project_id, count(*) AS walls, count(*) FILTER (e.nc = w.wall_class AND e.en) AS kept FROM {walls} w JOIN p ON p.project_id = w.project_id LEFT JOIN e ON e.project_id = w.project_id AND e.wall_id = w.wall_id GROUP BY 1),
+a AS (SELECT * FROM k UNION ALL SELECT NULL, coalesce(sum(walls), 0), coalesce(sum(kept), 0) FROM k)
+SELECT project_id, CAST(walls AS BIGINT) AS walls, CAST(kept AS BIGINT) AS kept, CASE WHEN walls > 0 THEN floor(kept / walls * 100 * 1e1 + 5e-1) / 1e1 END AS share FROM a"""
 )
 def class_retention(t):
     w, s = t("walls"), F.col("seq")
-    edited = w.filter("seq % 17 <> 0").select("project_id", "wall_id", F.when(s % 10 == 0, "external").otherwise(F.col("wall_class")).alias("wall_class"), (s % 13 != 0).alias("enabled"))
-    return score.class_retention(w, edited)
+    edited = w.filter("seq % 17 <> 0 AND project_id % 4 <> 3").select("project_id", "wall_id", F.when(s % 10 == 0, "external").otherwise(F.col("wall_class")).alias("wall_class"), (s % 13 != 0).alias("enabled"))
+    return score.class_retention(t("projects"), w, edited)
 
 
 @query(
@@ -164,7 +176,7 @@ def feedback_counts(t):
     return score.feedback_counts(t("feedback"))
 
 
-@query("SELECT " + SIGNATURE + " AS signature, coalesce(corrected_class, 'none') AS corrected_class, count(*) AS n FROM {feedback} WHERE active AND action = 'correct' GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20")
+@query("SELECT thickness_cm, length_dm, original_class, corrected_class, count(*) AS n FROM {feedback} WHERE active AND action <> 'confirm' GROUP BY 1, 2, 3, 4 ORDER BY n DESC, min(id) LIMIT 20")
 def feedback_patterns(t):
     return score.feedback_patterns(t("feedback"))
 
@@ -299,11 +311,12 @@ def reliability_score(t):
 
 
 @query(
-    """WITH s AS (SELECT project_id, stage, arg_max(phase, created_at) AS status, min(created_at) AS a, max(created_at) FILTER (phase IN ('completed', 'failed')) AS b FROM {pipeline_events} WHERE kind = 'stage' GROUP BY 1, 2)
-SELECT project_id, stage, status, epoch_us(a) AS started_us, epoch_us(b) AS ended_us, row_number() OVER (PARTITION BY project_id ORDER BY a, stage) AS place FROM s"""
+    """WITH s AS (SELECT project_id, stage, max(created_at) FILTER (phase = 'started') AS a, max(created_at) FILTER (phase = 'completed') AS c, max(created_at) FILTER (phase = 'failed') AS f FROM {pipeline_events} WHERE kind = 'stage' GROUP BY 1, 2)
+SELECT project_id, stage, CASE WHEN c IS NOT NULL THEN 'completed' WHEN f IS NOT NULL THEN 'failed' ELSE 'started' END AS status, epoch_us(a) AS started_us, epoch_us(c) AS completed_us, epoch_us(f) AS failed_us, epoch_ms(coalesce(c, f)) - epoch_ms(a) AS duration_ms,
+  row_number() OVER (PARTITION BY project_id ORDER BY coalesce(a, c, f), stage) AS place FROM s"""
 )
 def stage_durations(t):
-    return _us(telemetry.stage_durations(t(EVENTS)).drop("duration_ms"), "started_at", "ended_at")
+    return _us(telemetry.stage_durations(t(EVENTS)), "started_at", "completed_at", "failed_at")
 
 
 CALLS = """SELECT project_id, call_id, coalesce(arg_min(phase, created_at) FILTER (phase IN ('completed', 'failed')), 'started') AS status, epoch_us(min(created_at) FILTER (phase = 'started')) AS started_us, epoch_us(min(created_at) FILTER (phase IN ('completed', 'failed'))) AS ended_us FROM {pipeline_events} WHERE kind = 'ai_call' GROUP BY 1, 2"""
@@ -313,9 +326,9 @@ def _us(df, *columns):
     return df.select(*[c for c in df.columns if c not in columns], *(F.unix_micros(c).alias(c.replace("_at", "_us")) for c in columns))
 
 
-@query(CALLS)
+@query(CALLS.replace(" FROM {pipeline_events}", ", count(DISTINCT id) AS events FROM {pipeline_events}"))
 def fold_calls(t):
-    return _us(telemetry.fold_calls(t(EVENTS)).drop("events"), "started_at", "ended_at")
+    return _us(telemetry.fold_calls(t(EVENTS)), "started_at", "ended_at")
 
 
 def _streamed(t, job):

@@ -85,8 +85,11 @@ def read_takeoff_docs(docs: DataFrame, default_height: float = dims.WALL_HEIGHT)
 
 def read_area_pages(raw: DataFrame) -> DataFrame:
     """Area pages from JSON answers (project_id, seq, data): absent or unreadable areas are 0, boundary heights 2 m, levels `Pavimento`, confidences `low`; net areas are those
-    stated. openings are typed, their area the stated one or width by height; `missing` lists the required fields that were absent or null."""
-    own = raw.select(P, "seq", F.from_json("data", AREA_JSON).alias("d"))
+    stated. openings are typed, their area the stated one or width by height; `missing` lists the required fields that the answer doesn't have at all (a null is one it has).
+    Levels and notes count only where they are texts."""
+    parsed = F.try_parse_json("data")
+    text = lambda field: F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant")) == "STRING"
+    own = raw.select(P, "seq", F.from_json("data", AREA_JSON).alias("d"), F.json_object_keys("data").alias("has"), text("pavimento").alias("named"), text("observacoes").alias("noted"))
     number = lambda c, default=0.0: F.coalesce(F.nullif(F.nullif(c.try_cast("double"), F.lit(float("nan"))), F.lit(0.0)), F.lit(default))
 
     def opening(o):
@@ -100,11 +103,11 @@ def read_area_pages(raw: DataFrame) -> DataFrame:
         )
 
     openings = F.transform(F.filter(F.coalesce("d.aberturas", F.array().cast(own.schema["d"].dataType["aberturas"].dataType)), lambda o: o.isNotNull()), opening)
-    missing = F.filter(F.array(*(F.when(F.col(f"d.{c}").isNull(), F.lit(c)) for c in AREA_REQUIRED)), lambda x: x.isNotNull())
+    missing = F.filter(F.array(*map(F.lit, AREA_REQUIRED)), lambda c: ~F.coalesce(F.array_contains("has", c), F.lit(False)))
     return own.select(
         P,
         "seq",
-        F.coalesce("d.pavimento", F.lit("Pavimento")).alias("level"),
+        F.coalesce(F.when(F.col("named"), F.col("d.pavimento")), F.lit("Pavimento")).alias("level"),
         *(number(F.col(f"d.{group}.{field}")).alias(f"{g}_{f}") for g, group in WALL_GROUPS.items() for f, field in GROUP_AREAS.items()),
         number(F.col("d.muros.area_bruta_m2")).alias("boundary_gross"),
         number(F.col("d.muros.altura_assumida_m"), DEFAULT_BOUNDARY_HEIGHT).alias("boundary_height"),
@@ -112,7 +115,7 @@ def read_area_pages(raw: DataFrame) -> DataFrame:
         number(F.col("d.laje_coberta_m2")).alias("roof_m2"),
         openings.alias("openings"),
         F.when(F.col("d.confidence").isin(*ANSWER_CONFIDENCES), F.col("d.confidence")).otherwise("low").alias("confidence"),
-        F.substring(F.coalesce("d.observacoes", F.lit("")), 1, LONGEST_NOTE).alias("notes"),
+        F.substring(F.coalesce(F.when(F.col("noted"), F.col("d.observacoes")), F.lit("")), 1, LONGEST_NOTE).alias("notes"),
         missing.alias("missing"),
     )
 

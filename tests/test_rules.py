@@ -191,18 +191,23 @@ def test_raycast(spark):
 
 def test_merge_collinear(spark):
     rng = random.Random(5)
-    rows = [(1, 0, k, float(x), float(y), float(x + n), float(y)) for k in range(150) for x, y, n in [(rng.randrange(0, 400), rng.randrange(0, 60), rng.randrange(1, 40))]]
-    spans = sorted(((y, x, k, x2) for _, _, k, x, y, x2, _ in rows))
+    rows = []
+    for k in range(400):
+        x, y, n, slant = rng.randrange(0, 400), rng.choice([rng.uniform(-30, 60), rng.uniform(900, 940)]), rng.randrange(1, 40), rng.choice([0.0, rng.uniform(-1, 1)])
+        rows.append((1, 0, k, float(x), y, float(x + n), y + slant))
+    flat = sorted((r for r in rows if abs(r[5] - r[3]) >= abs(r[6] - r[4])), key=lambda r: (min(r[4], r[6]), r[3], r[2]))
     groups = []
-    for line, start, _, end in spans:  # the last open group that fits, of all
-        fitting = [g for g in groups if abs(g[0] - line) <= 8 and start - g[2] <= 15]
-        if fitting:
-            g = fitting[-1]
-            g[1], g[2], g[3] = min(g[1], start), max(g[2], end), g[3] + 1
+    for _, _, _, x1, y1, x2, y2 in flat:
+        g = groups[-1] if groups else None
+        if g and abs(g[0] - (y1 + y2) / 2) <= 8 and x1 - g[2] <= 15:
+            g[:] = [float(int(g[0])), min(g[1], x1), max(g[2], x2), g[3] + 1]
         else:
-            groups.append([line, start, end, 1])
-    got = match.merge_collinear(spark.createDataFrame(rows, SEGMENT)).collect()
-    assert sorted((r.line, r.start, r.end, r.members) for r in got) == sorted(map(tuple, groups)) and len(groups) < 150
+            groups.append([(y1 + y2) / 2, x1, x2, 1])
+    got = match.merge_collinear(spark.createDataFrame(rows, SEGMENT).repartition(3)).filter("flat").collect()
+    assert sorted((r.line, r.start, r.end, r.members) for r in got) == sorted(map(tuple, groups)) and len(groups) < 350
+    # worked by hand: the smaller end decides the order, and the running line loses its fraction once it has grown
+    rows = [(1, 0, 1, 0.0, 100.5, 10.0, 100.5), (1, 0, 2, 12.0, 108.4, 20.0, 108.4), (1, 0, 3, 22.0, 108.45, 30.0, 108.45)]
+    assert [(r.line, r.members) for r in match.merge_collinear(spark.createDataFrame(rows, SEGMENT)).orderBy("line").collect()] == [(100.0, 2), (108.45, 1)]
 
 
 def test_merge_touching(spark):
