@@ -331,42 +331,58 @@ def fold_calls(t):
     return _us(telemetry.fold_calls(t(EVENTS)), "started_at", "ended_at")
 
 
-def _streamed(t, job):
-    """The outcome of a streaming job over the events table's files, read back from where it was written."""
-    folder = io.run_folder(t.spark, job.__name__)
-    streams.to_folder(job(t.stream(EVENTS)), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+def _folded(t, name):
+    """The outcome of a streaming job over the events table's files."""
+    return streams.run_fold(t.spark, name, t.stream(EVENTS), io.run_folder(t.spark, name))
+
+
+def _appended(t, result, name):
+    """What a streaming job has appended by the time that it has seen the events table's files, and the late rows that it left out."""
+    folder = io.run_folder(t.spark, name)
+    run = streams.to_folder(result, f"{folder}/out", f"{folder}/state")
+    run.awaitTermination()
+    return t.spark.read.schema(result.schema).parquet(f"{folder}/out"), streams.late_rows(run)
 
 
 @query(CALLS)
 def stream_ai_calls(t):
-    return _us(_streamed(t, streams.calls), "started_at", "ended_at")
+    return _us(_folded(t, "calls"), "started_at", "ended_at")
 
 
 @query(
     """SELECT project_id, stage, epoch_us(min(created_at) FILTER (phase = 'started')) AS started_us, epoch_us(max(created_at) FILTER (phase = 'completed')) AS completed_us, arg_max(phase, created_at) AS last_phase FROM {pipeline_events} WHERE kind = 'stage' GROUP BY 1, 2"""
 )
 def stream_stages(t):
-    return _us(_streamed(t, streams.stages), "started_at", "completed_at")
+    return _us(_folded(t, "stages"), "started_at", "completed_at")
 
 
 @query("SELECT project_id, count(*) AS events, CAST(sum(in_tokens) AS BIGINT) AS tokens, epoch_us(min(created_at)) AS first_us, epoch_us(max(created_at)) AS last_us FROM {pipeline_events} GROUP BY 1")
 def stream_totals(t):
-    return _us(_streamed(t, streams.running_totals), "first_at", "last_at")
+    return _us(_folded(t, "totals"), "first_at", "last_at")
 
 
+# the table's files come as one batch, after which the watermark is ten minutes before the last event
 @query(
-    """WITH g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY project_id ORDER BY created_at, id) < INTERVAL 12 MINUTE THEN 0 ELSE 1 END AS b FROM {pipeline_events}), s AS (SELECT *, sum(b) OVER (PARTITION BY project_id ORDER BY created_at, id) AS n FROM g),
-l AS (SELECT project_id, n, arg_max(phase, created_at) AS p, max(created_at) AS m FROM s GROUP BY 1, 2) SELECT project_id, epoch_us(m) AS last_us FROM l WHERE p = 'started'"""
+    """WITH l AS (SELECT project_id, arg_max(phase, (created_at, id)) AS p, max(created_at) AS m FROM {pipeline_events} GROUP BY 1)
+SELECT project_id, epoch_us(m) AS last_us FROM l WHERE p = 'started' AND epoch_ms(m) + 12 * 60000 <= (SELECT epoch_ms(max(created_at)) FROM {pipeline_events}) - 10 * 60000"""
 )
 def stream_stale(t):
-    return _us(streams.stale_projects(t(EVENTS)), "last_at")
+    return _us(_appended(t, streams.stale_by_timeout(t.stream(EVENTS)), "stale")[0], "last_at")
 
 
-@query("SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, created_at)) AS start_us, kind, count(*) AS n, CAST(sum(in_tokens) AS BIGINT) AS tokens FROM {pipeline_events} GROUP BY 1, 2")
+@query(
+    """WITH e AS (SELECT 'tumbling' AS form, time_bucket(INTERVAL 10 MINUTE, created_at) AS s, kind, in_tokens FROM {pipeline_events} UNION ALL
+  SELECT 'sliding', time_bucket(INTERVAL 5 MINUTE, created_at) - k * INTERVAL 5 MINUTE, kind, in_tokens FROM {pipeline_events}, (SELECT unnest([0, 1]) AS k)),
+m AS (SELECT epoch_ms(max(created_at)) - 10 * 60000 AS w FROM {pipeline_events})
+SELECT form, epoch_us(s) AS start_us, kind, count(*) AS n, CAST(sum(in_tokens) AS BIGINT) AS tokens, 0 AS late FROM e, m WHERE epoch_ms(s) + 10 * 60000 <= w GROUP BY 1, 2, 3"""
+)
 def stream_event_rates(t):
-    out = _streamed(t, streams.event_rates)
-    return out.select(F.unix_micros("start").alias("start_us"), "kind", "n", "tokens")
+    out = None
+    for form, slide in (("tumbling", None), ("sliding", "5 minutes")):
+        rates, late = _appended(t, streams.event_rates(t.stream(EVENTS), slide), "rates")
+        own = rates.select(F.lit(form).alias("form"), F.unix_micros("start").alias("start_us"), "kind", "n", "tokens", F.lit(late).alias("late"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query("SELECT id, project_id FROM {pipeline_events} WHERE kind NOT IN ('page_split', 'cv_substep') AND NOT (kind = 'ai_call' AND phase = 'started')")

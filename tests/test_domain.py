@@ -274,28 +274,6 @@ def events(spark):
     return df.withColumn("created_at", F.to_timestamp("created_at"))
 
 
-def run_stream(spark, tmp_path, job, mode, name):
-    df = events(spark)
-    folder = str(tmp_path / f"in-{name}")
-    df.orderBy("created_at").coalesce(1).write.parquet(folder)
-    df.orderBy("created_at").coalesce(1).limit(20).write.mode("append").parquet(folder)  # repeats
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = job(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return spark.table(name)
-
-
-def test_stream_calls(spark, tmp_path):
-    got = run_stream(spark, tmp_path, streams.calls, "complete", "calls_out").collect()
-    want = telemetry.fold_calls(events(spark)).drop("events").collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
-
-
-def test_stream_stages(spark, tmp_path):
-    got = run_stream(spark, tmp_path, streams.stages, "complete", "stages_out").collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, streams.stages(events(spark)).collect()), key=repr)
-
-
 def test_stream_sink(spark, tmp_path):
     folder = str(tmp_path / "in")
     events(spark).write.parquet(folder)
@@ -303,15 +281,3 @@ def test_stream_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == clean.persistable(events(spark)).count()
 
 
-def test_stale_timeout(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    rows = [(1, 1, "stage", "s", "started", 1, 0, "2024-01-01 00:00:00"), (2, 2, "stage", "s", "completed", 1, 0, "2024-01-01 00:00:00"), (3, 3, "stage", "s", "started", 1, 0, "2024-01-01 02:00:00")]
-    df = spark.createDataFrame(rows, "id long, project_id long, kind string, stage string, phase string, call_id long, in_tokens long, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
-    df.filter("id < 3").coalesce(1).write.parquet(folder)
-    df.filter("id = 3").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = streams.stale_by_timeout(stream).writeStream.outputMode("append").format("memory").queryName("stale_out").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.project_id for r in spark.table("stale_out").collect()] == [1]
-    assert sorted(r.project_id for r in streams.stale_projects(df).collect()) == [1, 3]
