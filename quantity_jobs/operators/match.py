@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.exprs import angle_180, angle_gap, box_iou, clamp, distance, point_segment_distance, polygon_area, round_half_up as half_up
 from .clean import segment_bbox
 from .kernels import fuse_touching
-from .rounds import components, deferred_choice, dominant_pairs, first_independent
+from .rounds import components, deferred_choice, dominant_pairs, first_independent, nearest
 
 P = "project_id"
 
@@ -300,11 +300,10 @@ def detect_scale(ratios: DataFrame, default: float = 14.17) -> DataFrame:
 
 
 def room_labels(rooms: DataFrame, texts: DataFrame) -> DataFrame:
-    """(project_id, page_index, room_seq, label): for each room polygon's centre (cx, cy) the nearest room text of its page. A page's room texts are few, so they travel as
-    one list."""
-    lists = texts.groupBy(P, "page_index").agg(F.collect_list(F.struct("seq", "x", "y", "text")).alias("t"))
-    d = F.transform("t", lambda t: F.struct(half_up((t["x"] - F.col("cx")) * (t["x"] - F.col("cx")) + (t["y"] - F.col("cy")) * (t["y"] - F.col("cy")), 6).alias("d"), t["seq"].alias("seq"), t["text"].alias("text")))
-    return rooms.join(lists, [P, "page_index"], "left").select(P, "page_index", "room_seq", F.array_min(d)["text"].alias("label"))
+    """(project_id, page_index, room_seq, label): for each room polygon's centre (cx, cy) the nearest room text of its page, null on pages without any."""
+    points = rooms.select(P, "page_index", "room_seq", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    found = nearest(points, texts.withColumnRenamed("text", "label"), [P, "page_index"], ["room_seq"], "label", 100.0)
+    return rooms.select(P, "page_index", "room_seq").join(found, [P, "page_index", "room_seq"], "left")
 
 
 def merge_collinear(segments: DataFrame, align: float = 8.0, gap: float = 15.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..functions.exprs import round_half_up as half_up
 from ..operators import clean, fuse
-from ..sources import io
+from ..sources import buckets, io
 from .catalogue import DEFAULTED, FIXED, VALID, query
 
 
@@ -394,7 +394,13 @@ SELECT coalesce(i.profile_id, c.profile_id) AS profile_id, coalesce(i.sku, c.sku
 def upsert_profile_prices(t):
     current = t("profile_prices")
     new = current.filter("profile_id <> 1").withColumn("unit_price", F.col("unit_price") + 1).unionByName(t("products").select(F.lit(99).cast("long").alias("profile_id"), "sku", "unit_price"))
-    return io.upsert_profile_prices(io.upsert_profile_prices(current, new), new)
+    # kept in place by profile and sku; the same load a second time changes nothing
+    path, keys = io.run_folder(t.spark, "prices"), ["profile_id", "sku"]
+    buckets.upsert_in_place(current.select(*keys, "unit_price"), path, keys, "first")
+    changes = io.upsert_profile_prices(buckets.read_buckets(t.spark, path, current.select(*keys, "unit_price").schema), new).join(new.select(*keys), keys, "left_semi")
+    for _ in range(2):
+        buckets.upsert_in_place(changes, path, keys, "second")
+    return buckets.read_buckets(t.spark, path, changes.schema)
 
 
 @query(
@@ -402,7 +408,11 @@ def upsert_profile_prices(t):
 )
 def replace_by_project(t):
     new = t("corners").filter("project_id % 3 = 0").select("project_id", "seq", F.col("corner_count").cast("double").alias("x"))
-    return io.replace_by_project(t("side_hints").select("project_id", "seq", "x"), new)
+    old, path = t("side_hints").select("project_id", "seq", "x"), io.run_folder(t.spark, "hints")
+    buckets.replace_in_place(old, path, "first")
+    for _ in range(2):
+        buckets.replace_in_place(new, path, "second")
+    return buckets.read_buckets(t.spark, path, old.schema)
 
 
 WALLS_JSON = "walls array<struct<wall_id: string, length_m: double>>"
@@ -411,19 +421,19 @@ WALLS_JSON = "walls array<struct<wall_id: string, length_m: double>>"
 def _responses(t):
     """Three walls a response; some cut off, fenced, spoilt or empty."""
     s = F.col("seq")
-    text = F.to_json(F.struct(F.array(*(F.struct(F.concat(F.lit(f"w{k}-"), s.cast("string")).alias("wall_id"), (F.col("corner_count") + k).cast("double").alias("length_m")) for k in range(3))).alias("walls")))
+    text = F.to_json(F.struct(F.array(*(F.struct(F.concat(F.lit(f"w{k}-"), s.cast("string")).alias("wall_id"), (F.col("corner_count") + k).cast("double").alias("length_m")) for k in range(3))).alias("walls"), (s * 2).alias("extra")))
     data = (
-        F.when(s % 6 == 0, F.substring(text, 1, 75)).when(s % 6 == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(s % 6 == 2, F.regexp_replace(text, "\\]\\}$", ",]}")).when(s % 6 == 3, "no answer").when(s % 6 == 4, "").otherwise(text)
+        F.when(s % 6 == 0, F.substring(text, 1, 75)).when(s % 6 == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(s % 6 == 2, F.regexp_replace(text, "\\],", ",],")).when(s % 6 == 3, "no answer").when(s % 6 == 4, "").otherwise(text)
     )
     return t("corners").select("project_id", "seq", data.alias("data"))
 
 
 @query(
     """SELECT project_id, seq, CASE seq % 6 WHEN 0 THEN 'recovered' WHEN 3 THEN 'quarantine' WHEN 4 THEN 'empty' WHEN 5 THEN 'strict' ELSE 'repaired' END AS outcome,
-  CASE seq % 6 WHEN 0 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN -1 ELSE 3 END AS n_walls FROM {corners}"""
+  CASE seq % 6 WHEN 0 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN -1 ELSE 3 END AS n_walls, CASE seq % 6 WHEN 5 THEN seq * 2 WHEN 1 THEN seq * 2 WHEN 2 THEN seq * 2 END AS extra FROM {corners}"""
 )
 def recover_json(t):
-    return io.recover_json(_responses(t), WALLS_JSON).select("project_id", "seq", "outcome", F.coalesce(F.size("parsed.walls"), F.lit(-1)).cast("long").alias("n_walls"))
+    return io.recover_json(_responses(t), WALLS_JSON).select("project_id", "seq", "outcome", F.coalesce(F.size("parsed.walls"), F.lit(-1)).cast("long").alias("n_walls"), F.try_variant_get("document", "$.extra", "long").alias("extra"))
 
 
 @query(

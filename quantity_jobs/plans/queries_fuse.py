@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.exprs import round_half_up as half_up
 from ..operators import classify, clean, fuse
+from ..sources.io import staged
 from . import pipelines
 from .catalogue import DEFAULTED, query
 from .queries_clean import SIGNATURE
@@ -283,6 +284,13 @@ def feedback_vote(t):
     return classify.feedback_vote(t("feedback"), t("projects"))
 
 
+@query("WITH " + VOTES + " SELECT client, signature, tier, decision, voters, quorum FROM vv")
+def feedback_vote_sketches(t):
+    """Sketches of seven days, written and united on read; so few voters are counted exactly."""
+    daily = staged(classify.vote_sketches(t("feedback"), t("projects"), F.col("id") % 7), "sketches")
+    return classify.vote_by_sketches(daily)
+
+
 @query(
     "WITH "
     + VOTES

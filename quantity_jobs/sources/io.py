@@ -154,18 +154,18 @@ def replace_by_project(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def recover_json(responses: DataFrame, schema: str) -> DataFrame:
-    """responses (project_id, seq, data) with `parsed` and `outcome`: strict where the text parses, else repaired, recovered (single walls picked out),
-    empty or quarantine. A list is what the schema's first array holds. Only rows that fail to parse leave the JVM."""
+    """responses (project_id, seq, data) with `parsed`, `document` and `outcome`: strict where the text is JSON, else repaired, recovered (single walls picked out),
+    empty or quarantine. `document` is the whole answer as a variant, with the fields that the schema doesn't name or names with other types; parsed has those of the
+    schema. A list is what the schema's first array holds. Only rows that fail to parse leave the JVM."""
     fields = StructType.fromDDL(schema).fields
     listed = next((f.name for f in fields if isinstance(f.dataType, ArrayType)), None)
 
     def whole(text: Column) -> Column:
         return F.when(F.ltrim(text).startswith("["), F.concat(F.lit(f'{{"{listed}":'), text, F.lit("}"))).otherwise(text) if listed else text
 
-    strict = F.from_json(whole(F.col("data")), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    own = responses.withColumn("parsed", strict)
-    start = F.substring(F.ltrim("data"), 1, 1)
-    ok = F.coalesce(F.col("parsed").isNotNull() & F.col("parsed._bad").isNull(), F.lit(False)) & F.coalesce(start.isin("{", "[") if listed else start == "{", F.lit(False))
+    # the parser stops at the end of the first value, so what follows it has to be looked at
+    closed = r"^\s*(\{[\s\S]*\}|\[[\s\S]*\])\s*$" if listed else r"^\s*\{[\s\S]*\}\s*$"
+    own = responses.withColumn("document", F.when(F.col("data").rlike(closed), F.try_parse_json(whole(F.col("data")))))
 
     def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -174,9 +174,9 @@ def recover_json(responses: DataFrame, schema: str) -> DataFrame:
 
     names = responses.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.schema)
-    good = own.filter(ok).select(*names, F.from_json(whole(F.col("data")), schema).alias("parsed"), F.lit("strict").alias("outcome"))
-    rest = own.filter(~ok).select(*names).mapInPandas(repair, f"{kinds}, fixed string, outcome string")
-    return good.unionByName(rest.select(*names, F.from_json(whole(F.col("fixed")), schema).alias("parsed"), "outcome"))
+    good = own.filter("document IS NOT NULL").select(*names, F.from_json(whole(F.col("data")), schema).alias("parsed"), "document", F.lit("strict").alias("outcome"))
+    rest = own.filter("document IS NULL").select(*names).mapInPandas(repair, f"{kinds}, fixed string, outcome string")
+    return good.unionByName(rest.select(*names, F.from_json(whole(F.col("fixed")), schema).alias("parsed"), F.try_parse_json(whole(F.col("fixed"))).alias("document"), "outcome"))
 
 
 def json_outcomes(recovered: DataFrame) -> DataFrame:

@@ -107,3 +107,18 @@ def test_merge_touching_page(spark):
     want = kernels.fuse_touching([[*r[3:], 1] for r in rows], 8.0, 12.0)
     assert sum(r.members for r in got) == 3000
     assert sorted(tuple(round(v, 6) for v in (r.x1, r.y1, r.x2, r.y2, r.members)) for r in got) == sorted(tuple(round(v, 6) for v in w) for w in want)
+
+
+def test_nearest(spark):
+    """Near and far marks, ties, marks at one place, groups without marks."""
+    rng = random.Random(9)
+    marks = [(g, k, float(rng.choice([rng.randrange(40), rng.randrange(900, 940), 500])), float(rng.randrange(1000)), f"m{g}-{k}") for g in (1, 2) for k in range(60)] + [(3, 5, 1e5, -1e5, "far"), (1, 99, None, 1.0, "none")]
+    marks += [(1, 200 + k, marks[0][2], marks[0][3], f"same {k}") for k in range(50)]
+    points = [(g, k, float(rng.randrange(1000)), float(rng.randrange(-500, 1000))) for g in (1, 2, 3, 4) for k in range(80)] + [(1, 900, None, 1.0)]
+    got = rounds.nearest(spark.createDataFrame(points, "g int, id long, px double, py double"), spark.createDataFrame(marks, "g int, seq long, x double, y double, what string"), ["g"], ["id"], "what", 7.0)
+    want = {}
+    for g, i, px, py in points:
+        own = [((x - px) ** 2 + (y - py) ** 2, s, w) for h, s, x, y, w in marks if h == g and x is not None and px is not None]
+        if own:
+            want[g, i] = min(own)[2]
+    assert {(r.g, r.id): r.what for r in got.collect()} == want and len(want) == 240

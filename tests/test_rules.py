@@ -104,7 +104,7 @@ def test_area_pages(spark):
     df = spark.createDataFrame([(1, 0, json.dumps(full)), (1, 1, "{}")], "project_id long, seq long, data string")
     a, b = io.read_area_pages(df).orderBy("seq").collect()
     assert (a.level, a.ext_gross, a.ext_open, a.ext_net, a.int_gross, a.boundary_gross, a.boundary_height, a.floor_m2, a.roof_m2, a.confidence, len(a.notes)) == ("Superior", 120.5, 20.0, 99.0, 0.0, 8.0, 2.0, 70.0, 0.0, "high", 500)
-    assert [tuple(o) for o in a.openings] == [("door", "internal", 0.8, 2.0, 1.6), ("other", "external", 0.0, 0.0, 3.0)] and a.missing == ["laje_coberta_m2"]
+    assert [tuple(o) for o in a.openings] == [("door", "internal", 0.8, 2.0, 1.6), ("other", "external", 0.0, 0.0, 3.0)] and a.missing == []
     assert (b.level, b.boundary_height, b.confidence, b.openings, len(b.missing)) == ("Pavimento", 2.0, "low", [], 5)
 
 
