@@ -7,7 +7,8 @@ the entity tag where both have one (compared weakly), else the modification date
 The as-of join runs in two steps, so that no URL's history has to lie in one task: inside slices of about equal numbers of captures,
 cut from the order of URL, time and id wherever a burst needs it, and over one summary row per slice. Defined results: revisits of null
 URLs, and revisits without an earlier response, are `orphan`; revisits whose validators differ, or without a common one, are `mismatch`;
-equal times go by capture id; null times come first; header names are compared without case; empty tables give empty results; repeated
+equal times go by capture id, equal ids by a hash of what the captures say; null times come first; header names are compared without case, and of a revisit's names that
+differ in case only the last in order counts; empty tables give empty results; repeated
 capture ids are captures of their own; other columns pass through, but for those that the result defines."""
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ def resolve_revisits(captures: DataFrame, per_slice: int = 50_000) -> DataFrame:
     names = [c for c in captures.columns if c not in ("canonical", "source_id", "outcome")]
     captures = captures.select(*[F.col(f"`{c}`") for c in names])
     rows = private(captures, canonical=canonical_url(F.col("url")), ts=F.col("ts"), capture=F.col("capture_id"))
-    order = [F.col("ts").asc_nulls_first(), F.col("capture")]
+    # captures of one time and id go by what they say
+    says = F.struct("own.status", "own.etag", "own.last_modified", "own.payload_digest", F.array_sort(F.map_entries("own.headers")).alias("headers"))
+    rows = rows.withColumn("told", F.xxhash64(F.to_json(says)))
+    order = [F.col("ts").asc_nulls_first(), F.col("capture"), F.col("told")]
     slices = max(1, math.ceil(captures.count() / per_slice))
     placed = rows.filter("canonical IS NOT NULL").repartitionByRange(slices, "canonical", *order)
     placed = cut(placed.withColumn("slice", F.spark_partition_id()))  # what lies in a slice must not change later
@@ -50,7 +54,7 @@ def resolve_revisits(captures: DataFrame, per_slice: int = 50_000) -> DataFrame:
     placed = placed.withColumn("full", F.when(F.col("own.status") == 200, F.struct(*(F.col(f"own.{c}") for c in parts))))
     inside = Window.partitionBy("canonical", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = placed.withColumn("near", F.last("full", ignorenulls=True).over(inside))
-    time = F.struct(F.col("ts").isNotNull().alias("known"), "ts", "capture")
+    time = F.struct(F.col("ts").isNotNull().alias("known"), "ts", "capture", "told")
     ends = placed.groupBy("canonical", "slice").agg(F.max_by(F.col("full"), F.when(F.col("full").isNotNull(), time)).alias("end"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("canonical", "slice", F.last("end", ignorenulls=True).over(before).alias("far"))
@@ -65,6 +69,9 @@ def resolve_revisits(captures: DataFrame, per_slice: int = 50_000) -> DataFrame:
     outcome = F.when(~own("status").eqNullSafe(304), "response").when(F.col("base").isNull(), "orphan").when(agree, "resolved").otherwise("mismatch")
     none = F.create_map().cast("map<string,string>")
     updates = F.map_filter(F.coalesce(own("headers"), none), lambda k, v: F.lower(k).isin(*PERMITTED))
+    # of names that differ in case only the last in order counts
+    names_ = F.map_keys(updates)
+    updates = F.map_filter(updates, lambda k, v: ~F.exists(names_, lambda other: (F.lower(other) == F.lower(k)) & (other > k)))
     updated = F.transform(F.map_keys(updates), F.lower)
     kept = F.map_filter(F.coalesce("base.headers", none), lambda k, v: ~F.array_contains(updated, F.lower(k)))
     ok = F.col("outcome") == "resolved"
