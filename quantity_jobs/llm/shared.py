@@ -54,6 +54,8 @@ def text_runs(batch: pa.RecordBatch, name: str, most: int = RUN_BYTES) -> Iterat
         whole = len(own) == len(texts) and own.offset == 0
         yield first, own if whole else pa.concat_arrays([own])  # a copy of its own, without an offset
         first = last
+    # a worker serves one stage after another, and its pool would keep the most that any of them has needed
+    pa.default_memory_pool().release_unused()
 
 
 def own_bytes(texts: pa.StringArray) -> tuple[np.ndarray, bytes]:
