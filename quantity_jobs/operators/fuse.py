@@ -67,23 +67,28 @@ def merge_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
         return out.select([*keys, *columns])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        """Of each batch only its own rows are looked at, so that a group of many batches costs no more than its rows."""
+        held: list[pa.RecordBatch] = []  # of the last group, which may go on
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            last = held.slice(held.num_rows - 1)
-            same = np.ones(held.num_rows, bool)
-            for c in keys:
-                value = last[c][0]
-                same &= pc.fill_null(pc.equal(held[c], value), False).to_numpy() if value.is_valid else held[c].is_null().to_numpy()
-            start = held.num_rows - int(same.sum())  # the last group may go on
-            if start:
-                yield from merged(held.slice(0, start)).to_batches()
-                held = held.slice(start)
-        if held is not None:
-            yield from merged(held).to_batches()
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keys]
+            first, key = (tuple(c[k].as_py() for c in columns) for k in (0, batch.num_rows - 1))
+            if first == key == last:
+                held.append(batch)
+                continue
+            same = np.ones(batch.num_rows, bool)
+            for c in columns:
+                value = c[batch.num_rows - 1]
+                same &= pc.fill_null(pc.equal(c, value), False).to_numpy(zero_copy_only=False) if value.is_valid else c.is_null().to_numpy(zero_copy_only=False)
+            start = batch.num_rows - int(same.sum())
+            done = [*held, batch.slice(0, start)] if start else held
+            if done:
+                yield from merged(pa.Table.from_batches(done)).to_batches()
+            held, last = [batch.slice(start)], key
+        if held:
+            yield from merged(pa.Table.from_batches(held)).to_batches()
 
     return rows.mapInArrow(merge, "project_id long, level string, wall_class string, seq long, wall_id string, length_m double, height_m double, thickness_m double, source string, confidence double")
 

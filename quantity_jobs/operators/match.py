@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,6 +17,8 @@ from .kernels import fuse_touching
 from .rounds import components, deferred_choice, dominant_pairs, first_independent, nearest
 
 P = "project_id"
+#: Collinear segments are sorted within bands of so many times the alignment.
+BAND = 64
 
 
 def _center(b: Column) -> tuple[Column, Column]:
@@ -306,12 +310,20 @@ def room_labels(rooms: DataFrame, texts: DataFrame) -> DataFrame:
     return rooms.select(P, "page_index", "room_seq").join(found, [P, "page_index", "room_seq"], "left")
 
 
+def _beside(rows: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of bands; keys may be null."""
+    named = bands.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in bands.columns if c not in keys))
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return rows.join(named, on).drop(*(f"__{k}" for k in keys))
+
+
 def merge_collinear(segments: DataFrame, align: float = 8.0, gap: float = 15.0) -> DataFrame:
     """(project_id, page_index, flat, line, start, end, members): axis-parallel segments fused along their line where lines are within `align` and gaps within `gap`.
 
     In order of the smaller end across and along, a segment joins the running one if its mean line is close to that one's and it begins near or before its end. The
-    running line is the first segment's mean, and from the second member on its whole part. A page's segments of a direction are one sorted run, cut wherever
-    nothing after a place can join what is before it: where its smaller end across lies more than `align` above all running lines that may be."""
+    running line is the first segment's mean, and from the second member on its whole part. A page's segments of a direction are cut into runs wherever
+    nothing after a place can join what is before it: where its smaller end across lies more than `align` above all running lines that may be. The cuts are found band by band,
+    so that no task sorts a whole page; a task then scans whole runs."""
     dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
     flat = dx >= dy
     across, along = ("y1", "y2"), ("x1", "x2")
@@ -322,10 +334,16 @@ def merge_collinear(segments: DataFrame, align: float = 8.0, gap: float = 15.0)
     )
     # no running line lies above the largest mean before, rounded up, and no mean below its own smaller end
     page = [P, "page_index", "flat"]
-    order = Window.partitionBy(*page).orderBy("low", "start", "seq")
-    before = F.max(F.ceil("line")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cutoff = F.coalesce(F.col("low") - before > align, F.lit(True))
-    runs = own.withColumn("cut", cutoff.cast("int")).withColumn("run", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    own = own.withColumn("band", F.floor(F.col("low") / (BAND * align)))
+    bands = [*page, "band"]
+    order = Window.partitionBy(*bands).orderBy("low", "start", "seq")
+    earlier = Window.partitionBy(*page).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    # only sums of bands, as many as a page is high, meet in a window of the page
+    tops = own.groupBy(*bands).agg(F.max(F.ceil("line")).alias("top")).select(*bands, F.max("top").over(earlier).alias("below"))
+    before = F.greatest("below", F.max(F.ceil("line")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    own = _beside(own, tops, bands).withColumn("cut", F.coalesce(F.col("low") - before > align, F.lit(True)).cast("int"))
+    cuts = own.groupBy(*bands).agg(F.sum("cut").alias("n")).select(*bands, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("cuts"))
+    runs = _beside(own, cuts, bands).withColumn("run", F.col("cuts") + F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     keys = [*page, "run"]
     dealt = runs.select(*keys, "low", "start", "seq", "line", "end").repartition(*keys).sortWithinPartitions(*keys, "low", "start", "seq")
     schema = "project_id long, page_index int, flat boolean, line double, start double, end double, members long"

@@ -189,7 +189,7 @@ def test_raycast(spark):
     assert got == want and set(want.values()) == {"external", "internal"}
 
 
-def test_merge_collinear(spark):
+def test_merge_collinear(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
     for k in range(400):
@@ -203,8 +203,14 @@ def test_merge_collinear(spark):
             g[:] = [float(int(g[0])), min(g[1], x1), max(g[2], x2), g[3] + 1]
         else:
             groups.append([(y1 + y2) / 2, x1, x2, 1])
-    got = match.merge_collinear(spark.createDataFrame(rows, SEGMENT).repartition(3)).filter("flat").collect()
-    assert sorted((r.line, r.start, r.end, r.members) for r in got) == sorted(map(tuple, groups)) and len(groups) < 350
+    want = sorted(map(tuple, groups))
+    assert len(want) < 350
+    for band in (64, 2, 0.5):  # runs within a band, over bands, and bands between the lines of one run
+        monkeypatch.setattr(match, "BAND", band)
+        got = match.merge_collinear(spark.createDataFrame(rows, SEGMENT).repartition(3)).filter("flat").collect()
+        assert sorted((r.line, r.start, r.end, r.members) for r in got) == want
+    alone = match.merge_collinear(spark.createDataFrame([(None, 0, *r[2:]) for r in rows], SEGMENT)).filter("flat").collect()
+    assert sorted((r.line, r.start, r.end, r.members) for r in alone) == want
     # worked by hand: the smaller end decides the order, and the running line loses its fraction once it has grown
     rows = [(1, 0, 1, 0.0, 100.5, 10.0, 100.5), (1, 0, 2, 12.0, 108.4, 20.0, 108.4), (1, 0, 3, 22.0, 108.45, 30.0, 108.45)]
     assert [(r.line, r.members) for r in match.merge_collinear(spark.createDataFrame(rows, SEGMENT)).orderBy("line").collect()] == [(100.0, 2), (108.45, 1)]
