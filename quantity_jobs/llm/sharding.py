@@ -3,7 +3,8 @@
 Groups of equal texts are items with three sizes: bytes, tokens and rows. Tasks pack their items, largest first, each into
 the local bin where the item's dot product with the residual capacity is highest; then whole local bins are placed in
 shards by the same rule, so that only three sums per task and bin are gathered. A group above a fixed share of a
-shard is first split by a hash of its row numbers, because no shard could hold it and stay level.
+shard, or of more rows than a task packs, is first split by a hash of its row numbers, because no shard could hold it and stay level,
+and no task should hold it. What is longer than a block passes through its task in blocks, each of which joins the bin of the first.
 
 The law is `bytes`: the shards' sums of sizes are nearly equal. Defined results: null text has no bytes and no tokens, and
 null texts are one group; repeated rows are rows of their own; an empty table gives an empty result; other columns are
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,35 +69,42 @@ def pack_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     total = rows.agg(F.count(F.lit(1)), F.sum("size"), F.sum("tokens")).first()
     n, size = total[0], total[1] or 0
     limit = max(1.0, whole * size / shards)
-    large = rows.groupBy("grp").agg(F.sum("size").alias("grp_size"), F.max("size").alias("one")).filter(F.col("grp_size") > limit)
-    # ids without hot groups never meet a large list: there are at most shards / whole large groups
-    cuts = large.select(F.col("grp").alias("big"), F.ceil(F.col("grp_size") / F.lit(limit)).alias("chunks"))
-    own = rows.join(F.broadcast(cuts.limit(math.ceil(shards / whole) + 1)), F.col("grp") == F.col("big"), "left").withColumn(
+    most = max(per_task, n / MOST_PARTS)  # rows of a task
+    large = rows.groupBy("grp").agg(F.sum("size").alias("grp_size"), F.count(F.lit(1)).alias("grp_rows")).filter((F.col("grp_size") > limit) | (F.col("grp_rows") > most))
+    # at most shards / whole groups are above the limit, and at most MOST_PARTS fill a task
+    cuts = large.select(F.col("grp").alias("big"), F.ceil(F.greatest(F.col("grp_size") / F.lit(limit), F.col("grp_rows") / F.lit(most))).alias("chunks"))
+    own = rows.join(F.broadcast(cuts), F.col("grp") == F.col("big"), "left").withColumn(
         "chunk", F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("chunks"))).cast("long")
     )
     own = own.select("id", "grp", "chunk", "size", "tokens", "text_crc32")
-    parts = max(1, math.ceil(n / max(per_task, n / MOST_PARTS)))
+    parts = max(1, math.ceil(n / most))
     dealt = own.repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk", "id")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         bins, counts = None, np.zeros(shards, np.int64)
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table):
-            nonlocal bins
-            grp, chunk = table["grp"].to_pylist(), table["chunk"].to_pylist()
-            starts = [k for k in range(len(grp)) if not k or grp[k] != grp[k - 1] or chunk[k] != chunk[k - 1]]
-            sizes = np.stack([table["size"].to_numpy(), table["tokens"].to_numpy(), np.ones(len(grp))], axis=1)
+        going: tuple[tuple, int] | None = None  # a group longer than a block that is being passed on, and its bin
+
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal bins, going
+            grp, chunk = table["grp"].combine_chunks(), table["chunk"].to_numpy()
+            codes = grp.dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])))
+            sizes = np.stack([table["size"].to_numpy(), table["tokens"].to_numpy(), np.ones(len(codes))], axis=1)
             items = np.add.reduceat(sizes, starts, axis=0)
             if bins is None:
                 bins = Bins(shards, items.sum(axis=0))
             else:
                 bins.scale = 1.0 / np.maximum(bins.load.sum(axis=0) + items.sum(axis=0), 1.0)
-            target = np.zeros(len(starts), np.int64)
+            target = np.full(len(starts), -1)
+            if going and going[0] == (grp[0].as_py(), int(chunk[0])):
+                target[0] = going[1]
+                bins.load[going[1]] += items[0]
             for k in np.argsort(-(items * bins.scale).max(axis=1), kind="stable"):
-                target[k] = bins.place(items[k])
-            at = np.repeat(target, np.diff([*starts, len(grp)]))
+                if target[k] < 0:
+                    target[k] = bins.place(items[k])
+            going = (grp[len(grp) - 1].as_py(), int(chunk[-1])), int(target[-1])
+            at = np.repeat(target, np.diff([*starts, len(codes)]))
             order = np.argsort(at, kind="stable")
             first = np.searchsorted(at[order], np.arange(shards))
             slot = np.empty(len(at), np.int64)
@@ -107,22 +116,18 @@ def pack_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
                 out = out.append_column(name, pa.array(column, pa.int64()))
             yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
-        def ends_group(table: pa.Table) -> int:
-            """Rows before the last group, which may go on."""
-            grp, chunk = table["grp"].to_pylist(), table["chunk"].to_pylist()
-            k = len(grp) - 1
-            while k and grp[k - 1] == grp[-1] and chunk[k - 1] == chunk[-1]:
-                k -= 1
-            return k
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= block:
-                table = pa.Table.from_batches(held)
-                k = ends_group(table)
-                if k:
-                    yield from flush(table.slice(0, k).combine_chunks())
-                    held = table.slice(k).combine_chunks().to_batches()
+                table = pa.Table.from_batches(held).combine_chunks()
+                last = table.num_rows - 1
+                same = pc.and_(pc.equal(table["grp"], table["grp"][last]), pc.equal(table["chunk"], table["chunk"][last]))
+                k = table.num_rows - pc.sum(same).as_py()  # the last group may go on
+                if not k:
+                    k = table.num_rows  # it is longer than a block
+                yield from flush(table.slice(0, k))
+                held = table.slice(k).combine_chunks().to_batches()
         if sum(b.num_rows for b in held):
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 

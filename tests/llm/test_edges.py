@@ -142,6 +142,34 @@ def test_sharding_splits_one_id(spark):
     assert len(out) == 4400 and len(loads) == 8 and max(loads.values()) < 1.05 * min(loads.values())
 
 
+def test_sharding_of_groups_longer_than_a_block(spark):
+    """Groups of several blocks and batches in one task stay in one shard; those above a task's rows are split and stay level."""
+    rows = [(k, f"group {k // 300}") for k in range(3000)] + [(k, f"text {k}") for k in range(3000, 4000)] + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        whole = sharding.pack_shards(df, shards=4, per_task=1500, whole=0.5, block=100).collect()
+        split = sharding.pack_shards(df, shards=4, per_task=100, whole=0.5, block=50).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for out in (whole, split):
+        assert Counter(r.doc_id for r in out) == Counter(k for k, _ in rows)
+        slots = {}
+        for r in out:
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len(slots) == 4
+    shards = {}
+    for r in whole:
+        if r.doc_id is not None and r.doc_id < 3000:
+            shards.setdefault(r.doc_id // 300, set()).add(r.shard)
+    assert len(shards) == 10 and all(len(x) == 1 for x in shards.values())
+    loads = Counter()
+    for r in split:
+        loads[r.shard] += r.size
+    assert max(loads.values()) < 1.1 * min(loads.values())
+
+
 def test_revisits_of_a_burst(spark):
     """All captures of one URL within one second, over several slices; null times come first, repeated ids are captures of their own."""
     rows = [(i, "http://a.com/x", i // 50, 200 if i % 10 == 0 else 304, f"t{i // 10}", None, None, f"p{i}") for i in range(300)]
