@@ -147,3 +147,21 @@ def lm_digest(docs: DataFrame) -> DataFrame:
     out = lm_scores(docs.select("doc_id", "text"))
     per_word = F.when(F.col("n_words") > 0, F.round(F.col("log10_score") / F.col("n_words"), 6))
     return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), per_word.alias("log10_per_word"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT r, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+g AS (SELECT r, p, c, lag(c) OVER x AS b, lag(c, 2) OVER x AS a FROM u WINDOW x AS (PARTITION BY r ORDER BY p)),
+one AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+s AS (SELECT g.r, CASE WHEN t.n >= 2 THEN log10(t.n) - log10(h2.n) WHEN w2.n >= 2 THEN log10(w2.n) - log10(h1.n) + (least(3, p) - 2) * log10(0.4)
+    ELSE log10(w1.n) - log10((SELECT count(*) FROM g)) + (least(3, p) - 1) * log10(0.4) END AS l
+  FROM g JOIN one w1 ON g.c = w1.c LEFT JOIN two w2 ON g.b = w2.b AND g.c = w2.c LEFT JOIN one h1 ON g.b = h1.c
+  LEFT JOIN three t ON g.a = t.a AND g.b = t.b AND g.c = t.c LEFT JOIN two h2 ON g.a = h2.b AND g.b = h2.c),
+total AS (SELECT r, sum(l) AS l FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(l, 0), 4) AS log10_score, round(l / nullif(len(w), 0), 6) AS log10_per_word
+FROM d LEFT JOIN total USING (r)
+"""

@@ -89,6 +89,7 @@ ORACLES = {
     "op1_decontamination": decontam.ORACLE,
     "op2_near_vectors": near_vectors.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_lm_scores": lm_scores.ORACLE,
     "op6_revisits": warc.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
