@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bloom import Bloom, bits_for, seen_once
-from .shared import WORD_BYTES, as_bytes, cut, hash_all, id_hashes, slices, split_words, text_runs, words
+from .shared import WORD_BYTES, as_bytes, cut, hash_all, id_hashes, slices, split_join, split_words, text_runs, words
 
 WINDOW = 13
 ANCHORS = 2
@@ -115,7 +115,7 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, k: int =
 def aligned(index: DataFrame, marks: DataFrame, slop: int = 0) -> DataFrame:
     """(doc, key, shift): where all of a pair's shifted position lists meet, or come within slop words.
     shift is the document position of the item's first word (may be negative); with a slop, the least of those that come together."""
-    hits = index.join(marks, "term").select("doc", "key", "pair", "n_roles", "role", F.explode("positions").alias("p"), "place")
+    hits = split_join(index, marks, "term", "doc").select("doc", "key", "pair", "n_roles", "role", F.explode("positions").alias("p"), "place")
     hits = hits.select("doc", "key", "pair", "n_roles", "role", (F.col("p") - F.col("place")).alias("shift"))
     if not slop:
         met = hits.groupBy("doc", "key", "pair", "n_roles", "shift").agg(F.count_distinct("role").alias("n"))
@@ -154,10 +154,9 @@ def matches(
     found = aligned(index, marks, 0).withColumn("exact", F.lit(True))
     if slop:
         found = found.unionByName(aligned(index, marks, slop).withColumn("exact", F.lit(False)))
+    met = cut(found.groupBy("doc", "key").agg(F.collect_list(F.struct("shift", "exact")).alias("shifts")))
     cands = cut(
-        found.groupBy("doc", "key")
-        .agg(F.collect_list(F.struct("shift", "exact")).alias("shifts"))
-        .join(listed, "key")
+        split_join(met, listed, "key", "doc")
         .groupBy("doc")
         .agg(F.collect_list(F.struct("item", "words", "shifts")).alias("cands"))
     )

@@ -179,6 +179,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A join's hot keys are those of more than a HOT_KEYS-th of its rows, from HOT_ROWS rows on.
+HOT_KEYS = 4096
+HOT_ROWS = 100_000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, by: str, least: int = HOT_ROWS) -> DataFrame:
+    """left joined to right by key, where no key of left is work for one task alone. A key of more rows of left than a HOT_KEYS-th of them all, and
+    than `least`, falls into parts of about that many rows by a hash of left's column `by`; right's rows of the key go to each part. Fewer than
+    HOT_KEYS keys are split, into fewer than twice as many parts in all, so their list is broadcast. left is read twice."""
+    most = max(least, left.count() // HOT_KEYS)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    hot = F.broadcast(cut(hot.select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))))
+    parts = F.coalesce("__parts", F.lit(1))
+    own = left.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    others = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return own.join(others, [key, "__part"]).drop("__part")
+
+
 def merged_segments(parts: DataFrame, merge, schema: str) -> DataFrame:
     """Merges the rows (segment, ...) of many tasks segment by segment, as a stream: a task holds one
     row per segment, however many tasks sent one. `merge(state or None, row)` gives the new state."""

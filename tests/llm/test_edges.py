@@ -285,6 +285,29 @@ def test_very_long_texts(spark):
     assert all(r.n == r.m for r in cut) and len(cut) == 3
 
 
+def test_split_join(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_KEYS", 8)
+    left = spark.createDataFrame([("hot" if i % 3 else None if i % 2 else f"k{i}", i) for i in range(600)], "key string, id long")
+    right = spark.createDataFrame([(k, x) for k in ("hot", "k3", "k9", None, "none") for x in range(3)], "key string, x int")
+    rows = lambda df: sorted(tuple(r) for r in df.select("key", "id", "x").collect())
+    out = shared.split_join(left, right, "key", "id", least=10)
+    assert rows(out) == rows(left.join(right, "key"))
+    assert shared.split_join(left.limit(0), right, "key", "id").count() == 0
+
+
+def test_items_of_one_common_word(spark, monkeypatch):
+    """An item of one word that nearly every document has: its postings and its candidates are split."""
+    monkeypatch.setattr(shared.split_join, "__defaults__", (20,))
+    texts = [None, ""] + [f"the text {i} of The house" if i % 9 else "no such word" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "THE"), ("b", "text 5 of"), ("c", "a house"), ("d", None)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.decontaminate(docs, bench).collect()}
+    for i, text in enumerate(texts):
+        common = "the" in (text or "").lower().split()
+        five = "text 5 of" in (text or "")
+        assert got[i] == (2 * common + 3 * five, ["a"] * common + ["b"] * five)
+
+
 def test_helpers():
     import pyarrow as pa
 
