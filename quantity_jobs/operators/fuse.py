@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import finite, floor_rank, overlap_1d, round_half_up as half_up
 from .kernels import first_match
-from .rounds import TAIL, cut
+from .rounds import TAIL, by_size, cut, groups_of
 
 P = "project_id"
 
@@ -324,7 +324,25 @@ def suppress_similar_slabs(slabs: DataFrame, share: float = 0.30, tail: int = TA
     own = slabs.filter("area_m2 > 0").select(F.struct(P, "level", "slab_class").alias("g"), "seq", "area_m2", F.floor(F.log("area_m2") / width).alias("cell"), first.alias("o"))
     now = cut(own)
     kept = now.select("g", "seq").limit(0)
-    while (n := now.count()) > tail:
+    kind = kept.schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, []
+        for batch in batches:
+            rows = []
+            for k, (g, v) in enumerate(zip(groups_of(batch), batch.column(2).to_pylist(), strict=True)):
+                if g != last:
+                    last, seen = g, []
+                if not any(abs(v - x) / max(v, x) <= share for x in seen):
+                    seen.append(v)
+                    rows.append(k)
+            yield batch.select(["g", "seq"]).take(pa.array(rows, pa.int64()))
+
+    while True:
+        small, now = by_size(now, tail)
+        kept = kept.unionByName(small.repartition("g").sortWithinPartitions("g", "o").mapInArrow(scan, kind))
+        if now is None:
+            break
         cells = now.groupBy("g", "cell").agg(F.min("o").alias("o"))
         around = cells.withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in near_cells]))).groupBy("g", "cell").agg(F.min("o").alias("least"))
         new = cut(cells.join(around, ["g", "cell"]).filter("o = least").select("g", "cell", "o"))
@@ -332,20 +350,6 @@ def suppress_similar_slabs(slabs: DataFrame, share: float = 0.30, tail: int = TA
         reach = new.select(F.col("g").alias("g_"), F.explode(F.array(*[F.col("cell") + d for d in near_cells])).alias("cell_"), F.col("o.s").alias("s"), (-F.col("o.a")).alias("a"))
         like = F.abs(F.col("area_m2") - F.col("a")) / F.greatest("area_m2", "a") <= share
         now = cut(now.join(reach, (F.col("g") == F.col("g_")) & (F.col("cell") == F.col("cell_")) & (like | (F.col("seq") == F.col("s"))), "left_anti"))
-    if n:
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            areas: dict = {}
-            for batch in batches:
-                rows = []
-                for k, (g, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    seen = areas.setdefault(tuple(g.values()), [])
-                    if not any(abs(v - x) / max(v, x) <= share for x in seen):
-                        seen.append(v)
-                        rows.append(k)
-                yield batch.select(["g", "seq"]).take(pa.array(rows, pa.int64()))
-
-        kept = kept.unionByName(now.repartition(1).sortWithinPartitions("o").mapInArrow(scan, kept.schema))
     chosen = kept.select(F.col("g").alias("g_"), F.col("seq").alias("s_"))
     same = (F.struct(P, "level", "slab_class") == F.col("g_")) & (F.col("seq") == F.col("s_"))
     alike = slabs.filter("area_m2 > 0").join(chosen, same, "left_semi")

@@ -1,8 +1,9 @@
 """Choices whose result depends on an order, made in rounds of joins and aggregations instead of one scan per group.
 
-Each function gives exactly what the scan would give. What it works on shrinks with every round, every round settles at least the first candidate of each group, and
-once few enough are left (a checked count, `tail`) one task scans them in order, so that long chains don't cost a round a link. No group ever has to fit into a
-task: nodes are aggregated before rows move, and the joins are on single nodes. Rounds are checkpointed into the shared folder.
+Each function gives exactly what the scan would give. Groups of at most `tail` candidates (a count that is checked) are scanned whole, many groups side by side and a task's groups one
+after the other, so that neither their number nor their chains cost rounds. Larger groups go in rounds: what is worked on shrinks with every round, every round settles at least the first
+candidate of each group, and what is left is scanned as soon as it is small enough. No large group ever has to fit into a task: nodes are aggregated before rows move, and the joins are on
+single nodes. Rounds are checkpointed into the shared folder.
 
 Groups are lists of columns; ids and groups are compared as they are, null equal to null. Repeated candidates count once."""
 
@@ -12,8 +13,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: So many candidates, of all groups together, are scanned in one task.
+#: A group of so many candidates is scanned in one task; it is a bound for each group, as one for all together would be reached after ever more rounds the more groups there are.
 TAIL = 50_000
 
 
@@ -37,23 +39,38 @@ def _named(taken: DataFrame, group: list[str], left: str, right: str, payload: l
     return taken.select(*[F.col(f"g.{c}") for c in group], F.col("l").alias(left), F.col("r").alias(right), *[F.col(f"p.{c}") for c in payload])
 
 
+def by_size(edges: DataFrame, tail: int) -> tuple[DataFrame, DataFrame | None]:
+    """The candidates of groups of at most `tail` and those of larger ones, None if there are none. Larger groups are fewer than a tail-th of the candidates."""
+    large = cut(edges.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tail).select(F.col("g").alias("g_")))
+    if not large.limit(1).count():
+        return edges, None
+    same = F.col("g") == F.col("g_")
+    return edges.join(F.broadcast(large), same, "left_anti"), edges.join(F.broadcast(large), same, "left_semi")
+
+
+def groups_of(batch: pa.RecordBatch) -> list[tuple]:
+    """Each row's group, which is the first column, as a tuple."""
+    return list(zip(*(c.to_pylist() for c in batch.column(0).flatten()), strict=True))
+
+
 def _scanned(edges: DataFrame, shared: bool) -> DataFrame:
-    """The candidates that a scan in order takes; for a bounded number of them."""
+    """The candidates that a scan in order takes, group after group."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used_left: set = set()
-        used_right = used_left if shared else set()
+        now, used_left, used_right = None, set(), set()
         for batch in batches:
             keep = []
-            for k, (g, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
-                group = tuple(g.values())
-                if (group, a) not in used_left and (group, b) not in used_right:
-                    used_left.add((group, a))
-                    used_right.add((group, b))
+            for k, (group, a, b) in enumerate(zip(groups_of(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if group != now:
+                    now, used_left = group, set()
+                    used_right = used_left if shared else set()
+                if a not in used_left and b not in used_right:
+                    used_left.add(a)
+                    used_right.add(b)
                     keep.append(k)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return edges.repartition(1).sortWithinPartitions("o").mapInArrow(scan, edges.schema)
+    return edges.repartition("g").sortWithinPartitions("g", "o").mapInArrow(scan, edges.schema)
 
 
 def _without(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
@@ -70,7 +87,11 @@ def dominant_pairs(edges: DataFrame, group: list[str], left: str, right: str, or
     can take an end away, so the scan takes them as well. Candidates of taken ends go."""
     now = cut(_candidates(edges, group, left, right, order, payload))
     taken = now.limit(0)
-    while (n := now.count()) > tail:
+    while True:
+        small, now = by_size(now, tail)
+        taken = taken.unionByName(_scanned(small, shared))
+        if now is None:
+            return _named(taken, group, left, right, payload)
         ends = now.select("g", "o", "p", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("n")), F.struct(F.lit(0 if shared else 1).alias("side"), F.col("r").alias("n")))).alias("e"))
         first = ends.groupBy("g", "e").agg(F.min(F.struct("o", "p")).alias("b"))
         both = first.groupBy("g", F.col("b.o").alias("o")).agg(F.count(F.lit(1)).alias("ends"), F.first("b.p").alias("p"))
@@ -80,9 +101,6 @@ def dominant_pairs(edges: DataFrame, group: list[str], left: str, right: str, or
         if shared:
             lefts = rights = lefts.union(rights).distinct()
         now = cut(_without(_without(now, lefts, "l"), rights, "r"))
-    if n:
-        taken = taken.unionByName(_scanned(now, shared))
-    return _named(taken, group, left, right, payload)
 
 
 def deferred_choice(edges: DataFrame, group: list[str], left: str, right: str, preference: list[Column], payload: list[str] = [], tail: int = TAIL) -> DataFrame:  # noqa: B006
@@ -92,7 +110,11 @@ def deferred_choice(edges: DataFrame, group: list[str], left: str, right: str, p
     give up that right id for good: the one held would rather have it than anything it has left. A right id that holds the smallest of all its candidates is settled."""
     now = cut(_candidates(edges, group, left, right, [F.col(left), *preference], payload))
     taken = now.limit(0)
-    while (n := now.count()) > tail:
+    while True:
+        small, now = by_size(now, tail)
+        taken = taken.unionByName(_scanned(small, False))
+        if now is None:
+            return _named(taken, group, left, right, payload)
         proposed = now.groupBy("g", "l").agg(F.min(F.struct("o", "p")).alias("b"))
         held = proposed.groupBy("g", F.col("b.o.r").alias("n")).agg(F.min(F.struct("l", "b")).alias("h"))
         lowest = now.groupBy("g", F.col("r").alias("n")).agg(F.min("l").alias("least"))
@@ -102,9 +124,6 @@ def deferred_choice(edges: DataFrame, group: list[str], left: str, right: str, p
         known = state.select(F.col("g").alias("g_"), F.col("n").alias("n_"), "held", "settled")
         left_over = now.join(known, (F.col("g") == F.col("g_")) & (F.col("r") == F.col("n_")), "left").filter("held IS NULL OR (NOT settled AND l <= held)").select(*now.columns)
         now = cut(_without(left_over, new.select("g", F.col("l").alias("n")), "l"))
-    if n:
-        taken = taken.unionByName(_scanned(now, False))
-    return _named(taken, group, left, right, payload)
 
 
 def first_independent(covers: DataFrame, group: list[str], order: list[Column], tail: int = TAIL) -> DataFrame:
@@ -114,29 +133,32 @@ def first_independent(covers: DataFrame, group: list[str], order: list[Column],
     own = covers.select(F.struct(*group).alias("g"), "a", "b", F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("a").alias("a")).alias("o"))
     now = cut(own)
     gone = now.select("g", F.col("b").alias("n")).limit(0)
-    while (n := now.count()) > tail:
+    kind = gone.schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out = None, set()
+        for batch in batches:
+            rows = []
+            for k, (group_, a, b) in enumerate(zip(groups_of(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if group_ != last:
+                    last, out = group_, set()
+                if a not in out and b not in out:
+                    out.add(b)
+                    rows.append(k)
+            found = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], ["g", "n"])
+
+    while True:
+        small, now = by_size(now, tail)
+        gone = gone.unionByName(small.repartition("g").sortWithinPartitions("g", "o").mapInArrow(scan, kind))
+        if now is None:
+            return gone.select(*[F.col(f"g.{c}") for c in group], F.col("n").alias("id"))
         sources = now.select("g", F.col("a").alias("n")).distinct()
         free = _without(sources.withColumnRenamed("n", "x"), now.select("g", F.col("b").alias("n")).distinct(), "x")
         hit = now.join(free.select(F.col("g").alias("g_"), F.col("x").alias("n_")), (F.col("g") == F.col("g_")) & (F.col("a") == F.col("n_")), "left_semi")
         new = cut(hit.select("g", F.col("b").alias("n")).distinct())
         gone = gone.unionByName(new)
         now = cut(_without(_without(now, new, "a"), new, "b"))
-    if n:
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out: set = set()
-            for batch in batches:
-                rows = []
-                for k, (g, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
-                    group_ = tuple(g.values())
-                    if (group_, a) not in out and (group_, b) not in out:
-                        out.add((group_, b))
-                        rows.append(k)
-                found = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], ["g", "n"])
-
-        gone = gone.unionByName(now.repartition(1).sortWithinPartitions("o").mapInArrow(scan, gone.schema))
-    return gone.select(*[F.col(f"g.{c}") for c in group], F.col("n").alias("id"))
 
 
 def nearest(points: DataFrame, marks: DataFrame, group: list[str], ident: list[str], payload: str, size: float) -> DataFrame:
@@ -178,18 +200,19 @@ def components(links: DataFrame, group: list[str], tail: int = TAIL) -> DataFram
     no link joins two roots. Links within a root go, so that few are left soon."""
     now = cut(links.select(F.struct(*group).alias("g"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     roots = cut(now.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")))
-    while n := now.count():
-        if n <= tail:
-            hooks = cut(_small_components(now))
-        else:
+    while now.limit(1).count():
+        small, large = by_size(now, tail)
+        hooks = cut(_small_components(small))
+        if large is not None:
             # the larger end of each link points at its smallest neighbour; pointers lead down, so following them ends
-            hooks = cut(now.groupBy("g", F.col("b").alias("n")).agg(F.min("a").alias("to")))
+            down = cut(large.groupBy("g", F.col("b").alias("n")).agg(F.min("a").alias("to")))
             while True:
-                next_ = hooks.select(F.col("g").alias("g_"), F.col("n").alias("n_"), F.col("to").alias("to_"))
-                moved = cut(hooks.join(next_, (F.col("g") == F.col("g_")) & (F.col("to") == F.col("n_")), "left").select("g", "n", F.coalesce("to_", "to").alias("to"), F.col("to_").isNotNull().alias("moved")))
-                hooks = moved.select("g", "n", "to")
+                next_ = down.select(F.col("g").alias("g_"), F.col("n").alias("n_"), F.col("to").alias("to_"))
+                moved = cut(down.join(next_, (F.col("g") == F.col("g_")) & (F.col("to") == F.col("n_")), "left").select("g", "n", F.coalesce("to_", "to").alias("to"), F.col("to_").isNotNull().alias("moved")))
+                down = moved.select("g", "n", "to")
                 if not moved.filter("moved").limit(1).count():
                     break
+            hooks = hooks.unionByName(down)
         own = hooks.select(F.col("g").alias("g_"), F.col("n").alias("n_"), "to")
         follow = lambda df, c: df.join(own, (F.col("g") == F.col("g_")) & (F.col(c) == F.col("n_")), "left").withColumn(c, F.coalesce("to", c)).drop("g_", "n_", "to")  # noqa: E731, B023
         roots = cut(follow(roots, "root"))
@@ -199,30 +222,35 @@ def components(links: DataFrame, group: list[str], tail: int = TAIL) -> DataFram
 
 
 def _small_components(links: DataFrame) -> DataFrame:
-    """(g, n, to): the smallest id that each larger one reaches, by union-find over a bounded number of links."""
+    """(g, n, to): the smallest id that each larger one reaches, by union-find group after group."""
+    kind = links.select("g", F.col("b").alias("n"), F.col("a").alias("to")).schema
+    schema = to_arrow_schema(kind)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict = {}
+        now, fields = None, None
 
         def top(x):
             while root.setdefault(x, x) != x:
                 root[x] = x = root[root[x]]
             return x
 
-        groups: dict = {}
+        def rows() -> list[dict]:
+            return [{"g": fields, "n": x, "to": top(x)} for x in list(root) if top(x) != x]
+
         for batch in batches:
-            for g, a, b in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True):
-                group = tuple(g.values())
-                groups[group] = g
-                x, y = top((group, a)), top((group, b))
+            done = []
+            for group, a, b in zip(groups_of(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if group != now:
+                    done += rows()
+                    root.clear()
+                    now, fields = group, dict(zip(names, group, strict=True))
+                x, y = top(a), top(b)
                 if x != y:
-                    low, high = (x, y) if x[1] < y[1] else (y, x)
-                    root[high] = low
-        rows = [{"g": groups[x[0]], "n": x[1], "to": top(x)[1]} for x in list(root) if top(x) != x]
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    kind = links.select("g", F.col("b").alias("n"), F.col("a").alias("to"))
-    from pyspark.sql.pandas.types import to_arrow_schema
+                    root[max(x, y)] = min(x, y)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+        yield pa.RecordBatch.from_pylist(rows(), schema=schema)
 
-    schema = to_arrow_schema(kind.schema)
-    return links.repartition(1).mapInArrow(join, kind.schema)
+    names = kind["g"].dataType.names
+    return links.repartition("g").sortWithinPartitions("g").mapInArrow(join, kind)

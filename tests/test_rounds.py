@@ -53,6 +53,16 @@ def test_deferred_choice_of_one_large_project(spark):
     assert sorted(map(tuple, got.collect())) == scan([(g, (a, o), a, b) for g, a, b, o in rows])
 
 
+def test_small_groups_need_no_rounds(spark, monkeypatch):
+    """Chains of a hundred groups, which are more than the tail only together: one cut for the candidates and one for the large groups, of which there are none."""
+    cuts = []
+    monkeypatch.setattr(rounds, "cut", lambda df: cuts.append(1) or df.localCheckpoint())
+    rows = [(g, a, b, 0) for g in range(100) for a in range(20) for b in range(a + 1)]
+    got = rounds.deferred_choice(spark.createDataFrame(rows, "g int, a long, b long, o int"), ["g"], "a", "b", [-F.col("b")], tail=1_000)
+    assert sorted(map(tuple, got.collect())) == scan([(g, (a, -b), a, b) for g, a, b, _ in rows])
+    assert len(cuts) == 2
+
+
 @pytest.mark.parametrize("tail", TAILS)
 def test_first_independent(spark, tail):
     rng = random.Random(tail + 2)
