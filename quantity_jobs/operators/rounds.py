@@ -161,27 +161,41 @@ def first_independent(covers: DataFrame, group: list[str], order: list[Column],
         now = cut(_without(_without(now, new, "a"), new, "b"))
 
 
-def nearest(points: DataFrame, marks: DataFrame, group: list[str], ident: list[str], payload: str, size: float) -> DataFrame:
+#: So many marks of a group travel as one array, and each of its points looks at all of them.
+FEW_MARKS = 64
+
+
+def nearest(points: DataFrame, marks: DataFrame, group: list[str], ident: list[str], payload: str, size: float, few: int = FEW_MARKS) -> DataFrame:
     """(group, ident, payload): for each point (group, ident, px, py) the mark (group, seq, x, y, payload) of its group that is nearest, the smallest seq on ties; points of groups
     without marks are left out.
 
-    Rings of cells: with cells as wide as the reach, all marks within reach of a point lie in its cell or the eight around it, so the nearest found there is the nearest of all
+    Groups of at most `few` marks are looked through whole. For larger ones, rings of cells: with cells as wide as the reach, all marks within reach of a point lie in its cell or the eight around it, so the nearest found there is the nearest of all
     once it lies within reach. Points that have found none so near go on with three times the reach; marks are put into nine cells each, points into one. Of marks at one place only the
     first counts."""
     own = [F.col(c).alias(f"g{k}") for k, c in enumerate(group)]
     g = [f"g{k}" for k in range(len(group))]
     first = marks.filter("x IS NOT NULL AND y IS NOT NULL").groupBy(*own, "x", "y").agg(F.min_by(F.struct("seq", F.col(payload).alias("what")), "seq").alias("m"))
     first = cut(first)
+    every = points.select(*own, F.struct(*ident).alias("id"), "px", "py").filter("px IS NOT NULL AND py IS NOT NULL")
+    sizes = first.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+    listed = first.join(sizes.filter(F.col("n") <= few), g, "left_semi").groupBy(*g).agg(F.collect_list(F.struct("x", "y", "m")).alias("marks"))
+    far = lambda k: (k["x"] - F.col("px")) * (k["x"] - F.col("px")) + (k["y"] - F.col("py")) * (k["y"] - F.col("py"))
+    best_of = F.array_min(F.transform("marks", lambda k: F.struct(far(k).alias("d"), k["m"]["seq"].alias("seq"), k["m"]["what"].alias("what"))))
+    out = every.join(listed, g).select(*g, "id", best_of["what"].alias("what"))
+    named = [*[F.col(f"g{k}").alias(c) for k, c in enumerate(group)], *[F.col(f"id.{c}") for c in ident], F.col("what").alias(payload)]
+    large = sizes.filter(F.col("n") > few).select(*g)
+    if not large.limit(1).count():
+        return out.select(*named)
     # groups without marks would go on for ever, and none needs to look farther than across all marks and points
-    asked = points.select(*own, F.struct(*ident).alias("id"), "px", "py").filter("px IS NOT NULL AND py IS NOT NULL").join(first.select(*g).distinct(), g, "left_semi")
-    now, reach, out = cut(asked), float(size), None
+    first = first.join(large, g, "left_semi")
+    now, reach = cut(every.join(large, g, "left_semi")), float(size)
     while True:
         at = lambda c: F.floor(F.col(c) / reach)  # noqa: E731, B023
         around = first.withColumns({"cx": F.explode(F.array(*(at("x") + d for d in (-1, 0, 1)))), "top": at("y")}).withColumn("cy", F.explode(F.array(*(F.col("top") + d for d in (-1, 0, 1))))).drop("top")
         d = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
         found = now.withColumns({"cx": at("px"), "cy": at("py")}).join(around, [*g, "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= reach * reach)
         best = cut(found.groupBy(*g, "id").agg(F.min_by("m.what", F.struct("d", "m.seq")).alias("what")))
-        out = best if out is None else out.unionByName(best)
+        out = out.unionByName(best)
         done = best.select(*[F.col(c).alias(f"{c}_") for c in g], F.col("id").alias("id_"))
         same = (F.col("id") == F.col("id_")) & F.lit(True)
         for c in g:
@@ -190,7 +204,7 @@ def nearest(points: DataFrame, marks: DataFrame, group: list[str], ident: list[s
         if not now.limit(1).count():
             break
         reach *= 3
-    return out.select(*[F.col(f"g{k}").alias(c) for k, c in enumerate(group)], *[F.col(f"id.{c}") for c in ident], F.col("what").alias(payload))
+    return out.select(*named)
 
 
 def components(links: DataFrame, group: list[str], tail: int = TAIL) -> DataFrame:
