@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.exprs import angle_180, angle_gap, box_iou, clamp, distance, point_segment_distance, polygon_area, round_half_up as half_up
 from .clean import segment_bbox
 from .kernels import fuse_touching
-from .rounds import components, deferred_choice, dominant_pairs, first_independent, nearest
+from .rounds import components, cut, deferred_choice, dominant_pairs, first_independent, nearest
 
 P = "project_id"
 #: Collinear segments are sorted within bands of so many times the alignment.
@@ -228,40 +228,50 @@ def _passed_cells(x1: Column, y1: Column, x2: Column, y2: Column, cell: Column)
 RAY_RINGS = (0.0, 0.1, 0.3, 1.0)
 #: Most grid cells along a page's diagonal; a page has about as many cells as lines.
 CELLS_ACROSS = 256
+#: On pages of so many lines each ray looks at all of them until it has crossed one.
+FEW_LINES = 512
 
 
-def raycast_class(lines: DataFrame) -> DataFrame:
+def raycast_class(lines: DataFrame, few: int = FEW_LINES) -> DataFrame:
     """(project_id, page_index, seq, wall_class): rays both ways across each centre line (x1, y1, x2, y2, thickness, eps); a side on which no other line is crossed makes it external.
-    A ray meets the lines in the grid cells that it passes, near ones first: only rays that have crossed nothing so far go on to the next ring of cells."""
+    On pages of more than `few` lines a ray meets the lines in the grid cells that it passes, near ones first: only rays that have crossed nothing so far go on to the next ring of cells."""
     keys = [P, "page_index"]
     own = measured_lines(lines)
     page = own.groupBy(*keys).agg(
         distance(F.greatest(F.max("x1"), F.max("x2")), F.greatest(F.max("y1"), F.max("y2")), F.least(F.min("x1"), F.min("x2")), F.least(F.min("y1"), F.min("y2"))).alias("diag"),
         F.least(F.lit(CELLS_ACROSS), F.ceil(F.sqrt(F.count(F.lit(1))))).alias("across"),
+        (F.count(F.lit(1)) > few).alias("large"),
     )
+    page = cut(page)
     sized = own.join(page, keys).withColumn("cell", F.greatest(F.col("diag") / F.col("across"), F.lit(1e-3)))
     n = F.when(F.col("len") == 0, 1.0).otherwise(F.col("len"))
     off, reach = F.col("thickness") / 2 + F.col("eps"), F.col("diag") * 1.5
     both = sized.withColumn("sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
     nx, ny = F.col("sign") * -(F.col("y2") - F.col("y1")) / n, F.col("sign") * (F.col("x2") - F.col("x1")) / n
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    rays = both.select(*keys, "seq", "sign", "cell", (cx + nx * off).alias("sx"), (cy + ny * off).alias("sy"), (nx * (reach - off)).alias("dx"), (ny * (reach - off)).alias("dy"))
-    other = sized.select(
-        *keys, F.col("seq").alias("o"), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"), F.col("x2").alias("ox2"), F.col("y2").alias("oy2"), F.explode(_passed_cells(*map(F.col, ("x1", "y1", "x2", "y2", "cell")))).alias("at")
-    )
+    rays = both.select(*keys, "seq", "sign", "cell", "large", (cx + nx * off).alias("sx"), (cy + ny * off).alias("sy"), (nx * (reach - off)).alias("dx"), (ny * (reach - off)).alias("dy"))
+    ends = [F.col("seq").alias("o"), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"), F.col("x2").alias("ox2"), F.col("y2").alias("oy2")]
     ex, ey = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
     den = F.col("dx") * ey - F.col("dy") * ex
     safe = F.when(F.abs(den) < 1e-9, F.lit(None)).otherwise(den)
     t = ((F.col("ox1") - F.col("sx")) * ey - (F.col("oy1") - F.col("sy")) * ex) / safe
     u = ((F.col("ox1") - F.col("sx")) * F.col("dy") - (F.col("oy1") - F.col("sy")) * F.col("dx")) / safe
     crossed = F.coalesce((t > 0.001) & (t < 0.999) & (u > 0.001) & (u < 0.999), F.lit(False))
-    free = rays
+    all_of = own.select(*(F.col(k).alias(f"{k}_") for k in keys), *ends)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))
+    open_ = rays.filter(~F.col("large")).join(all_of, same & (F.col("seq") != F.col("o")) & crossed, "left_anti").select(*keys, "seq")
+    if page.filter("large").limit(1).count():
+        open_ = open_.unionByName(_open_by_rings(rays.filter("large"), sized.filter("large").select(*keys, *ends, F.explode(_passed_cells(*map(F.col, ("x1", "y1", "x2", "y2", "cell")))).alias("at")), keys, crossed))
+    open_ = open_.distinct().withColumn("open", F.lit(True))
+    return own.select(*keys, "seq").join(open_, [*keys, "seq"], "left").select(*keys, "seq", F.when(F.col("open"), "external").otherwise("internal").alias("wall_class"))
+
+
+def _open_by_rings(free: DataFrame, other: DataFrame, keys: list[str], crossed: Column) -> DataFrame:
     for start, end in zip(RAY_RINGS, RAY_RINGS[1:], strict=False):
         span = [F.col(f"s{c}") + F.col(f"d{c}") * share for share in (start, end) for c in ("x", "y")]
         met = free.withColumn("at", F.explode(_passed_cells(*span, F.col("cell")))).join(other, [*keys, "at"]).filter((F.col("seq") != F.col("o")) & crossed)
         free = free.join(met.select(*keys, "seq", "sign").distinct(), [*keys, "seq", "sign"], "left_anti")
-    open_ = free.select(*keys, "seq").distinct().withColumn("open", F.lit(True))
-    return own.select(*keys, "seq").join(open_, [*keys, "seq"], "left").select(*keys, "seq", F.when(F.col("open"), "external").otherwise("internal").alias("wall_class"))
+    return free.select(*keys, "seq")
 
 
 def text_to_segment(texts: DataFrame, segments: DataFrame) -> DataFrame:
