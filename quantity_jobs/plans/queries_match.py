@@ -238,7 +238,8 @@ def merge_touching(t):
 
 def _bim(t):
     """Relation tables out of walls: a storey per level, properties of some walls, an opening per door."""
-    w, s = t("walls"), F.col("seq")
+    # nine relations are cut out of them
+    w, s = io.staged(t("walls").select("project_id", "seq", "level", "wall_class", "length_m", "height_m", "thickness_m", "door_code", "door_w", "door_h"), "walls"), F.col("seq")
     elements = w.select("project_id", F.concat(F.lit("e"), s.cast("string")).alias("element_id"), F.when(s % 5 == 4, "slab").otherwise("wall").alias("kind"), F.col("thickness_m").alias("ext_x"), (-F.col("length_m")).alias("ext_y"), F.col("height_m").alias("ext_z"))
     doors = w.filter("door_code IS NOT NULL").select("project_id", F.concat(F.lit("d"), s.cast("string")).alias("element_id"), F.lit("door").alias("kind"), F.lit(0.1).alias("ext_x"), F.col("door_w").alias("ext_y"), F.col("door_h").alias("ext_z"))
     rel = lambda df, kind, a, b: df.select("project_id", F.lit(kind).alias("rel"), a.alias("parent_id"), b.alias("child_id"))

@@ -23,7 +23,11 @@ def against_sql(spark, name):
     return plain(got.select(*columns).collect()), plain(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["accuracy_gate"])
+@pytest.mark.parametrize("name", ["accuracy_gate", "bim_walls"])
 def test_query_is_its_sql(spark, name):
     got, want = against_sql(spark, name)
     assert got == want and got
+
+
+def test_bim_relations_come_from_one_reading_of_the_walls(spark):
+    assert "Window" not in queries()["bim_walls"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
