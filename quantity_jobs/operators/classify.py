@@ -220,7 +220,7 @@ def _spread_join(rows: DataFrame, decisions: DataFrame, keys: list[str], few: in
 def feedback_override(walls: DataFrame, feedback: DataFrame, projects: DataFrame, few: int = FEW_DECISIONS) -> DataFrame:
     """Walls reclassified or removed by the votes of their client and of curated exemplars. The highest tier with a vote decides, even if it misses
     its quorum. Decisions are one row per client and signature, far fewer than walls."""
-    votes = feedback_vote(feedback, projects)
+    votes = cut(feedback_vote(feedback, projects))
     curated = votes.filter("tier = 3").select("signature", F.struct("decision", "quorum").alias("v3"))
     own = votes.filter("tier < 3").groupBy("client", "signature").agg(F.max_by(F.struct("decision", "quorum"), "tier").alias("v2"))
     client = F.lower(F.trim(F.coalesce("client_name", F.lit(""))))

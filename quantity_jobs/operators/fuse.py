@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import finite, floor_rank, overlap_1d, round_half_up as half_up
+from ..sources.io import dealt, staged
 from .kernels import first_match
 from .rounds import TAIL, by_size, cut, groups_of
 
@@ -29,9 +30,10 @@ def union_views(*views: DataFrame, view: str = "plan") -> DataFrame:
     return out.withColumn("primary_view", F.coalesce(named, F.lit(view)))
 
 
-def merge_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
+def merge_schedule_walls(walls: DataFrame, sched: DataFrame, changes: bool = False) -> DataFrame:
     """(project_id, level, wall_class, seq, wall_id, length_m, height_m, thickness_m, source, confidence): each schedule row, in order, overwrites the
-    first wall of its level and class whose length is within 0.5 m, or is added; later rows see earlier changes."""
+    first wall of its level and class whose length is within 0.5 m, or is added; later rows see earlier changes. changes: only the walls overwritten (side 0) and
+    added (side 1)."""
     keys = [P, "level", "wall_class"]
     columns = ["seq", "wall_id", "length_m", "height_m", "thickness_m", "source", "confidence"]
     base = 1 << 40  # places added walls behind those extracted
@@ -58,13 +60,16 @@ def merge_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
                 measure.append(own)
             row.append(own)
         row, measure = np.concatenate(row), np.concatenate(measure)
+        if changes:
+            touched = (row != measure) | (side[row] == 1)
+            row, measure = row[touched], measure[touched]
         new = side[row] == 1
         out = table.take(pa.array(row))
         measured = table.select(["length_m", "height_m", "thickness_m", "source", "confidence"]).take(pa.array(measure))
         for c in measured.column_names:
             out = out.set_column(out.column_names.index(c), c, measured[c])
         out = out.set_column(out.column_names.index("seq"), "seq", pa.array(out["seq"].to_numpy() + np.where(new, base, 0)))
-        return out.select([*keys, *columns])
+        return out.select([*keys, *columns, "side"] if changes else [*keys, *columns])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each batch only its own rows are looked at, so that a group of many batches costs no more than its rows."""
@@ -90,7 +95,20 @@ def merge_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
         if held:
             yield from merged(pa.Table.from_batches(held)).to_batches()
 
-    return rows.mapInArrow(merge, "project_id long, level string, wall_class string, seq long, wall_id string, length_m double, height_m double, thickness_m double, source string, confidence double")
+    kind = "project_id long, level string, wall_class string, seq long, wall_id string, length_m double, height_m double, thickness_m double, source string, confidence double"
+    return rows.mapInArrow(merge, kind + ", side int" if changes else kind)
+
+
+def add_schedule_walls(walls: DataFrame, sched: DataFrame) -> DataFrame:
+    """walls with all their columns after merge_schedule_walls, in buckets by project; columns that it doesn't know are null in added walls. The scan gets what it reads of a
+    wall, and only what it changed is joined and added, so that walls which lie by project don't move."""
+    measures = ["length_m", "height_m", "thickness_m", "source", "confidence"]
+    unread = (F.lit(None).cast(walls.schema[c].dataType).alias(c) for c in ("wall_id", *measures[1:]))
+    touched = staged(merge_schedule_walls(walls.select(P, "level", "wall_class", "seq", "length_m", *unread), sched, changes=True), "scheduled")
+    hit = touched.filter("side = 0").select(P, "seq", F.struct(*measures).alias("__hit"))
+    own = walls.join(hit, [P, "seq"], "left")
+    own = own.withColumns({c: F.when(F.col("__hit").isNotNull(), F.col(f"__hit.{c}")).otherwise(F.col(c)) for c in measures}).drop("__hit")
+    return dealt("walls", own, touched.filter("side = 1").drop("side"))
 
 
 def schedule_opening_dims(walls: DataFrame, sched_openings: DataFrame) -> DataFrame:

@@ -358,6 +358,7 @@ def building_type_vote(t):
 
 @query()
 def fusion(t):
+    t.keep("wall_base")
     walls, slabs = pipelines.fuse_views(t.walls(), t("slabs"), t("sched_openings"), t("sched_areas"), t("projects"), dims.heuristics(t.spark), t("feedback"), t("side_hints"), t("sched_walls"))
     w = walls.select("project_id", F.col("wall_id").alias("element_id"), "level", F.col("wall_class").alias("element_class"), F.col("length_m").alias("measure"), "source", "needs_review")
     return w.unionByName(slabs.select("project_id", F.col("slab_id").alias("element_id"), "level", F.col("slab_class").alias("element_class"), F.col("area_m2").alias("measure"), "source", F.lit(False).alias("needs_review")))
@@ -365,6 +366,7 @@ def fusion(t):
 
 @query()
 def takeoff_budget(t):
+    t.keep("wall_base")
     return pipelines.takeoff_to_budget(
         t.walls(), t("slabs"), t("corners"), t("sections"), t.envelopes(), t("sched_openings"), t("sched_areas"), t("projects"), dims.heuristics(t.spark), t("feedback"), t("side_hints")
     )[0]
