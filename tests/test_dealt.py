@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quantity_jobs.operators import fuse
-from quantity_jobs.plans import pipelines, queries_fuse
+from quantity_jobs.plans import pipelines, queries_fuse, testdata
 from quantity_jobs.plans.testdata import Tables
 from quantity_jobs.sources.io import as_they_lie, dealt
 
@@ -67,3 +69,16 @@ def test_add_schedule_walls(spark):
     assert {r.seq: r.page_index for r in rows if r.seq < 200} == {k: k % 3 for k in range(200)}
     added = [r for r in rows if r.seq >= 200]
     assert added and all(r.page_index is None and r.source == "table" for r in added)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """More rows make more tasks, and adaptive execution doesn't put them together again."""
+    monkeypatch.setattr(testdata, "TASK_ROWS", 6000, raising=False)
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    try:
+        rows = Tables(spark, "/root/testdata/sf0.01")("walls").select("project_id", "seq", F.spark_partition_id().alias("task"))
+        sizes = [r["count"] for r in rows.groupBy("task").count().collect()]
+    finally:
+        spark.conf.set(setting, before)
+    assert sum(sizes) == 60_000 and len(sizes) > int(before) and max(sizes) <= 15_000
