@@ -327,7 +327,9 @@ def _tree_links(x: list[np.ndarray], y: list[np.ndarray], names: list[int], othe
 def tiled_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int, tile: int = TILE) -> DataFrame:
     """(a, b): links within the clusters of large regions. Each cluster's classes fall into blocks, and every two blocks are one task."""
     clusters = cut(components(stars))
-    held = stars.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, bits_for(clusters.count())))
+    if not (n_classes := clusters.count()):
+        return stars
+    held = stars.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, bits_for(n_classes)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,7 +381,7 @@ def _class_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
 
 
 def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -389,10 +391,10 @@ def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.join(x, "a").join(y, "b")
 
 
-def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def plausible(pairs: DataFrame, n_pairs: int, prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs whose regions leave enough room for a link, and (cls, id) of one document for each class of pairs. Of two sets, a common shingle beyond the regions
     of the one whose regions end first is in its remainder; so their overlap is at most the regions shared plus that remainder."""
-    held = pairs.sparkSession.sparkContext.broadcast(seen_once(_ends(pairs), _class_hashes, bits_for(2 * pairs.count())))
+    held = pairs.sparkSession.sparkContext.broadcast(seen_once(_ends(pairs), _class_hashes, bits_for(2 * n_pairs)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +402,7 @@ def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> tuple[Data
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema)
     picked = prefixes.mapInArrow(pick, schema).dropDuplicates(["cls"])
-    picked = cut(picked.join(_ends(pairs), "cls", "left_semi"))
+    picked = cut(picked.join(_ends(pairs).distinct(), "cls", "left_semi"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,10 +422,10 @@ def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> tuple[Data
 
 def within(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the pairs of classes (a, b), those whose sets are similar enough; measured on whole sets."""
-    near, where = plausible(pairs, prefixes, percent)
-    ends = _ends(near)
-
-    made = sets_of(docs, cut(where.join(ends, "cls", "left_semi").select("id")), n)
+    if not (n_pairs := pairs.count()):
+        return pairs
+    near, where = plausible(pairs, n_pairs, prefixes, percent)
+    made = sets_of(docs, cut(where.join(_ends(near).distinct(), "cls", "left_semi").select("id")), n)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

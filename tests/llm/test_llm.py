@@ -119,6 +119,42 @@ def test_components(spark):
     assert got == brute_components({i for x in links for i in x}, links)
 
 
+@pytest.mark.parametrize(("tail", "run"), [(0, 7), (0, 250_000), (50_000, 7), (660, 250_000)])
+def test_components_in_runs(spark, tail, run):
+    """By rounds and by one task, from forests of runs of any length."""
+    rng = random.Random(4)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(420)] + [(k, k + 1) for k in range(1000, 1100)] * 2
+    links += [(5000, k) for k in range(4950, 5100)] + [(None, 1), (2, None), (7777, 7777)]
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(5), tail=tail, run=run).collect()
+    links = [x for x in links if None not in x and x[0] != x[1]]
+    want = brute_components({i for x in links for i in x}, links)
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long"), tail=tail).count() == 0
+
+
+def test_jobs_of_components_and_jaccard(spark):
+    """The driver holds something of every job; a long path took ten jobs a round, some 110 in all, and this join 200."""
+
+    def jobs(name, make):
+        spark.sparkContext.setJobGroup(name, name)
+        rows = make().collect()
+        spark.sparkContext.setJobGroup("other", "other")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), rows
+
+    path = spark.createDataFrame([(k, k + 1) for k in range(1000)], "a long, b long")
+    n, rows = jobs("path", lambda: components(path))
+    assert n <= 12 and {r.component for r in rows} == {0} and len(rows) == 1001
+    rng, texts = random.Random(6), []
+    for g in range(6):
+        own = [f"g{g}w{k}" for k in range(80)]
+        for k in range(25):
+            texts.append((len(texts), " ".join(own)))
+            own = [*own]
+            own[rng.randrange(80)] = f"g{g}n{k}"
+    n, rows = jobs("copies", lambda: jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), n=4, percent=85))
+    assert n <= 130 and len(rows) == 150 and len({r.component_id for r in rows}) < 150
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 50)])
 def test_jaccard(docs, empty, n, percent):
     own = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
