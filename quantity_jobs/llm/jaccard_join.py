@@ -7,7 +7,8 @@ within the radius can differ in, so that any two such sets share a region. In a
 pivot: by the triangle inequality only sizes within a window can meet. Each window then joins recursively, on what is not yet
 linked: first around a few pivot documents for all regions, then small regions pair by pair and large ones in tiles of
 blocks, which makes the result exact and ships a document once per tile rather than once per pair. Pairs are measured on
-whole sets, after a bound from the shared regions.
+whole sets, after a bound from sketches: a set's sketch has the parity of its shingles in each of as many cells as the set is large or more, and
+two sets differ in at least as many shingles as their sketches do in cells.
 
 Equal sets are one class throughout. Classes are named by a 64-bit hash of the set.
 
@@ -35,8 +36,11 @@ CELLS_LOG2 = 21
 CELLS_IN_SEGMENT = 128
 #: Pivots differ between regions in so many ways.
 PIVOT_ORDERS = 4
-#: Regions of more classes than this, not yet of one component, are joined in tiles of blocks of about TILE classes.
+#: Regions of more classes than this, not yet of one component, are joined in tiles of blocks: of about so many sketches or bytes of sketches
+#: first, then, among classes whose sketches leave room for a link, of about TILE sets.
 LARGE_REGION = 48
+SKETCHES = 2048
+SKETCH_BYTES = 8 << 20
 TILE = 256
 #: A task tells repeated classes by the last so many that it met.
 SEEN_CLASSES = 100_000
@@ -60,6 +64,25 @@ def class_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), len(own))).astype(np.int64))
 
 
+def sketch_of(own: np.ndarray) -> bytes:
+    """The parity of how many shingles fall into each cell, by their low bits; as many cells as shingles or up to twice as many, 64 at least."""
+    cells = max(64, 1 << (len(own) - 1).bit_length())
+    n = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, width: int) -> np.ndarray:
+    """A sketch as it would be in so many bytes, at most its own."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, width // 8), axis=0)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n, m, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar enough, by their sketches x and y, of one width."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    most = np.minimum((n + m - apart) // 2, np.minimum(n, m))
+    return 100 * most >= percent * (n + m - most)
+
+
 def word_ranks(docs: DataFrame) -> np.ndarray:
     """By hash cell: the binary logarithm of how many words of the corpus fall there."""
     cells, shift = 1 << CELLS_LOG2, np.uint64(64 - CELLS_LOG2)
@@ -91,8 +114,8 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
 
 
 def regions(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, cls, n_shingles) of every row, and (id, cls, size, inner, end_rank, regions): each class, once per task that met it, with its
-    regions, nearest first. The first `inner` ones are within reach of partners of at least the class's own size."""
+    """(id, cls, n_shingles) of every row, and (id, cls, size, inner, sketch, regions): each class, once per task that met it, with its
+    sketch and its regions, nearest first. The first `inner` ones are within reach of partners of at least the class's own size."""
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
     shift = np.uint64(64 - CELLS_LOG2)
 
@@ -103,7 +126,7 @@ def regions(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
                 h, counts = hashed_words(texts, LOWER_AZ)
                 flat, sizes = run_shingles(h, counts, n)
                 rank = ranks.value[(h >> shift).astype(np.int64)]
-                classes, lengths, inners, ends, lists = [], [], [], [], []
+                classes, lengths, inners, sketches, lists = [], [], [], [], []
                 word, shingle = 0, 0
                 for words_, size in zip(counts.tolist(), sizes.tolist(), strict=True):
                     own, first = np.unique(flat[shingle : shingle + size], return_index=True)
@@ -113,7 +136,7 @@ def regions(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
                     classes.append(cls)
                     lengths.append(len(own))
                     if cls is None or cls in seen:
-                        for x in (inners, ends, lists):
+                        for x in (inners, sketches, lists):
                             x.append(None)
                         continue
                     if len(seen) >= SEEN_CLASSES:
@@ -127,18 +150,18 @@ def regions(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
                     reach = len(own) - _ceil_div(percent * len(own), 100) + 1
                     chosen = np.lexsort((own, least))[:reach]
                     inners.append(len(own) - _ceil_div(2 * percent * len(own), 100 + percent) + 1)
-                    ends.append(int(least[chosen[-1]]))
+                    sketches.append(sketch_of(own))
                     lists.append(own[chosen].astype(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in lists])]).astype(np.int32)
                 values = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)])
                 packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in lists], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(classes, pa.int64()), *(pa.array(x, pa.int32()) for x in (lengths, inners, ends)), packed],
-                    ["id", "cls", "size", "inner", "end_rank", "regions"],
+                    [batch.column(0).slice(start, len(texts)), pa.array(classes, pa.int64()), *(pa.array(x, pa.int32()) for x in (lengths, inners)), pa.array(sketches, pa.binary()), packed],
+                    ["id", "cls", "size", "inner", "sketch", "regions"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    both = cut(docs.select("id", _TEXT).mapInArrow(name, f"id {kind}, cls long, size int, inner int, end_rank int, regions array<long>"))
+    both = cut(docs.select("id", _TEXT).mapInArrow(name, f"id {kind}, cls long, size int, inner int, sketch binary, regions array<long>"))
     return both.select("id", "cls", F.col("size").cast("long").alias("n_shingles")), both.filter("regions IS NOT NULL")
 
 
@@ -239,16 +262,18 @@ def _windows(order: int, cls: np.ndarray, size: np.ndarray, inner: np.ndarray, p
 
 
 def shared_and_pivots(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(region, cls, code) of the regions that hold two classes or more, each class once, and (a, b): the pairs around pivot documents."""
+    """(region, cls, code) of the regions that hold three classes or more, each class once, and (a, b): the pairs around pivot documents, which
+    leave out nothing in regions of two."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            rows = [np.concatenate(c) for c in zip(*out, strict=True)]
-            none = pa.nulls(len(rows[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), none, none], ["region", "cls", "code", "a", "b"])
+            if out:
+                rows = [np.concatenate(c) for c in zip(*out, strict=True)]
+                none = pa.nulls(len(rows[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), none, none], ["region", "cls", "code", "a", "b"])
             for batch in _pair_batches(iter(pairs)):
                 none = pa.nulls(batch.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.nulls(batch.num_rows, pa.int32()), *batch.columns], ["region", "cls", "code", "a", "b"])
@@ -258,13 +283,14 @@ def shared_and_pivots(placed: DataFrame, percent: int) -> tuple[DataFrame, DataF
             first = np.append(True, cls[1:] != cls[:-1])
             if first.sum() > 1:
                 cls, code = cls[first], code[first]
-                out.append([region[first], cls, code])
+                if len(cls) > 2:
+                    out.append([region[first], cls, code])
                 pairs += _windows(int(region[0]) & (PIVOT_ORDERS - 1), cls, code >> 1, code % 2 == 1, percent)
                 held += len(cls)
             if held > 200_000:
                 yield from flush()
                 out, pairs, held = [], [], 0
-        if out:
+        if held:
             yield from flush()
 
     found = cut(_sorted_regions(placed).mapInArrow(both, "region long, cls long, code int, a long, b long"))
@@ -324,11 +350,68 @@ def _tree_links(x: list[np.ndarray], y: list[np.ndarray], names: list[int], othe
     return out
 
 
-def tiled_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int, tile: int = TILE) -> DataFrame:
-    """(a, b): links within the clusters of large regions. Each cluster's classes fall into blocks, and every two blocks are one task."""
+def likely_links(clusters: DataFrame, n_classes: int, groups: DataFrame, prefixes: DataFrame, percent: int, tile: int = SKETCHES) -> DataFrame:
+    """(a, b): enough pairs of a cluster's classes, across groups, to join all that their sketches leave room to link. Sizes of linked sets differ by a
+    bounded factor: of bands that wide, each and the next one make a cell, whose classes fall into blocks, and every two blocks are one task."""
+    held = clusters.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, bits_for(n_classes)))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held.value.has(batch.column(0).to_numpy().astype(np.uint64))))
+
+    picked = prefixes.select("cls", "size", "sketch").mapInArrow(pick, "cls long, size int, sketch binary").dropDuplicates(["cls"])
+    placed = _grouped(clusters, groups).join(picked, "cls")
+    band = F.floor(F.log("size") / float(np.log(100 / percent) * 1.001))  # so that rounding puts no two linked sizes two bands apart
+    placed = cut(placed.withColumn("cell", F.explode(F.array(band, band + 1))))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum(F.length("sketch")) / SKETCH_BYTES))
+    dealt = _dealt(placed, placed.groupBy("component", "cell").agg(blocks.alias("blocks")), ["component", "cell"])
+
+    def join(key, table):
+        block, cls, grp, size = (table[c].to_numpy() for c in ("block", "cls", "grp", "size"))
+        raw = table["sketch"].to_pylist()
+        width = min(map(len, raw))
+        own = np.stack([folded(x, width) for x in raw])
+        i, j = key[2].as_py(), key[3].as_py()
+        right, top, found = np.flatnonzero(block == j), list(range(len(cls))), []
+
+        def find(k: int) -> int:
+            while top[k] != k:
+                top[k] = k = top[top[k]]
+            return k
+
+        for k in np.flatnonzero(block == i).tolist():
+            others = right[right > k] if i == j else right
+            others = others[grp[others] != grp[k]]
+            for x in others[may_link(own[others], own[k], size[others].astype(np.int64), int(size[k]), percent)].tolist():
+                if (p := find(k)) != (q := find(x)):
+                    top[q] = p
+                    found.append((cls[k], cls[x]))
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return dealt.select("component", "cell", "i", "j", "block", "cls", "grp", "size", "sketch").groupBy("component", "cell", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def _grouped(clusters: DataFrame, groups: DataFrame) -> DataFrame:
+    """(component, cls, grp): the classes of clusters with the groups that they are linked in."""
+    own = groups.select(F.col("id").alias("g_id"), F.col("component").alias("grp"))
+    return clusters.join(own, F.col("id") == F.col("g_id"), "left").select("component", F.col("id").alias("cls"), F.coalesce("grp", "id").alias("grp"))
+
+
+def _dealt(placed: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """Each class in a block of its key's, once for every block that it meets: i and j are the two."""
+    own = placed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    own = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return own.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+
+
+def tiled_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int, tile: int = TILE, sketches: int = SKETCHES) -> DataFrame:
+    """(a, b): links within the clusters of large regions. What sketches leave of a cluster falls into blocks, and every two blocks are one task."""
     clusters = cut(components(stars))
     if not (n_classes := clusters.count()):
         return stars
+    clusters = cut(components(likely_links(clusters, n_classes, groups, prefixes, percent, sketches)))
+    if not (n_classes := clusters.count()):
+        return clusters.select(F.col("id").alias("a"), F.col("component").alias("b"))
     held = stars.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, bits_for(n_classes)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +422,7 @@ def tiled_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, prefixes:
     ids = cut(prefixes.select("id", "cls").mapInArrow(pick, f"cls long, id {kind}"))
     own = sets_of(docs, ids.select("id"), n)
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).alias("blocks"))
-    placed = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    placed = placed.join(groups.select(F.col("id").alias("g_id"), F.col("component").alias("grp")), F.col("id") == F.col("g_id"), "left")
-    placed = placed.select("component", "blocks", "block", F.col("id").alias("cls"), F.coalesce("grp", "id").alias("grp")).join(own, "cls")
-    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = dealt.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "grp", "own")
+    rows = _dealt(_grouped(clusters, groups).join(own, "cls"), sizes, ["component"]).select("component", "i", "j", "block", "cls", "grp", "own")
 
     def join(key, table):
         block, cls, grp = (table[c].to_pylist() for c in ("block", "cls", "grp"))
@@ -392,31 +471,28 @@ def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, n_pairs: int, prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose regions leave enough room for a link, and (cls, id) of one document for each class of pairs. Of two sets, a common shingle beyond the regions
-    of the one whose regions end first is in its remainder; so their overlap is at most the regions shared plus that remainder."""
+    """The pairs whose sketches leave enough room for a link, and (cls, id) of one document for each class of pairs."""
     held = pairs.sparkSession.sparkContext.broadcast(seen_once(_ends(pairs), _class_hashes, bits_for(2 * n_pairs)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(held.value.has(batch.column(1).to_numpy().astype(np.uint64))))
+            yield batch.filter(pa.array(held.value.has(batch.column(0).to_numpy().astype(np.uint64))))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema)
-    picked = prefixes.mapInArrow(pick, schema).dropDuplicates(["cls"])
+    own = prefixes.select("cls", "id", "size", "sketch")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    picked = own.mapInArrow(pick, schema).dropDuplicates(["cls"])
     picked = cut(picked.join(_ends(pairs).distinct(), "cls", "left_semi"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = (np.array(z["regions"], np.int64).astype(np.uint64) for z in (x, y))
-                first = x if (x["end_rank"], u[-1]) <= (y["end_rank"], v[-1]) else y
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                most = min(common + first["size"] - len(first["regions"]), x["size"], y["size"])
-                ok.append(100 * most >= percent * (x["size"] + y["size"] - most))
+                width = min(len(x["sketch"]), len(y["sketch"]))
+                ok.append(may_link(folded(x["sketch"], width), folded(y["sketch"], width), x["size"], y["size"], percent))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    both = _sides(pairs, picked, ["size", "end_rank", "regions"]).select("a", "b", "x", "y")
+    both = _sides(pairs, picked, ["size", "sketch"]).select("a", "b", "x", "y")
     return cut(both.mapInArrow(bound, "a long, b long")), picked.select("cls", "id")
 
 
