@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import merged_segments, mix
 
@@ -88,6 +88,16 @@ def seen_once(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndar
     return _collect(merged_segments(df.mapInArrow(build, schema), merge, schema), "bits", log2_bits)
 
 
+def holds(hashes: DataFrame) -> Callable[[Column], Column]:
+    """Of a column of 64-bit hashes: whether a filter of those of the frame, its only column, holds them. Only hashes go to Python."""
+
+    def own(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy().astype(np.uint64)
+
+    held = hashes.sparkSession.sparkContext.broadcast(seen_once(hashes, own, bits_for(hashes.count())))
+    return F.arrow_udf(lambda x: pa.array(held.value.has(x.to_numpy().astype(np.uint64))), "boolean")
+
+
 def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_bits: int = LOG2_BITS) -> Bloom:
     """A filter of the hashes that occur twice or oftener: every task keeps a filter of the hashes seen once
     and one of those seen again; a bit that two tasks have set once counts as seen again."""

@@ -1,11 +1,12 @@
-"""What the Jaccard join keeps from moving."""
+"""What the Jaccard join and the pipeline's use of it keep from moving."""
 
 import random
 
 import numpy as np
 import pytest
 
-from quantity_jobs.llm import jaccard_join
+import corpus_pipeline
+from quantity_jobs.llm import bloom, jaccard_join
 
 
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
@@ -75,3 +76,27 @@ def test_tiles_of_sketches(spark, monkeypatch, sketches, tile):
                 parent[q] = p
     assert seen and got == {k: find(k) for k in range(len(texts))}
     assert len(set(got.values())) < len(texts)
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """Of 300 long texts two are copies; the rest are written where they lie."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.getrandbits(60):x}" for _ in range(300)), "en", "src", 0) for k in range(300)]
+    rows += [(500, rows[0][1] + " end", "en", "src", 0), rows[1], (None, "no id", "en", "src", 0), (None, "no id", "en", "src", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path))
+    spark.sparkContext.setJobGroup("kept", "kept")
+    kept = out.collect()
+    spark.sparkContext.setJobGroup("other", "other")
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(r[0]), str(r[1])) for r in [*rows[:300], *rows[-2:]])
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("kept") for s in tracker.getJobInfo(j).stageIds}
+    ran = [s for s in stages if tracker.getStageInfo(s) and tracker.getStageInfo(s).numCompletedTasks]
+    assert sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in ran) < 0.2 * sum(len(r[1] or "") for r in rows)
+
+
+def test_holds(spark):
+    held = bloom.holds(spark.range(500).selectExpr("xxhash64(id)"))
+    got = {r.id for r in spark.range(2000).filter(held(corpus_pipeline.F.xxhash64("id"))).collect()}
+    assert set(range(500)) <= got and len(got) < 600
