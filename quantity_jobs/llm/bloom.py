@@ -16,6 +16,8 @@ from .shared import merged_segments, mix
 SEGMENT = 2048  # bytes
 LOG2_BITS = 27
 PROBES = 2
+#: A filter of up to 2**FEW_LOG2_BITS bits, room for 131,072 hashes, is made on the driver of the hashes, which spares a shuffle: the driver holds a record of every task.
+FEW_LOG2_BITS = 21
 
 
 def bits_for(expected: int, most: int = LOG2_BITS) -> int:
@@ -72,7 +74,18 @@ def _collect(df: DataFrame, column: str, log2_bits: int) -> Bloom:
 
 
 def seen_once(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_bits: int = LOG2_BITS) -> Bloom:
-    """A filter of all hashes."""
+    """A filter of all hashes; a small one is for as few of them as bits_for gives it for."""
+    if log2_bits <= FEW_LOG2_BITS:
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x in hashes(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(x).view(np.int64))], ["hash"])
+
+        out = Bloom(log2_bits)
+        for batch in df.mapInArrow(gather, "hash long").toArrow().to_batches():
+            out.add(batch.column(0).to_numpy().view(np.uint64))
+        return out
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bloom(log2_bits)

@@ -37,11 +37,12 @@ CELLS_IN_SEGMENT = 128
 #: Pivots differ between regions in so many ways.
 PIVOT_ORDERS = 4
 #: Regions of more classes than this, not yet of one component, are joined in tiles of blocks: of about so many sketches or bytes of sketches
-#: first, then, among classes whose sketches leave room for a link, of about TILE sets.
+#: first, then, among classes whose sketches leave room for a link, of about TILE sets. Up to FEW_CLASSES classes in all go to sets at once.
 LARGE_REGION = 48
 SKETCHES = 2048
 SKETCH_BYTES = 8 << 20
 TILE = 256
+FEW_CLASSES = 1024
 #: A task tells repeated classes by the last so many that it met.
 SEEN_CLASSES = 100_000
 ID_SEED = 5
@@ -409,8 +410,10 @@ def tiled_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, prefixes:
     clusters = cut(components(stars))
     if not (n_classes := clusters.count()):
         return stars
-    clusters = cut(components(likely_links(clusters, n_classes, groups, prefixes, percent, sketches)))
-    if not (n_classes := clusters.count()):
+    if n_classes > FEW_CLASSES:
+        clusters = cut(components(likely_links(clusters, n_classes, groups, prefixes, percent, sketches)))
+        n_classes = clusters.count()
+    if not n_classes:
         return clusters.select(F.col("id").alias("a"), F.col("component").alias("b"))
     held = stars.sparkSession.sparkContext.broadcast(seen_once(clusters.select("id"), _class_hashes, bits_for(n_classes)))
 

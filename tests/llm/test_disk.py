@@ -37,6 +37,7 @@ def test_sets_of_chained_texts_stay(spark, monkeypatch):
     texts = [(k, line + " " + " ".join(f"w{k}x{rng.randrange(10**6)}" for _ in range(3 + k % 5))) for k in range(200)]
     texts += [(1000 + k, f"{line} {' '.join(f'long{k}y{j}' for j in range(40))} end{k}" + " tail" * (k % 2)) for k in range(4)]
     texts += [(2000 + k, texts[200 + k][1] + " more") for k in range(3)]
+    monkeypatch.setattr(jaccard_join, "FEW_CLASSES", 100)
     sent = []
     whole = jaccard_join.sets_of
     monkeypatch.setattr(jaccard_join, "sets_of", lambda docs, ids, n: sent.append(ids.count()) or whole(docs, ids, n))
@@ -57,6 +58,7 @@ def test_tiles_of_sketches(spark, monkeypatch, sketches, tile):
         for _ in range(6):
             changed = [w if rng.random() > 0.02 else f"n{rng.randrange(10**6)}" for w in own]
             texts.append((len(texts), line + " " + " ".join(changed)))
+    monkeypatch.setattr(jaccard_join, "FEW_CLASSES", 0)
     real = jaccard_join.tiled_links
     seen = []
     monkeypatch.setattr(jaccard_join, "tiled_links", lambda *a: seen.append(1) or real(*a, tile=tile, sketches=sketches))
@@ -96,7 +98,10 @@ def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
     assert sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in ran) < 0.2 * sum(len(r[1] or "") for r in rows)
 
 
-def test_holds(spark):
+@pytest.mark.parametrize("few", [0, 21])
+def test_holds(spark, monkeypatch, few):
+    """Made by tasks or, of few hashes, on the driver."""
+    monkeypatch.setattr(bloom, "FEW_LOG2_BITS", few)
     held = bloom.holds(spark.range(500).selectExpr("xxhash64(id)"))
     got = {r.id for r in spark.range(2000).filter(held(corpus_pipeline.F.xxhash64("id"))).collect()}
     assert set(range(500)) <= got and len(got) < 600
